@@ -143,16 +143,32 @@ def sketches(df: DataFrame, by: list[str], value: str, section: int = SECTION, s
 
 
 def merged(parts: DataFrame, by: list[str], section: int = SECTION) -> DataFrame:
-    """Merge sketches (of days, partitions, finer groups) to one per group of `by`. Other columns are dropped."""
-    schema = _schema(parts, by, SKETCH_FIELDS)
+    """Merge sketches (of days, partitions, finer groups) to one per group of `by`. Other columns are dropped.
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        s = Sketch(section)
-        for r in rows.itertuples(index=False):
-            s.merge(r.n, int(r.low), int(r.high), r.runs, r.levels)
-        return pd.DataFrame([(*[None if pd.isna(k) else k for k in key], *s.row())], columns=schema.names)
+    Sketches arrive sorted by group and are merged one by one, so a task holds one sketch at a time.
+    """
+    schema = _schema(parts, by, SKETCH_FIELDS)
+    width = len(by)
 
-    return parts.select(*by, "n", "low", "high", "runs", "levels").groupBy(*by).applyInPandas(join, schema)
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, None
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False, name=None):
+                k = tuple(None if pd.isna(x) else x for x in r[:width])
+                if held is None or k != key:
+                    if held is not None:
+                        rows.append((*key, *held.row()))
+                    key, held = k, Sketch(section)
+                n, low, high, runs, levels = r[width:]
+                held.merge(n, int(low), int(high), runs, levels)
+            yield pd.DataFrame(rows, columns=schema.names)
+        if held is not None:
+            yield pd.DataFrame([(*key, *held.row())], columns=schema.names)
+
+    rows = parts.select(*by, "n", "low", "high", "runs", "levels")
+    placed = rows.repartition(*by).sortWithinPartitions(*by) if by else rows.coalesce(1)
+    return placed.mapInPandas(join, schema)
 
 
 def percentiles(found: DataFrame, by: list[str], shares: list[float]) -> DataFrame:

@@ -127,7 +127,7 @@ def _capped(rows: str, key: str, share: float | None = None, count: int | None =
 _SOURCE = "select lower(trim(coalesce(source, ''))) as contributor, article_id, score from articles"
 SQL = {
     "p3_rank_check": f"""with calls as ({_CALLS}) select step, model, share, count(*) as n, true as within
-      from calls, (select unnest({SHARES}) as share) where total_tokens is not null group by all""",
+      from calls, (select unnest({SHARES})::double as share) where total_tokens is not null group by all""",
     "p5_source_share": _capped(_SOURCE, "article_id", share=0.1),
     "p5_source_count": _capped(_SOURCE, "article_id", count=100),
     "p5_host_share": _capped("""select regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.|\\.$', '') as contributor,

@@ -298,4 +298,4 @@ def found(judged: DataFrame) -> DataFrame:
 
 def rates(judged: DataFrame) -> DataFrame:
     """(source, field_name, n, n_cut, share_cut): how often each source's values are cut off."""
-    return judged.groupBy("source", "field_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("p_cut > 0.5").alias("n_cut")).withColumn("share_cut", F.round(F.col("n_cut") / F.col("n"), 6))
+    return judged.groupBy("source", "field_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_cut") > 0.5).alias("n_cut")).withColumn("share_cut", F.round(F.col("n_cut") / F.col("n"), 6))
