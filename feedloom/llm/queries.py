@@ -28,6 +28,13 @@ def p2_forms(spark, at):
     return textform.forms(_table(spark, at, "articles"))
 
 
+def p3_day_percentiles(spark, at):
+    """Per day, step and model, from the day's own sketches."""
+    calls = quantiles.usage_calls(_table(spark, at, "usage_events"), "run_date")
+    by = ["run_date", *GROUP]
+    return quantiles.percentiles(quantiles.sketches(calls, by, "total_tokens"), by, SHARES)
+
+
 def p3_percentiles(spark, at):
     calls = quantiles.usage_calls(_table(spark, at, "usage_events"))
     return quantiles.percentiles(quantiles.sketches(calls, GROUP, "total_tokens"), GROUP, SHARES)
@@ -109,7 +116,7 @@ def p9_segments(spark, at):
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p2_found, p2_forms, p3_percentiles, p3_from_days, p3_rank_check, p4_found, p4_rates, p5_source_share, p5_host_share, p5_source_count,
+    p1_found, p2_found, p2_forms, p3_day_percentiles, p3_percentiles, p3_from_days, p3_rank_check, p4_found, p4_rates, p5_source_share, p5_host_share, p5_source_count,
     p5_digest_share, p7_ids, p8_selection, p8_shares, p9_found, p9_documents, p9_segments)}
 
 _CALLS = """select distinct event_id, case when trim(coalesce(step, '')) = '' then 'other' else lower(trim(step)) end as step,
