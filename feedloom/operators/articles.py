@@ -32,7 +32,7 @@ def enumerated(df: DataFrame, key: str, order: Column) -> DataFrame:
     from feedloom.operators.ranking import running
 
     firsts = df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min(order).alias("first_order")).withColumn("_all", F.lit(1))
-    return running(firsts, ["_all"], [F.col("first_order")], rank="_r").select(key, "first_order", (F.col("_r") - 1).alias("number"))
+    return running(firsts, ["_all"], [F.col("first_order")], rank="_number").select(key, "first_order", (F.col("_number") - 1).alias("number"))
 
 
 def round_robin(df: DataFrame, group: str, order: Column, n: int) -> DataFrame:

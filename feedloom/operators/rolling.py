@@ -25,8 +25,8 @@ def calendar_day(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def daily_outcomes(history: DataFrame) -> DataFrame:
-    """(edition, subject, day, ok): one row per outcome that counts.
+def daily_results(history: DataFrame) -> DataFrame:
+    """(edition, subject, day, outcome): one row per outcome that counts.
 
     Of several records of one edition and day only the one recorded last counts, even if its results are null or empty;
     among records of the same time the one with more results, then the larger text of them (identical records are one).
@@ -37,7 +37,12 @@ def daily_outcomes(history: DataFrame) -> DataFrame:
     entries = F.array_sort(F.coalesce(F.transform(F.map_entries("results"), lambda e: F.struct(e["key"].alias("subject"), e["value"].alias("outcome"))), F.array()))
     last = rows.withColumn("_e", entries).groupBy("edition", "day").agg(F.max(F.struct(F.col("recorded_at"), F.size("_e").alias("n"), F.col("_e"))).alias("_l"))
     return last.select("edition", "day", F.explode("_l._e").alias("_x")).select(
-        "edition", F.col("_x.subject").alias("subject"), "day", (F.col("_x.outcome") == "ok").alias("ok")).where("_x.outcome <> '' and _x.subject <> ''")
+        "edition", F.col("_x.subject").alias("subject"), "day", F.col("_x.outcome").alias("outcome")).where("outcome <> '' and subject <> ''")
+
+
+def daily_outcomes(history: DataFrame) -> DataFrame:
+    """(edition, subject, day, ok) of daily_results."""
+    return daily_results(history).select("edition", "subject", "day", (F.col("outcome") == "ok").alias("ok"))
 
 
 def _sums(leaves: np.ndarray) -> np.ndarray:

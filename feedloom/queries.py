@@ -1,44 +1,811 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries over the driver's tables, each with the SQL it must equal.
+
+Names of the feed's operators begin with r_ and their number in the survey; p6_ are the trailing totals.
+Queries without SQL use text transforms that SQL can't express; tests hold those against brute force.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from feedloom.functions import scalars as S
+from feedloom.functions import texts as X
+from feedloom.operators import articles as A
+from feedloom.operators import health as H
+from feedloom.operators import joins as J
+from feedloom.operators import reports as R
 from feedloom.operators import rolling
+from feedloom.operators import tables as K
+from feedloom.operators import vectors as V
+from feedloom.plans import stages
+from feedloom.runtime import Workspace
+from feedloom.sources import feeds
+from feedloom.streaming import daily
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def table(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
+STEPS = "'hatena', 'hn', 'reddit', 'security_blogs', 'rss'"
+SUBJECTS = ["hatena", "hn", "reddit", "security_blogs", "rss", "telegram", "vault", "deploy"]
+RESULTS = """with valid as (select edition, try_cast(run_date as date) as d, results, recorded_at from health_history
+    where regexp_full_match(run_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(run_date as date) is not null),
+  latest as (select *, row_number() over (partition by edition, d order by recorded_at desc, cardinality(results) desc nulls last) as k from valid),
+  pairs as (select edition, d, unnest(map_entries(results)) as e from latest where k = 1),
+  outcomes as (select edition, e.key as subject, d as day, e.value as outcome, e.value = 'ok' as ok from pairs where e.value <> '' and e.key <> '')"""
+DAYS = RESULTS + """, spans as (select edition, subject, min(day) as a, max(day) as z from outcomes group by 1, 2),
+  days as (select edition, subject, unnest(generate_series(a::timestamp, z::timestamp, interval 1 day))::date as d from spans),
+  filled as (select days.*, o.ok from days left join outcomes o on days.edition is not distinct from o.edition and days.subject = o.subject and days.d = o.day)"""
+DATE = "case when regexp_full_match(run_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_cast(run_date as date) end"
+
+
+def outcomes(spark, at):
+    return rolling.daily_results(table(spark, at, "health_history")).withColumn("ok", F.col("outcome") == "ok")
+
+
+# --- problem 6 ---------------------------------------------------------------------------------------------------
+
 def _trailing(spark, at):
     return rolling.trailing(rolling.trees(rolling.daily_outcomes(table(spark, at, "health_history"))))
 
 
+@query(DAYS + " select edition, subject, strftime(d, '%Y-%m-%d') as on_day from filled where ok is null")
 def p6_found(spark, at):
     return rolling.silent_days(_trailing(spark, at))
 
 
+@query(DAYS + """ select *, round(ok_7 / 7, 6) as ok_avg_7, round(bad_7 / 7, 6) as bad_avg_7, round(ok_30 / 30, 6) as ok_avg_30, round(bad_30 / 30, 6) as bad_avg_30 from (
+  select edition, subject, d as day, (ok is not null)::bigint as day_count,
+    coalesce(sum(ok::int) over w7, 0)::bigint as ok_7, coalesce(sum((not ok)::int) over w7, 0)::bigint as bad_7,
+    coalesce(sum(ok::int) over w30, 0)::bigint as ok_30, coalesce(sum((not ok)::int) over w30, 0)::bigint as bad_30 from filled
+  window w7 as (partition by edition, subject order by d range between interval 6 day preceding and current row),
+    w30 as (partition by edition, subject order by d range between interval 29 day preceding and current row))""")
 def p6_trailing(spark, at):
     return rolling.with_averages(_trailing(spark, at))
 
 
-QUERIES = {"p6_found": p6_found, "p6_trailing": p6_trailing}
+# --- scans and sinks ---------------------------------------------------------------------------------------------
 
-_DAYS = """with valid as (select edition, try_cast(run_date as date) as d, results, recorded_at from health_history
-    where regexp_full_match(run_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(run_date as date) is not null),
-  latest as (select *, row_number() over (partition by edition, d order by recorded_at desc, cardinality(results) desc nulls last) as k from valid),
-  pairs as (select edition, d, unnest(map_entries(results)) as e from latest where k = 1),
-  outcomes as (select edition, e.key as subject, d, e.value = 'ok' as ok from pairs where e.value <> '' and e.key <> ''),
-  spans as (select edition, subject, min(d) as a, max(d) as z from outcomes group by 1, 2),
-  days as (select edition, subject, unnest(generate_series(a::timestamp, z::timestamp, interval 1 day))::date as d from spans),
-  filled as (select days.*, o.ok from days left join outcomes o on days.edition is not distinct from o.edition and days.subject = o.subject and days.d = o.d)"""
-SQL = {
-    "p6_found": _DAYS + " select edition, subject, strftime(d, '%Y-%m-%d') as on_day from filled where ok is null",
-    "p6_trailing": _DAYS + """ select *, round(ok_7 / 7, 6) as ok_avg_7, round(bad_7 / 7, 6) as bad_avg_7, round(ok_30 / 30, 6) as ok_avg_30, round(bad_30 / 30, 6) as bad_avg_30 from (
-      select edition, subject, d as day, (ok is not null)::bigint as day_count,
-        coalesce(sum(ok::int) over w7, 0)::bigint as ok_7, coalesce(sum((not ok)::int) over w7, 0)::bigint as bad_7,
-        coalesce(sum(ok::int) over w30, 0)::bigint as ok_30, coalesce(sum((not ok)::int) over w30, 0)::bigint as bad_30 from filled
-      window w7 as (partition by edition, subject order by d range between interval 6 day preceding and current row),
-        w30 as (partition by edition, subject order by d range between interval 29 day preceding and current row))""",
-}
+@query("""select source_key as source, count(*) as n, count(distinct url) as urls, sum(length(left(regexp_replace(coalesce(original_description, ''), '[^A-Za-z0-9 ]', '', 'g'), 200))) as chars
+  from articles where source_key is not null group by 1""")
+def r_s1_rss_items(spark, at):
+    """Articles written as one RSS document per article and read back through the feed reader."""
+    rows = table(spark, at, "articles").where("source_key is not null")
+    esc = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    text = F.regexp_replace(F.coalesce("original_description", F.lit("")), "[^A-Za-z0-9 ]", "")
+    body = F.concat(F.lit('<rss version="2.0"><channel><item><title>t</title><link>'), esc("url"), F.lit("</link><description>x"), text, F.lit("x</description></item></channel></rss>"))
+    items = feeds.rss_items(rows.select(F.col("source_key").alias("source"), body.alias("body")), cap=100_000)
+    inner = F.expr("substring(description, 2, length(description) - 2)")
+    return items.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.nullif(F.col("url"), F.lit(""))).alias("_u"), F.sum(F.length(F.substring(inner, 1, 200))).alias("chars")).join(
+        rows.groupBy(F.col("source_key").alias("source")).agg(F.count_distinct("url").alias("urls")), "source").select("source", "n", "urls", "chars")
+
+
+@query("""select article_id, array_to_string(list_transform(list_filter(list_slice(string_split(comment_summary, '. '), 1, 10), lambda x: trim(x) <> '' and x not in ('[deleted]', '[removed]')),
+  lambda x: left(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), 300)), '|') as comments from articles where comment_summary is not null""")
+def r_s9_comments(spark, at):
+    rows = table(spark, at, "articles").where("comment_summary is not null").select(F.col("article_id").alias("item_id"), F.split("comment_summary", r"\. ").alias("children"))
+    return feeds.top_comments(rows).select(F.col("item_id").alias("article_id"), F.array_join("comments", "|").alias("comments"))
+
+
+@query("select event_id, json_extract_string(props, '$.k')::bigint as k from events where json_extract_string(props, '$.k') is not null")
+def r_s13_json_artifact(spark, at):
+    v = F.try_parse_json("props")
+    return table(spark, at, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k")).where("k is not null")
+
+
+@query(f"select run_date, count(*) as n from health_history where {DATE} is not null group by 1")
+def r_s16_day_folders(spark, at):
+    return table(spark, at, "health_history").where(S.strict_date(F.col("run_date")).isNotNull()).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select digest_id, run_date from (select *, {DATE} as d from digests) where d > (select max({DATE}) - 30 from digests)")
+def r_s17_trailing_window(spark, at):
+    rows = table(spark, at, "digests").withColumn("d", S.strict_date(F.col("run_date")))
+    return H.recent(rows, [], "d", 30).select("digest_id", "run_date")
+
+
+@query("select run_date, digest_id, title from digests where run_date = (select max(run_date) from digests)")
+def r_s18_latest_day(spark, at):
+    rows = table(spark, at, "digests")
+    return rows.join(F.broadcast(rows.agg(F.max("run_date").alias("run_date"))), "run_date", "left_semi").select("run_date", "digest_id", "title")  # one row
+
+
+@query("""with l as (select doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) as line, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) as pos from documents where text is not null),
+  h as (select *, count(case when regexp_matches(line, '^#{1,6}\\s+.*$') then 1 end) over (partition by doc_id order by pos) as part from l)
+  select doc_id, part::bigint as part, count(*) as lines from h group by 1, 2""")
+def r_s19_sections(spark, at):
+    lines = R.lines_of(table(spark, at, "documents"), "doc_id", "text")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    return lines.withColumn("part", F.count(F.when(F.col("line").rlike(r"^#{1,6}\s+.*$"), 1)).over(w)).groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"""with d as (select *, {DATE} as d from digests), r as (select * from d where d >= (select max(d) - 7 from d))
+  select run_date, count(*) as digest_count, array_to_string(list_slice(list(title order by ord, digest_id) filter (title is not null), 1, 10), '|') as themes from r group by 1""")
+def r_s21_recent_briefs(spark, at):
+    rows = H.recent(table(spark, at, "digests").withColumn("d", S.strict_date(F.col("run_date"))), [], "d", 8)
+    named = F.collect_list(F.when(F.col("title").isNotNull(), F.struct("ord", "digest_id", "title")))
+    return rows.groupBy("run_date").agg(F.count(F.lit(1)).alias("digest_count"), F.array_join(F.transform(F.slice(F.array_sort(named), 1, 10), lambda x: x["title"]), "|").alias("themes"))
+
+
+@query("""with r as (select *, row_number() over (partition by url order by article_id desc) as k from articles where url <> '')
+  select url, article_id, batch_no from r where k = 1""")
+def r_k2_keyed_upsert(spark, at):
+    """The archive, then the later batches, keyed by address: the last row of an address stays."""
+    rows = table(spark, at, "articles").where("url <> ''").select("url", "article_id", "batch_no")
+    old = A.pick(rows.where("batch_no = 0"), ["url"], F.col("article_id"), last=True)
+    newer = K.upserted(old, rows.where("batch_no > 0"), ["url"], F.col("article_id"))
+    return A.pick(newer.unionByName(old), ["url"], F.col("article_id"), last=True)
+
+
+@query("select run_date, count(*) as n from dedup_items where try_cast(run_date as date) >= (select max(try_cast(run_date as date)) - 7 from dedup_items) group by 1")
+def r_k4_retention(spark, at):
+    rows = table(spark, at, "dedup_items").withColumn("d", F.col("run_date").try_cast("date"))
+    return rows.join(F.broadcast(rows.agg(F.max("d").alias("today")))).where(F.col("d") >= F.date_sub("today", 7)).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"))  # one row
+
+
+@query("select run_date, string_agg('- ' || coalesce(title, '') || ' ' || coalesce(url, ''), chr(10) order by ord, digest_id) as note from digests group by 1")
+def r_k8_notes(spark, at):
+    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("url", F.lit(""))).alias("line")
+    return R.joined(table(spark, at, "digests").select("run_date", "ord", "digest_id", line), "run_date", ["ord", "digest_id"]).select("run_date", F.col("text").alias("note"))
+
+
+@query("""select url, 'ledger' as origin from (select distinct url from dedup_items where url <> '')
+  union all select url, 'digest' from (select distinct url from digests where url <> '' and url not in (select url from dedup_items where url is not null))""")
+def r_k12_insert_absent(spark, at):
+    old = table(spark, at, "dedup_items").where("url <> ''").select("url").distinct().withColumn("origin", F.lit("ledger"))
+    return K.inserted(old, table(spark, at, "digests").where("url <> ''").select("url").distinct().withColumn("origin", F.lit("digest")), ["url"])
+
+
+@query("""with p as (select url, title, 1 as prio, digest_id as id from digests where url <> '' union all select url, title, 2, article_id from articles where url <> ''),
+  r as (select *, row_number() over (partition by url order by prio, id) as k from p) select url, title, prio from r where k = 1""")
+def r_k13_assembly(spark, at):
+    """Digests over articles on the same address."""
+    a = table(spark, at, "digests").where("url <> ''").select("url", "title", F.lit(1).alias("prio"), F.col("digest_id").alias("id"))
+    b = table(spark, at, "articles").where("url <> ''").select("url", "title", F.lit(2).alias("prio"), F.col("article_id").alias("id"))
+    return A.pick(a.unionByName(b), ["url"], F.struct("prio", "id")).select("url", "title", "prio")
+
+
+# --- projections and filters --------------------------------------------------------------------------------------
+
+@query("""select article_id, case interest when '***' then 3 else 2 end as rank, coalesce(nullif(score, 0), length(nullif(one_liner, '')), 0)::bigint as popularity
+  from articles where interest in ('***', '**')""")
+def r_p1_clean(spark, at):
+    rows = table(spark, at, "articles")
+    return A.clean(rows, [F.col("score"), F.length("one_liner").cast("long")]).select("article_id", "rank", "popularity")
+
+
+@query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) as k from events")
+def r_p3_coerce_int(spark, at):
+    return table(spark, at, "events").select("event_id", S.coerce_int(F.get_json_object("props", "$.k")).alias("k"))
+
+
+@query("select run_date, source_key, count(*) as n from articles where interest = '***' group by 1, 2")
+def r_p4_top_interest(spark, at):
+    return table(spark, at, "articles").where("interest = '***'").groupBy("run_date", "source_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select run_date, count(*) as total, count(*) filter (coalesce(url, '') <> '') as with_url from articles group by 1")
+def r_p6_empty_urls(spark, at):
+    return table(spark, at, "articles").groupBy("run_date").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("url", F.lit("")) != "").alias("with_url"))
+
+
+@query("select article_id, coalesce(title, '') as title, coalesce(url, '') as url, coalesce(one_liner, '') as one_liner, coalesce(original_title, '') as original_title from articles")
+def r_p7_typed_view(spark, at):
+    return table(spark, at, "articles").select("article_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "url", "one_liner", "original_title")])
+
+
+@query("select digest_id, coalesce(nullif(source_key, ''), nullif(source_label, ''), '?') as source_key, coalesce(nullif(source_label, ''), nullif(source_key, ''), '?') as source_label from digests")
+def r_p8_source_fallback(spark, at):
+    k, v = F.col("source_key"), F.col("source_label")
+    return table(spark, at, "digests").select("digest_id", S.first_truthy(k, v, default="?").alias("source_key"), S.first_truthy(v, k, default="?").alias("source_label"))
+
+
+@query(f"select url, one_liner from articles where url <> '' and source_key in ({STEPS})")
+def r_p10_slim(spark, at):
+    return table(spark, at, "articles").where((F.col("url") != "") & F.col("source_key").isin(S.FETCH_STEPS)).select("url", "one_liner")
+
+
+@query("select event_id, try_cast(json_extract(props, '$.k') as double) as k from events")
+def r_p12_number_or_null(spark, at):
+    return table(spark, at, "events").select("event_id", S.number_or_null(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")).alias("k"))
+
+
+@query("""select digest_id, run_date from digests where contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(source_label, ''))), 'the')
+  and contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(source_label, ''))), 'model')""")
+def r_p15_search(spark, at):
+    return A.keyword_search(table(spark, at, "digests"), ["title", "summary", "source_label"], " The  MODEL ").select("digest_id", "run_date")
+
+
+@query("select article_id, coalesce(starts_with(url, 'http://') or starts_with(url, 'https://'), false) as valid from articles")
+def r_p16_valid_url(spark, at):
+    return table(spark, at, "articles").select("article_id", S.is_valid_url(F.col("url")).alias("valid"))
+
+
+@query("""select kind, count(*) as n from (select case when regexp_matches(lower(coalesce(url, '')), '(twitter\\.com/|x\\.com/)') then 'twitter'
+  when regexp_matches(lower(coalesce(url, '')), 'news\\.ycombinator\\.com') then 'hn' when regexp_matches(lower(coalesce(url, '')), 'reddit\\.com') then 'reddit' else 'general' end as kind from articles) group by 1""")
+def r_p17_url_class(spark, at):
+    return table(spark, at, "articles").groupBy(S.classify_url(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select kind, count(*) as n from (select lower(coalesce(text, '')) as t, case when regexp_matches(t, 'timeout|timed out|connection|network|dns|unreachable|ssl') then 'network'
+  when regexp_matches(t, 'http|status|\\b[45][0-9][0-9]\\b') then 'upstream_http' when contains(t, 'empty') then 'empty_llm' when regexp_matches(t, 'json|parse|decode|schema') then 'parse' else 'other' end as kind
+  from documents) group by 1""")
+def r_p18_error_class(spark, at):
+    return table(spark, at, "documents").groupBy(S.classify_error(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(RESULTS + " select edition, subject, day, outcome from outcomes")
+def r_p19_outcomes(spark, at):
+    return rolling.daily_results(table(spark, at, "health_history"))
+
+
+@query(RESULTS + f""", last as (select edition, max(day) as day from outcomes group by 1), dim as (select edition, day, unnest({SUBJECTS}) as subject from last)
+  select d.edition, d.day, d.subject, coalesce(o.outcome, 'missing') as outcome from dim d left join outcomes o on d.edition is not distinct from o.edition and d.day = o.day and d.subject = o.subject""")
+def r_p20_observation(spark, at):
+    rows = outcomes(spark, at)
+    dim = rows.groupBy("edition").agg(F.max("day").alias("day")).withColumn("subject", F.explode(F.array(*map(F.lit, SUBJECTS))))
+    a, b = dim.alias("a"), rows.alias("b")
+    same = F.col("a.edition").eqNullSafe(F.col("b.edition")) & (F.col("a.day") == F.col("b.day")) & (F.col("a.subject") == F.col("b.subject"))
+    return a.join(b, same, "left").select("a.edition", "a.day", "a.subject", F.coalesce("b.outcome", F.lit("missing")).alias("outcome"))
+
+
+@query(RESULTS + f""" select edition, day, case when count(*) filter (subject in ({STEPS})) > 0 and count(*) filter (subject in ({STEPS}) and ok) < 2 then 'failed'
+  when bool_and(ok) then 'success' else 'partial' end as status from outcomes group by 1, 2""")
+def r_p21_run_status(spark, at):
+    return H.run_status(outcomes(spark, at), ["edition", "day"], S.FETCH_STEPS)
+
+
+@query("""with d as (select run_date, (count(*) % 6)::double as relevance, (count(distinct source_key) % 7)::double as completeness, (sum(ord) % 5)::double as overall from digests group by 1)
+  select run_date, array_to_string(list_filter([case when relevance < 3 then 'relevance' end, case when completeness < 3 then 'completeness' end, case when overall > 0 and overall < 3.5 then 'overall' end], lambda x: x is not null), '；') as reasons from d""")
+def r_p22_alert_reasons(spark, at):
+    d = table(spark, at, "digests").groupBy("run_date").agg((F.count(F.lit(1)) % 6).cast("double").alias("relevance"), (F.count_distinct("source_key") % 7).cast("double").alias("completeness"), (F.sum("ord") % 5).cast("double").alias("overall"))
+    return d.select("run_date", H.alert_reasons(["relevance", "completeness"]).alias("reasons"))
+
+
+_LINES = "(select doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) as line, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) - 1 as pos from documents where text is not null)"
+
+
+@query(f"""select doc_id, count(*) as rows_found, count(*) filter (not regexp_matches(line, '\\[[^\\]]*\\]\\(https?://')) as unlinked from {_LINES}
+  where regexp_matches(line, '^\\s*(?:[-*]|\\||\\d+\\.)') and regexp_matches(line, '\\([0-9,]+ (?:users|pt|ups)\\)') group by 1""")
+def r_p24_unlinked_rows(spark, at):
+    lines = R.lines_of(table(spark, at, "documents"), "doc_id", "text").where(F.col("line").rlike(R.ROW) & F.col("line").rlike(R.POPULAR))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_found"), F.count_if(R.is_unlinked_row(F.col("line"))).alias("unlinked"))
+
+
+@query()
+def r_p25_check_report(spark, at):
+    """Reports with their link targets taken off, so that rows are unlinked."""
+    lines = R.lines_of(table(spark, at, "documents").withColumn("text", F.regexp_replace("text", r"\]\(https?://[^)\s]*\)", "](@@7@@)")), "doc_id", "text")
+    return R.check_report(lines, "doc_id")
+
+
+@query(f"""with u as (select run_date, sum(total_tokens) as total_tokens from usage_events where model like 'embed%' group by 1),
+  ran as (select distinct run_date from usage_events where step in ('compress', 'digest', 'judge')) select ran.run_date from ran left join u using (run_date) where coalesce(total_tokens, 0) <= 0""")
+def r_p26_ledger_check(spark, at):
+    u = table(spark, at, "usage_events")
+    runs = u.select("run_date", "step", F.lit("ran").alias("status"))
+    return R.ledger_check(runs, u.where("model like 'embed%'").groupBy("run_date").agg(F.sum("total_tokens").alias("total_tokens")), ["compress", "digest", "judge"])
+
+
+@query("""select i % 2 = 1 as a, i // 2 % 2 = 1 as b, i // 4 % 2 = 1 as c, i // 8 = 1 as d, case when not (i % 2 = 1) then case when i // 2 % 2 = 1 then 'LOAD' else 'SKIP' end
+  when i // 4 % 2 = 1 or i // 8 = 1 or i // 2 % 2 = 0 then 'RUN' else 'LOAD' end as verdict from range(16) t(i)""")
+def r_p28_verdict(spark, at):
+    bits = spark.range(16).select(*[(F.shiftright("id", k) % 2 == 1).alias(n) for k, n in enumerate("abcd")])
+    return bits.withColumn("verdict", S.run_verdict(*[F.col(n) for n in "abcd"]))
+
+
+@query("""select edition, run_date, recorded_at, case when run_date = (select max(run_date) from health_history where run_date like '2026-0_-__') then 'ok' else results['deploy'] end as deploy from health_history where results is not null""")
+def r_p31_self_published(spark, at):
+    rows = table(spark, at, "health_history").where("results is not null")
+    day = table(spark, at, "health_history").where("run_date like '2026-0_-__'").agg(F.max("run_date").alias("_d"))
+    fixed = F.map_concat(F.map_filter("results", lambda k, v: k != "deploy"), F.create_map(F.lit("deploy"), F.lit("ok")))
+    return rows.join(F.broadcast(day)).withColumn("results", F.when(F.col("run_date") == F.col("_d"), fixed).otherwise(F.col("results"))).select("edition", "run_date", "recorded_at", F.try_element_at("results", F.lit("deploy")).alias("deploy"))  # one row
+
+
+@query(f"""with d as (select run_date, unnest([{STEPS}]) as source_key from (select distinct run_date from articles))
+  select d.run_date, d.source_key from d anti join articles a on d.run_date = a.run_date and d.source_key = a.source_key""")
+def r_p32_empty_sources(spark, at):
+    rows = table(spark, at, "articles").select("run_date", "source_key").distinct()
+    wanted = rows.select("run_date").distinct().withColumn("source_key", F.explode(F.array(*map(F.lit, S.FETCH_STEPS))))
+    return wanted.join(rows, ["run_date", "source_key"], "left_anti")
+
+
+@query("""with n as (select run_date, count(*) as n from digests group by 1), v as (select d.*, row_number() over (partition by d.run_date, ord order by digest_id) as k from digests d join n using (run_date)
+  where ord >= 0 and ord < n and trim(coalesce(summary, '')) <> '') select run_date, ord, digest_id from v where k = 1""")
+def r_p33_valid_ids(spark, at):
+    rows = table(spark, at, "digests")
+    n = rows.groupBy("run_date").agg(F.count(F.lit(1)).alias("n"))
+    good = rows.join(n, "run_date").where("ord >= 0 and ord < n and trim(coalesce(summary, '')) <> ''")
+    return A.pick(good.select("run_date", "ord", "digest_id"), ["run_date", "ord"], F.col("digest_id"))
+
+
+# --- joins --------------------------------------------------------------------------------------------------------
+
+@query("select d.digest_id, coalesce(s.score, 0) as score from digests d left join (select url, max(score) as score from articles where url <> '' group by 1) s on d.url = s.url")
+def r_j1_scores(spark, at):
+    best = table(spark, at, "articles").where("url <> ''").groupBy("url").agg(F.max("score").alias("score"))
+    return table(spark, at, "digests").select("digest_id", "url").join(best, "url", "left").select("digest_id", F.coalesce("score", F.lit(0)).alias("score"))
+
+
+@query("""with k as (select unnest([url, replace(url, 'http://', 'https://')]) as u, article_id, title, original_description from articles), r as (select *, row_number() over (partition by u order by article_id desc) as n from k where u <> '')
+  select d.digest_id, nullif(r.title, '') as original_title, nullif(left(r.original_description, 200), '') as original_description from digests d left join r on d.url = r.u and n = 1""")
+def r_j2_originals(spark, at):
+    raw = table(spark, at, "articles").select("url", F.replace("url", F.lit("http://"), F.lit("https://")).alias("alt_url"), F.col("article_id").alias("ord"), "title", F.col("original_description").alias("description"))
+    return J.with_originals(table(spark, at, "digests").select("digest_id", "url"), raw).select("digest_id", "original_title", "original_description")
+
+
+@query("""with r as (select *, row_number() over (partition by url order by article_id desc) as n from articles where url <> '')
+  select d.digest_id, coalesce(nullif(r.original_title, ''), nullif(d.title, ''), '') as original, coalesce(r.comment_summary, '') as comment from digests d left join r on d.url = r.url and n = 1""")
+def r_j3_pairs(spark, at):
+    got = J.last_wins(table(spark, at, "digests").select("digest_id", "url", "title"), table(spark, at, "articles"), "url", F.col("article_id"), ["original_title", "comment_summary"])
+    return got.select("digest_id", S.first_truthy(F.col("original_title"), F.col("title"), default="").alias("original"), F.coalesce("comment_summary", F.lit("")).alias("comment"))
+
+
+@query("with r as (select *, row_number() over (partition by url order by article_id desc) as n from articles where url <> '' and comment_summary <> '') select url, comment_summary from r where n = 1")
+def r_j4_comment_map(spark, at):
+    rows = table(spark, at, "articles").where("url <> '' and comment_summary <> ''").select("url", "comment_summary", "article_id")
+    return A.pick(rows, ["url"], F.col("article_id"), last=True).select("url", "comment_summary")
+
+
+@query("select url, min(article_id) as article_id from articles where url <> '' and url in (select url from digests) group by 1")
+def r_j6_kept_first(spark, at):
+    rows = table(spark, at, "articles").where("url <> ''").join(table(spark, at, "digests").select("url").distinct(), "url", "left_semi")
+    return A.pick(rows.select("url", "article_id"), ["url"], F.col("article_id"))
+
+
+_LEDGER = f"""with a as (select article_id, url, run_date, {DATE} as d from articles where url <> ''), f as (select url, d, min(article_id) as first from a where d is not null group by 1, 2),
+  p as (select *, lag(d) over (partition by url order by d) as prev from f),
+  decided as (select a.article_id, a.url, a.run_date, case when a.article_id <> p.first then 'in_batch' when p.prev is not null and a.d - p.prev <= 7 then 'url_seen' else 'kept' end as decision,
+    case when a.article_id <> p.first then a.d when p.prev is not null and a.d - p.prev <= 7 then p.prev end as original_date from a join p on a.url = p.url and a.d = p.d)"""
+
+
+@query(_LEDGER + " select * from decided")
+def r_c1_dedup_ledger(spark, at):
+    return A.ledger(table(spark, at, "articles"))
+
+
+@query(_LEDGER + """ select run_date, count(*) as total, count(*) filter (decision = 'kept') as kept, count(*) filter (decision = 'in_batch') as in_batch,
+  count(*) filter (decision = 'url_seen') as url_seen from decided group by 1""")
+def r_a12_counters(spark, at):
+    return A.counters(A.ledger(table(spark, at, "articles")))
+
+
+_VECTORS = "with v as (select vec_id::bigint as vec_id, embedding::double[] as e from embeddings), q as (select * from v where vec_id % 50 = 0)"
+
+
+def _asked(spark, at):
+    v = table(spark, at, "embeddings")
+    return v.where("vec_id % 50 = 0"), v
+
+
+@query(_VECTORS + """, s as (select q.vec_id as query, v.vec_id as neighbour, list_dot_product(q.e, v.e) as s from q, v where q.vec_id <> v.vec_id),
+  r as (select *, row_number() over (partition by query order by round(s, 10) desc, neighbour) as place from s) select query, place::int as place, neighbour, round(s, 6) as similarity from r where place <= 3""")
+def r_t4_nearest(spark, at):
+    return V.nearest(*_asked(spark, at), 3)
+
+
+def _unlike(least: float) -> str:
+    return _VECTORS + f""", s as (select q.vec_id as query, v.vec_id as neighbour, list_dot_product(q.e, v.e) as s from q, v where q.vec_id <> v.vec_id),
+  r as (select *, row_number() over (partition by query order by round(s, 10) desc, neighbour) as place from s) select query, round(s, 6) >= {least} as dropped, neighbour, round(s, 6) as similarity from r where place = 1"""
+
+
+@query(_unlike(0.8))
+def r_j8_similar_080(spark, at):
+    return V.unlike(*_asked(spark, at), 0.8)
+
+
+@query(_unlike(0.4))
+def r_j8_similar_040(spark, at):
+    return V.unlike(*_asked(spark, at), 0.4)
+
+
+@query(f"""with u as (select {DATE} as day, count(*) as n from usage_events group by 1), g as (select {DATE} as day, count(*) as n from digests group by 1), e as (select {DATE} as day, count(*) as n from dedup_items group by 1),
+  s as (select day from u union select day from g union select day from e), c as (select unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day))::date as day from s)
+  select c.day, c.day not in (select day from s where day is not null) as absent, u.n as calls, g.n as digests, e.n as filtered from c left join u on c.day = u.day left join g on c.day = g.day left join e on c.day = e.day""")
+def r_j9_runs(spark, at):
+    def per_day(name: str) -> DataFrame:
+        return table(spark, at, name).groupBy("run_date").agg(F.count(F.lit(1)).alias("n")).withColumn("_ord", F.lit(0))
+
+    out = H.runs({"u": per_day("usage_events"), "g": per_day("digests"), "e": per_day("dedup_items")})
+    return out.select("day", "absent", F.col("u.n").alias("calls"), F.col("g.n").alias("digests"), F.col("e.n").alias("filtered"))
+
+
+@query()
+def r_j12_titles(spark, at):
+    """Ledger titles to the one article address of that title, by equality or containment."""
+    return J.matched_titles(table(spark, at, "dedup_items").select(F.col("item_id").alias("line_id"), "title").where("title <> ''"), table(spark, at, "articles").select("title", "url").where("title <> ''"))
+
+
+@query("select count(*) filter (url not in (select url from articles where url is not null)) as missing, count(*) as n from (select distinct url from digests where url <> '')")
+def r_j15_containment(spark, at):
+    d = table(spark, at, "digests").where("url <> ''").select("url").distinct()
+    a = table(spark, at, "articles").where("url <> ''").select("url").distinct().withColumn("_in", F.lit(True))
+    return d.join(a, "url", "left").agg(F.count_if(F.col("_in").isNull()).alias("missing"), F.count(F.lit(1)).alias("n"))
+
+
+_ONCE = "(select * from (select *, row_number() over (partition by event_id order by recorded_at) as k from usage_events) where k = 1)"
+_MERGE = f"""with t as (select run_date, coalesce(nullif(step, ''), 'other') as step, received_at::date = recorded_at::date as prompt_, total_tokens from {_ONCE}),
+  a as (select run_date, step, count(*) as calls, coalesce(sum(total_tokens), 0)::bigint as tokens from t where prompt_ group by 1, 2),
+  b as (select run_date, step, count(*) as calls, coalesce(sum(total_tokens), 0)::bigint as tokens from t where not prompt_ group by 1, 2)"""
+
+
+def _merge_sides(spark, at):
+    t = table(spark, at, "usage_events").dropDuplicates(["event_id"]).select("run_date", S.first_truthy(F.col("step"), default="other").alias("step"), (F.to_date("received_at") == F.to_date("recorded_at")).alias("p"), "total_tokens")
+    agg = lambda df: df.groupBy("run_date", "step").agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"))
+    return agg(t.where("p")), agg(t.where("not p"))
+
+
+@query(_MERGE + " select run_date, step, coalesce(b.calls, a.calls) as calls, coalesce(b.tokens, a.tokens) as tokens from a full join b using (run_date, step)")
+def r_j17_usage_merge(spark, at):
+    """Steps with late calls replace the step's earlier sums."""
+    return H.merged_by(*_merge_sides(spark, at), ["run_date", "step"])
+
+
+@query(_MERGE + " select run_date, step, case when b.calls is null or (a.calls is not null and b.calls < 2) then a.calls else b.calls end as calls, case when b.calls is null or (a.calls is not null and b.calls < 2) then a.tokens else b.tokens end as tokens from a full join b using (run_date, step)")
+def r_j16_run_merge(spark, at):
+    """A fresh step replaces the stored one unless it did nothing (a single call)."""
+    old, new = _merge_sides(spark, at)
+    return H.merged_by(old, new, ["run_date", "step"], keep_old=F.col("_b.calls") < 2)
+
+
+# --- aggregates ---------------------------------------------------------------------------------------------------
+
+_USAGE = f"""with o as (select event_id, edition, run_date, coalesce(nullif(step, ''), 'other') as step, coalesce(model, '') as model, coalesce(prompt_tokens, 0) as prompt_tokens, coalesce(completion_tokens, 0) as completion_tokens,
+  case when coalesce(total_tokens, 0) <> 0 then total_tokens else coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0) end as total_tokens from {_ONCE}), l as (select * from o where total_tokens > 0)"""
+_SUM = "count(*) as calls, coalesce(sum(prompt_tokens), 0)::bigint as prompt_tokens, coalesce(sum(completion_tokens), 0)::bigint as completion_tokens, coalesce(sum(total_tokens), 0)::bigint as total_tokens"
+
+
+def _ledger(spark, at):
+    return H.usage_events(table(spark, at, "usage_events"))
+
+
+@query(_USAGE + f" select {_SUM} from l")
+def r_a1_usage_totals(spark, at):
+    return _ledger(spark, at).agg(*H.usage_sums())
+
+
+@query(_USAGE + f" select step, {_SUM} from l group by 1")
+def r_a2_usage_by_step(spark, at):
+    return _ledger(spark, at).groupBy("step").agg(*H.usage_sums())
+
+
+@query(_USAGE + f" select model, {_SUM} from l group by 1")
+def r_a2_usage_by_model(spark, at):
+    return _ledger(spark, at).groupBy("model").agg(*H.usage_sums())
+
+
+@query(_USAGE + f" select step, model, {_SUM}, grouping(step, model)::bigint as level from l group by grouping sets ((), (step), (model))")
+def r_a3_usage_levels(spark, at):
+    return H.usage_levels(_ledger(spark, at))
+
+
+@query(_USAGE + " select edition, run_date, total_tokens from (select edition, run_date, sum(total_tokens)::bigint as total_tokens from l group by 1, 2)")
+def r_a4_usage_by_day(spark, at):
+    return _ledger(spark, at).groupBy("edition", "run_date").agg(F.sum("total_tokens").alias("total_tokens"))
+
+
+@query("select source_key, n, round(n / sum(n) over (), 6) as share from (select source_key, count(*) as n from digests where coalesce(source_key, '') <> '' group by 1)")
+def r_a5_source_share(spark, at):
+    return H.share_of_total(table(spark, at, "digests"), "source_key")
+
+
+_RECENT = RESULTS + ", m as (select edition, max(day) as z from outcomes group by 1), near as (select o.* from outcomes o join m on o.edition is not distinct from m.edition where m.z - o.day < 7)"
+
+
+@query(_RECENT + """, c as (select edition, subject, outcome, count(*) as n, min(day) as f from near where not ok group by 1, 2, 3),
+  b as (select *, row_number() over (partition by edition, subject order by n desc, f, outcome) as k, sum(n) over (partition by edition, subject) as failures from c), w as (select edition, count(distinct day) as window_days from near group by 1)
+  select b.edition, subject, failures::bigint as failures, outcome as dominant, window_days from b join w on b.edition is not distinct from w.edition where k = 1 and failures >= 3""")
+def r_a6_chronic(spark, at):
+    return H.chronic(outcomes(spark, at).where("edition is not null"))
+
+
+@query(RESULTS + """, c as (select edition, outcome, count(*) as n, min(day) as f from outcomes where not ok group by 1, 2), b as (select *, row_number() over (partition by edition order by n desc, f, outcome) as k from c)
+  select edition, outcome, n from b where k = 1""")
+def r_a7_common_failure(spark, at):
+    return H.most_common(outcomes(spark, at).where("not ok"), ["edition"], "outcome", "day")
+
+
+@query(_RECENT + " select edition, subject, count(*) filter (ok) as ok, count(*) as total, round(count(*) filter (ok) / count(*), 4) as rate from near group by 1, 2")
+def r_a8_health_rates(spark, at):
+    rows = outcomes(spark, at)
+    return H.success_rates(H.recent(rows.where("edition is not null"), ["edition"], "day", 7), ["edition", "subject"])
+
+
+@query(RESULTS + " select subject, count(*) filter (ok) as ok, count(*) as total, round(count(*) filter (ok) / count(*), 4) as rate from outcomes where subject <> 'deploy' or day >= date '2026-03-01' group by 1")
+def r_a9_tracked_rates(spark, at):
+    """All history; one subject only counts from the day its tracking began."""
+    return H.success_rates(outcomes(spark, at).where("subject <> 'deploy' or day >= date '2026-03-01'"), ["subject"])
+
+
+_OVERALL = RESULTS + ", s as (select edition, day, case when bool_and(ok) then 5.0 when count(*) filter (ok) * 2 >= count(*) then 4.0 else 2.0 end::double as overall from outcomes group by 1, 2)"
+
+
+def _overall(spark, at):
+    ok, n = F.count_if("ok"), F.count(F.lit(1))
+    return outcomes(spark, at).groupBy("edition", "day").agg(F.when(F.bool_and("ok"), 5.0).when(ok * 2 >= n, 4.0).otherwise(2.0).alias("overall"))
+
+
+@query(_OVERALL + """, m as (select edition, max(day) as z from s group by 1), near as (select s.* from s join m using (edition) where m.z - day < 30)
+  select edition, count(*) as n, round(count(*) filter (overall >= 4) / count(*), 4) as share_high, min(overall) as low, max(overall) as top,
+    coalesce(nullif(count(*) filter (overall = 5), 0), 0) as fives from near group by 1 having count(*) >= 20 and round(count(*) filter (overall >= 4) / count(*), 4) >= 0.9""")
+def r_a10_saturation(spark, at):
+    return H.saturation(_overall(spark, at).where("edition is not null"), "edition", least_rows=20).select("edition", "n", "share_high", "low", "top", F.coalesce(F.try_element_at("histogram", F.lit("5.0")), F.lit(0)).alias("fives"))
+
+
+@query("""select run_date, array_to_string(list_slice(list(category order by article_id), 1, 10), '|') as themes from (select *, row_number() over (partition by run_date order by article_id) as k from articles where category <> '') where k <= 10 group by 1""")
+def r_a13_themes(spark, at):
+    top = A.top_per_group(table(spark, at, "articles").where("category <> ''").select("run_date", "article_id", "category"), ["run_date"], [F.col("article_id")], 10)
+    return top.groupBy("run_date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("article_id", "category"))), lambda x: x["category"]), "|").alias("themes"))
+
+
+@query(_USAGE + ", d as (select run_date, sum(total_tokens)::bigint as t from l group by 1 order by 1 desc limit 7) select (sum(t) // count(*))::bigint as per_day, count(*) as days from d")
+def r_a14_tokens_per_day(spark, at):
+    days = _ledger(spark, at).groupBy("run_date").agg(F.sum("total_tokens").alias("t")).orderBy(F.desc("run_date")).limit(7)
+    return days.agg(F.floor(F.sum("t") / F.count(F.lit(1))).alias("per_day"), F.count(F.lit(1)).alias("days"))
+
+
+@query("select count(distinct run_date) as days, count(distinct url) as urls, count(distinct source) as sources from articles")
+def r_a15_distinct(spark, at):
+    return table(spark, at, "articles").agg(F.count_distinct("run_date").alias("days"), F.count_distinct("url").alias("urls"), F.count_distinct("source").alias("sources"))
+
+
+@query("select run_date, bool_or(coalesce(source_key, '?') = '?') as any_unknown from digests group by 1")
+def r_a16_any(spark, at):
+    return table(spark, at, "digests").groupBy("run_date").agg(F.bool_or(F.coalesce("source_key", F.lit("?")) == "?").alias("any_unknown"))
+
+
+@query("select strftime(o_orderdate, '%Y-%m') as month, count(distinct o_orderdate::date) as days, max(o_orderdate::date) as newest from orders group by 1")
+def r_a17_months(spark, at):
+    d = F.to_date("o_orderdate")
+    return table(spark, at, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count_distinct(d).alias("days"), F.max(d).alias("newest"))
+
+
+@query("select run_date, count(distinct source_key) as sources, count(distinct source_key) >= 2 as quorum from articles where source_key <> '' group by 1")
+def r_a18_quorum(spark, at):
+    n = F.count_distinct("source_key")
+    return table(spark, at, "articles").where("source_key <> ''").groupBy("run_date").agg(n.alias("sources"), (n >= 2).alias("quorum"))
+
+
+@query(RESULTS + ", f as (select distinct edition, subject || ': ' || outcome as m from outcomes where not ok) select edition, left(string_agg(m, '; ' order by m), 400) as message from f group by 1")
+def r_a19_messages(spark, at):
+    f = outcomes(spark, at).where("not ok").select("edition", F.concat("subject", F.lit(": "), "outcome").alias("m")).distinct()
+    return f.groupBy("edition").agg(F.substring(F.array_join(F.array_sort(F.collect_list("m")), "; "), 1, 400).alias("message"))
+
+
+# --- windows, sorts, sets -----------------------------------------------------------------------------------------
+
+@query("select url, min(article_id) as first_order, row_number() over (order by min(article_id)) - 1 as number from articles where url <> '' group by 1")
+def r_w3_enumerated(spark, at):
+    return A.enumerated(table(spark, at, "articles"), "url", F.col("article_id"))
+
+
+@query("select url, min(article_id) as article_id from articles where url <> '' group by 1")
+def r_w4_first_wins(spark, at):
+    return A.pick(table(spark, at, "articles").where("url <> ''").select("url", "article_id"), ["url"], F.col("article_id"))
+
+
+@query(RESULTS + """, d as (select distinct edition, day from outcomes), i as (select edition, day, day - row_number() over (partition by edition order by day)::int as g from d),
+  n as (select edition, g, count(*) as c, max(day) as z from i group by 1, 2) select edition, arg_max(c, z) as streak_days from n group by 1""")
+def r_w5_streak(spark, at):
+    return H.streak(outcomes(spark, at), ["edition"])
+
+
+@query(RESULTS + """, d as (select distinct edition, day from outcomes), b as (select edition, min(day) as a, max(day) as z from d group by 1), s as (select edition, unnest(generate_series(a::timestamp, z::timestamp, interval 1 day))::date as day from b)
+  select s.edition, s.day from s anti join d on s.edition is not distinct from d.edition and s.day = d.day""")
+def r_w6_missing_days(spark, at):
+    return H.missing_days(outcomes(spark, at), ["edition"])
+
+
+@query("""with r as (select *, row_number() over (partition by source_key order by digest_id) as turn, min(digest_id) over (partition by source_key) as g from digests)
+  select digest_id, turn from r order by turn, g limit 24""")
+def r_w7_round_robin(spark, at):
+    rows = table(spark, at, "digests").withColumn("_k", F.coalesce("source_key", F.lit("\0")))
+    return A.round_robin(rows, "_k", F.col("digest_id"), 24).select("digest_id", "turn")
+
+
+@query(_OVERALL + " select edition, array_to_string(list(strftime(day, '%Y-%m-%d') || '=' || overall::int order by day), ',') as series from s group by 1")
+def r_w8_series(spark, at):
+    s = _overall(spark, at).select("edition", F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("="), F.col("overall").cast("int").cast("string")).alias("v"))
+    return s.groupBy("edition").agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("series"))
+
+
+@query("select run_date, b, count(*) as n from (select run_date, ((row_number() over (partition by run_date order by article_id) - 1) // 25)::bigint as b from articles where source_key = 'reddit') group by 1, 2")
+def r_w9_batches(spark, at):
+    w = Window.partitionBy("run_date").orderBy("article_id")
+    return table(spark, at, "articles").where("source_key = 'reddit'").select("run_date", F.floor((F.row_number().over(w) - 1) / 25).alias("b")).groupBy("run_date", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_RECENT + """, f as (select subject, max(day) as day from near where not ok group by 1), st as (select subject, min(day) as last from near where not ok group by 1)
+  select f.subject, f.day from f left join st using (subject) where st.last is null or f.day - st.last >= 7""")
+def r_w10_cool_down(spark, at):
+    near = H.recent(outcomes(spark, at).where("edition is not null"), ["edition"], "day", 7).where("not ok")
+    return H.cooled(near.groupBy("subject").agg(F.max("day").alias("day")), near.groupBy("subject").agg(F.min("day").alias("last")), F.col("day"))
+
+
+@query("with r as (select *, row_number() over (partition by url order by article_id desc) as k from articles where url <> '') select url, article_id, run_date from r where k = 1")
+def r_w13_last_wins(spark, at):
+    return A.pick(table(spark, at, "articles").where("url <> ''").select("url", "article_id", "run_date"), ["url"], F.col("article_id"), last=True)
+
+
+@query("with r as (select source_key, article_id, score, row_number() over (partition by source_key order by score desc nulls last, article_id) as place from articles) select source_key, article_id, score, place from r where place <= 10")
+def r_t5_top_per_source(spark, at):
+    rows = table(spark, at, "articles").select("source_key", "article_id", "score")
+    return A.top_per_group(rows, ["source_key"], [F.col("score").desc_nulls_last(), F.col("article_id")], 10)
+
+
+@query("select article_id, fetched_at from articles order by fetched_at desc, article_id limit 30")
+def r_t6_newest(spark, at):
+    return table(spark, at, "articles").select("article_id", "fetched_at").orderBy(F.desc("fetched_at"), "article_id").limit(30)
+
+
+@query("""with a as (select source, article_id, coalesce(score, 0) as s from articles where source <> ''), m as (select source, max(s) as top from a group by 1),
+  r as (select a.*, top, row_number() over (partition by a.source order by s desc, article_id) as place from a join m using (source)) select source, article_id, s from r where s >= 300 or (top < 300 and place <= 3)""")
+def r_t8_threshold_or_top(spark, at):
+    """Articles above the popularity threshold; the first three of sources that have none."""
+    a = table(spark, at, "articles").where("source <> ''").select("source", "article_id", F.coalesce("score", F.lit(0)).alias("s"))
+    low = a.groupBy("source").agg(F.max("s").alias("top")).where("top < 300")
+    few = A.top_per_group(a.join(low.select("source"), "source", "left_semi"), ["source"], [F.desc("s"), F.col("article_id")], 3).drop("place")
+    return a.where("s >= 300").unionByName(few)
+
+
+@query("select url, 'digest' as origin from digests union all select url, 'ledger' from dedup_items")
+def r_u1_union_all(spark, at):
+    return table(spark, at, "digests").select("url", F.lit("digest").alias("origin")).unionByName(table(spark, at, "dedup_items").select("url", F.lit("ledger").alias("origin")))
+
+
+@query("select run_date from digests union select run_date from dedup_items union select run_date from usage_events")
+def r_u2_union_days(spark, at):
+    d = lambda n: table(spark, at, n).select("run_date").distinct()
+    return d("digests").union(d("dedup_items")).union(d("usage_events")).distinct()
+
+
+@query("select run_date from usage_events except select run_date from digests")
+def r_u3_except(spark, at):
+    return table(spark, at, "usage_events").select("run_date").distinct().subtract(table(spark, at, "digests").select("run_date"))
+
+
+@query("select run_date from usage_events intersect select run_date from digests")
+def r_u4_intersect(spark, at):
+    return table(spark, at, "usage_events").select("run_date").distinct().intersect(table(spark, at, "digests").select("run_date"))
+
+
+# --- scalars and texts --------------------------------------------------------------------------------------------
+
+@query("select article_id, left(regexp_replace(original_description, '<[^>]+>', '', 'g'), 500) as text from articles where original_description is not null")
+def r_x1_strip_tags(spark, at):
+    return table(spark, at, "articles").where("original_description is not null").select("article_id", F.substring(S.strip_tags(F.col("original_description")), 1, 500).alias("text"))
+
+
+@query("""select article_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(comment_summary, 60), '<[^>]+>', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), 'https?://\\S+', '', 'g'), '`+', '', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as text
+  from articles where comment_summary is not null""")
+def r_x2_clean_comment(spark, at):
+    return table(spark, at, "articles").where("comment_summary is not null").select("article_id", S.clean_comment(F.col("comment_summary")).alias("text"))
+
+
+@query()
+def r_x4_dead_links(spark, at):
+    got = X.live_links(F.regexp_replace("text", r"https?://[a-m]", "file://"))
+    return table(spark, at, "documents").where("text is not null").select("doc_id", got.alias("g")).select("doc_id", "g.text", "g.removed")
+
+
+@query()
+def r_x8_title_key(spark, at):
+    return table(spark, at, "articles").where("title is not null").select("article_id", X.title_key_of("title").alias("form"))
+
+
+@query()
+def r_x12_truncated(spark, at):
+    return table(spark, at, "documents").where("text is not null").select("doc_id", X.truncated_to(4096)("text").alias("text"))
+
+
+@query()
+def r_x13_json_reply(spark, at):
+    reply = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    return table(spark, at, "events").select("event_id", X.parsed_reply(reply).alias("r")).select("event_id", F.col("r.value").alias("value"), F.col("r.error").alias("error"))
+
+
+@query("select doc_id, len(regexp_extract_all(text, 'https?://[^\\s)]+')) as links from documents where text is not null")
+def r_x17_links(spark, at):
+    return table(spark, at, "documents").where("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"https?://[^\s)]+"), F.lit(0))).cast("long").alias("links"))
+
+
+@query()
+def r_x19_unescaped(spark, at):
+    return table(spark, at, "articles").where("original_description is not null").select("article_id", X.unescaped("original_description").alias("text"))
+
+
+@query(f"""select doc_id, count(*) filter (regexp_matches(line, '^\\s*(?:[-*+]|\\d+\\.)\\s') and not regexp_matches(prev, '^\\s*(?:[-*+]|\\d+\\.)\\s') and trim(prev) <> '') as breaks from
+  (select *, lag(line) over (partition by doc_id order by pos) as prev from {_LINES}) group by 1""")
+def r_x20_list_breaks(spark, at):
+    lines = R.list_breaks(R.lines_of(table(spark, at, "documents"), "doc_id", "text"), "doc_id")
+    return lines.groupBy("doc_id").agg(F.count_if("break_before").alias("breaks"))
+
+
+@query(f"select edition, recorded_at, {DATE} as strict, case when regexp_full_match(run_date, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') then try_cast(run_date as date) end as loose from health_history")
+def r_x22_dates(spark, at):
+    return table(spark, at, "health_history").select("edition", "recorded_at", S.strict_date(F.col("run_date")).alias("strict"), S.loose_date(F.col("run_date")).alias("loose"))
+
+
+@query("select article_id, strftime(fetched_at, '%Y-%m-%dT%H:%M:%S') as iso from articles where fetched_at is not null")
+def r_x23_mail_date(spark, at):
+    mail = F.concat(F.date_format("fetched_at", "E, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+    return table(spark, at, "articles").where("fetched_at is not null").select("article_id", S.mail_date(mail).alias("iso"))
+
+
+@query("select distinct o_orderdate::date as day, (o_orderdate::date - date '0001-01-01')::bigint + 1 as ordinal from orders")
+def r_x24_ordinals(spark, at):
+    return table(spark, at, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", S.day_number(F.col("day")).cast("long").alias("ordinal"))
+
+
+@query("""select event_id, case when value <= 0 then '—' when floor(value * 60 / 60) < 60 then floor(value * 60 / 60)::bigint || 'm' else (floor(value * 60 / 60)::bigint // 60) || ':' || lpad((floor(value * 60 / 60)::bigint % 60)::varchar, 2, '0') end as lasted from events""")
+def r_x25_durations(spark, at):
+    return table(spark, at, "events").select("event_id", S.duration_text(F.col("value") * 60).alias("lasted"))
+
+
+@query(f"""select event_id, case when coalesce(total_tokens, 0) <> 0 then total_tokens else coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0) end as total from {_ONCE}""")
+def r_x27_usage_total(spark, at):
+    rows = table(spark, at, "usage_events").dropDuplicates(["event_id"])
+    return rows.select("event_id", S.usage_total(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("total_tokens")).alias("total"))
+
+
+@query("select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 4) as length from embeddings")
+def r_x29_unit_vectors(spark, at):
+    u = V.unit(F.transform("embedding", lambda x: x * 3))
+    return table(spark, at, "embeddings").select("vec_id", F.round(F.sqrt(V.dot(u, u)), 4).alias("length"))
+
+
+# --- composites, seams and streams --------------------------------------------------------------------------------
+
+@query(RESULTS + """, r as (select edition, day, count(*) as steps, count(*) filter (ok) as ok from outcomes group by 1, 2) select edition, count(*) as runs, sum(steps)::bigint as steps, max(day) as latest, round(sum(ok) / sum(steps), 4) as rate from r group by 1""")
+def r_c8_status(spark, at):
+    r = outcomes(spark, at).groupBy("edition", "day").agg(F.count(F.lit(1)).alias("steps"), F.count_if("ok").alias("ok"))
+    return r.groupBy("edition").agg(F.count(F.lit(1)).alias("runs"), F.sum("steps").alias("steps"), F.max("day").alias("latest"), F.round(F.sum("ok") / F.sum("steps"), 4).alias("rate"))
+
+
+@query("""with r as (select edition, run_date, step, arg_max(total_tokens, recorded_at) as last_tokens, count(*) as n from usage_events where step <> '' and total_tokens is not null group by 1, 2, 3) select edition, run_date, step, last_tokens, n from r where n = 1""")
+def r_c9_run_ledger(spark, at):
+    r = table(spark, at, "usage_events").where("step <> '' and total_tokens is not null").groupBy("edition", "run_date", "step").agg(F.max_by("total_tokens", "recorded_at").alias("last_tokens"), F.count(F.lit(1)).alias("n"))
+    return r.where("n = 1")
+
+
+@query(_RECENT + " select edition, 'chronic: ' || string_agg(subject || ' x' || n, ', ' order by subject) as message from (select edition, subject, count(*) as n from near where not ok group by 1, 2 having count(*) >= 3) group by 1")
+def r_c14_escalations(spark, at):
+    found = H.chronic(outcomes(spark, at).where("edition is not null"))
+    line = F.concat("subject", F.lit(" x"), F.col("failures").cast("string"))
+    return found.groupBy("edition").agg(F.concat(F.lit("chronic: "), F.array_join(F.array_sort(F.collect_list(line)), ", ")).alias("message"))
+
+
+@query("select doc_id, left(split_part(text, '.', 1), 200) as value from documents where text is not null")
+def r_d1_model_seam(spark, at):
+    """The model seam with its deterministic stand-in."""
+    rows = stages.complete(table(spark, at, "documents").where("text is not null").select("doc_id", "text"), "text", "r")
+    return rows.select("doc_id", F.col("r.value").alias("value"))
+
+
+@query()
+def r_r3_daily_stream(spark, at):
+    """Closed daily windows of the events stream, one pass over what is there."""
+    work = Workspace(spark, "stream")
+    schema = table(spark, at, "events").schema
+    folder = f"{work.path}/in"
+    table(spark, at, "events").repartition(4).write.parquet(folder)
+    counts = daily.daily_counts(daily.stream(spark, folder, schema), ["event_type"], late="1 day")
+    counts.writeStream.format("parquet").option("path", f"{work.path}/out").option("checkpointLocation", f"{work.path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{work.path}/out")
