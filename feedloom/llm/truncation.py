@@ -116,7 +116,7 @@ def look(text: str) -> tuple[str, str, str, str, bool]:
     if trimmed.endswith("�"):
         return "cut", "", "", "", True
     m = _HALF_ENTITY.search(trimmed)
-    if m and any(e.startswith(m[0][1:].lower()) for e in ENTITIES) or m and m[0].startswith("&#"):
+    if m and any(e.startswith(m[0][1:]) for e in ENTITIES) or m and m[0].startswith("&#"):
         return "cut", "", "", "", True
     m = _HALF_TAG.search(trimmed)
     if m and trimmed[m.start():].count(" ") < 4 and (m[0][1:2].isalpha() or m[0] in ("<", "&lt;", "</", "&lt;/") or m[0].startswith(("&lt;", "</"))):
