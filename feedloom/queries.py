@@ -16,6 +16,7 @@ from feedloom.functions import texts as X
 from feedloom.operators import articles as A
 from feedloom.operators import health as H
 from feedloom.operators import joins as J
+from feedloom.operators import judging as G
 from feedloom.operators import reports as R
 from feedloom.operators import rolling
 from feedloom.operators import tables as K
@@ -771,6 +772,56 @@ def r_x29_unit_vectors(spark, at):
     return table(spark, at, "embeddings").select("vec_id", F.round(F.sqrt(V.dot(u, u)), 4).alias("length"))
 
 
+@query("""select source_key as source, count(*) as n from articles where source_key is not null group by 1""")
+def r_p5_flatten(spark, at):
+    """Articles packed as one JSON list per day and source, and flattened again."""
+    rows = table(spark, at, "articles").where("source_key is not null")
+    packed = rows.groupBy(F.col("source_key").alias("source"), "run_date", F.pmod("article_id", F.lit(64)).alias("_part")).agg(F.to_json(F.collect_list(F.struct("article_id"))).alias("articles"))
+    return G.flattened(packed).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select event_id, case when event_type = 'error' then null else value end as relevance, case when event_type = 'click' then 1 else 0 end as missed, case when event_type = 'view' then 4.5 else 0 end::double as overall from events""")
+def r_p13_quality_view(spark, at):
+    kind, value = F.col("event_type"), F.col("value")
+    reply = F.concat(
+        F.lit('{"relevance": {"score": '), F.when(kind == "error", "true").otherwise(value.cast("string")), F.lit('}, "completeness": {"missed_urls": ['), F.when(kind == "click", '"u"').otherwise(""), F.lit("]}"),
+        F.when(kind == "view", ', "overall": 4.5').otherwise(""), F.lit("}"))
+    return G.quality_view(table(spark, at, "events").select("event_id", reply.alias("reply"))).select("event_id", "relevance", F.size("missed_urls").alias("missed"), "overall")
+
+
+@query("""with d as (select run_date, (count(*) % 5)::double as a, case when count(*) % 3 = 0 then null else (count(*) % 4)::double end as b, null::double as c from digests group by 1)
+  select run_date, round(list_avg(list_filter([a, b, c], lambda x: x is not null)), 1) as overall from d""")
+def r_a11_overall(spark, at):
+    n = F.count(F.lit(1))
+    d = table(spark, at, "digests").groupBy("run_date").agg((n % 5).cast("double").alias("relevance"), F.when(n % 3 != 0, (n % 4).cast("double")).alias("completeness"), F.lit(None).cast("double").alias("faithfulness"))
+    return d.select("run_date", G.overall_mean().alias("overall"))
+
+
+@query()
+def r_c4_gate(spark, at):
+    """Reports with their links off, relinked by the titles of articles, and decided."""
+    docs = table(spark, at, "documents").withColumn("text", F.regexp_replace("text", r"\[([^\]]*)\]\(https?://[^)\s]*\)", "$1"))
+    index = G.title_index(table(spark, at, "articles"), table(spark, at, "digests"))
+    return G.checked(R.lines_of(docs.select("doc_id", "text"), "doc_id", "text"), index)
+
+
+@query()
+def r_x10_allowed_tags(spark, at):
+    return table(spark, at, "articles").where("original_description is not null").select("article_id", G.allowed_tags(F.col("original_description")).alias("text"))
+
+
+@query()
+def r_w12_sparkline(spark, at):
+    return G.sparkline(_overall(spark, at), "edition")
+
+
+@query("select run_date, digest_id from digests d where not exists (select 1 from dedup_items i where i.run_date = d.run_date and i.url = d.url)")
+def r_k10_undelivered(spark, at):
+    messages = table(spark, at, "digests").select("run_date", F.col("url").alias("message_id"), "digest_id")
+    done = table(spark, at, "dedup_items").select("run_date", F.col("url").alias("message_id"))
+    return G.undelivered(messages, done).select("run_date", "digest_id")
+
+
 # --- composites, seams and streams --------------------------------------------------------------------------------
 
 @query(RESULTS + """, r as (select edition, day, count(*) as steps, count(*) filter (ok) as ok from outcomes group by 1, 2) select edition, count(*) as runs, sum(steps)::bigint as steps, max(day) as latest, round(sum(ok) / sum(steps), 4) as rate from r group by 1""")
