@@ -61,7 +61,7 @@ def lines_of(text: str) -> Iterator[str]:
         if not bare.strip() or re.match(r"\s{0,3}#{1,6}\s", bare):
             continue
         bare = _QUOTED.sub(" ", _ADDRESS.sub(" ", _LINK.sub(r"\1", _MARKUP.sub(" ", bare))))
-        if _CODE.search(bare):
+        if _CODE.search(bare) and not (re.search(r"[.!?。！？][\W_]*$", bare) and len(_WORD.findall(bare)) >= 6):
             continue
         bare = re.sub(r"^\s*(?:[-*+•]|\d+[.)])\s+", "", bare)
         bare = re.sub(r"^[\w.-]{3,40}:\s+", "", bare) if re.match(r"^[a-z][\w.-]{2,39}:\s", bare) else bare
