@@ -139,7 +139,7 @@ def look(text: str) -> tuple[str, str, str, str, bool]:
     opened = max(last.rfind("("), last.rfind("（"))
     if opened >= 0 and not re.search(r"[)）]", last[opened:]) and len(last) - opened < 60:
         return "cut", "", "", "", prose
-    if body[-1] in ",;:，、；：([（「『“„—–/&+=" or body[-1] in "-" and len(body) > 1 and body[-2].isalnum():
+    if prose and body[-1] in "%$€£¥°#@" or body[-1] in ",;:，、；：([（「『“„—–/&+=" or body[-1] in "-" and len(body) > 1 and body[-2].isalnum():
         return "broken", "", "", "", prose
     if not body[-1].isalnum() and not _CJK.search(body[-1]):
         return "whole", "", "", "", prose  # a closing bracket, an emoji, another sign
@@ -189,7 +189,7 @@ def censoring(lengths: np.ndarray, counts: np.ndarray, rounds: int = 40) -> tupl
     for c, n in by.items():
         around = [by.get(c + d, 0) for d in range(-12, 13) if d and not by.get(c + d, 0) > 3 * max(1, n)]
         usual = (sum(sorted(around)[:-2]) if len(around) > 2 else 0) / max(1, len(around) - 2)
-        if c >= 20 and n >= 6 and n > 4 * usual + 3 * math.sqrt(usual + 1):
+        if c >= 20 and n >= 6 and n > 5 * usual + 4 * math.sqrt(usual + 1):
             limits.append(c)
     logs = np.log(lengths)
     mu = float((logs * counts).sum() / total)
@@ -265,8 +265,11 @@ def judge(articles: DataFrame) -> DataFrame:
             same = (F.col("field_name") == F.col("_f")) & (F.concat(F.lit(f"{level} "), F.col(level)) == F.col("_p")) & (F.col(unit) == F.col("_s"))
             at = at.join(c, same, "left").drop("_f", "_p", "_s")
     at = at.withColumn("censored", F.greatest(*[F.coalesce(F.col(f"_{u}_{v}"), F.lit(0.0)) for u in ("chars", "bytes") for v in ("step", "source")])).drop(*[f"_{u}_{v}" for u in ("chars", "bytes") for v in ("step", "source")])
-    # Phrases that trail off on purpose come back at many lengths away from any limit.
-    said = at.where("verdict = 'marked' and censored < 0.5").groupBy("phrase").agg(F.count_distinct("chars").alias("_lengths"))
+    # Phrases that trail off on purpose come back at several lengths that lie under no limit; a mark may take a few characters.
+    under = caps.where("unit = 'chars' and place like 'step %' and censored > 0.5").select(
+        F.col("field_name").alias("_f"), F.col("place").alias("_p"), F.explode(F.sequence(F.col("size") - 4, F.col("size"))).alias("_s"), F.lit(True).alias("under")).distinct()
+    at = at.join(under, (F.col("field_name") == F.col("_f")) & (F.concat(F.lit("step "), F.col("step")) == F.col("_p")) & (F.col("chars") == F.col("_s")), "left").drop("_f", "_p", "_s")
+    said = at.where("verdict = 'marked' and under is null").groupBy("phrase").agg(F.count_distinct("chars").alias("_lengths"))
     totals = counted.where("key like 'w%' or key like 'c__'").agg(F.sum("inside").alias("i"), F.sum("ends").alias("e")).first()
     base = math.log(max(1, totals.e or 1) / max(2, totals.i or 2))
     for name in ("key", "rarer"):
@@ -281,12 +284,12 @@ def judge(articles: DataFrame) -> DataFrame:
         F.log((inside + 0.5) / (ends + F.lit(0.15))) + F.lit(base))
     length = F.log((F.col("censored") + 0.02) / (1 - F.col("censored") + 0.02))
     prior = F.when(F.col("prose"), F.lit(2.5)).otherwise(F.lit(-0.5))
-    trailing = F.col("_lengths") >= 3
+    trailing = F.col("_lengths") >= 2
     odds = (
         F.when(F.col("verdict") == "cut", F.lit(6.0)).when(F.col("verdict") == "whole", F.lit(-6.0)).when(F.col("verdict") == "broken", F.lit(2.5) + length * 0.5 + 1.9)
         .when(F.col("verdict") == "link", length).when(F.col("verdict") == "list", F.when(unseen & F.col("key").startswith("b"), F.lit(2.0)).otherwise(F.lit(-2.5)))
         .when(F.col("verdict") == "markedstop", length)
-        .when(F.col("verdict") == "marked", F.when(F.col("censored") > 0.5, F.lit(4.0)).when(trailing, F.lit(-4.0)).otherwise(F.lit(0.5) + ending))
+        .when(F.col("verdict") == "marked", F.when(trailing, F.lit(-4.0)).when((F.col("censored") > 0.5) | F.col("under"), F.lit(4.0)).otherwise(F.lit(0.5) + ending))
         .otherwise(prior + ending + F.greatest(length, F.lit(-1.5)) + F.lit(1.0)))
     return at.select("article_id", "field_name", "source", "step", "verdict", "chars", "censored", F.round(1 / (1 + F.exp(-odds)), 4).alias("p_cut"), "key", F.col("_key_in"), F.col("_key_ends"), "_rarer_in", "_rarer_ends")
 
