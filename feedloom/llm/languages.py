@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of what the classifier is fitted on: labelled documents, and sentences of one language among them.
-MOST_DOCUMENTS, MOST_SENTENCES = 6000, 1500
+MOST_DOCUMENTS, MOST_SENTENCES = 6000, 500
 #: Hashed features, features of a word at most, words of a line handled as one chain (longer lines are several).
 SPACE, WIDTH, CHAIN = 1 << 17, 20, 120
 #: Words a sentence needs besides names, and the mean marginal it needs to count.
@@ -34,7 +34,7 @@ _IS_CJK = re.compile(r"[ぁ-ヿ㐀-鿿豈-﫿々ｦ-ﾟ]")
 _END = re.compile(r"(?<=[.!?…])[\"')\]”»]*\s+|(?<=[。！？])")
 _CLOSED = re.compile(r"[.!?…。！？；;:：][\W_]*$")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)\s]*\)")
-_ADDRESS = re.compile(r"\(?(?:https?://|www\.)\S+\)?|\S+@\S+\.\w+")
+_ADDRESS = re.compile(r"(?i)\(?(?:https?://|www\.)\S+\)?|\S+@\S+\.\w+")
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|‹[^›]*›|\"[^\"]*\"|「[^」]*」|『[^』]*』|`[^`]*`")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,40}>|<\|[^|<>]*\|>|\[/?[A-Z]{2,6}\]|&#?\w{1,8};")
 _CODE = re.compile(r"[{};=]{1}\s*$|^\s*(?:\$|fn |def |class |import |return\b|SELECT |GROUP BY|for \w+ in |if \w+\.|#include|var |let |const |\{|\}|//|/\*)|\w\(.*\)|->|::|\w\[\d|[<>|&]{2}|errno|0x[0-9a-f]+|--\w+=")
