@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of what the classifier is fitted on: labelled documents, and sentences of one language among them.
-MOST_DOCUMENTS, MOST_SENTENCES = 6000, 500
+MOST_DOCUMENTS, MOST_SENTENCES = 6000, 800
 #: Hashed features, features of a word at most, words of a line handled as one chain (longer lines are several).
 SPACE, WIDTH, CHAIN = 1 << 17, 20, 120
 #: Words a sentence needs besides names, and the mean marginal it needs to count.
@@ -272,30 +272,38 @@ def _lists(sentences: list[tuple[str, list[str]]]) -> dict[str, set[str]]:
 
 
 def fit(samples: list[tuple[str, str]], labelled: list[tuple[str, str]] = ()) -> Field:
-    """Fit on clean (lang, text) samples, then again with the labelled texts whose sentences the first fit confirms."""
+    """Fit on clean (lang, text) samples, then twice more with the labelled texts that the fit before confirms."""
     def split(pairs) -> list[tuple[str, list[str]]]:
         return [(lang, words) for lang, text in pairs for line in lines_of(text) for s in sentences_of(line) if len(words := words_of(s)) >= LEAST_WORDS]
 
     langs = sorted({lang for lang, _ in samples})
     clean = split(samples)
-    first = Field(langs, _lists(clean)).fit(_chains(clean, langs))
-    if not labelled:
-        return first
-    more: dict[str, list[list[str]]] = {}
-    candidates = [(lang, w[:CHAIN]) for lang, w in split(labelled) if lang in langs]
-    candidates = [candidates[i] for i in np.random.default_rng(9).permutation(len(candidates))]
-    for at in range(0, len(candidates), 4000):
-        part = candidates[at:at + 4000]
-        for (lang, words), m in zip(part, first.label([w for _, w in part])):
-            mean = m.mean(0)
-            k = langs.index(lang)
-            kept = more.setdefault(lang, [])
-            if mean.argmax() == k and mean[k] > 0.3 and len(kept) < MOST_SENTENCES:
-                kept.append(words)
-    every = clean + [(lang, w) for lang, rows in sorted(more.items()) for w in rows]
-    return Field(langs, _lists(every)).fit(_chains(every, langs))
+    model = Field(langs, _lists(clean)).fit(_chains(clean, langs))
+    texts = [labelled[i] for i in np.random.default_rng(9).permutation(len(labelled)) if labelled[i][0] in langs]
+    for _ in range(2 if texts else 0):  # the second time the labels are confirmed by a fit that knows the corpus
+        every = clean + _confirmed(model, texts, split)
+        model = Field(langs, _lists(every)).fit(_chains(every, langs), epochs=3)
+    return model
+
 
+def _confirmed(model: Field, texts: list[tuple[str, str]], split) -> list[tuple[str, list[str]]]:
+    """Sentences of texts in one language: most words agree with the label, and no sentence is surely in another.
 
+    Doubtful sentences of such a text are its language's too; else what the samples don't know would never be learned.
+    """
+    more: dict[str, list[list[str]]] = {}
+    for at in range(0, len(texts), 500):
+        owned = [(doc, words[:CHAIN]) for doc, pair in enumerate(texts[at:at + 500]) for _, words in split([pair])]
+        told: dict[int, list[tuple[list[str], np.ndarray]]] = {}
+        for (doc, words), m in zip(owned, model.label([w for _, w in owned])):
+            told.setdefault(doc, []).append((words, m.mean(0)))
+        for doc, rows in told.items():
+            k = model.langs.index(texts[at + doc][0])
+            agreed = sum(len(w) for w, m in rows if m.argmax() == k)
+            if agreed >= 0.7 * sum(len(w) for w, _ in rows) and all(m.argmax() == k or m.max() < 0.7 for _, m in rows):
+                kept = more.setdefault(model.langs[k], [])
+                kept += [w for w, _ in rows][:MOST_SENTENCES - len(kept)]
+    return [(lang, w) for lang, rows in sorted(more.items()) for w in rows]
 
 
 def detect(documents: DataFrame, samples: DataFrame, field: Field | None = None) -> DataFrame:
