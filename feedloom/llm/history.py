@@ -1,18 +1,19 @@
 """Checking new batches for repeats against everything accepted so far (problem 1).
 
-Multi-key sorted-neighbourhood runs. Every article gives a few sort keys: its address in one spelling, and its headline's
-names, numbers and words in three orders. A batch's distinct keys form a sorted run, kept as a table. A new batch is
-merged only with the parts of older runs whose key ranges it touches; within them each new key is compared with the
-neighbours in its window. Runs are compacted into one every few batches. What is found are links between articles; their
+Runs of blocked keys. Every article gives a few rows: its address in one spelling, and its headline in a block per name, or
+without names in a block per rare word. A batch's distinct keys form a run, kept as a table. A new batch is merged only with
+the blocks of older runs that it touches; within them an index of words and numbers gives each new key all headlines of its
+block that can be the same. Runs are compacted into one every few batches. What is found are links between articles; their
 components are the stories.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
-from collections import Counter, deque
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from urllib.parse import parse_qsl, unquote, urlsplit
 
@@ -24,10 +25,8 @@ from feedloom.llm.textform import IGNORABLE, LOOKALIKE
 from feedloom.operators.graph import components
 from feedloom.runtime import Workspace
 
-#: Neighbours on either side that a new key is compared with.
-WINDOW = 12
-#: Stories of a block whose first headline every key of the block is compared with.
-LEADERS = 64
+#: Shares of words that headlines with a common name, and those without names, have in common at least.
+NAMED_SHARE, NAMELESS_SHARE = 0.45, 0.8
 #: Runs merged into one once there are so many.
 COMPACT = 5
 #: A word is common if it stands with so many different other words: a share of the titles, and at least so many.
@@ -166,15 +165,20 @@ def pieces(text: str) -> list[tuple[str, str, bool]]:
     return out
 
 
+def _pairs(run: str) -> list[str]:
+    return [run[i:i + 2] for i in range(max(1, len(run) - 1))]
+
+
 def _dropped(word: str) -> set[str]:
     return {word[:i] + word[i + 1:] for i in range(len(word))}
 
 
 class Lexicon:
-    """Common words with their frequency, and the common word next to a misspelling (one letter or one swap away)."""
+    """Common words with their frequency, and the common word next to a misspelling (one letter or one swap away); runs
+    are the common pairs of ideographs with theirs."""
 
-    def __init__(self, words: dict[str, float]):
-        self.words = words
+    def __init__(self, words: dict[str, float], runs: dict[str, float] | None = None):
+        self.words, self.runs = words, runs or {}
         self.near: dict[str, str] = {}
         for w in sorted(words, key=lambda w: words[w]):
             if len(w) >= 4:
@@ -209,7 +213,7 @@ class Headline:
                 self.order.append(token)
                 continue
             if kind == "run":
-                self.words += [token[i:i + 2] for i in range(max(1, len(token) - 1))]
+                self.words += _pairs(token)
                 continue
             fixed = lexicon.fix(token)
             if fixed in lexicon.words:
@@ -222,19 +226,24 @@ class Headline:
                 self.words.append(token)
         self.last = found[-1][1] if found else ""
 
-    def keys(self) -> list[tuple[str, str, str]]:
-        """(pass, block, key) in three orders; none for a headline without letters or digits."""
-        content = " ".join(sorted(set(self.words)))
-        sign = sorted(set(self.names)) + sorted(self.numbers)
-        if not sign and not content:
-            return []
-        if not sign:
-            words = content.split(" ")
-            return [("a", words[0], "| " + content), ("b", words[-1], "| " + " ".join(reversed(words)))]
-        back = sorted(set(self.names), reverse=True) + sorted(self.numbers)
-        seen = self.names or self.numbers
-        return [("a", " ".join(sign[:2]), " ".join(sign) + " | " + content), ("b", " ".join(back[:2]), " ".join(back) + " | " + content),
-                ("c", seen[0], " ".join(self.order) + " | " + " ".join(self.words))]
+    def keys(self, lexicon: Lexicon) -> list[tuple[str, str, str]]:
+        """(pass, block, key); none for a headline without letters or digits. The key is the same in all blocks; pass a is
+        the first of them.
+
+        Headlines with names are the same only if they share one, so each name is a block. Those without share
+        NAMELESS_SHARE of the longer one's words; in one order of all words, the rarest first, two such headlines share one
+        of their first words, beyond which fewer than that share are left.
+        """
+        key = " ".join(sorted(set(self.names)) + sorted(self.numbers)) + " | " + " ".join(sorted(set(self.words)))
+        if self.names:
+            blocks = sorted(set(self.names))
+        else:
+            often = lambda w: lexicon.words.get(w) or lexicon.runs.get(w, 0.0)
+            words = sorted(self.words, key=lambda w: (often(w), w))
+            blocks = list(dict.fromkeys([min(words), max(words)] if words else []))
+        if not blocks and self.numbers:
+            blocks = [" ".join(sorted(self.numbers))]
+        return [("b" if i else "a", b, key) for i, b in enumerate(blocks)]
 
     def pack(self) -> str:
         return "\x1f".join(["\x1e".join(self.names), "\x1e".join(self.numbers), "\x1e".join(self.words), "1" if self.cut else "", self.last])
@@ -248,7 +257,11 @@ def _unpack(text: str) -> tuple[Counter, Counter, Counter, bool, str]:
 
 def same_headline(one: str, other: str) -> bool:
     """Whether two packed headlines are the same: equal names and numbers as far as neither is cut, and most words shared."""
-    (n1, d1, w1, c1, l1), (n2, d2, w2, c2, l2) = _unpack(one), _unpack(other)
+    return _same(_unpack(one), _unpack(other))
+
+
+def _same(one: tuple, other: tuple) -> bool:
+    (n1, d1, w1, c1, l1), (n2, d2, w2, c2, l2) = one, other
     size1, size2 = sum(n1.values()) + sum(w1.values()), sum(n2.values()) + sum(w2.values())
     # In capitals throughout, a word may be taken for a name; where the other headline has it as a word, it is one.
     taken = {x for x in n1 if x in w2} | {x for x in n2 if x in w1}
@@ -278,11 +291,11 @@ def same_headline(one: str, other: str) -> bool:
     if not least:
         return not most and n1 == n2 and d1 == d2 and bool(n1)
     if not (set(n1) & set(n2)):
-        return not n1 and not n2 and shared >= 0.8 * most or (c1 or c2) and shared >= 0.9 * least and least >= 4
+        return not n1 and not n2 and shared >= NAMELESS_SHARE * most or (c1 or c2) and shared >= 0.9 * least and least >= 4
     if first or second:
         extra = len(first) + len(second)
         return least >= 3 and (shared >= 0.7 * least and extra <= 2 or shared >= 0.85 * least and extra <= 6)
-    return shared >= (0.45 if len(n1) > 1 else 0.55) * least and (shared >= 0.35 * most or c1 or c2)
+    return shared >= (NAMED_SHARE if len(n1) > 1 else 0.55) * least and (shared >= 0.35 * most or c1 or c2)
 
 
 # --- tables -----------------------------------------------------------------------------------------------------
@@ -297,22 +310,25 @@ def label(source: str | None) -> str:
 def lexicon_of(articles: DataFrame, labels: frozenset[str]) -> Lexicon:
     """Common words of all titles: words that stand with many different other words, so that a story told a million
     times makes no common word of its names. At most (words of a title) / LOWER_SHARE entries, whatever the corpus."""
-    @F.pandas_udf("array<struct<w:string,c:string,l:boolean>>")
+    @F.pandas_udf("array<struct<w:string,c:string,l:boolean,r:boolean>>")
     def split(titles: pd.Series) -> pd.Series:
         out = []
         for t in titles:
-            found = {p[1]: p[0] == "word" and not p[2] for p in pieces(bare(plain(t), labels)[0]) if p[0] in ("word", "kana")}
+            every = pieces(bare(plain(t), labels)[0])
+            found = {p[1]: p[0] == "word" and not p[2] for p in every if p[0] in ("word", "kana")}
+            runs = {w for p in every if p[0] == "run" for w in _pairs(p[1])}
             far = sorted(found, key=lambda w: (-len(w), w))[:2]
-            out.append([{"w": w[:40], "c": next((x for x in far if x != w), ""), "l": low} for w, low in found.items()])
+            out.append([{"w": w[:40], "c": next((x for x in far if x != w), ""), "l": low, "r": False} for w, low in found.items()] + [{"w": w, "c": "", "l": False, "r": True} for w in sorted(runs)])
         return pd.Series(out)
 
     titles = articles.where("title <> ''").select("title")
     total = titles.count()
-    words = titles.select(F.explode(split("title")).alias("x")).groupBy("x.w").agg(F.approx_count_distinct("x.c", 0.05).alias("n"), F.count(F.lit(1)).alias("f"), F.count_if("x.l").alias("low"))
+    words = titles.select(F.explode(split("title")).alias("x")).groupBy("x.w").agg(F.approx_count_distinct("x.c", 0.05).alias("n"), F.count(F.lit(1)).alias("f"), F.count_if("x.l").alias("low"), F.bool_or("x.r").alias("run"))
     common = F.col("n") >= max(COMMON_LEAST, COMMON_SHARE * total)
     lower = (F.col("n") >= max(LOWER_LEAST, LOWER_SHARE * total)) & (F.col("low") >= 0.5 * F.col("f"))
-    rows = words.where(common | lower).collect()
-    return Lexicon({r.w: r.f / total for r in rows})
+    paired = F.col("run") & (F.col("f") >= max(LOWER_LEAST, LOWER_SHARE * total))
+    rows = words.where(~F.col("run") & (common | lower) | paired).collect()
+    return Lexicon({r.w: r.f / total for r in rows if not r.run}, {r.w: r.f / total for r in rows if r.run})
 
 
 class History:
@@ -325,7 +341,7 @@ class History:
         self.count = 0
 
     def _keyed(self, batch: DataFrame) -> DataFrame:
-        labels, words = self.labels, self.spark.sparkContext.broadcast(self.lexicon.words)
+        labels, words = self.labels, self.spark.sparkContext.broadcast((self.lexicon.words, self.lexicon.runs))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lexicon = _shared_lexicon(words)
@@ -338,10 +354,10 @@ class History:
                     if title and title.strip():
                         h = Headline(title, lexicon, labels, label(source))
                         packed = h.pack()
-                        rows += [(p, b, k, article, packed) for p, b, k in h.keys()]
+                        rows += [(p, b, k, article, packed) for p, b, k in h.keys(lexicon)]
                 yield pd.DataFrame(rows, columns=["pass", "block", "key", "id", "text"])
 
-        return batch.select(F.col("article_id").cast("long").alias("id"), "url", "title", "source").mapInPandas(run, "pass string, block string, key string, id long, text string").withColumn("block", F.xxhash64("pass", "block"))
+        return batch.select(F.col("article_id").cast("long").alias("id"), "url", "title", "source").mapInPandas(run, "pass string, block string, key string, id long, text string").withColumn("block", F.xxhash64(F.col("pass") == "u", "block"))
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Compare a batch with all runs and with itself, keep its run, and return its links (a, b: equal stories)."""
@@ -358,8 +374,8 @@ class History:
             small = blocks.count() <= MOST_BROADCAST
             for old in self.runs:
                 rows = rows.unionByName(old.join(F.broadcast(blocks) if small else blocks, "block", "left_semi").withColumn("new", F.lit(False)))
-        sorted_rows = rows.select("block", "pass", "key", "id", "text", "new").repartition("block").sortWithinPartitions("block", "key", "id")
-        found = sorted_rows.mapInPandas(_windows, "a long, b long")
+        sorted_rows = rows.select("block", "pass", "key", "id", "text", "new").repartition("block").sortWithinPartitions("block", "new", "id", "key")
+        found = sorted_rows.mapInPandas(_compare, "a long, b long")
         links = self.work.write(found.unionByName(copies), f"links-{self.count}")
         self.links.append(links)
         self.runs.append(run.drop("n"))
@@ -383,48 +399,109 @@ _LEXICON: dict[int, Lexicon] = {}
 
 
 def _shared_lexicon(words) -> Lexicon:
-    key = hash(frozenset(words.value.items()))
+    key = hash((frozenset(words.value[0].items()), frozenset(words.value[1].items())))
     if key not in _LEXICON:
         _LEXICON.clear()
-        _LEXICON[key] = Lexicon(words.value)
+        _LEXICON[key] = Lexicon(*words.value)
     return _LEXICON[key]
 
 
-def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links among sorted keys: equal keys, and headlines that are the same within the window of a new key.
-
-    Besides its neighbours, a key is compared with the first headline of each of the last LEADERS stories of its block, so
-    a story told in more wordings than fit a window still meets its own.
+class Block:
+    """Headlines of one block, by the words and numbers that a headline that is the same must share with them."""
+
+    def __init__(self):
+        self.ids: list[int] = []
+        self.texts: list[tuple] = []
+        self.sizes: list[int] = []
+        self.parent: list[int] = []
+        self.keys: dict[str, int] = {}
+        # Postings of words and of names: over all headlines, and per list of numbers.
+        self.every: tuple[dict, dict] = defaultdict(list), defaultdict(list)
+        self.some: dict[tuple, tuple[dict, dict]] = {}
+        self.holding: dict[str, set[tuple]] = defaultdict(set)
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def add(self, article: int, key: str, text: tuple | None) -> int:
+        i = self.keys[key] = len(self.ids)
+        self.ids.append(article)
+        if text is None:
+            return i
+        self.texts.append(text)
+        self.parent.append(i)
+        names, numbers, words = text[:3]
+        # Words twice in a headline count more than once, so the words shared say nothing yet.
+        self.sizes.append(0 if sum(words.values()) > len(words) else len(words))
+        sign = tuple(sorted(numbers.elements()))
+        if sign not in self.some:
+            self.some[sign] = defaultdict(list), defaultdict(list)
+            for d in numbers:
+                self.holding[d].add(sign)
+        for kept in (self.every, self.some[sign]):
+            for w in words:
+                kept[0][w].append(i)
+            for w in names:
+                kept[1][w].append(i)
+        return i
+
+    def candidates(self, text: tuple) -> list[int]:
+        """Headlines with numbers among this one's or the other way round, and NAMED_SHARE of the fewer words, most shared
+        first. A name of one may be a word of the other."""
+        names, numbers, words = text[:3]
+        if numbers:
+            signs = {s for d in numbers for s in self.holding.get(d, ())} | {()}
+            found = [self.some[s] for s in signs if s in self.some and ((c := Counter(s)) <= numbers or numbers <= c)]
+        else:
+            found = [self.every]
+        shared: Counter = Counter()
+        for in_words, in_names in found:
+            for w in words:
+                if w in in_words:
+                    shared.update(in_words[w])
+                if w in in_names:
+                    shared.update(in_names[w])
+            for w in names:
+                if w in in_words and w not in words:
+                    shared.update(in_words[w])
+        size = 0 if sum(words.values()) > len(words) else len(words)
+        return [i for i, n in sorted(shared.items(), key=lambda x: (-x[1], x[0])) if n >= NAMED_SHARE * min(size, self.sizes[i])]
+
+
+def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of the new keys of each block, whose older keys come first: to equal keys and to headlines that are the same.
+
+    Each new headline is compared with every one of its block that can be the same, until it has met the story of that one.
     """
-    block, near, leaders = None, deque(maxlen=WINDOW), deque(maxlen=LEADERS)
+    block, have = None, Block()
     for f in frames:
         out = []
         for b, p, key, article, text, new in f[["block", "pass", "key", "id", "text", "new"]].itertuples(index=False):
             if b != block:
-                block = b
-                near.clear()
-                leaders.clear()
-            if near and near[-1][0] == key:
-                if article != near[-1][1]:
-                    out.append((article, near[-1][1]))
-                near[-1] = (key, near[-1][1], near[-1][2], near[-1][3] or new)
-                continue
-            if p != "u":
-                told = False
-                for _, other, packed, was_new in near:
-                    if (new or was_new or not told) and other != article and same_headline(text, packed):
-                        told = True
-                        if new or was_new:
-                            out.append((article, other))
-                for other, packed, was_new in leaders if new or not told else ():
-                    if other != article and same_headline(text, packed):
-                        told = True
-                        if new or was_new:
-                            out.append((article, other))
-                        break
-                if not told:
-                    leaders.append((article, text, new))
-            near.append((key, article, text, new))
+                block, have = b, Block()
+            at = have.keys.get(key)
+            if at is not None:
+                if article != have.ids[at]:
+                    out.append((article, have.ids[at]))
+                if p == "u" or not new or _unpack(text) == have.texts[at]:
+                    continue
+            mine = None if p == "u" else _unpack(text)
+            met = {have.root(at)} if at is not None else set()
+            if new and mine:
+                for i in have.candidates(mine):
+                    if have.root(i) in met or i == at:
+                        continue
+                    if _same(mine, have.texts[i]):
+                        if article != have.ids[i]:
+                            out.append((article, have.ids[i]))
+                        met.add(have.root(i))
+            if at is None:
+                at = have.add(article, key, mine)
+            for r in met:
+                have.parent[r] = have.root(at)
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 

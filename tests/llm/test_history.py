@@ -56,3 +56,12 @@ def test_story_of_many_wordings_and_copies(spark):
     df = spark.createDataFrame(rows, "article_id long, batch_no int, url string, title string, source string")
     got = H.repeats(df, []).collect()
     assert {r.kept_id for r in got} == {0} and len(got) == 199
+
+
+def test_hot_name_loses_no_link(spark):
+    """A block of far more stories than any window: the variant adds a name, so only the first name's block is left in common."""
+    stories = [f"Quovik {'abcdefghij'[i % 10]}word{i}x fixes {'klmnopqrst'[i // 10 % 10]}part{i}y beside zone{i}q" for i in range(400)]
+    rows = [(i, 0, None, t.replace("fixes", f"{i + 1000} fixes"), "s") for i, t in enumerate(stories)]
+    rows += [(1000 + i, 1, None, f"{t.replace('fixes', f'{i + 1000} fixes')}".replace("Quovik", "Quovik with Tandor"), "s") for i, t in enumerate(stories)]
+    df = spark.createDataFrame(rows, "article_id long, batch_no int, url string, title string, source string")
+    assert sorted(map(tuple, H.repeats(df, []).collect())) == [(i, 1000 + i) for i in range(400)]
