@@ -240,7 +240,7 @@ class Headline:
         else:
             often = lambda w: lexicon.words.get(w) or lexicon.runs.get(w, 0.0)
             words = sorted(self.words, key=lambda w: (often(w), w))
-            blocks = list(dict.fromkeys([min(words), max(words)] if words else []))
+            blocks = list(dict.fromkeys(words[:len(words) - math.ceil(NAMELESS_SHARE * len(words) - 1e-9) + 1]))
         if not blocks and self.numbers:
             blocks = [" ".join(sorted(self.numbers))]
         return [("b" if i else "a", b, key) for i, b in enumerate(blocks)]

@@ -65,3 +65,12 @@ def test_hot_name_loses_no_link(spark):
     rows += [(1000 + i, 1, None, f"{t.replace('fixes', f'{i + 1000} fixes')}".replace("Quovik", "Quovik with Tandor"), "s") for i, t in enumerate(stories)]
     df = spark.createDataFrame(rows, "article_id long, batch_no int, url string, title string, source string")
     assert sorted(map(tuple, H.repeats(df, []).collect())) == [(i, 1000 + i) for i in range(400)]
+
+
+def test_nameless_headlines_meet_by_their_rarest_words(spark):
+    """The extremes of the sorted words differ: a word added in front, another one behind."""
+    base = "the modular exporters hide broken certificates during remote upgrades"
+    rows = [(1, 0, None, base, "s"), (2, 1, None, "again " + base + " yesterday", "s"), (3, 1, None, "weekly releases of shared calendars", "s"),
+            (4, 0, None, "新版索引移除舊快取設定功能說明", "s"), (5, 1, None, "一新版索引移除舊快取設定功能說明龠", "s")]
+    df = spark.createDataFrame(rows, "article_id long, batch_no int, url string, title string, source string")
+    assert sorted(map(tuple, H.repeats(df, []).collect())) == [(1, 2), (4, 5)]
