@@ -318,7 +318,7 @@ def lexicon_of(articles: DataFrame, labels: frozenset[str]) -> Lexicon:
             found = {p[1]: p[0] == "word" and not p[2] for p in every if p[0] in ("word", "kana")}
             runs = {w for p in every if p[0] == "run" for w in _pairs(p[1])}
             far = sorted(found, key=lambda w: (-len(w), w))[:2]
-            out.append([{"w": w[:40], "c": next((x for x in far if x != w), ""), "l": low, "r": False} for w, low in found.items()] + [{"w": w, "c": "", "l": False, "r": True} for w in sorted(runs)])
+            out.append([{"w": w, "c": next((x for x in far if x != w), ""), "l": low, "r": False} for w, low in found.items()] + [{"w": w, "c": "", "l": False, "r": True} for w in sorted(runs)])
         return pd.Series(out)
 
     titles = articles.where("title <> ''").select("title")

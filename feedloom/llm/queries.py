@@ -16,7 +16,7 @@ def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
 
 
 def p1_found(spark, at):
-    labels = [r[0] for r in _table(spark, at, "sources").select("source").limit(10_000).collect()]
+    labels = [r[0] for r in _table(spark, at, "sources").select("source").where("source is not null").distinct().collect()]
     return history.repeats(_table(spark, at, "articles"), labels)
 
 

@@ -74,3 +74,24 @@ def test_nameless_headlines_meet_by_their_rarest_words(spark):
             (4, 0, None, "新版索引移除舊快取設定功能說明", "s"), (5, 1, None, "一新版索引移除舊快取設定功能說明龠", "s")]
     df = spark.createDataFrame(rows, "article_id long, batch_no int, url string, title string, source string")
     assert sorted(map(tuple, H.repeats(df, []).collect())) == [(1, 2), (4, 5)]
+
+
+def test_every_label_and_long_words_are_kept(spark):
+    word = "verylongcommonword" * 3
+    rows = [(i, 0, None, f"{word} {a}", "s") for i, a in enumerate("alpha beta gamma delta omega sigma kappa theta zeta".split())]
+    df = spark.createDataFrame(rows, "article_id long, batch_no int, url string, title string, source string")
+    assert word in H.lexicon_of(df, frozenset()).words
+
+
+def test_labels_have_no_bound(tmp_path, spark):
+    from feedloom.llm import queries as Q
+
+    spark.range(10_050).selectExpr("concat('Label ', id) as source").write.parquet(str(tmp_path / "sources.parquet"))
+    told = []
+    old, H.repeats = H.repeats, lambda rows, labels: told.append(len(labels))
+    try:
+        spark.createDataFrame([], "article_id long").write.parquet(str(tmp_path / "articles.parquet"))
+        Q.p1_found(spark, str(tmp_path))
+    finally:
+        H.repeats = old
+    assert told == [10_050]
