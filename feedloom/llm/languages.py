@@ -50,6 +50,11 @@ def label_of(lang: Column) -> Column:
 
 def lines_of(text: str) -> Iterator[str]:
     """The lines that can be language: without code, logs, headings, addresses, markup and quoted fragments."""
+    return (line for line, _ in items_of(text))
+
+
+def items_of(text: str) -> Iterator[tuple[str, bool]]:
+    """lines_of with whether each is a line of a list."""
     fenced = False
     for line in re.split(r"\r\n|[\n\r\x0b\x0c\x85  ]", text):
         if line.lstrip(" >").startswith(("```", "~~~")):
@@ -63,11 +68,11 @@ def lines_of(text: str) -> Iterator[str]:
         bare = _QUOTED.sub(" ", _ADDRESS.sub(" ", _LINK.sub(r"\1", _MARKUP.sub(" ", bare))))
         if _CODE.search(bare) and not (re.search(r"[.!?。！？][\W_]*$", bare) and len(_WORD.findall(bare)) >= 6):
             continue
-        bare = re.sub(r"^\s*(?:[-*+•]|\d+[.)])\s+", "", bare)
+        bare, listed = re.subn(r"^\s*(?:[-*+•]|\d+[.)])\s+", "", bare)
         bare = re.sub(r"^[\w.-]{3,40}:\s+", "", bare) if re.match(r"^[a-z][\w.-]{2,39}:\s", bare) else bare
         bare = re.sub(r"\S{41,}", lambda m: m[0] if _IS_CJK.search(m[0]) else " ", bare)
         if bare.strip():
-            yield bare.strip()
+            yield bare.strip(), listed > 0
 
 
 def words_of(sentence: str) -> list[str]:
@@ -89,6 +94,23 @@ def is_name(word: str, first: bool) -> bool:
     return bool(re.search(r"[a-z][A-Z]|^[A-Z]{2,}$", word)) or (not first and word[0].isupper() and word.isascii())
 
 
+def counts(sentence: str, words: list[str], listed: bool) -> tuple[bool, bool]:
+    """Whether a sentence holds enough words besides names, and whether it does if it is German, whose nouns have capitals.
+
+    Lines of lists need no sign at their end. Korean is counted in syllables there, since a word of it is a phrase.
+    """
+    whole = listed or bool(_CLOSED.search(sentence))
+    need = LEAST_WORDS if whole else LEAST_OPEN
+    cjk = sum(len(w) - 1 for w in words if _IS_CJK.match(w))
+    if cjk >= 4:
+        terms = whole and not _CLOSED.search(sentence) and all(re.match("[ァ-ヿｦ-ﾟ]", w) for w in words if _IS_CJK.match(w))
+        return cjk >= 2 * need and not terms, False
+    told = sum(not is_name(w, i == 0) for i, w in enumerate(words))
+    korean = whole and len(words) > 1 and len(re.findall("[가-힣]", sentence)) >= 2 * need
+    german = whole and told > 0 and sum(not re.search(r"[a-z][A-Z]|^[A-Z]{2,}$", w) for w in words) >= need
+    return told >= need or korean, german
+
+
 def _hash(text: str) -> int:
     return 1 + zlib.crc32(text.encode("utf-8", "replace")) % (SPACE - 1)
 
@@ -204,18 +226,17 @@ def sentences_of(line: str) -> list[str]:
 
 def segments(field: Field, texts: list[str | None]) -> list[list[tuple[str, float, int]]]:
     """Per text its sentences in order as (language, confidence, words); only whole sentences and lines that count."""
-    chains, spans, owners = [], [], []
+    chains, spans, owners, german = [], [], [], set()
     for doc, text in enumerate(texts):
-        for line in lines_of(text) if text else ():
+        for line, listed in items_of(text) if text else ():
             chain, marks = [], []
             for s in sentences_of(line):
                 words = words_of(calm(s))
-                told = sum(not is_name(w, i == 0) for i, w in enumerate(words))
-                cjk = sum(len(w) - 1 for w in words if _IS_CJK.match(w))
-                need = LEAST_WORDS if _CLOSED.search(s) else LEAST_OPEN
-                if told < need if cjk < 4 else cjk < 2 * need:
+                enough, if_german = counts(s, words, listed)
+                if not enough and not if_german:
                     continue
-                if len(chain) + len(words) > CHAIN and chain:
+                # What counts only in German is labelled by itself.
+                if chain and (not enough or len(chain) + len(words) > CHAIN):
                     chains.append(chain), spans.append(marks), owners.append(doc)
                     chain, marks = [], []
                 for at in range(0, len(words), CHAIN):  # one endless sentence is several chains
@@ -225,15 +246,20 @@ def segments(field: Field, texts: list[str | None]) -> list[list[tuple[str, floa
                         chain, marks = [], []
                     marks.append((len(chain), len(chain) + len(part)))
                     chain = chain + part
+                if not enough:
+                    german.add(len(chains))
+                    chains.append(chain), spans.append(marks), owners.append(doc)
+                    chain, marks = [], []
             if chain:
                 chains.append(chain), spans.append(marks), owners.append(doc)
     found: list[list[tuple[str, float, int]]] = [[] for _ in texts]
-    for doc, marks, chain, m in zip(owners, spans, chains, field.label(chains)):
+    for at, (doc, marks, chain, m) in enumerate(zip(owners, spans, chains, field.label(chains))):
         for a, b in marks:
             weigh = np.array([0.15 if is_name(w, a + i == a) else 1.0 for i, w in enumerate(chain[a:b])])
             mean = (m[a:b] * weigh[:, None]).sum(0) / weigh.sum()
             best = int(mean.argmax())
-            found[doc].append((field.langs[best], float(mean[best]), b - a))
+            if at not in german or field.langs[best] == "de":
+                found[doc].append((field.langs[best], float(mean[best]), b - a))
     return found
 
 

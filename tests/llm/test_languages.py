@@ -55,3 +55,9 @@ def test_detect(spark, field):
 def test_held_out_accuracy(spark, field):
     held = [("en", "The team explains the old certificate without the users."), ("de", "Die offenen Rechner sind nicht mehr ohne Warnung."), ("ja", "古い版は利用者を遅くしてしまう。"), ("zh", "使用者沒有事先移除舊的索引。")]
     assert [s[0][0] for s in L.segments(field, [t for _, t in held])] == [k for k, _ in held]
+
+
+@pytest.mark.parametrize("line,count", [
+    ("- Neue Version behebt Fehler beim Start", 1), ("- 메모리 누수를 수정했습니다", 1), ("네트워크를 재시작했습니다.", 1), ("Neue Version behebt Fehler", 0), ("- Quovik Gateway", 0), ("- データベース", 0), ("- 索引を更新した", 1)])
+def test_lines_of_lists_and_short_sentences(line, count):
+    assert len(L.segments(L.Field(["de"]), [line])[0]) == count
