@@ -37,7 +37,8 @@ _LINK = re.compile(r"\[([^\]]*)\]\([^)\s]*\)")
 _ADDRESS = re.compile(r"(?i)\(?(?:https?://|www\.)\S+\)?|\S+@\S+\.\w+")
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|‹[^›]*›|\"[^\"]*\"|「[^」]*」|『[^』]*』|`[^`]*`")
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,40}>|<\|[^|<>]*\|>|\[/?[A-Z]{2,6}\]|&#?\w{1,8};")
-_CODE = re.compile(r"[{};=]{1}\s*$|^\s*(?:\$|fn |def |class |import |return\b|SELECT |GROUP BY|for \w+ in |if \w+\.|#include|var |let |const |\{|\}|//|/\*)|\w\(.*\)|->|::|\w\[\d|[<>|&]{2}|errno|0x[0-9a-f]+|--\w+=")
+_CODE = re.compile(r"[{}=]\s*$|^\s*(?:\$|fn |def |class |import |return\b|SELECT |GROUP BY|for \w+ in |if \w+\.|#include|var |let |const |\{|\}|//|/\*)|\w\(.*\)|->|::|\w\[\d|[<>|&]{2}|errno|0x[0-9a-f]+|--\w+=")
+_SIGNS = re.compile(r"[={}\[\]<>|$]|\w\(|\+\+|--")
 _NAME = re.compile(r"^[^\W\d_a-z][a-zà-ÿ]+(?:[A-Z]+[a-z]*)?$")
 
 
@@ -48,6 +49,15 @@ def label_of(lang: Column) -> Column:
     return F.try_element_at(known, base)
 
 
+def is_code(line: str) -> bool:
+    """Lines with signs of code that aren't prose which mentions them. A closing semicolon alone ends items of lists, too."""
+    words, cjk = len(_WORD.findall(line)), len(_IS_CJK.findall(line))
+    if re.search(r";\s*$", line) and (_SIGNS.search(line) or words < 4 and cjk < 8):
+        return True
+    prose = re.search(r"[.!?。！？][\W_]*$", line) and (words >= 6 or cjk >= 12 and 2 * cjk > len(re.findall(r"\w", line)))
+    return bool(_CODE.search(line)) and not prose
+
+
 def lines_of(text: str) -> Iterator[str]:
     """The lines that can be language: without code, logs, headings, addresses, markup and quoted fragments."""
     return (line for line, _ in items_of(text))
@@ -66,7 +76,7 @@ def items_of(text: str) -> Iterator[tuple[str, bool]]:
         if not bare.strip() or re.match(r"\s{0,3}#{1,6}\s", bare):
             continue
         bare = _QUOTED.sub(" ", _ADDRESS.sub(" ", _LINK.sub(r"\1", _MARKUP.sub(" ", bare))))
-        if _CODE.search(bare) and not (re.search(r"[.!?。！？][\W_]*$", bare) and len(_WORD.findall(bare)) >= 6):
+        if is_code(bare):
             continue
         bare, listed = re.subn(r"^\s*(?:[-*+•]|\d+[.)])\s+", "", bare)
         bare = re.sub(r"^[\w.-]{3,40}:\s+", "", bare) if re.match(r"^[a-z][\w.-]{2,39}:\s", bare) else bare

@@ -61,3 +61,9 @@ def test_held_out_accuracy(spark, field):
     ("- Neue Version behebt Fehler beim Start", 1), ("- 메모리 누수를 수정했습니다", 1), ("네트워크를 재시작했습니다.", 1), ("Neue Version behebt Fehler", 0), ("- Quovik Gateway", 0), ("- データベース", 0), ("- 索引を更新した", 1)])
 def test_lines_of_lists_and_short_sentences(line, count):
     assert len(L.segments(L.Field(["de"]), [line])[0]) == count
+
+
+def test_semicolons_and_calls_in_prose():
+    prose = ["- correction d'une fuite de memoire dans le serveur ;", "新しい関数connect(host)は、接続を閉じる前に再試行する。"]
+    assert len(list(L.lines_of("\n".join(prose)))) == 2
+    assert list(L.lines_of("let x = 1;\nint count;\nfoo(bar);\nuse std::io;\nreturn x;")) == []
