@@ -25,6 +25,8 @@ from feedloom.runtime import cut
 FIELDS = ("original_description", "comment_summary")
 #: Values a contributor needs for a length distribution of its own; smaller ones share that of their fetch step.
 LEAST_VALUES = 400
+#: Share of a phrase with a mark among all places of its last words, from which it trails off on purpose.
+TRAILING_RATE = 0.2
 #: Entries counted in a Python worker before they are handed on.
 HELD = 300_000
 
@@ -266,10 +268,14 @@ def judge(articles: DataFrame) -> DataFrame:
             at = at.join(c, same, "left").drop("_f", "_p", "_s")
     at = at.withColumn("censored", F.greatest(*[F.coalesce(F.col(f"_{u}_{v}"), F.lit(0.0)) for u in ("chars", "bytes") for v in ("step", "source")])).drop(*[f"_{u}_{v}" for u in ("chars", "bytes") for v in ("step", "source")])
     # Phrases that trail off on purpose come back at several lengths that lie under no limit; a mark may take a few characters.
-    under = caps.where("unit = 'chars' and place like 'step %' and censored > 0.5").select(
-        F.col("field_name").alias("_f"), F.col("place").alias("_p"), F.explode(F.sequence(F.col("size") - 4, F.col("size"))).alias("_s"), F.lit(True).alias("under")).distinct()
-    at = at.join(under, (F.col("field_name") == F.col("_f")) & (F.concat(F.lit("step "), F.col("step")) == F.col("_p")) & (F.col("chars") == F.col("_s")), "left").drop("_f", "_p", "_s")
-    said = at.where("verdict = 'marked' and under is null").groupBy("phrase").agg(F.count_distinct("chars").alias("_lengths"))
+    for unit in ("chars", "bytes"):
+        for level in ("step", "source"):
+            under = caps.where((F.col("unit") == unit) & F.col("place").startswith(f"{level} ") & (F.col("censored") > 0.5)).select(
+                F.col("field_name").alias("_f"), F.col("place").alias("_p"), F.explode(F.sequence(F.col("size") - 4, F.col("size"))).alias("_s"), F.lit(True).alias(f"_under_{unit}_{level}")).distinct()
+            same = (F.col("field_name") == F.col("_f")) & (F.concat(F.lit(f"{level} "), F.col(level)) == F.col("_p")) & (F.col(unit) == F.col("_s"))
+            at = at.join(under, same, "left").drop("_f", "_p", "_s")
+    at = at.withColumn("under", F.coalesce(*[F.col(f"_under_{u}_{v}") for u in ("chars", "bytes") for v in ("step", "source")])).drop(*[f"_under_{u}_{v}" for u in ("chars", "bytes") for v in ("step", "source")])
+    said = at.where("verdict = 'marked' and under is null").groupBy("phrase").agg(F.count_distinct("chars").alias("_lengths"), F.count(F.lit(1)).alias("_said"))
     totals = counted.where("key like 'w%' or key like 'c__'").agg(F.sum("inside").alias("i"), F.sum("ends").alias("e")).first()
     base = math.log(max(1, totals.e or 1) / max(2, totals.i or 2))
     for name in ("key", "rarer"):
@@ -284,12 +290,13 @@ def judge(articles: DataFrame) -> DataFrame:
         F.log((inside + 0.5) / (ends + F.lit(0.15))) + F.lit(base))
     length = F.log((F.col("censored") + 0.02) / (1 - F.col("censored") + 0.02))
     prior = F.when(F.col("prose"), F.lit(2.5)).otherwise(F.lit(-0.5))
-    trailing = F.col("_lengths") >= 2
+    # Against how often the words at its end stand inside sentences: a fragment is said there far more often than with a mark.
+    trailing = (F.col("_lengths") >= 2) & (F.col("_said") >= TRAILING_RATE * (F.col("_said") + known("_key_in")))
     odds = (
         F.when(F.col("verdict") == "cut", F.lit(6.0)).when(F.col("verdict") == "whole", F.lit(-6.0)).when(F.col("verdict") == "broken", F.lit(2.5) + length * 0.5 + 1.9)
         .when(F.col("verdict") == "link", length).when(F.col("verdict") == "list", F.when(unseen & F.col("key").startswith("b"), F.lit(2.0)).otherwise(F.lit(-2.5)))
         .when(F.col("verdict") == "markedstop", length)
-        .when(F.col("verdict") == "marked", F.when(trailing, F.lit(-4.0)).when((F.col("censored") > 0.5) | F.col("under"), F.lit(4.0)).otherwise(F.lit(0.5) + ending))
+        .when(F.col("verdict") == "marked", F.when((F.col("censored") > 0.5) | F.col("under"), F.lit(4.0)).when(trailing, F.lit(-4.0)).otherwise(F.lit(0.5) + ending))
         .otherwise(prior + ending + F.greatest(length, F.lit(-1.5)) + F.lit(1.0)))
     return at.select("article_id", "field_name", "source", "step", "verdict", "chars", "censored", F.round(1 / (1 + F.exp(-odds)), 4).alias("p_cut"), "key", F.col("_key_in"), F.col("_key_ends"), "_rarer_in", "_rarer_ends")
 

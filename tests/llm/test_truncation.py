@@ -46,3 +46,14 @@ def test_found(spark):
     rate = {(r.source, r.field_name): (r.n, r.n_cut) for r in T.rates(judged).collect()}
     assert rate["s", "original_description"] == (601, len(got)) and rate["", "comment_summary"] == (1, 0)
     assert T.found(T.judge(df.limit(0))).count() == 0
+
+
+def test_fragments_that_return_are_no_trailing_phrases(spark):
+    """'The new' with a mark at two lengths is a cut, since it mostly stands inside sentences; a phrase never seen there isn't."""
+    body = "The new router fixes the old parser."
+    rows = [(i, "s", "rss", " ".join([body] * (1 + i % 7)), None) for i in range(70)]
+    rows += [(100 + i, "s", "rss", " ".join([body] * (1 + i)) + " The new…", None) for i in range(3)]
+    rows += [(200 + i, "s", "rss", " ".join([body] * (1 + i)) + " Wait and see…", None) for i in range(3)]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "article_id long, source string, source_key string, original_description string, comment_summary string, title string")
+    got = {r.article_id for r in T.found(T.judge(df)).collect()}
+    assert {100, 101, 102} <= got and not got & {200, 201, 202}
