@@ -2,25 +2,32 @@
 
 The field labels the words of a line. A word's features are the word itself, its affixes, character n-grams and the
 languages in whose word lists it stands; transitions between languages are learned. Forward-backward gives each word's
-marginals, whose mean over a sentence is its language and confidence. It is fitted on the clean samples, then once more
-with a bounded sample of documents whose label the first fit confirms, so that the corpus's own wording is known.
+marginals, whose mean over a sentence is its language and confidence. It is fitted on the clean samples, then twice more
+with a bounded sample of documents whose label the fit before confirms, so that the corpus's own wording is known. A fitted
+field is a small table in the shared folder, which later queries over the same files read instead of fitting anew.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-#: Bounds of what the classifier is fitted on: labelled documents, and sentences of one language among them.
-MOST_DOCUMENTS, MOST_SENTENCES = 6000, 800
-#: Hashed features, features of a word at most, words of a line handled as one chain (longer lines are several).
-SPACE, WIDTH, CHAIN = 1 << 17, 20, 120
+from feedloom.runtime import shared_root
+
+#: Bounds of what the classifier is fitted on (every document is labelled whatever they are): labelled documents, their
+#: characters at most, sentences of one language among them, and clean samples.
+MOST_DOCUMENTS, MOST_CHARACTERS, MOST_SENTENCES, MOST_SAMPLES = 6000, 4000, 800, 20_000
+#: Hashed features, and words of a line handled as one chain (longer lines are several).
+SPACE, CHAIN = 1 << 17, 120
 #: Words a sentence needs besides names, and the mean marginal it needs to count.
 LEAST_WORDS, LEAST_CONFIDENCE = 3, 0.5
 #: The same for lines that no sentence sign ends: shorter ones are headings, names and the like.
@@ -39,7 +46,10 @@ _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|‹[^›]*
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,40}>|<\|[^|<>]*\|>|\[/?[A-Z]{2,6}\]|&#?\w{1,8};")
 _CODE = re.compile(r"[{}=]\s*$|^\s*(?:\$|fn |def |class |import |return\b|SELECT |GROUP BY|for \w+ in |if \w+\.|#include|var |let |const |\{|\}|//|/\*)|\w\(.*\)|->|::|\w\[\d|[<>|&]{2}|errno|0x[0-9a-f]+|--\w+=")
 _SIGNS = re.compile(r"[={}\[\]<>|$]|\w\(|\+\+|--")
-_NAME = re.compile(r"^[^\W\d_a-z][a-zà-ÿ]+(?:[A-Z]+[a-z]*)?$")
+_INNER = re.compile(r"[a-z][A-Z]|^[A-Z]{2,}$")
+_HANGUL = re.compile("[가-힣]")
+# Long strings with digits or signs that words don't have: hashes, tokens, paths. A long word is a word.
+_STRING = re.compile(r"\S*[\d_=%\\<>{}|$#@~^]\S*")
 
 
 def label_of(lang: Column) -> Column:
@@ -80,7 +90,7 @@ def items_of(text: str) -> Iterator[tuple[str, bool]]:
             continue
         bare, listed = re.subn(r"^\s*(?:[-*+•]|\d+[.)])\s+", "", bare)
         bare = re.sub(r"^[\w.-]{3,40}:\s+", "", bare) if re.match(r"^[a-z][\w.-]{2,39}:\s", bare) else bare
-        bare = re.sub(r"\S{41,}", lambda m: m[0] if _IS_CJK.search(m[0]) else " ", bare)
+        bare = re.sub(r"\S{41,}", lambda m: " " if _STRING.fullmatch(m[0]) and not _IS_CJK.search(m[0]) else m[0], bare)
         if bare.strip():
             yield bare.strip(), listed > 0
 
@@ -101,7 +111,9 @@ def calm(sentence: str) -> str:
 
 def is_name(word: str, first: bool) -> bool:
     """Words in capitals or with a capital inside a sentence say little about its language (nouns of German apart)."""
-    return bool(re.search(r"[a-z][A-Z]|^[A-Z]{2,}$", word)) or (not first and word[0].isupper() and word.isascii())
+    if word.islower():
+        return False
+    return (not first and word[0].isupper() and word.isascii()) or bool(_INNER.search(word))
 
 
 def counts(sentence: str, words: list[str], listed: bool) -> tuple[bool, bool]:
@@ -116,8 +128,8 @@ def counts(sentence: str, words: list[str], listed: bool) -> tuple[bool, bool]:
         terms = whole and not _CLOSED.search(sentence) and all(re.match("[ァ-ヿｦ-ﾟ]", w) for w in words if _IS_CJK.match(w))
         return cjk >= 2 * need and not terms, False
     told = sum(not is_name(w, i == 0) for i, w in enumerate(words))
-    korean = whole and len(words) > 1 and len(re.findall("[가-힣]", sentence)) >= 2 * need
-    german = whole and told > 0 and sum(not re.search(r"[a-z][A-Z]|^[A-Z]{2,}$", w) for w in words) >= need
+    korean = whole and len(words) > 1 and len(_HANGUL.findall(sentence)) >= 2 * need
+    german = whole and told > 0 and sum(not _INNER.search(w) for w in words) >= need
     return told >= need or korean, german
 
 
@@ -126,7 +138,10 @@ def _hash(text: str) -> int:
 
 
 class Field:
-    """The conditional random field: weights of hashed features per language, and transitions."""
+    """The conditional random field: weights of hashed features per language, and transitions.
+
+    A word's score is the sum over all its features, however many it has; it is computed once per distinct word.
+    """
 
     def __init__(self, langs: list[str], lists: dict[str, set[str]] | None = None):
         self.langs, self.lists = langs, lists or {}
@@ -134,37 +149,31 @@ class Field:
         self.t = np.zeros((len(langs), len(langs)), np.float32)
         self.known: dict[str, np.ndarray] = {}
 
-    def features(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
+    def features(self, word: str) -> list[int]:
+        """Hashed features: the word, its affixes, the languages whose lists hold it, and all its two- and three-letter
+        pieces; of scripts without blanks the piece, its characters and the sentence's mark."""
+        if _IS_CJK.match(word):
+            parts = [f"m{word[-1]}", f"c{word[:-1]}", *[f"c{c}" for c in word[:-1]]]
+            low = word.lower()
+        else:
             low = word.lower()
             edged = f"<{low}>"
             parts = [f"w{low}", *[f"p{low[:k]}" for k in (1, 2, 3)], *[f"s{low[-k:]}" for k in (1, 2, 3, 4)]]
-            grams = list(dict.fromkeys(f"g{edged[i:i + n]}" for n in (3, 2) for i in range(len(edged) - n + 1)))
-            if _IS_CJK.match(word):
-                grams = [f"m{word[-1]}", f"c{word[:-1]}", *[f"c{c}" for c in word[:-1]]]
-                parts = []
-            parts += [f"l{lang}" for lang, words in self.lists.items() if low in words] + grams
-            found = np.zeros(WIDTH, np.int32)
-            ids = [_hash(p) for p in parts[:WIDTH]]
-            found[:len(ids)] = ids
+            parts += dict.fromkeys(f"g{edged[i:i + n]}" for n in (3, 2) for i in range(len(edged) - n + 1))
+        parts += [f"l{lang}" for lang, words in self.lists.items() if low in words]
+        return [_hash(p) for p in parts]
+
+    def scores(self, word: str) -> np.ndarray:
+        found = self.known.get(word)
+        if found is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            self.known[word] = found
+            found = self.known[word] = self.w[self.features(word)].sum(0)
         return found
 
-    def _scores(self, chains: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        most = max(map(len, chains))
-        ids = np.zeros((len(chains), most, WIDTH), np.int32)
-        mask = np.zeros((len(chains), most), bool)
-        for i, chain in enumerate(chains):
-            ids[i, :len(chain)] = [self.features(w) for w in chain]
-            mask[i, :len(chain)] = True
-        return ids, mask, self.w[ids].sum(2)
-
-    def _marginals(self, emit: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward in scaled probabilities: word marginals, and the sum of pair marginals."""
-        n, most, k = emit.shape
+    def _forward_backward(self, emit: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward and backward messages of padded chains, with the scaled emissions and transitions."""
+        most = emit.shape[1]
         e = np.exp(emit - emit.max(2, keepdims=True))
         step = np.exp(self.t - self.t.max())
         a, b = np.zeros_like(e), np.ones_like(e)
@@ -177,41 +186,64 @@ class Field:
             y = (b[:, i + 1] * e[:, i + 1]) @ step.T
             y /= y.sum(1, keepdims=True)
             b[:, i] = np.where(mask[:, i + 1, None], y, b[:, i])
+        return a, b, e, step
+
+    @staticmethod
+    def _marginals(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         m = a * b
         m /= m.sum(2, keepdims=True)
-        pairs = np.zeros((k, k))
-        for i in range(1, most):
-            p = a[:, i - 1, :, None] * step * (b[:, i] * e[:, i])[:, None, :]
-            p /= p.sum((1, 2), keepdims=True)
-            pairs += (p * mask[:, i, None, None]).sum(0)
-        return m, pairs
+        return m
+
+    @staticmethod
+    def _pairs(a: np.ndarray, b: np.ndarray, e: np.ndarray, step: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The sum of the marginals of neighbouring words, over all places at once."""
+        left, right = a[:, :-1], b[:, 1:] * e[:, 1:]
+        scale = np.einsum("nij,jk,nik->ni", left, step, right, optimize=True)
+        weight = np.where(mask[:, 1:], 1 / np.maximum(scale, 1e-30), 0)
+        return step * np.einsum("nij,nik->jk", left * weight[:, :, None], right, optimize=True)
 
     def fit(self, chains: list[tuple[list[str], list[int]]], epochs: int = 4, rate: float = 0.25, seed: int = 3) -> "Field":
         """Adagrad on the conditional likelihood; the same input gives the same weights."""
         rng = np.random.default_rng(seed)
         g2, t2 = np.full_like(self.w, 1e-6), np.full_like(self.t, 1e-3)
         k = len(self.langs)
+        number: dict[str, int] = {}
+        coded = [np.array([number.setdefault(w, len(number)) for w in c], np.int64) for c, _ in chains]
+        per_word = [np.array(self.features(w), np.int64) for w in number]
+        size = np.array([len(f) for f in per_word], np.int64)
+        begin, flat = np.concatenate([[0], np.cumsum(size)]), np.concatenate(per_word)
         for _ in range(epochs):
             order = rng.permutation(len(chains))
             for start in range(0, len(order), 64):
-                part = [chains[i] for i in order[start:start + 64]]
-                ids, mask, emit = self._scores([c for c, _ in part])
-                m, pairs = self._marginals(emit, mask)
-                gold = np.zeros_like(m)
-                seen = np.zeros((k, k))
-                for i, (_, y) in enumerate(part):
-                    gold[i, np.arange(len(y)), y] = 1
+                part = order[start:start + 64]
+                most = max(len(coded[i]) for i in part)
+                ids, mask = np.zeros((len(part), most), np.int64), np.zeros((len(part), most), bool)
+                gold, seen = np.zeros((len(part), most, k), np.float32), np.zeros((k, k))
+                for row, i in enumerate(part):
+                    y, n = chains[i][1], len(coded[i])
+                    ids[row, :n], mask[row, :n] = coded[i], True
+                    gold[row, np.arange(n), y] = 1
                     np.add.at(seen, (y[:-1], y[1:]), 1)
-                d = ((gold - m) * mask[:, :, None]).reshape(-1, k)
-                flat = ids.reshape(-1, WIDTH)
-                used, where = np.unique(flat, return_inverse=True)
-                grad = np.stack([np.bincount(where.ravel(), np.repeat(d[:, j], WIDTH), len(used)) for j in range(k)], 1).astype(np.float32)
-                grad[used == 0] = 0
+                words, where = np.unique(ids[mask], return_inverse=True)
+                lengths = size[words]
+                ends = np.cumsum(lengths)
+                places = np.arange(ends[-1]) + np.repeat(begin[words] - (ends - lengths), lengths)
+                feats = flat[places]
+                by_word = np.add.reduceat(self.w[feats], ends - lengths, axis=0)
+                emit = np.zeros((len(part), most, k), np.float32)
+                emit[mask] = by_word[where]
+                a, b, e, step = self._forward_backward(emit, mask)
+                d = (gold - self._marginals(a, b))[mask]
+                pull = np.stack([np.bincount(where, d[:, j], len(words)) for j in range(k)], 1)
+                used, at = np.unique(feats, return_inverse=True)
+                spread = np.repeat(pull, lengths, axis=0)
+                grad = np.stack([np.bincount(at, spread[:, j], len(used)) for j in range(k)], 1).astype(np.float32)
                 g2[used] += grad ** 2
                 self.w[used] += rate * grad / np.sqrt(g2[used]) - 1e-5 * self.w[used]
-                dt = ((seen - pairs) / len(part)).astype(np.float32)
+                dt = ((seen - self._pairs(a, b, e, step, mask)) / len(part)).astype(np.float32)
                 t2 += dt ** 2
                 self.t += 0.1 * dt / np.sqrt(t2)
+        self.known.clear()
         return self
 
     def label(self, chains: list[list[str]]) -> list[np.ndarray]:
@@ -222,8 +254,12 @@ class Field:
         while start < len(order):
             size = max(1, min(512, 20_000 // max(1, len(chains[order[start]]))))
             part = order[start:start + size]
-            _, mask, emit = self._scores([chains[i] for i in part])
-            m, _ = self._marginals(emit, mask)
+            lengths = np.array([len(chains[i]) for i in part])
+            mask = np.arange(lengths.max()) < lengths[:, None]
+            emit = np.zeros((*mask.shape, len(self.langs)), np.float32)
+            emit[mask] = [self.scores(w) for i in part for w in chains[i]]
+            a, b, _, _ = self._forward_backward(emit, mask)
+            m = self._marginals(a, b)
             for row, i in enumerate(part):
                 out[i] = m[row, :len(chains[i])]
             start += size
@@ -342,20 +378,74 @@ def _confirmed(model: Field, texts: list[tuple[str, str]], split) -> list[tuple[
     return [(lang, w) for lang, rows in sorted(more.items()) for w in rows]
 
 
+def training(documents: DataFrame, samples: DataFrame) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(clean samples, labelled documents) that a field is fitted on, within the bounds above: of each the rows with the
+    least hash."""
+    label = label_of(F.col("lang"))
+    clean = samples.where("lang is not null and text <> ''").orderBy(F.xxhash64("lang", "text")).limit(MOST_SAMPLES).select("lang", "text")
+    some = documents.where(label.isNotNull() & (F.length("text") < MOST_CHARACTERS) & (F.col("text") != "")).orderBy(
+        F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(MOST_DOCUMENTS).select(label.alias("lang"), "text")
+    return sorted((r.lang, r.text) for r in clean.collect()), [(r.lang, r.text) for r in some.collect()]
+
+
+def save(field: Field, spark: SparkSession, path: str) -> None:
+    """Write a field as a table: a row per used feature with its weights, per listed word, and one with the transitions."""
+    used = np.flatnonzero(np.abs(field.w).sum(1))
+    rows = [(int(i), None, None, [float(x) for x in field.w[i]]) for i in used]
+    rows += [(None, lang, w, None) for lang, words in sorted(field.lists.items()) for w in sorted(words)]
+    rows += [(-1 - i, lang, None, [float(x) for x in field.t[i]]) for i, lang in enumerate(field.langs)]
+    spark.createDataFrame(pd.DataFrame(rows, columns=["feature", "lang", "word", "weights"]).astype({"feature": "Int64"}), "feature long, lang string, word string, weights array<float>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Field | None:
+    """The field written at path, if one is there whole. At most SPACE rows of weights and the listed words reach the driver."""
+    try:
+        rows = spark.read.parquet(path).toPandas()
+    except AnalysisException:
+        return None
+    states = rows[rows["feature"] < 0].sort_values("feature", ascending=False)
+    if states.empty:
+        return None
+    lists = {lang: set(part["word"]) for lang, part in rows[rows["word"].notna()].groupby("lang")}
+    field = Field(list(states["lang"]), lists)
+    field.t = np.array(states["weights"].tolist(), np.float32)
+    weights = rows[rows["feature"] >= 0]
+    field.w[weights["feature"].to_numpy(np.int64)] = np.array(weights["weights"].tolist(), np.float32)
+    return field
+
+
+def field_for(documents: DataFrame, samples: DataFrame) -> Field:
+    """The field for these tables: read from the shared folder if one was fitted on the same files with the same bounds,
+    else fitted and kept there. Tables that are no files are fitted on each time."""
+    spark = documents.sparkSession
+
+    def sign(df: DataFrame) -> list[tuple]:
+        files = df.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct()
+        return sorted(tuple(r) for r in files.collect())
+
+    try:
+        stand = repr((sign(documents), sign(samples), MOST_DOCUMENTS, MOST_CHARACTERS, MOST_SENTENCES, MOST_SAMPLES, SPACE, CHAIN))
+    except AnalysisException:
+        return fit(*training(documents, samples))
+    path = f"{shared_root(spark)}/feedloom/fields/{hashlib.sha256(stand.encode()).hexdigest()[:32]}"
+    field = load(spark, path)
+    if field is None:
+        field = fit(*training(documents, samples))
+        save(field, spark, path)
+    return field
+
+
 def detect(documents: DataFrame, samples: DataFrame, field: Field | None = None) -> DataFrame:
     """(doc_id, label, found): the named label and the text's segments [(lang, confidence, sentences, words)] in order.
 
     Neighbouring sentences of one language are one segment. Texts that are null, empty, or hold only code, logs, names,
-    headings and quoted fragments have no segments. One row per input row; no shuffle. The field is fitted on the driver on
-    the samples and on at most MOST_DOCUMENTS documents (those with the least hash of doc_id).
+    headings and quoted fragments have no segments. One row per input row; no shuffle. The field is that of field_for(),
+    unless one is given.
     """
     spark = documents.sparkSession
-    if field is None:
-        clean = [(r.lang, r.text) for r in samples.where("lang is not null and text <> ''").select("lang", "text").limit(20_000).collect()]
-        some = documents.where(label_of(F.col("lang")).isNotNull() & (F.length("text") < 4000) & (F.col("text") != "")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCUMENTS).select(label_of(F.col("lang")).alias("lang"), "text")
-        field = fit(clean, [(r.lang, r.text) for r in some.collect()])
+    field = field or field_for(documents, samples)
     used = np.flatnonzero(np.abs(field.w).sum(1))
-    sent = spark.sparkContext.broadcast((field.langs, field.lists, used, field.w[used].astype(np.float16), field.t))
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, field.langs, field.lists, used, field.w[used].astype(np.float16), field.t))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _received(sent)
@@ -387,9 +477,8 @@ _MODEL: list = []
 
 
 def _received(sent) -> Field:
-    key = id(sent.value)
+    key, langs, lists, used, w, t = sent.value
     if not _MODEL or _MODEL[0] != key:
-        langs, lists, used, w, t = sent.value
         model = Field(langs, lists)
         model.w[used] = w.astype(np.float32)
         model.t = t

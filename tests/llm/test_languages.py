@@ -21,7 +21,8 @@ def test_forward_backward_equals_enumeration():
     f = L.Field(["a", "b", "c"])
     rng = np.random.default_rng(1)
     emit, f.t = rng.normal(size=(1, 4, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32)
-    m, pairs = f._marginals(emit, np.ones((1, 4), bool))
+    a, b, e, step = f._forward_backward(emit, np.ones((1, 4), bool))
+    m, pairs = f._marginals(a, b), f._pairs(a, b, e, step, np.ones((1, 4), bool))
     weight = {y: np.exp(sum(emit[0, i, y[i]] for i in range(4)) + sum(f.t[y[i], y[i + 1]] for i in range(3))) for y in itertools.product(range(3), repeat=4)}
     total = sum(weight.values())
     for i in range(4):
@@ -67,3 +68,31 @@ def test_semicolons_and_calls_in_prose():
     prose = ["- correction d'une fuite de memoire dans le serveur ;", "新しい関数connect(host)は、接続を閉じる前に再試行する。"]
     assert len(list(L.lines_of("\n".join(prose)))) == 2
     assert list(L.lines_of("let x = 1;\nint count;\nfoo(bar);\nuse std::io;\nreturn x;")) == []
+
+
+def test_every_feature_of_a_long_word_counts_and_long_words_stay():
+    f = L.Field(["de", "en"], {"de": {"entwicklerinnen"}})
+    ids, edged = f.features("Entwicklerinnen"), "<entwicklerinnen>"
+    assert len(ids) == 1 + 3 + 4 + len({edged[i:i + n] for n in (2, 3) for i in range(len(edged) - n + 1)}) + 1
+    compound = "Rindfleischetikettierungsüberwachungsaufgabenübertragungsgesetz"
+    assert compound in list(L.lines_of(f"Das {compound} gilt nicht mehr."))[0]
+    assert "a1" not in " ".join(L.lines_of("Der Wert ist " + "a1" * 30 + " heute."))
+
+
+def test_saved_field_labels_alike(spark, field, tmp_path):
+    path = f"file://{tmp_path}/field"
+    assert L.load(spark, path) is None
+    L.save(field, spark, path)
+    back = L.load(spark, path)
+    texts = [t for v in SAMPLES.values() for t in v]
+    assert back.langs == field.langs and back.lists == field.lists
+    assert [[x[0] for x in s] for s in L.segments(back, texts)] == [[x[0] for x in s] for s in L.segments(field, texts)]
+
+
+def test_field_is_fitted_once_per_files(spark, tmp_path, monkeypatch):
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, v in SAMPLES.items() for t in v)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    first = L.field_for(docs, docs)
+    monkeypatch.setattr(L, "fit", lambda *a: 1 / 0)
+    assert L.field_for(docs, docs).langs == first.langs
