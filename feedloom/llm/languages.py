@@ -394,7 +394,7 @@ def save(field: Field, spark: SparkSession, path: str) -> None:
     rows = [(int(i), None, None, [float(x) for x in field.w[i]]) for i in used]
     rows += [(None, lang, w, None) for lang, words in sorted(field.lists.items()) for w in sorted(words)]
     rows += [(-1 - i, lang, None, [float(x) for x in field.t[i]]) for i, lang in enumerate(field.langs)]
-    spark.createDataFrame(pd.DataFrame(rows, columns=["feature", "lang", "word", "weights"]).astype({"feature": "Int64"}), "feature long, lang string, word string, weights array<float>").coalesce(1).write.mode("overwrite").parquet(path)
+    spark.createDataFrame(rows, "feature long, lang string, word string, weights array<float>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> Field | None:
