@@ -2,12 +2,14 @@
 
 Two kinds of evidence are combined. Lengths: per source and field a log-normal length distribution, right-censored at
 candidate limits, is fitted by maximum likelihood (EM); it gives each length's posterior probability of being censored
-there. Endings: how often the last words, or the last characters of scripts without blanks, end a sentence in the whole
+there. Sources are shrunk to their fetch step, so a source with few values has limits of its own as far as its values say
+so, and its step's limits otherwise. Endings: how often the last words, or the last characters of scripts without blanks, end a sentence in the whole
 corpus, against how often they stand inside one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -23,8 +25,11 @@ from feedloom.llm.capping import contributor
 from feedloom.runtime import cut
 
 FIELDS = ("original_description", "comment_summary")
-#: Values a contributor needs for a length distribution of its own; smaller ones share that of their fetch step.
-LEAST_VALUES = 400
+#: Weight of the fetch step's distribution and limits in a contributor's own fit, in values.
+STEP_WEIGHT = 50.0
+#: Log-likelihood ratio by which a length must be more frequent than expected to be a candidate limit; a candidate is
+#: searched among all lengths, so the ratio is well above the logarithm of their number.
+SURPRISE = 12.0
 #: Share of a phrase with a mark among all places of its last words, from which it trails off on purpose.
 TRAILING_RATE = 0.2
 #: Entries counted in a Python worker before they are handed on.
@@ -61,11 +66,13 @@ def ending_key(text: str) -> tuple[str, str]:
     if _CJK.search(text[-1:]):
         run = _CJK_RUN.search(text[-12:][::-1])[0][::-1]
         return f"c{run[-3:]}", f"c{run[-2:]}"
-    words = _WORDISH.findall(text[-120:])
+    reach, words = 120, []
+    while len(words := _WORDISH.findall(text[-reach:])) < 3 and reach < len(text):  # the first may be cut by the reach
+        reach *= 4
     if not words:
         return "", ""
     last = words[-1]
-    before = _kind(words[-2]) if len(words) > 1 and len(text) < 120 or len(words) > 2 else "|"
+    before = _kind(words[-2]) if len(words) > 1 else "|"
     return f"b{before} {_kind(last)}", f"w{_kind(last)}"
 
 
@@ -133,7 +140,7 @@ def look(text: str) -> tuple[str, str, str, str, bool]:
     prose = len(parts) > 1
     if mark:
         key, rarer = ending_key(body) if body[-1].isalnum() else ("", "")
-        return ("marked" if not _STOP.search(body) else "markedstop"), key, rarer, last[-60:], prose
+        return ("marked" if not _STOP.search(body) else "markedstop"), key, rarer, last, prose
     if _STOP.search(body):
         return "whole", "", "", "", prose
     if _LINK_END.search(body):
@@ -178,64 +185,97 @@ def _normal_tail(x: float) -> float:
     return 0.5 * math.erfc(x / math.sqrt(2))
 
 
-def censoring(lengths: np.ndarray, counts: np.ndarray, rounds: int = 40) -> tuple[float, float, dict[int, float]]:
-    """(mu, sigma, {limit: posterior}) of a log-normal length distribution right-censored at candidate limits.
+class Lengths:
+    """A log-normal length distribution, right-censored at candidate limits: mu, sigma, each limit's weight (the share of
+    longer values that are cut there) and the posterior that a value of the limit's length was cut."""
 
-    Candidates are lengths far more frequent than their neighbourhood. EM: a value at a candidate is censored there with
-    the posterior of its limit's weight and the tail beyond against the density at it; censored values count with their
-    expected logarithm and its square.
+    def __init__(self, mu: float, sigma: float, weight: dict[int, float], posterior: dict[int, float]):
+        self.mu, self.sigma, self.weight, self.posterior = mu, sigma, weight, posterior
+
+    def at(self, size: float) -> tuple[float, float, float, float]:
+        """(z, density, tail, mean logarithm of the longer ones) at a length."""
+        z = (math.log(size) - self.mu) / self.sigma
+        tail = max(_normal_tail(z), 1e-9)
+        hazard = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / tail
+        return z, math.exp(-z * z / 2) / (math.sqrt(2 * math.pi) * self.sigma * size), tail, hazard
+
+
+def _surprise(n: float, expected: float) -> float:
+    return n * math.log(n / expected) - n + expected if n > expected else 0.0
+
+
+def censoring(lengths: np.ndarray, counts: np.ndarray, step: Lengths | None = None, rounds: int = 40) -> Lengths:
+    """The censored log-normal of a length histogram, shrunk to that of the fetch step, if given, with STEP_WEIGHT values.
+
+    Candidates are lengths far more frequent than their neighbourhood and the distribution say, and the step's limits. EM: a
+    value at a candidate is censored there with the posterior of its limit's weight and the tail beyond against the density
+    at it; censored values count with their expected logarithm and its square.
     """
     total = counts.sum()
     by = dict(zip(lengths.tolist(), counts.tolist()))
-    limits = []
+    logs = np.log(lengths)
+    prior = STEP_WEIGHT if step else 0.0
+    mu0, var0 = (step.mu, step.sigma ** 2) if step else (0.0, 0.0)
+    mu = float(((logs * counts).sum() + prior * mu0) / (total + prior))
+    spread = ((logs - mu) ** 2 * counts).sum() + prior * (var0 + (mu0 - mu) ** 2)
+    fitted = Lengths(mu, max(0.1, math.sqrt(spread / (total + prior))), {}, {})
+    usual = step or fitted
     for c, n in by.items():
         around = [by.get(c + d, 0) for d in range(-12, 13) if d and not by.get(c + d, 0) > 3 * max(1, n)]
-        usual = (sum(sorted(around)[:-2]) if len(around) > 2 else 0) / max(1, len(around) - 2)
-        if c >= 20 and n >= 6 and n > 5 * usual + 4 * math.sqrt(usual + 1):
-            limits.append(c)
-    logs = np.log(lengths)
-    mu = float((logs * counts).sum() / total)
-    sigma = max(0.1, float(math.sqrt(((logs - mu) ** 2 * counts).sum() / total)))
-    weight = {c: by[c] / total for c in limits}
-    post = dict.fromkeys(limits, 0.9)
-    for _ in range(rounds if limits else 0):
+        near = (sum(sorted(around)[:-2]) if len(around) > 2 else 0) / max(1, len(around) - 2)
+        if c >= 20 and n > 1 and n > 5 * near and _surprise(n, max(near, total * usual.at(c)[1], 1e-3)) > SURPRISE:
+            fitted.weight[c] = n / total
+    for c, w in step.weight.items() if step else ():
+        fitted.weight.setdefault(c, w)
+    fitted.posterior = dict.fromkeys(fitted.weight, 0.9)
+    for _ in range(rounds if fitted.weight else 0):
         first = second = mass = 0.0
         kept = counts.astype(float).copy()
-        for c in limits:
-            z = (math.log(c) - mu) / sigma
-            tail = max(_normal_tail(z), 1e-9)
-            density = math.exp(-z * z / 2) / (math.sqrt(2 * math.pi) * sigma * c)
-            post[c] = weight[c] * tail / (weight[c] * tail + density)
-            hit = by[c] * post[c]
-            weight[c] = max(1e-6, min(1.0, hit / (total * tail)))
-            kept[lengths == c] -= hit
-            hazard = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / tail
-            mean = mu + sigma * hazard
-            first += hit * mean
-            second += hit * (sigma ** 2 * (1 + z * hazard - hazard ** 2) + mean ** 2)
-            mass += hit
-        all_mass = kept.sum() + mass
-        mu = float(((logs * kept).sum() + first) / all_mass)
-        sigma = max(0.1, math.sqrt(max(1e-4, ((logs ** 2 * kept).sum() + second) / all_mass - mu ** 2)))
-    return mu, sigma, post
+        for c, w in list(fitted.weight.items()):
+            z, density, tail, hazard = fitted.at(c)
+            fitted.posterior[c] = w * tail / (w * tail + density)
+            hit = by.get(c, 0) * fitted.posterior[c]
+            known = prior * step.weight.get(c, 0.0) if step else 0.0
+            fitted.weight[c] = max(1e-6, min(1.0, (hit / tail + known) / (total + prior)))
+            if hit:
+                kept[lengths == c] -= hit
+                mean = fitted.mu + fitted.sigma * hazard
+                first += hit * mean
+                second += hit * (fitted.sigma ** 2 * (1 + z * hazard - hazard ** 2) + mean ** 2)
+                mass += hit
+        all_mass = kept.sum() + mass + prior
+        fitted.mu = float(((logs * kept).sum() + first + prior * mu0) / all_mass)
+        fitted.sigma = max(0.1, math.sqrt(max(1e-4, ((logs ** 2 * kept).sum() + second + prior * (var0 + mu0 ** 2)) / all_mass - fitted.mu ** 2)))
+    return fitted
 
 
 def limits(measured: DataFrame) -> DataFrame:
-    """(field_name, place, unit, size, censored): candidate limits in characters or bytes with their posterior.
+    """(field_name, step, source, chars, bytes): each contributor's limits, as maps from length to posterior.
 
-    place is a contributor with LEAST_VALUES values or more, or a fetch step. Fitted on length histograms, which are small.
+    Fitted on histograms of distinct texts: copies of one text say nothing about a limit. First per fetch step, then per
+    contributor of a step, shrunk to it. A group is a histogram, so its size is the number of different lengths.
     """
     sizes = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size"))))
-    hist = measured.select("field_name", F.explode(F.array(F.concat(F.lit("step "), "step"), F.concat(F.lit("source "), "source"))).alias("place"), sizes.alias("s")).groupBy(
-        "field_name", "place", "s.unit", "s.size").agg(F.count(F.lit(1)).alias("n"))
+    texts = measured.groupBy("field_name", "step", "source", "mark", "chars", "bytes").agg(F.lit(1).alias("_1"))
+    hist = cut(texts.select("field_name", "step", "source", sizes.alias("s")).groupBy("field_name", "s.unit", "step", "source", "s.size").agg(F.count(F.lit(1)).alias("n")))
+    whole = hist.groupBy("field_name", "unit", "step", "size").agg(F.sum("n").alias("n"))
+
+    def of_step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        f = censoring(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+        return pd.DataFrame([(*key, f.mu, f.sigma, list(f.weight), list(f.weight.values()))], columns=["field_name", "unit", "step", "mu", "sigma", "at", "weight"])
+
+    steps = cut(whole.groupBy("field_name", "unit", "step").applyInPandas(of_step, "field_name string, unit string, step string, mu double, sigma double, at array<long>, weight array<double>"))
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if key[1].startswith("source ") and rows["n"].sum() < LEAST_VALUES:
-            return pd.DataFrame(columns=["field_name", "place", "unit", "size", "censored"])
-        _, _, post = censoring(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
-        return pd.DataFrame([(*key, c, p) for c, p in post.items()], columns=["field_name", "place", "unit", "size", "censored"])
+    def of_source(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows.iloc[0]
+        step = Lengths(r["mu"], r["sigma"], dict(zip(map(int, r["at"]), map(float, r["weight"]))), {})
+        f = censoring(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), step)
+        return pd.DataFrame([(*key, c, p) for c, p in f.posterior.items()], columns=["field_name", "unit", "step", "source", "size", "censored"])
 
-    return hist.groupBy("field_name", "place", "unit").applyInPandas(fit, "field_name string, place string, unit string, size long, censored double")
+    found = hist.join(steps, ["field_name", "unit", "step"]).groupBy("field_name", "unit", "step", "source").applyInPandas(
+        of_source, "field_name string, unit string, step string, source string, size long, censored double")
+    entries = lambda unit: F.map_from_entries(F.collect_list(F.when(F.col("unit") == unit, F.struct("size", "censored")))).alias(f"_{unit}")
+    return found.groupBy("field_name", "step", "source").agg(entries("chars"), entries("bytes"))
 
 
 def judge(articles: DataFrame) -> DataFrame:
@@ -250,43 +290,39 @@ def judge(articles: DataFrame) -> DataFrame:
             seen = [look(t) for t in f["text"]]
             out = f[["article_id", "field_name", "source", "step"]].copy()
             for i, name in enumerate(("verdict", "key", "rarer", "phrase", "prose")):
-                out[name] = [s[i] for s in seen]
+                out[name] = [s[i] or None if name in ("key", "rarer", "phrase") else s[i] for s in seen]
             out["chars"] = [len(t) for t in f["text"]]
-            out["bytes"] = [len(t.encode("utf-8", "replace")) for t in f["text"]]
+            raw = [t.encode("utf-8", "replace") for t in f["text"]]
+            out["bytes"] = [len(r) for r in raw]
+            out["mark"] = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "big", signed=True) for r in raw]
             yield out
 
-    measured = cut(every.mapInPandas(measure, "article_id long, field_name string, source string, step string, verdict string, key string, rarer string, phrase string, prose boolean, chars long, bytes long"))
+    measured = cut(every.mapInPandas(measure, "article_id long, field_name string, source string, step string, verdict string, key string, rarer string, phrase string, prose boolean, chars long, bytes long, mark long"))
     caps = cut(limits(measured))
     titles = articles.where("title <> ''").select(F.col("title").alias("text"), F.lit(True).alias("title"))
     counted = cut(endings(every.select("text", F.lit(False).alias("title")).unionByName(titles)))
-    at = measured
-    for unit in ("chars", "bytes"):
-        for level in ("step", "source"):
-            c = caps.where(F.col("unit") == unit).select(
-                F.col("field_name").alias("_f"), F.col("place").alias("_p"), F.col("size").alias("_s"), F.col("censored").alias(f"_{unit}_{level}"))
-            same = (F.col("field_name") == F.col("_f")) & (F.concat(F.lit(f"{level} "), F.col(level)) == F.col("_p")) & (F.col(unit) == F.col("_s"))
-            at = at.join(c, same, "left").drop("_f", "_p", "_s")
-    at = at.withColumn("censored", F.greatest(*[F.coalesce(F.col(f"_{u}_{v}"), F.lit(0.0)) for u in ("chars", "bytes") for v in ("step", "source")])).drop(*[f"_{u}_{v}" for u in ("chars", "bytes") for v in ("step", "source")])
-    # Phrases that trail off on purpose come back at several lengths that lie under no limit; a mark may take a few characters.
-    for unit in ("chars", "bytes"):
-        for level in ("step", "source"):
-            under = caps.where((F.col("unit") == unit) & F.col("place").startswith(f"{level} ") & (F.col("censored") > 0.5)).select(
-                F.col("field_name").alias("_f"), F.col("place").alias("_p"), F.explode(F.sequence(F.col("size") - 4, F.col("size"))).alias("_s"), F.lit(True).alias(f"_under_{unit}_{level}")).distinct()
-            same = (F.col("field_name") == F.col("_f")) & (F.concat(F.lit(f"{level} "), F.col(level)) == F.col("_p")) & (F.col(unit) == F.col("_s"))
-            at = at.join(under, same, "left").drop("_f", "_p", "_s")
-    at = at.withColumn("under", F.coalesce(*[F.col(f"_under_{u}_{v}") for u in ("chars", "bytes") for v in ("step", "source")])).drop(*[f"_under_{u}_{v}" for u in ("chars", "bytes") for v in ("step", "source")])
-    said = at.where("verdict = 'marked' and under is null").groupBy("phrase").agg(F.count_distinct("chars").alias("_lengths"), F.count(F.lit(1)).alias("_said"))
+    posterior = lambda unit: F.coalesce(F.try_element_at(F.col(f"_{unit}"), F.col(unit)), F.lit(0.0))
+    # A mark of omission may take a few characters of a limit.
+    below = lambda unit: F.exists(F.map_entries(f"_{unit}"), lambda e: (e["value"] > 0.5) & F.col(unit).between(e["key"] - 4, e["key"]))
+    at = measured.drop("mark").join(caps, ["field_name", "step", "source"], "left").withColumns({
+        "censored": F.greatest(posterior("chars"), posterior("bytes")), "under": F.coalesce(below("chars") | below("bytes"), F.lit(False))}).drop("_chars", "_bytes")
+    at = cut(at)
+    # Phrases that trail off on purpose come back at several lengths that lie under no limit.
+    said = at.where("verdict = 'marked' and not under and phrase is not null").groupBy("phrase").agg(F.count_distinct("chars").alias("_lengths"), F.count(F.lit(1)).alias("_said"))
     totals = counted.where("key like 'w%' or key like 'c__'").agg(F.sum("inside").alias("i"), F.sum("ends").alias("e")).first()
     base = math.log(max(1, totals.e or 1) / max(2, totals.i or 2))
+    # Most values end in a sign that decides and have no key to look up: they take no part in the joins.
+    open_ended = at.where("key is not null or phrase is not null")
     for name in ("key", "rarer"):
-        at = at.join(counted.select(F.col("key").alias(name), F.col("inside").alias(f"_{name}_in"), F.col("ends").alias(f"_{name}_ends")), name, "left")
-    at = at.join(said, "phrase", "left")
+        open_ended = open_ended.join(counted.select(F.col("key").alias(name), F.col("inside").alias(f"_{name}_in"), F.col("ends").alias(f"_{name}_ends")), name, "left")
+    open_ended = open_ended.join(said, "phrase", "left")
+    at = open_ended.unionByName(at.where("key is null and phrase is null"), allowMissingColumns=True)
     known = lambda n: F.coalesce(F.col(n), F.lit(0))
     pair = (F.col("_key_in") >= 8) & ~F.col("key").endswith("^") | F.col("key").endswith("^") & (F.col("_key_in") >= 3)
     inside = F.when(pair, known("_key_in")).otherwise(known("_rarer_in"))
     ends = F.when(pair, known("_key_ends")).otherwise(known("_rarer_ends"))
     unseen = known("_rarer_in") < 2
-    ending = F.when(F.col("key") == "", F.lit(0.0)).when(unseen & F.col("key").startswith("b"), F.lit(3.0)).when(unseen, F.lit(1.0)).otherwise(
+    ending = F.when(F.col("key").isNull(), F.lit(0.0)).when(unseen & F.col("key").startswith("b"), F.lit(3.0)).when(unseen, F.lit(1.0)).otherwise(
         F.log((inside + 0.5) / (ends + F.lit(0.15))) + F.lit(base))
     length = F.log((F.col("censored") + 0.02) / (1 - F.col("censored") + 0.02))
     prior = F.when(F.col("prose"), F.lit(2.5)).otherwise(F.lit(-0.5))
@@ -296,7 +332,7 @@ def judge(articles: DataFrame) -> DataFrame:
         F.when(F.col("verdict") == "cut", F.lit(6.0)).when(F.col("verdict") == "whole", F.lit(-6.0)).when(F.col("verdict") == "broken", F.lit(2.5) + length * 0.5 + 1.9)
         .when(F.col("verdict") == "link", length).when(F.col("verdict") == "list", F.when(unseen & F.col("key").startswith("b"), F.lit(2.0)).otherwise(F.lit(-2.5)))
         .when(F.col("verdict") == "markedstop", length)
-        .when(F.col("verdict") == "marked", F.when((F.col("censored") > 0.5) | F.col("under"), F.lit(4.0)).when(trailing, F.lit(-4.0)).otherwise(F.lit(0.5) + ending))
+        .when(F.col("verdict") == "marked", F.when((F.col("censored") > 0.5) | F.col("under"), F.lit(4.0)).when(F.coalesce(trailing, F.lit(False)), F.lit(-4.0)).otherwise(F.lit(0.5) + ending))
         .otherwise(prior + ending + F.greatest(length, F.lit(-1.5)) + F.lit(1.0)))
     return at.select("article_id", "field_name", "source", "step", "verdict", "chars", "censored", F.round(1 / (1 + F.exp(-odds)), 4).alias("p_cut"), "key", F.col("_key_in"), F.col("_key_ends"), "_rarer_in", "_rarer_ends")
 

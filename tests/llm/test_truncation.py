@@ -17,11 +17,12 @@ def test_censored_fit_finds_the_limit_and_the_distribution():
     drawn = np.exp(rng.normal(5.0, 0.5, 20_000)).astype(int).clip(5)
     kept = np.minimum(drawn, 200)
     sizes, counts = np.unique(kept, return_counts=True)
-    mu, sigma, post = T.censoring(sizes, counts)
+    f = T.censoring(sizes, counts)
+    mu, sigma, post = f.mu, f.sigma, f.posterior
     assert list(post) == [200] and post[200] > 0.95 and abs(mu - 5.0) < 0.05 and abs(sigma - 0.5) < 0.05
     sizes, counts = np.unique(drawn[drawn < 400], return_counts=True)
-    assert not any(p > 0.5 for p in T.censoring(sizes, counts)[2].values())
-    assert T.censoring(np.array([7]), np.array([3]))[2] == {}
+    assert not any(p > 0.5 for p in T.censoring(sizes, counts).posterior.values())
+    assert T.censoring(np.array([7]), np.array([3])).posterior == {}
 
 
 def test_found(spark):
@@ -57,3 +58,22 @@ def test_fragments_that_return_are_no_trailing_phrases(spark):
     df = spark.createDataFrame([(*r, "t") for r in rows], "article_id long, source string, source_key string, original_description string, comment_summary string, title string")
     got = {r.article_id for r in T.found(T.judge(df)).collect()}
     assert {100, 101, 102} <= got and not got & {200, 201, 202}
+
+
+def test_small_sources_have_their_own_limits_and_else_those_of_their_step():
+    rng = np.random.default_rng(4)
+    drawn = np.exp(rng.normal(5.0, 0.5, 20_000)).astype(int).clip(5)
+    step = T.censoring(*np.unique(np.minimum(drawn, 300), return_counts=True))
+    own = np.minimum(np.exp(rng.normal(5.0, 0.5, 40)).astype(int), 160)
+    f = T.censoring(*np.unique(own, return_counts=True), step)
+    assert f.posterior[160] > 0.5 and abs(f.mu - 5.0) < 0.2
+    few = T.censoring(np.array([90, 300]), np.array([1, 1]), step)
+    assert list(few.posterior) == [300] and few.posterior[300] > 0.9
+    copies = T.censoring(np.array([90, 141]), np.array([1, 1]), step)
+    assert copies.posterior.get(141, 0.0) == 0.0
+
+
+def test_last_words_of_any_length():
+    word = "x" * 700
+    assert T.ending_key(f"The old {word}") == (f"bold {word}", f"w{word}")
+    assert T.ending_key(f"The old {word} {word}")[0] == f"b{word} {word}"
