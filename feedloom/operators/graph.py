@@ -16,6 +16,8 @@ def _least(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) of every node in edges (a, b): label is the least node of its component.
 
+    Runs until a round changes nothing; RuntimeError if that takes more than most_rounds, never a part of the result.
+
     Each round links every node's larger neighbours, then its smaller ones, to the least node around it; rounds grow with
     the logarithm of the component's size. A hub is a key with many rows on one side of a join and one on the other, which
     adaptive execution splits. Null ends and self-edges are left out.
@@ -39,4 +41,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if sign == mark:
             break
         mark = sign
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

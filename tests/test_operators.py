@@ -113,6 +113,8 @@ def test_components(spark):
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).distinct().collect())
     assert {k for k, v in got.items() if v == 1} == {*range(1, 41), 200} and got[101] == got[102] == 100
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame(edges, "a long, b long"), most_rounds=1)
 
 
 def test_histories(spark):
