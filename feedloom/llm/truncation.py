@@ -9,6 +9,7 @@ corpus, against how often they stand inside one.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import math
@@ -51,6 +52,7 @@ _CJK_RUN = re.compile(r"[ぁ-ヿ㐀-鿿々]+")
 _LIST_HEAD = re.compile(r"^\s*(?:\[[^\]]{1,15}\]|[^\W\d_][\w ]{1,20}\s*[:：–-])\s+")
 
 
+@functools.lru_cache(maxsize=100_000)
 def _kind(word: str) -> str:
     """Words by themselves; names and numbers as a class, since single ones are too rare to count."""
     if any(c.isdigit() for c in word):
@@ -76,31 +78,42 @@ def ending_key(text: str) -> tuple[str, str]:
     return f"b{before} {_kind(last)}", f"w{_kind(last)}"
 
 
-def _counted(text: str) -> Iterator[tuple[str, int]]:
-    """(key, 1 if it ends a sentence) of every place in the complete sentences of a text: those with a stop."""
-    clean = html.unescape(_TAGS.sub(" ", text))
-    for sentence in _SENTENCE.split(clean):
+def _counted(text: str) -> tuple[list[str], list[str]]:
+    """(keys of every place, keys of the places that end a sentence) in the complete sentences of a text: those with a stop."""
+    inside: list[str] = []
+    ends: list[str] = []
+    for sentence in _SENTENCE.split(html.unescape(_TAGS.sub(" ", text))):
         sentence = sentence.strip()
         ended = bool(_STOP.search(sentence)) and not _MARK.search(sentence)
-        body = sentence.rstrip(" .!?。！？" + _CLOSER) if ended else sentence
-        words = _WORDISH.findall(body)
-        for i, w in enumerate(words):
-            final = i == len(words) - 1
-            if final and not ended:
-                break
-            if _CJK.search(w):
-                for m in _CJK_RUN.finditer(w):
-                    run = m[0]
-                    for j in range(1, len(run) + 1):
-                        last = final and ended and m.end() == len(w) and j == len(run)
-                        if j < len(run) or last or not final:
-                            yield f"c{run[max(0, j - 3):j]}", int(last)
-                            if j >= 2:
-                                yield f"c{run[j - 2:j]}", int(last)
+        words = _WORDISH.findall(sentence.rstrip(" .!?。！？" + _CLOSER) if ended else sentence)
+        if not words:
+            continue
+        last = words[-1]
+        before = "|"
+        for w in words[:-1]:
+            kind = _kind(w)
+            if w.isascii() or not _CJK.search(w):
+                inside += (f"b{before} {kind}", f"w{kind}")
             else:
-                k = _kind(w)
-                yield f"b{_kind(words[i - 1]) if i else '|'} {k}", int(final)
-                yield f"w{k}", int(final)
+                for run in _CJK_RUN.findall(w):
+                    inside += [f"c{run[max(0, j - 3):j]}" for j in range(1, len(run) + 1)]
+                    inside += [f"c{run[j - 2:j]}" for j in range(2, len(run) + 1)]
+            before = kind
+        if not ended:
+            continue
+        if last.isascii() or not _CJK.search(last):
+            final = [f"b{before} {_kind(last)}", f"w{_kind(last)}"]
+        else:
+            final = []
+            for m in _CJK_RUN.finditer(last):
+                run = m[0]
+                inside += [f"c{run[max(0, j - 3):j]}" for j in range(1, len(run))]
+                inside += [f"c{run[j - 2:j]}" for j in range(2, len(run))]
+                if m.end() == len(last):
+                    final = [f"c{run[-3:]}", *([f"c{run[-2:]}"] if len(run) > 1 else [])]
+        inside += final
+        ends += final
+    return inside, ends
 
 
 def _is_list(sentence: str, alone: bool) -> bool:
@@ -169,10 +182,9 @@ def endings(texts: DataFrame) -> DataFrame:
         inside, ends = Counter(), Counter()
         for f in frames:
             for t, title in zip(f["text"], f["title"]):
-                for k, e in _counted(t + "." if title and not _STOP.search(t.rstrip()) and not _MARK.search(t) else t):
-                    inside[k] += 1
-                    if e:
-                        ends[k] += 1
+                every, final = _counted(t + "." if title and not _STOP.search(t.rstrip()) and not _MARK.search(t) else t)
+                inside.update(every)
+                ends.update(final)
             if len(inside) > HELD:
                 yield pd.DataFrame({"key": list(inside), "inside": list(inside.values()), "ends": [ends[k] for k in inside]})
                 inside, ends = Counter(), Counter()
