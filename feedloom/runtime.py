@@ -3,20 +3,43 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, "Workspace"] = {}
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "feedloom", **conf: str) -> SparkSession:
-    """A session with the settings every operator assumes (UTC, adaptive execution)."""
+    """A session with the settings every operator assumes (UTC, adaptive execution) and this package on every executor."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
     for key, value in {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers find it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="feedloom-package-")  # read by the driver only, which serves it to the executors
+    at = os.path.join(folder, "feedloom.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for base, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    z.write(full, os.path.join("feedloom", os.path.relpath(full, here)))
+    context.addPyFile(at)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,12 +56,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables of one run in the shared folder; close() removes them, at the latest when the driver ends."""
+    """Tables and small texts of one run in the shared folder; close() removes them, at the latest when the driver ends.
 
-    def __init__(self, spark: SparkSession, name: str = "work"):
+    With `at`, a folder of that name is used and stays.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "work", at: str | None = None):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        self.path = at.rstrip("/") if at else f"{shared_root(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
+        if not at:
+            atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> DataFrame:
         """Write df as a table and read it back with the schema known, so the result has no lineage."""
@@ -52,6 +79,34 @@ class Workspace:
     def cut(self, df: DataFrame) -> DataFrame:
         return self.write(df, f"cut-{uuid.uuid4().hex}")
 
+    def put(self, name: str, text: str) -> None:
+        """Write a small text, whole or not at all: under another name first, then renamed."""
+        fs, at = self._file(name)
+        draft = at.suffix(".draft")
+        out = fs.create(draft, True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+        fs.delete(at, False)
+        if not fs.rename(draft, at):
+            raise OSError(f"cannot write {name}")
+
+    def get(self, name: str) -> str | None:
+        """The text put under a name; None if there is none."""
+        fs, at = self._file(name)
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _file(self, name: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
     def remove(self, name: str) -> None:
         self._delete(f"{self.path}/{name}")
 
