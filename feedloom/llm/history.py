@@ -1,15 +1,16 @@
 """Checking new batches for repeats against everything accepted so far (problem 1).
 
-Runs of blocked keys. Every article gives a few rows: its address in one spelling, and its headline in a block per name, or
-without names in a block per rare word. A batch's distinct keys form a run, kept as a table. A new batch is merged only with
-the blocks of older runs that it touches; within them an index of words and numbers gives each new key all headlines of its
-block that can be the same. Runs are compacted into one every few batches. What is found are links between articles; their
-components are the stories.
+Sorted runs of blocked keys. Every article gives a few rows: its address in one spelling, and its headline in a block per
+name, or without names in a block per rare word. A batch's distinct keys form a run, kept as files sorted by block. A new
+batch opens the files whose range holds a block of its own, and is merged with those blocks; within them an index of words
+and numbers, instead of a window of fixed width, gives each new key all headlines of its block that can be the same. Runs
+are compacted into one every few batches. What is found are links between articles; their components are the stories.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
 import unicodedata
@@ -17,6 +18,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from urllib.parse import parse_qsl, unquote, urlsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -300,6 +302,8 @@ def _same(one: tuple, other: tuple) -> bool:
 
 # --- tables -----------------------------------------------------------------------------------------------------
 
+#: Rows of one file of a run, and rows of a block that one task compares; larger blocks are cut into pieces.
+RUN_ROWS, SPLIT = 100_000, 20_000
 RUN = "pass string, block long, key string, id long, text string, n long"
 
 
@@ -332,16 +336,31 @@ def lexicon_of(articles: DataFrame, labels: frozenset[str]) -> Lexicon:
 
 
 class History:
-    """Persisted runs and links of everything accepted so far; ingest() takes one batch at a time."""
+    """Everything accepted so far, kept in one folder; ingest() takes a batch at a time, and the folder can be opened again.
 
-    def __init__(self, work: Workspace, labels: frozenset[str], lexicon: Lexicon):
-        self.work, self.spark, self.labels, self.lexicon = work, work.spark, labels, lexicon
-        self.runs: list[DataFrame] = []
-        self.links: list[DataFrame] = []
-        self.count = 0
+    The folder holds the runs (files sorted by block, with the range of blocks of each file in the state), the links, the
+    accepted titles, and the lexicon that all keys in the runs were made with. That lexicon is fitted on accepted titles
+    only: on the first batch, and anew, with all keys, when the titles have doubled since. Nothing of a batch to come is known.
+    """
+
+    def __init__(self, work: Workspace, labels: frozenset[str]):
+        self.work, self.spark, self.labels = work, work.spark, labels
+        self.state = json.loads(work.get("state.json") or "null") or {"batches": 0, "version": 0, "titles": 0, "fitted": 0, "runs": [], "links": [], "stories": None}
+        self.lexicon = None
+        if self.state["version"]:
+            words = json.loads(work.get(f"lexicon-{self.state['version']}.json"))
+            self.lexicon = Lexicon(words["words"], words["runs"])
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.work.path}/{name}")
+
+    def _fit(self, titles: DataFrame) -> None:
+        self.lexicon = lexicon_of(titles, self.labels)
+        self.state["version"] += 1
+        self.work.put(f"lexicon-{self.state['version']}.json", json.dumps({"words": self.lexicon.words, "runs": self.lexicon.runs}, ensure_ascii=False, sort_keys=True))
 
     def _keyed(self, batch: DataFrame) -> DataFrame:
-        labels, words = self.labels, self.spark.sparkContext.broadcast((self.lexicon.words, self.lexicon.runs))
+        labels, words = self.labels, self.spark.sparkContext.broadcast((f"{self.work.path} {self.state['version']}", self.lexicon.words, self.lexicon.runs))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lexicon = _shared_lexicon(words)
@@ -359,50 +378,147 @@ class History:
 
         return batch.select(F.col("article_id").cast("long").alias("id"), "url", "title", "source").mapInPandas(run, "pass string, block string, key string, id long, text string").withColumn("block", F.xxhash64(F.col("pass") == "u", "block"))
 
+    def _write_run(self, rows: DataFrame, name: str) -> DataFrame:
+        """Write a run as files of RUN_ROWS rows at most, sorted by block and key, and note each file's range of blocks."""
+        placed = rows.repartitionByRange("block", "key").sortWithinPartitions("block", "key")
+        placed.write.mode("overwrite").option("maxRecordsPerFile", RUN_ROWS).parquet(f"{self.work.path}/{name}")
+        written = self._table(name, RUN)
+        files = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.min("block").alias("first"), F.max("block").alias("last"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.when(F.col("pass") == "a", F.col("n"))), F.lit(0)).alias("titles")).collect()
+        self.state["runs"].append({"name": name, "rows": sum(f.rows for f in files), "files": sorted([f.first, f.last, f.file] for f in files)})
+        self.state["titles"] += sum(f.titles for f in files)
+        return written
+
+    def _touched(self, blocks: DataFrame) -> list[str]:
+        """Files of all runs whose range holds a block of the batch. The ranges are one row per RUN_ROWS rows of history."""
+        files = [tuple(f) for run in self.state["runs"] for f in run["files"]]
+        first, last = np.array([f[0] for f in files], np.int64), np.array([f[1] for f in files], np.int64)
+        by_first, by_last = np.sort(first), np.sort(last)
+
+        @F.pandas_udf("array<int>")
+        def held(values: pd.Series) -> pd.Series:
+            # A file is touched if fewer files end before the block than begin up to it; which ones, once per stretch.
+            found = set()
+            for v in np.unique(values.to_numpy(np.int64)):
+                if np.searchsorted(by_first, v, "right") > np.searchsorted(by_last, v, "left"):
+                    found.update(np.flatnonzero((first <= v) & (v <= last)).tolist())
+            out = [sorted(found)] + [[]] * (len(values) - 1)
+            return pd.Series(out[:len(values)])
+
+        hit = blocks.select(F.explode(held("block")).alias("f")).distinct().collect() if files else []
+        return sorted(files[r.f][2] for r in hit)
+
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Compare a batch with all runs and with itself, keep its run, and return its links (a, b: equal stories)."""
-        self.count += 1
-        keyed = self.work.write(self._keyed(batch), f"keyed-{self.count}")
-        run = self.work.write(keyed.groupBy("pass", "block", "key").agg(F.min(F.struct("id", "text")).alias("m"), F.count(F.lit(1)).alias("n")).select("pass", "block", "key", "m.id", "m.text", "n"), f"run-{self.count}")
+        """Compare a batch (article_id, url, title, source) with all runs and with itself, keep its run, and return its links
+        (a, b: equal stories). Only files of runs that hold a block of the batch are opened."""
+        state = self.state
+        number = state["batches"] = state["batches"] + 1
+        if self.lexicon is None:
+            self._fit(batch)
+            state["fitted"] = -1  # until the first run is counted
+        accepted = batch.select("article_id", "url", "title", "source")
+        self.work.write(accepted, f"accepted/batch={number}")
+        keyed = self.work.write(self._keyed(batch), f"keyed-{number}")
+        older = [f for run in state["runs"] for f in run["files"]]
+        run = self._write_run(keyed.groupBy("pass", "block", "key").agg(F.min(F.struct("id", "text")).alias("m"), F.count(F.lit(1)).alias("n")).select("pass", "block", "key", "m.id", "m.text", "n"), f"run-{number}")
+        mine = state["runs"].pop()
+        if state["fitted"] < 0:
+            state["fitted"] = state["titles"]
         # Exact copies inside the batch: to the first row of the key. Only keys that repeat are joined.
         firsts = run.where("n > 1 and pass in ('u', 'a')").select("pass", "key", F.col("id").alias("first"))
         copies = keyed.where("pass in ('u', 'a')").select("pass", "key", "id").join(firsts, ["pass", "key"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-        fresh = run.drop("n").withColumn("new", F.lit(True))
-        rows = fresh
-        if self.runs:
+        rows = run.drop("n").withColumn("new", F.lit(True))
+        if older:
             blocks = run.select("block").distinct()
-            small = blocks.count() <= MOST_BROADCAST
-            for old in self.runs:
-                rows = rows.unionByName(old.join(F.broadcast(blocks) if small else blocks, "block", "left_semi").withColumn("new", F.lit(False)))
-        sorted_rows = rows.select("block", "pass", "key", "id", "text", "new").repartition("block").sortWithinPartitions("block", "new", "id", "key")
-        found = sorted_rows.mapInPandas(_compare, "a long, b long")
-        links = self.work.write(found.unionByName(copies), f"links-{self.count}")
-        self.links.append(links)
-        self.runs.append(run.drop("n"))
-        self.work.remove(f"keyed-{self.count}")
-        if len(self.runs) > COMPACT:
+            touched = self._touched(blocks)
+            if touched:
+                old = self.spark.read.schema(RUN).parquet(*touched).drop("n")
+                old = old.join(F.broadcast(blocks) if mine["rows"] <= MOST_BROADCAST else blocks, "block", "left_semi")
+                rows = rows.unionByName(old.withColumn("new", F.lit(False)))
+        found = _placed(rows).mapInPandas(_compare, "a long, b long")
+        links = self.work.write(found.unionByName(copies), f"links-{number}")
+        state["links"].append(f"links-{number}")
+        state["runs"].append(mine)
+        self.work.remove(f"keyed-{number}")
+        if state["titles"] >= 2 * max(1, state["fitted"]):
+            self.refit()
+        elif len(state["runs"]) > COMPACT:
             self.compact()
+        self._keep()
         return links
 
+    def _keep(self) -> None:
+        self.work.put("state.json", json.dumps(self.state))
+
+    def _replace(self, rows: DataFrame, name: str) -> None:
+        """One run in place of all. The old ones are removed once the state no longer names them."""
+        before, titles = self.state["runs"], self.state["titles"]
+        self.state["runs"] = []
+        self._write_run(rows, name)
+        self.state["titles"] = titles
+        self._keep()
+        for run in before:
+            self.work.remove(run["name"])
+
     def compact(self) -> None:
         """Merge all runs into one with each key's first article."""
-        whole = functools.reduce(DataFrame.unionByName, self.runs)
-        merged = whole.groupBy("pass", "block", "key").agg(F.min(F.struct("id", "text")).alias("m")).select("pass", "block", "key", "m.id", "m.text")
-        self.runs = [self.work.write(merged, f"compact-{self.count}")]
+        whole = functools.reduce(DataFrame.unionByName, [self._table(run["name"], RUN) for run in self.state["runs"]])
+        merged = whole.groupBy("pass", "block", "key").agg(F.min(F.struct("id", "text")).alias("m"), F.sum("n").alias("n")).select("pass", "block", "key", "m.id", "m.text", "n")
+        self._replace(merged, f"compact-{self.state['batches']}")
+
+    def refit(self) -> None:
+        """A new version of the lexicon from all accepted titles, and one run of keys made with it. Done when the titles have
+        doubled, so a title is keyed a few times in its life at most."""
+        accepted = self._table("accepted", "article_id long, url string, title string, source string")
+        self._fit(accepted)
+        keyed = self._keyed(accepted)
+        self.state["fitted"] = self.state["titles"]
+        self._replace(keyed.groupBy("pass", "block", "key").agg(F.min(F.struct("id", "text")).alias("m"), F.count(F.lit(1)).alias("n")).select("pass", "block", "key", "m.id", "m.text", "n"), f"refit-{self.state['batches']}")
 
     def stories(self) -> DataFrame:
-        """(node, label): every linked article with the first article of its story."""
-        return components(functools.reduce(DataFrame.unionByName, self.links))
-
+        """(node, label): every linked article with the first article of its story.
 
-_LEXICON: dict[int, Lexicon] = {}
+        The stories found last time are stars, so only the links since then take several rounds.
+        """
+        links = [self._table(name, "a long, b long") for name in self.state["links"]]
+        if self.state["stories"]:
+            links.append(self._table(self.state["stories"], "node long, label long").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        name, before = f"stories-{self.state['batches']}", [*self.state["links"], self.state["stories"]]
+        if not links:
+            return self.spark.createDataFrame([], "node long, label long")
+        if self.state["links"]:
+            self.work.write(components(functools.reduce(DataFrame.unionByName, links)), name)
+            self.state.update(stories=name, links=[])
+            self._keep()
+            for old in before:
+                if old and old != name:
+                    self.work.remove(old)
+        return self._table(self.state["stories"], "node long, label long")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of a comparison by block, older ones first. A block of more than SPLIT rows is cut into pieces by key: a piece
+    indexes its own part of the block, and every new row of the block is looked up in all pieces, so no pair is lost."""
+    large = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SPLIT)
+    columns = ["block", "pass", "key", "id", "text", "new"]
+    if large.isEmpty():
+        placed = rows.select(*columns, F.lit(0).alias("piece"), F.lit(True).alias("own"))
+    else:
+        pieces = F.ceil(F.coalesce("_n", F.lit(1)) / SPLIT).cast("int")
+        counted = rows.join(large, "block", "left").withColumns({"_p": pieces, "_own": F.pmod(F.xxhash64("key"), pieces).cast("int")})
+        spread = F.when(F.col("new"), F.sequence(F.lit(0), F.col("_p") - 1)).otherwise(F.array("_own"))
+        placed = counted.withColumn("piece", F.explode(spread)).select(*columns, "piece", (F.col("piece") == F.col("_own")).alias("own"))
+    return placed.repartition("block", "piece").sortWithinPartitions("block", "piece", "new", "id", "key")
+
+
+_LEXICON: dict[str, Lexicon] = {}
 
 
 def _shared_lexicon(words) -> Lexicon:
-    key = hash((frozenset(words.value[0].items()), frozenset(words.value[1].items())))
+    key, *parts = words.value
     if key not in _LEXICON:
         _LEXICON.clear()
-        _LEXICON[key] = Lexicon(*words.value)
+        _LEXICON[key] = Lexicon(*parts)
     return _LEXICON[key]
 
 
@@ -472,16 +588,18 @@ class Block:
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of the new keys of each block, whose older keys come first: to equal keys and to headlines that are the same.
+    """Links of the new keys of each piece of a block, whose older keys come first: to equal keys and to headlines that are
+    the same.
 
-    Each new headline is compared with every one of its block that can be the same, until it has met the story of that one.
+    Each new headline is compared with every one of its piece that can be the same, until it has met the story of that one.
+    New rows whose own piece is another one are only looked up.
     """
     block, have = None, Block()
     for f in frames:
         out = []
-        for b, p, key, article, text, new in f[["block", "pass", "key", "id", "text", "new"]].itertuples(index=False):
-            if b != block:
-                block, have = b, Block()
+        for b, piece, p, key, article, text, new, own in f[["block", "piece", "pass", "key", "id", "text", "new", "own"]].itertuples(index=False):
+            if (b, piece) != block:
+                block, have = (b, piece), Block()
             at = have.keys.get(key)
             if at is not None:
                 if article != have.ids[at]:
@@ -498,29 +616,29 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if article != have.ids[i]:
                             out.append((article, have.ids[i]))
                         met.add(have.root(i))
-            if at is None:
+            if at is None and own:
                 at = have.add(article, key, mine)
-            for r in met:
-                have.parent[r] = have.root(at)
+            if at is not None:
+                for r in met:
+                    have.parent[r] = have.root(at)
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def repeats(articles: DataFrame, labels: list[str], work: Workspace | None = None) -> DataFrame:
+def repeats(articles: DataFrame, labels: list[str], at: str | None = None) -> DataFrame:
     """(kept_id, dup_id): articles of batch 1 and later that repeat a story which an article with a smaller id brought.
 
-    The archive (batch 0) makes the first run; then batch by batch is compared with the runs before it. Null or empty
-    addresses and titles match nothing; rows repeated with one id are one article; null ids and batches take no part.
-    An empty table gives no rows.
+    The archive (batch 0) makes the first run; then batch by batch is compared with the runs before it. With `at`, the history
+    is kept in that folder. Null or empty addresses and titles match nothing; rows repeated with one id are one article; null
+    ids and batches take no part. An empty table gives no rows.
     """
     spark = articles.sparkSession
-    work = work or Workspace(spark, "history")
-    rows = articles.where("article_id is not null and batch_no is not null").select("article_id", "batch_no", "url", "title", "source")
-    numbers = sorted(r[0] for r in rows.select("batch_no").distinct().collect())
-    known = label_forms(labels)
-    history = History(work, known, lexicon_of(rows, known))
+    work = Workspace(spark, "history", at)
+    rows = articles.where("article_id is not null and batch_no is not null").select(F.col("article_id").cast("long").alias("article_id"), "batch_no", "url", "title", "source")
+    # One folder per batch, as they would arrive, so that no batch is read for another one.
+    arrived = work.write(rows, "arrived", partition_by=["batch_no"])
+    numbers = sorted(r[0] for r in arrived.select("batch_no").distinct().collect())
+    history = History(work, label_forms(labels))
     for n in numbers:
-        history.ingest(rows.where(F.col("batch_no") == n))
-    if not history.links:
-        return spark.createDataFrame([], "kept_id long, dup_id long")
-    late = rows.where("batch_no >= 1").select(F.col("article_id").alias("node")).distinct()
+        history.ingest(arrived.where(F.col("batch_no") == n))
+    late = arrived.where("batch_no >= 1").select(F.col("article_id").alias("node")).distinct()
     return history.stories().join(late, "node").where("label < node").select(F.col("label").alias("kept_id"), F.col("node").alias("dup_id"))

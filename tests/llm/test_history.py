@@ -95,3 +95,74 @@ def test_labels_have_no_bound(tmp_path, spark):
     finally:
         H.repeats = old
     assert told == [10_050]
+
+
+def _table(spark, rows):
+    return spark.createDataFrame(rows, "article_id long, batch_no int, url string, title string, source string")
+
+
+def _titles(n, first=0):
+    return [(first + i, None, None, f"Quovik {i % 9} hides modular exporters number{i}x from part{i % 13}y", "s") for i in range(n)]
+
+
+def test_history_is_kept_and_opened_again(spark, tmp_path):
+    work = H.Workspace(spark, at=f"file://{tmp_path}/kept")
+    rows = _titles(40)
+    one = H.History(work, frozenset())
+    one.ingest(_table(spark, rows))
+    words = dict(one.lexicon.words)
+    again = H.History(work, frozenset())
+    assert again.lexicon.words == words and again.state == one.state
+    links = again.ingest(_table(spark, [(100, None, None, rows[7][3] + "!", "s"), (101, None, None, "Nothing like Tandor before", "s")]))
+    assert [tuple(r) for r in links.distinct().collect()] == [(100, 7)]
+    assert dict(map(tuple, again.stories().collect())) == {100: 7, 7: 7}
+    later = H.History(work, frozenset())
+    later.ingest(_table(spark, [(102, None, None, rows[7][3], "s")]))
+    assert dict(map(tuple, later.stories().collect())) == {100: 7, 7: 7, 102: 7}
+
+
+def test_only_files_with_blocks_of_the_batch_are_opened(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "RUN_ROWS", 10)
+    h = H.History(H.Workspace(spark, at=f"file://{tmp_path}/kept"), frozenset())
+    h.ingest(_table(spark, [(i, None, f"https://h.test/{i}", None, "s") for i in range(200)]))
+    files = h.state["runs"][0]["files"]
+    assert len(files) >= 20
+    batch = h._keyed(_table(spark, [(900, None, "https://h.test/5", None, "s")]))
+    touched = h._touched(batch.select("block"))
+    assert len(touched) == 1
+    assert [tuple(r) for r in h.ingest(_table(spark, [(900, None, "https://h.test/5", None, "s")])).collect()] == [(900, 5)]
+
+
+def test_lexicon_is_that_of_accepted_titles_and_grows_with_them(spark, tmp_path):
+    h = H.History(H.Workspace(spark, at=f"file://{tmp_path}/kept"), frozenset())
+    h.ingest(_table(spark, _titles(30)))
+    before = dict(h.lexicon.words)
+    batch = [(500 + i, None, None, f"again thing{chr(97 + i) * 3} calls alpha{chr(97 + i % 12) * 2}", "s") for i in range(20)]
+    h.ingest(_table(spark, batch))
+    assert h.lexicon.words == before and h.state["version"] == 1
+    h.ingest(_table(spark, [(600 + i, *r[1:3], r[3] + chr(97 + i), "s") for i, r in enumerate(batch)]))
+    assert h.state["version"] == 2 and len(h.state["runs"]) == 1 and "again" in h.lexicon.words
+
+
+def test_split_blocks_lose_no_link(spark, monkeypatch):
+    rows = [(i, 0, None, f"Quovik {i % 7} hides number{i}x from part{i % 13}y with shared{i % 5}z calendars", "s") for i in range(300)]
+    rows += [(1000 + i, 1 + i % 2, None, f"Quovik {i % 7} hides number{i}x from part{i % 13}y with shared{i % 5}z calendars {'again' if i % 3 else ''}", "s") for i in range(300)]
+    whole = sorted(map(tuple, H.repeats(_table(spark, rows), []).collect()))
+    monkeypatch.setattr(H, "SPLIT", 40)
+    assert sorted(map(tuple, H.repeats(_table(spark, rows), []).collect())) == whole and len(whole) >= 300
+
+
+def test_blocks_against_brute_force(spark):
+    """All pairs of the small table's headlines; the blocks must find at least 0.9 of the pairs that are the same."""
+    import glob
+
+    at = "/root/testdata/sf0.001/articles.parquet"
+    if not glob.glob(at):
+        pytest.skip("no test data")
+    rows = spark.read.parquet(at).where("title <> ''").select("article_id", "title", "source").collect()
+    table = spark.read.parquet(at)
+    lexicon = H.lexicon_of(table.where("batch_no = 0"), frozenset())
+    lines = [(r.article_id, H.Headline(r.title, lexicon, frozenset(), H.label(r.source))) for r in rows]
+    packed = [(i, h.pack(), {b for _, b, _ in h.keys(lexicon)}) for i, h in lines]
+    same = [(bool(x[2] & y[2])) for k, x in enumerate(packed) for y in packed[:k] if H.same_headline(x[1], y[1])]
+    assert len(same) >= 10 and sum(same) >= 0.9 * len(same)
