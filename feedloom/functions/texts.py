@@ -13,10 +13,17 @@ from pyspark.sql import types as T
 
 _PAIR = T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())])
 _COUNTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())])
+# A link's place holder; a markdown link, whose text may hold one level of brackets; an anchor; what can be
+# left of a link whose opening bracket is missing, after the mark of a list row or inside a table; tags a message may hold.
 _TOKEN = re.compile(r"@@(\d+)@@")
-_LINK = re.compile(r"\[([^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*)\]\(([^()\s]*)\)")
-_ANCHOR = re.compile(r'<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', re.S)
-_TAG = re.compile(r"</?([A-Za-z]+)(?:\s[^<>]*)?/?>")
+_LINK = re.compile(r"\[((?:\[[^\[\]]*\]|[^\[\]])*)\]\(([^)]*)\)")
+_ANCHOR = re.compile(r'<a\s+href="([^"]*)"\s*>(.*?)</a>', re.S)
+_HALF_LINK = re.compile(r"(?P<text>[^\[\]\n|]+?)\]\((?P<token>@@\d+@@)\)")
+_LIST_MARK = re.compile(r"\s*(?:\d+\.|[-*•])\s+")
+_ORPHAN = re.compile(r"\]\(@@\d+@@\)|@@\d+@@")
+_HREF = re.compile(r'href="([^"]*)"')
+_TAG = re.compile(r"<(/?)(\w[\w-]*)(?:\s[^>]*)?>")
+MESSAGE_TAGS = frozenset("b i u s a code pre".split())
 _TITLE_NOISE = re.compile(r"[\s*\[\]`_]")
 
 
@@ -50,52 +57,67 @@ def first_text(text: str) -> str:
     return next((v for v in value.values() if isinstance(v, str)), text) if isinstance(value, dict) else text
 
 
+def _with_brackets(line: str) -> str:
+    """A line whose link lost its opening bracket gets it back: at the text after the mark of a list row, or of a table cell."""
+    mark = _LIST_MARK.match(line)
+    starts = [mark.end()] if mark else []
+    starts += [m.end() for m in re.finditer(r"\|\s*", line)]
+    for start in starts:
+        m = _HALF_LINK.match(line, start)
+        if m:
+            return f"{line[:start]}[{m['text']}]({m['token']}){line[m.end():]}"
+    return line
+
+
 def filled_links(text: str, urls: dict[int, str]) -> str:
-    """Markdown links to @@id@@ get their address; a missing opening bracket at the start of a list row is restored first."""
-    text = re.sub(r"(?m)^(\s*[-*]\s+)(?!\[)([^\[\]\n]+\]\(@@\d+@@\))", r"\1[\2", text)
-    return re.sub(r"(?<=\]\()@@(\d+)@@(?=\))", lambda m: urls.get(int(m[1]), m[0]), text)
+    """Markdown links to @@id@@ get the address of the id, after missing opening brackets are restored; ids without an
+    address stay."""
+    def fill(m: re.Match) -> str:
+        token = _TOKEN.fullmatch(m[2].strip())
+        url = urls.get(int(token[1])) if token else None
+        return f"[{m[1]}]({url})" if url else m[0]
 
+    return _LINK.sub(fill, "\n".join(_with_brackets(line) for line in text.split("\n")))
 
-def without_dead_links(text: str) -> tuple[str, int]:
-    """Links without a web address become their text, left-over tokens go; with the number of both."""
-    n = 0
 
-    def unlink(m: re.Match) -> str:
-        nonlocal n
-        if m[2].startswith(("http://", "https://")):
-            return m[0]
-        n += 1
-        return m[1]
+def filled_anchors(text: str, urls: dict[int, str]) -> str:
+    """href="@@id@@" gets the address of the id; ids without an address stay."""
+    def fill(m: re.Match) -> str:
+        token = _TOKEN.fullmatch(m[1].strip())
+        url = urls.get(int(token[1])) if token else None
+        return f'href="{url}"' if url else m[0]
 
-    text = _LINK.sub(unlink, text)
-    text, orphans = re.subn(r"\(?@@\d+@@\)?", "", text)
-    return text, n + orphans
+    return _HREF.sub(fill, text)
 
 
-def without_dead_anchors(text: str) -> tuple[str, int]:
-    n = 0
+def _is_web(address: str) -> bool:
+    return address.startswith(("http://", "https://"))
 
-    def unwrap(m: re.Match) -> str:
-        nonlocal n
-        if m[1].startswith(("http://", "https://")):
-            return m[0]
-        n += 1
-        return m[2]
 
-    return _ANCHOR.sub(unwrap, text), n
+def without_dead_links(text: str) -> tuple[str, int]:
+    """Links without a web address become their text, then left-over place holders go, with their bracket; with the number of both."""
+    dead = sum(not _is_web(m[2]) for m in _LINK.finditer(text))
+    text, orphans = _ORPHAN.subn("", _LINK.sub(lambda m: m[0] if _is_web(m[2]) else m[1], text))
+    return text, dead + orphans
+
+
+def without_dead_anchors(text: str) -> tuple[str, int]:
+    dead = sum(not _is_web(m[1]) for m in _ANCHOR.finditer(text))
+    return _ANCHOR.sub(lambda m: m[0] if _is_web(m[1]) else m[2], text), dead
 
 
 def closed(text: str) -> str:
-    """Close the tags left open, the innermost first."""
+    """Close the tags of a message left open, the innermost first. Other tags don't count, and a closing tag that isn't the
+    innermost open one's closes nothing."""
     open_tags: list[str] = []
     for m in _TAG.finditer(text):
-        name = m[1].lower()
-        if m[0].startswith("</"):
-            if name in open_tags:
-                while open_tags.pop() != name:
-                    pass
-        elif not m[0].endswith("/>"):
+        name = m[2].lower()
+        if name not in MESSAGE_TAGS:
+            continue
+        if not m[1]:
             open_tags.append(name)
+        elif open_tags[-1:] == [name]:
+            open_tags.pop()
     return text + "".join(f"</{t}>" for t in reversed(open_tags))
 
 

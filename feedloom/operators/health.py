@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from feedloom.functions import scalars as S
 
 
+def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null, with the keys of the left side; right's other columns must be new."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(named, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how).drop(*[f"_r_{k}" for k in keys])
+
+
 def recent(df: DataFrame, keys: list[str], day: str, window: int) -> DataFrame:
     """Rows of the last `window` calendar days up to the latest day of each key."""
     latest = df.groupBy(*keys).agg(F.max(day).alias("_latest")) if keys else df.agg(F.max(day).alias("_latest"))
-    joined = df.join(latest, keys) if keys else df.join(F.broadcast(latest))  # one row
+    joined = same(df, latest, keys) if keys else df.join(F.broadcast(latest))  # one row
     return joined.where((F.datediff("_latest", day) < window) & (F.datediff("_latest", day) >= 0)).drop("_latest")
 
 
@@ -34,7 +40,8 @@ def chronic(outcomes: DataFrame, entity: str = "edition", window: int = 7, thres
     days = near.groupBy(entity).agg(F.count_distinct("day").alias("window_days"))
     failed = near.where("outcome <> 'ok'")
     counts = failed.groupBy(entity, "subject").agg(F.count(F.lit(1)).alias("failures")).where(F.col("failures") >= threshold)
-    return counts.join(most_common(failed, [entity, "subject"], "outcome", "day").select(entity, "subject", F.col("outcome").alias("dominant")), [entity, "subject"]).join(days, entity)
+    worst = most_common(failed, [entity, "subject"], "outcome", "day").select(entity, "subject", F.col("outcome").alias("dominant"))
+    return same(same(counts, worst, [entity, "subject"]), days, [entity])
 
 
 def streak(days: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
@@ -58,7 +65,7 @@ def saturation(scores: DataFrame, entity: str, window: int = 30, least_rows: int
     near = recent(scores.where("overall is not null"), [entity], "day", window)
     bins = near.groupBy(entity, F.format_string("%.1f", "overall").alias("bin")).agg(F.count(F.lit(1)).alias("c")).groupBy(entity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bin", "c")))).alias("histogram"))
     out = near.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.col("overall") >= high) / F.count(F.lit(1)), 4).alias("share_high"), F.min("overall").alias("low"), F.max("overall").alias("top"))
-    return out.where((F.col("n") >= least_rows) & (F.col("share_high") >= share)).join(bins, entity)
+    return same(out.where((F.col("n") >= least_rows) & (F.col("share_high") >= share)), bins, [entity])
 
 
 def share_of_total(df: DataFrame, key: str) -> DataFrame:
@@ -87,22 +94,34 @@ def usage_levels(ledger: DataFrame) -> DataFrame:
     return ledger.groupingSets([[], [F.col("step")], [F.col("model")]], F.col("step"), F.col("model")).agg(*usage_sums(), F.grouping_id().alias("level"))
 
 
-def merged_by(old: DataFrame, new: DataFrame, keys: list[str], keep_old: Column | None = None) -> DataFrame:
-    """Rows of both by key, the new one first, unless keep_old holds of the new one and an old one exists."""
-    rest = [c for c in old.columns if c not in keys]
-    a, b = old.select(*keys, F.struct(*rest).alias("_a")), new.select(*keys, F.struct(*rest).alias("_b"))
-    stay = F.col("_b").isNull() if keep_old is None else F.col("_b").isNull() | (F.col("_a").isNotNull() & keep_old)
-    return a.join(b, keys, "full").select(*keys, F.when(stay, F.col("_a")).otherwise(F.col("_b")).alias("_x")).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in rest])
-
-
 def run_status(results: DataFrame, keys: list[str], sources: list[str]) -> DataFrame:
-    """(keys..., status) from (keys..., subject, ok): failed if fewer than two of its sources are ok, success if all is."""
+    """(keys..., status) from (keys..., subject, ok), one row per subject; rows with a null subject stand for a run without
+    results: unknown if that is all, failed if fewer than two of its sources are ok, success if all is, else partial."""
     is_source = F.col("subject").isin(sources)
-    agg = results.groupBy(*keys).agg(F.count_if(is_source).alias("_s"), F.count_if(is_source & F.col("ok")).alias("_o"), F.bool_and("ok").alias("_all"))
-    status = F.when((F.col("_s") > 0) & (F.col("_o") < 2), "failed").when(F.col("_all"), "success").otherwise("partial")
+    agg = results.groupBy(*keys).agg(F.count("subject").alias("_n"), F.count_if(is_source).alias("_s"), F.count_if(is_source & F.col("ok")).alias("_o"), F.bool_and("ok").alias("_all"))
+    status = F.when(F.col("_n") == 0, "unknown").when((F.col("_s") > 0) & (F.col("_o") < 2), "failed").when(F.col("_all"), "success").otherwise("partial")
     return agg.select(*keys, status.alias("status"))
 
 
+# Subjects of a day and the step whose alert concerns them; an alert of the gate concerns publishing.
+ALERT_STEPS = {"hatena": "hatena", "hn": "hn", "reddit": "reddit", "security_blogs": "security_blogs", "rss": "rss", "telegram": "notify", "vault": "save", "deploy": "deploy"}
+GATE = "invariants"
+
+
+def observed(days: DataFrame, alerts: DataFrame, artifacts: DataFrame, day: str = "run_date") -> DataFrame:
+    """(day, subject, outcome) of each day in days: the class of the subject's alert, else ok if its artifact is there; no row
+    without either. alerts (day, step, error; error null for an alert without text: other), one per step; artifacts (day,
+    subject). Where the gate stopped a day, publishing failed by it whatever else is there."""
+    subjects = F.array(*[F.struct(F.lit(k).alias("subject"), F.lit(v).alias("step")) for k, v in ALERT_STEPS.items()])
+    rows = days.select(day).distinct().select(day, F.explode(subjects).alias("_s")).select(day, "_s.subject", "_s.step")
+    told = alerts.select(day, "step", S.classify_error(F.col("error")).alias("_class"))
+    stopped = alerts.where(F.col("step") == GATE).select(day, F.lit("deploy").alias("subject"), F.lit(True).alias("_stopped"))
+    there = artifacts.select(day, "subject").distinct().withColumn("_there", F.lit(True))
+    out = rows.join(told, [day, "step"], "left").join(there, [day, "subject"], "left").join(stopped, [day, "subject"], "left")
+    outcome = F.when(F.col("_stopped"), "invariant").otherwise(F.coalesce("_class", F.when(F.col("_there"), "ok")))
+    return out.select(day, "subject", outcome.alias("outcome")).where("outcome is not null")
+
+
 def runs(histories: dict[str, DataFrame], day: str = "run_date") -> DataFrame:
     """One row per day of any history, with a struct per history (null where it has none) and absent days between.
 
@@ -123,11 +142,75 @@ def runs(histories: dict[str, DataFrame], day: str = "run_date") -> DataFrame:
 
 def cooled(findings: DataFrame, state: DataFrame, today: Column, days: int = 7) -> DataFrame:
     """Findings never reported, or not within the last `days`: state has (subject, last)."""
-    joined = findings.join(state, "subject", "left")
+    joined = same(findings, state.select("subject", "last"), ["subject"], "left")
     return joined.where(F.col("last").isNull() | (F.datediff(today, "last") >= days)).drop("last")
 
 
-def alert_reasons(dims: list[str], overall: str = "overall") -> Column:
-    """Names of dimensions below 3, and 'overall' where it lies in (0, 3.5), joined."""
-    parts = [F.when(F.col(d) < 3.0, F.lit(d)) for d in dims] + [F.when((F.col(overall) > 0) & (F.col(overall) < 3.5), F.lit(overall))]
-    return F.array_join(F.array_compact(F.array(*parts)), "；")
+def reported(state: DataFrame, subjects: DataFrame, today: Column) -> DataFrame:
+    """State (subject, last) after the subjects were reported today."""
+    now = subjects.select("subject").distinct().withColumn("last", today)
+    return state.join(now, state["subject"].eqNullSafe(now["subject"]), "left_anti").select("subject", "last").unionByName(now)
+
+
+def absent_days(days: DataFrame, today: Column, day: str = "day") -> DataFrame:
+    """(day): days without a record from the first recorded one to the day before today; from gaps, not from a full spine."""
+    w = Window.orderBy(day)
+    steps = days.where(F.col(day).isNotNull() & (F.col(day) < today)).select(day).distinct().withColumn("_next", F.coalesce(F.lead(day).over(w), today))
+    return steps.where(F.datediff("_next", day) > 1).select(F.explode(F.sequence(F.date_add(F.col(day), 1), F.date_sub("_next", 1))).alias(day))
+
+
+def escalated(history: DataFrame, results: DataFrame, state: DataFrame, today: Column, window: int = 7, threshold: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One day observed: (history, findings to report, absent days to report, state), all to be written.
+
+    history (day, subject, outcome) with the day's results in place of what it had; nothing observed leaves all as it is. Then
+    chronic failures not reported within the window, and a stretch of absent days not reported before, known by its last day.
+    """
+    fresh = results.select(today.alias("day"), "subject", "outcome")
+    any_result = fresh.select(F.lit(True).alias("_any")).limit(1)
+    kept = history.join(any_result.withColumn("day", today), "day", "left").where("_any is null").select("day", "subject", "outcome")
+    after = kept.unionByName(fresh)
+    found = chronic(after.withColumns({"edition": F.lit(""), "ok": F.col("outcome") == "ok"}), "edition", window, threshold).drop("edition").join(F.broadcast(any_result)).drop("_any")  # one row
+    new = cooled(found, state, today, window)
+    gaps = absent_days(after, today).join(F.broadcast(any_result)).drop("_any")
+    mark = gaps.agg(F.max("day").alias("_z")).where("_z is not null").select(F.concat(F.lit("absent:"), F.date_format("_z", "yyyy-MM-dd")).alias("subject"))
+    unseen = mark.join(state.select("subject"), "subject", "left_anti")
+    told = gaps.join(F.broadcast(unseen.withColumn("_new", F.lit(True)))).select("day")  # one row
+    return after, new, told, reported(state, new.select("subject").unionByName(unseen), today)
+
+
+def source_rates(outcomes: DataFrame, since: dict[str, str], keys: list[str] = ()) -> DataFrame:
+    """(keys..., subject, ok, total, rate) over all days; a subject in since only counts from that day on (rows without a
+    day don't count for it)."""
+    rows = outcomes
+    for subject, first in since.items():
+        rows = rows.where((F.col("subject") != subject) | F.coalesce(F.col("day") >= F.lit(first).cast("date"), F.lit(False)))
+    return success_rates(rows, [*keys, "subject"])
+
+
+def system_status(scores: DataFrame, outcomes: DataFrame, entity: str, since: dict[str, str]) -> DataFrame:
+    """(entity, streak_days, series, rates): days in a row up to the last with a record (0 of none), scores by day, and
+    (subject, rate, ok, total) by name; an entity with none of them has no row."""
+    days = streak(outcomes.where("day is not null"), [entity])
+    valid = scores.where("day is not null and overall is not null")
+    series = valid.groupBy(entity).agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "overall"))), lambda x: x["overall"]).alias("series"))
+    rates = source_rates(outcomes, since, [entity]).groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("subject", "rate", "ok", "total"))).alias("rates"))
+    every = days.select(entity).unionByName(series.select(entity)).unionByName(rates.select(entity)).distinct()
+    out = same(same(same(every, days, [entity], "left"), series, [entity], "left"), rates, [entity], "left")
+    return out.select(entity, F.coalesce("streak_days", F.lit(0)).alias("streak_days"), F.coalesce("series", F.array().cast("array<double>")).alias("series"), "rates")
+
+
+# What may help against a class of failures is text of the caller; words of the messages.
+def escalation_text(findings: DataFrame, today: Column, advice: dict[str, str]) -> DataFrame:
+    """(message): the chronic findings of a day, by subject."""
+    says = F.create_map(*[F.lit(x) for pair in advice.items() for x in pair]) if advice else F.create_map(F.lit(""), F.lit(""))
+    line = F.concat(F.lit("• <b>"), F.col("subject"), F.lit("</b>：近 "), F.col("window_days").cast("string"), F.lit(" 天失敗 "), F.col("failures").cast("string"), F.lit(" 次（主要："), F.col("dominant"), F.lit("）\n  ↳ "), F.coalesce(F.try_element_at(says, F.col("dominant")), F.lit("")))
+    rows = findings.groupBy().agg(F.array_sort(F.collect_list(F.struct("subject", line.alias("t")))).alias("_l")).where(F.size("_l") > 0)
+    return rows.select(F.concat(F.lit("⚠️ Daily Brief 慢性故障偵測（"), F.date_format(today, "yyyy-MM-dd"), F.lit("）\n\n"), F.array_join(F.transform("_l", lambda x: x["t"]), "\n")).alias("message"))
+
+
+def absence_text(gaps: DataFrame, today: Column) -> DataFrame:
+    """(message): a stretch of absent days by its ends; no row of none."""
+    d = lambda c: F.date_format(c, "yyyy-MM-dd")
+    ends = gaps.agg(F.min("day").alias("a"), F.max("day").alias("z"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    span = F.when(F.col("n") > 1, F.concat(F.lit("• "), d("a"), F.lit(" ~ "), d("z"))).otherwise(F.concat(F.lit("• "), d("a")))
+    return ends.select(F.concat(F.lit("🕳️ Daily Brief 缺席日偵測（"), d(today), F.lit("）\n\n共 <b>"), F.col("n").cast("string"), F.lit("</b> 天完全沒有產出，健康表不會顯示這些日子：\n"), span).alias("message"))

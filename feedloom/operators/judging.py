@@ -11,7 +11,7 @@ from feedloom.operators.joins import matched_titles
 
 # Dimensions of quality, and violation codes that concern the content.
 DIMENSIONS = ["relevance", "completeness", "faithfulness"]
-CONTENT_CODES = ["leftover_token", "unlinked_row"]
+CONTENT_CODES = ["leftover_token", "unlinked_articles"]
 
 
 def flattened(nested: DataFrame, column: str = "articles") -> DataFrame:
@@ -49,8 +49,8 @@ def quality_reason(alert: Column, reason: Column) -> Column:
     return F.when(F.coalesce(alert, F.lit(False)), F.coalesce(reason, F.lit(""))).otherwise("")
 
 
-def allowed_tags(text: Column, strict: bool = True) -> Column:
-    """Tags other than b, i, u, s, a, code and pre are taken out; strict also takes out `<br/>`."""
+def allowed_tags(text: Column, strict: bool = False) -> Column:
+    """Tags other than b, i, u, s, a, code and pre are taken out; `<br/>` only with strict."""
     tail = r"(?:\s[^>]*|/)?>" if strict else r"(?:\s[^>]*)?>"
     return F.regexp_replace(text, r"(?i)</?(?!(?:b|i|u|s|a|code|pre)(?![\w-]))\w[\w-]*" + tail, "")
 
@@ -71,13 +71,19 @@ def title_index(enriched: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def relinked(lines: DataFrame, index: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, line): unlinked list rows get the one address their title matches; ambiguous and other rows stay."""
-    row = r"^(\s*(?:[-*]|\d+\.)\s+)(.*?)(\s*\([0-9,]+ (?:users|pt|ups)\).*)$"
-    open_rows = lines.where(R.is_unlinked_row(F.col("line")) & F.col("line").rlike(row)).select(key, "pos", F.struct(F.col(key), F.col("pos")).cast("string").alias("line_id"), F.regexp_extract("line", row, 2).alias("title"))
-    urls = matched_titles(open_rows.select("line_id", "title"), index)
-    fixes = open_rows.join(urls, "line_id").where("url is not null").select(key, "pos", "url")
-    linked = F.concat(F.regexp_extract("line", row, 1), F.lit("["), F.regexp_extract("line", row, 2), F.lit("]("), F.col("url"), F.lit(")"), F.regexp_extract("line", row, 3))
-    return lines.join(fixes, [key, "pos"], "left").select(key, "pos", F.when(F.col("url").isNotNull(), linked).otherwise(F.col("line")).alias("line"))
+    """(key, pos, line): unlinked rows of lists, and of tables by their first cell, get the one address their title matches;
+    ambiguous and other rows stay."""
+    listed, cell = rf"(?U)^(\s*(?:\d+\.|[-*•])\s+)(.+?)(\s*{R.POPULAR.removeprefix('(?U)')})", r"^(\s*\|\s*)([^|]+?)(\s*\|)"
+    line = F.col("line")
+    is_list = line.rlike(listed)
+    lead = F.when(is_list, F.regexp_extract("line", listed, 1)).otherwise(F.regexp_extract("line", cell, 1))
+    title = F.when(is_list, S.strip(F.regexp_extract("line", listed, 2))).otherwise(S.strip(F.regexp_replace(F.regexp_extract("line", cell, 2), R.POPULAR, "")))
+    rows = lines.where(R.is_unlinked_row(line) & (is_list | line.rlike(cell))).select(key, "pos", F.struct(F.col(key), F.col("pos")).cast("string").alias("line_id"), title.alias("_title"), F.length(lead).alias("_lead")).where("_title <> ''")
+    urls = matched_titles(rows.select("line_id", F.col("_title").alias("title")), index)
+    fixes = rows.join(urls, "line_id").where("url is not null").select(key, "pos", "url", "_title", "_lead")
+    at = F.expr("locate(_title, line, _lead + 1)")
+    linked = F.concat(F.expr("substring(line, 1, locate(_title, line, _lead + 1) - 1)"), F.lit("["), F.col("_title"), F.lit("]("), F.col("url"), F.lit(")"), F.expr("substring(line, locate(_title, line, _lead + 1) + length(_title))"))
+    return lines.join(fixes, [key, "pos"], "left").select(key, "pos", F.when(F.col("url").isNotNull() & (at > 0), linked).otherwise(line).alias("line"))
 
 
 def gate(violations: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -108,11 +114,41 @@ def new_absences(gaps: DataFrame, notified: DataFrame) -> DataFrame:
     return last.join(notified.select("edition", "day").distinct(), ["edition", "day"], "left_anti")
 
 
-def sparkline(series: DataFrame, key: str, width: float = 100.0) -> DataFrame:
-    """(key, points): 'x,y' per value in order, x evenly spaced over width, y clamped to 0..5 and turned upside down."""
+def sparkline(series: DataFrame, key: str, width: float = 240.0, height: float = 40.0, pad: float = 4.0, top: float = 5.0) -> DataFrame:
+    """(key, points): 'x,y' per value in order inside a padded box: x evenly spaced, a single value in the middle; y of a
+    value clamped to 0..top, high values above."""
     w = Window.partitionBy(key).orderBy("day")
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    x = F.when(n > 1, (F.row_number().over(w) - 1) * width / (n - 1)).otherwise(0.0)
-    y = 5 - F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.col("overall")))
-    points = series.select(key, "day", F.format_string("%.1f,%.1f", x, y).alias("p"))
+    x = F.when(n > 1, (F.row_number().over(w) - 1) / (n - 1) * (width - 2 * pad)).otherwise((width - 2 * pad) / 2)
+    y = (height - 2 * pad) * (1 - F.greatest(F.lit(0.0), F.least(F.lit(top), F.col("overall"))) / top)
+    points = series.select(key, "day", F.concat(S.fixed_text(x + pad), F.lit(","), S.fixed_text(y + pad)).alias("p"))
     return points.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "p"))), lambda s: s["p"]), " ").alias("points"))
+
+
+def judged(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """The judge's reply rebuilt from what is allowed: per dimension of `scores` its score and reasoning (raw JSON; null
+    where the dimension is no object), missed_urls of strings only; whatever else the model says of itself is dropped."""
+    v = F.try_parse_json(reply)
+    part = lambda path, kind: F.try_variant_get(v, path, kind)
+    out = {}
+    for d in DIMENSIONS:
+        one = part(f"$.scores.{d}", "variant")
+        is_object = F.schema_of_variant(one).startswith("OBJECT")
+        out[d] = F.when(is_object, F.struct(F.to_json(part(f"$.scores.{d}.score", "variant")).alias("score"), F.to_json(part(f"$.scores.{d}.reasoning", "variant")).alias("reasoning")))
+    listed = F.coalesce(F.when(F.schema_of_variant(part("$.missed_urls", "variant")).startswith("ARRAY"), part("$.missed_urls", "array<variant>")), F.array().cast("array<variant>"))
+    texts = F.transform(F.filter(listed, lambda u: F.schema_of_variant(u) == "STRING"), lambda u: u.cast("string"))
+    return replies.withColumns({**out, "missed_urls": texts})
+
+
+def alert_reasons(overall: Column, missed: str = "missed_urls") -> Column:
+    """Reasons of a quality alert over columns of judged(): each dimension whose score is a number below 3, completeness with
+    the addresses it missed, and an overall score above 0 and below 3.5; joined, '' if there is none."""
+    urls = F.concat(F.lit("["), F.array_join(F.transform(missed, lambda u: F.concat(F.lit("'"), u, F.lit("'"))), ", "), F.lit("]"))
+    parts = []
+    for d in DIMENSIONS:
+        text = F.col(f"{d}.score")
+        number = F.when(text.rlike(r"^-?[0-9]"), text.try_cast("double"))
+        tail = F.concat(F.lit("，遺漏："), urls) if d == "completeness" else F.lit("")
+        parts.append(F.when(number < 3.0, F.concat(F.lit(f"{d}="), text, tail)))
+    parts.append(F.when((overall > 0) & (overall < 3.5), F.concat(F.lit("overall="), overall.cast("string"))))
+    return F.array_join(F.array_compact(F.array(*parts)), "；")

@@ -128,15 +128,6 @@ def r_s18_latest_day(spark, at):
     return rows.join(F.broadcast(rows.agg(F.max("run_date").alias("run_date"))), "run_date", "left_semi").select("run_date", "digest_id", "title")  # one row
 
 
-@query("""with l as (select doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) as line, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) as pos from documents where text is not null),
-  h as (select *, count(case when regexp_matches(line, '^#{1,6}\\s+.*$') then 1 end) over (partition by doc_id order by pos) as part from l)
-  select doc_id, part::bigint as part, count(*) as lines from h group by 1, 2""")
-def r_s19_sections(spark, at):
-    lines = R.lines_of(table(spark, at, "documents"), "doc_id", "text")
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return lines.withColumn("part", F.count(F.when(F.col("line").rlike(r"^#{1,6}\s+.*$"), 1)).over(w)).groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("lines"))
-
-
 @query(f"""with d as (select *, {DATE} as d from digests), r as (select * from d where d >= (select max(d) - 7 from d))
   select run_date, count(*) as digest_count, array_to_string(list_slice(list(title order by ord, digest_id) filter (title is not null), 1, 10), '|') as themes from r group by 1""")
 def r_s21_recent_briefs(spark, at):
@@ -155,12 +146,6 @@ def r_k2_keyed_upsert(spark, at):
     return A.pick(newer.unionByName(old), ["url"], F.col("article_id"), last=True)
 
 
-@query("select run_date, count(*) as n from dedup_items where try_cast(run_date as date) >= (select max(try_cast(run_date as date)) - 7 from dedup_items) group by 1")
-def r_k4_retention(spark, at):
-    rows = table(spark, at, "dedup_items").withColumn("d", F.col("run_date").try_cast("date"))
-    return rows.join(F.broadcast(rows.agg(F.max("d").alias("today")))).where(F.col("d") >= F.date_sub("today", 7)).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"))  # one row
-
-
 @query("select run_date, string_agg('- ' || coalesce(title, '') || ' ' || coalesce(url, ''), chr(10) order by ord, digest_id) as note from digests group by 1")
 def r_k8_notes(spark, at):
     line = F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("url", F.lit(""))).alias("line")
@@ -239,70 +224,11 @@ def r_p16_valid_url(spark, at):
     return table(spark, at, "articles").select("article_id", S.is_valid_url(F.col("url")).alias("valid"))
 
 
-@query("""select kind, count(*) as n from (select case when regexp_matches(lower(coalesce(url, '')), '(twitter\\.com/|x\\.com/)') then 'twitter'
-  when regexp_matches(lower(coalesce(url, '')), 'news\\.ycombinator\\.com') then 'hn' when regexp_matches(lower(coalesce(url, '')), 'reddit\\.com') then 'reddit' else 'general' end as kind from articles) group by 1""")
-def r_p17_url_class(spark, at):
-    return table(spark, at, "articles").groupBy(S.classify_url(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""select kind, count(*) as n from (select lower(coalesce(text, '')) as t, case when regexp_matches(t, 'timeout|timed out|connection|network|dns|unreachable|ssl') then 'network'
-  when regexp_matches(t, 'http|status|\\b[45][0-9][0-9]\\b') then 'upstream_http' when contains(t, 'empty') then 'empty_llm' when regexp_matches(t, 'json|parse|decode|schema') then 'parse' else 'other' end as kind
-  from documents) group by 1""")
-def r_p18_error_class(spark, at):
-    return table(spark, at, "documents").groupBy(S.classify_error(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(RESULTS + " select edition, subject, day, outcome from outcomes")
 def r_p19_outcomes(spark, at):
     return rolling.daily_results(table(spark, at, "health_history"))
 
 
-@query(RESULTS + f""", last as (select edition, max(day) as day from outcomes group by 1), dim as (select edition, day, unnest({SUBJECTS}) as subject from last)
-  select d.edition, d.day, d.subject, coalesce(o.outcome, 'missing') as outcome from dim d left join outcomes o on d.edition is not distinct from o.edition and d.day = o.day and d.subject = o.subject""")
-def r_p20_observation(spark, at):
-    rows = outcomes(spark, at)
-    dim = rows.groupBy("edition").agg(F.max("day").alias("day")).withColumn("subject", F.explode(F.array(*map(F.lit, SUBJECTS))))
-    a, b = dim.alias("a"), rows.alias("b")
-    same = F.col("a.edition").eqNullSafe(F.col("b.edition")) & (F.col("a.day") == F.col("b.day")) & (F.col("a.subject") == F.col("b.subject"))
-    return a.join(b, same, "left").select("a.edition", "a.day", "a.subject", F.coalesce("b.outcome", F.lit("missing")).alias("outcome"))
-
-
-@query(RESULTS + f""" select edition, day, case when count(*) filter (subject in ({STEPS})) > 0 and count(*) filter (subject in ({STEPS}) and ok) < 2 then 'failed'
-  when bool_and(ok) then 'success' else 'partial' end as status from outcomes group by 1, 2""")
-def r_p21_run_status(spark, at):
-    return H.run_status(outcomes(spark, at), ["edition", "day"], S.FETCH_STEPS)
-
-
-@query("""with d as (select run_date, (count(*) % 6)::double as relevance, (count(distinct source_key) % 7)::double as completeness, (sum(ord) % 5)::double as overall from digests group by 1)
-  select run_date, array_to_string(list_filter([case when relevance < 3 then 'relevance' end, case when completeness < 3 then 'completeness' end, case when overall > 0 and overall < 3.5 then 'overall' end], lambda x: x is not null), '；') as reasons from d""")
-def r_p22_alert_reasons(spark, at):
-    d = table(spark, at, "digests").groupBy("run_date").agg((F.count(F.lit(1)) % 6).cast("double").alias("relevance"), (F.count_distinct("source_key") % 7).cast("double").alias("completeness"), (F.sum("ord") % 5).cast("double").alias("overall"))
-    return d.select("run_date", H.alert_reasons(["relevance", "completeness"]).alias("reasons"))
-
-
-_LINES = "(select doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) as line, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) - 1 as pos from documents where text is not null)"
-
-
-@query(f"""select doc_id, count(*) as rows_found, count(*) filter (not regexp_matches(line, '\\[[^\\]]*\\]\\(https?://')) as unlinked from {_LINES}
-  where regexp_matches(line, '^\\s*(?:[-*]|\\||\\d+\\.)') and regexp_matches(line, '\\([0-9,]+ (?:users|pt|ups)\\)') group by 1""")
-def r_p24_unlinked_rows(spark, at):
-    lines = R.lines_of(table(spark, at, "documents"), "doc_id", "text").where(F.col("line").rlike(R.ROW) & F.col("line").rlike(R.POPULAR))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_found"), F.count_if(R.is_unlinked_row(F.col("line"))).alias("unlinked"))
-
-
-@query()
-def r_p25_check_report(spark, at):
-    """Reports with their link targets taken off, so that rows are unlinked."""
-    lines = R.lines_of(table(spark, at, "documents").withColumn("text", F.regexp_replace("text", r"\]\(https?://[^)\s]*\)", "](@@7@@)")), "doc_id", "text")
-    return R.check_report(lines, "doc_id")
-
-
-@query(f"""with u as (select run_date, sum(total_tokens) as total_tokens from usage_events where model like 'embed%' group by 1),
-  ran as (select distinct run_date from usage_events where step in ('compress', 'digest', 'judge')) select ran.run_date from ran left join u using (run_date) where coalesce(total_tokens, 0) <= 0""")
-def r_p26_ledger_check(spark, at):
-    u = table(spark, at, "usage_events")
-    runs = u.select("run_date", "step", F.lit("ran").alias("status"))
-    return R.ledger_check(runs, u.where("model like 'embed%'").groupBy("run_date").agg(F.sum("total_tokens").alias("total_tokens")), ["compress", "digest", "judge"])
 
 
 @query("""select i % 2 = 1 as a, i // 2 % 2 = 1 as b, i // 4 % 2 = 1 as c, i // 8 = 1 as d, case when not (i % 2 = 1) then case when i // 2 % 2 = 1 then 'LOAD' else 'SKIP' end
@@ -312,14 +238,6 @@ def r_p28_verdict(spark, at):
     return bits.withColumn("verdict", S.run_verdict(*[F.col(n) for n in "abcd"]))
 
 
-@query("""select edition, run_date, recorded_at, case when run_date = (select max(run_date) from health_history where run_date like '2026-0_-__') then 'ok' else results['deploy'] end as deploy from health_history where results is not null""")
-def r_p31_self_published(spark, at):
-    rows = table(spark, at, "health_history").where("results is not null")
-    day = table(spark, at, "health_history").where("run_date like '2026-0_-__'").agg(F.max("run_date").alias("_d"))
-    fixed = F.map_concat(F.map_filter("results", lambda k, v: k != "deploy"), F.create_map(F.lit("deploy"), F.lit("ok")))
-    return rows.join(F.broadcast(day)).withColumn("results", F.when(F.col("run_date") == F.col("_d"), fixed).otherwise(F.col("results"))).select("edition", "run_date", "recorded_at", F.try_element_at("results", F.lit("deploy")).alias("deploy"))  # one row
-
-
 @query(f"""with d as (select run_date, unnest([{STEPS}]) as source_key from (select distinct run_date from articles))
   select d.run_date, d.source_key from d anti join articles a on d.run_date = a.run_date and d.source_key = a.source_key""")
 def r_p32_empty_sources(spark, at):
@@ -371,23 +289,6 @@ def r_j6_kept_first(spark, at):
     return A.pick(rows.select("url", "article_id"), ["url"], F.col("article_id"))
 
 
-_LEDGER = f"""with a as (select article_id, url, run_date, {DATE} as d from articles where url <> ''), f as (select url, d, min(article_id) as first from a where d is not null group by 1, 2),
-  p as (select *, lag(d) over (partition by url order by d) as prev from f),
-  decided as (select a.article_id, a.url, a.run_date, case when a.article_id <> p.first then 'in_batch' when p.prev is not null and a.d - p.prev <= 7 then 'url_seen' else 'kept' end as decision,
-    case when a.article_id <> p.first then a.d when p.prev is not null and a.d - p.prev <= 7 then p.prev end as original_date from a join p on a.url = p.url and a.d = p.d)"""
-
-
-@query(_LEDGER + " select * from decided")
-def r_c1_dedup_ledger(spark, at):
-    return A.ledger(table(spark, at, "articles"))
-
-
-@query(_LEDGER + """ select run_date, count(*) as total, count(*) filter (decision = 'kept') as kept, count(*) filter (decision = 'in_batch') as in_batch,
-  count(*) filter (decision = 'url_seen') as url_seen from decided group by 1""")
-def r_a12_counters(spark, at):
-    return A.counters(A.ledger(table(spark, at, "articles")))
-
-
 _VECTORS = "with v as (select vec_id::bigint as vec_id, embedding::double[] as e from embeddings), q as (select * from v where vec_id % 50 = 0)"
 
 
@@ -402,21 +303,6 @@ def r_t4_nearest(spark, at):
     return V.nearest(*_asked(spark, at), 3)
 
 
-def _unlike(least: float) -> str:
-    return _VECTORS + f""", s as (select q.vec_id as query, v.vec_id as neighbour, list_dot_product(q.e, v.e) as s from q, v where q.vec_id <> v.vec_id),
-  r as (select *, row_number() over (partition by query order by round(s, 10) desc, neighbour) as place from s) select query, round(s, 6) >= {least} as dropped, neighbour, round(s, 6) as similarity from r where place = 1"""
-
-
-@query(_unlike(0.8))
-def r_j8_similar_080(spark, at):
-    return V.unlike(*_asked(spark, at), 0.8)
-
-
-@query(_unlike(0.4))
-def r_j8_similar_040(spark, at):
-    return V.unlike(*_asked(spark, at), 0.4)
-
-
 @query(f"""with u as (select {DATE} as day, count(*) as n from usage_events group by 1), g as (select {DATE} as day, count(*) as n from digests group by 1), e as (select {DATE} as day, count(*) as n from dedup_items group by 1),
   s as (select day from u union select day from g union select day from e), c as (select unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day))::date as day from s)
   select c.day, c.day not in (select day from s where day is not null) as absent, u.n as calls, g.n as digests, e.n as filtered from c left join u on c.day = u.day left join g on c.day = g.day left join e on c.day = e.day""")
@@ -442,29 +328,6 @@ def r_j15_containment(spark, at):
 
 
 _ONCE = "(select * from (select *, row_number() over (partition by event_id order by recorded_at) as k from usage_events) where k = 1)"
-_MERGE = f"""with t as (select run_date, coalesce(nullif(step, ''), 'other') as step, received_at::date = recorded_at::date as prompt_, total_tokens from {_ONCE}),
-  a as (select run_date, step, count(*) as calls, coalesce(sum(total_tokens), 0)::bigint as tokens from t where prompt_ group by 1, 2),
-  b as (select run_date, step, count(*) as calls, coalesce(sum(total_tokens), 0)::bigint as tokens from t where not prompt_ group by 1, 2)"""
-
-
-def _merge_sides(spark, at):
-    t = table(spark, at, "usage_events").dropDuplicates(["event_id"]).select("run_date", S.first_truthy(F.col("step"), default="other").alias("step"), (F.to_date("received_at") == F.to_date("recorded_at")).alias("p"), "total_tokens")
-    agg = lambda df: df.groupBy("run_date", "step").agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"))
-    return agg(t.where("p")), agg(t.where("not p"))
-
-
-@query(_MERGE + " select run_date, step, coalesce(b.calls, a.calls) as calls, coalesce(b.tokens, a.tokens) as tokens from a full join b using (run_date, step)")
-def r_j17_usage_merge(spark, at):
-    """Steps with late calls replace the step's earlier sums."""
-    return H.merged_by(*_merge_sides(spark, at), ["run_date", "step"])
-
-
-@query(_MERGE + " select run_date, step, case when b.calls is null or (a.calls is not null and b.calls < 2) then a.calls else b.calls end as calls, case when b.calls is null or (a.calls is not null and b.calls < 2) then a.tokens else b.tokens end as tokens from a full join b using (run_date, step)")
-def r_j16_run_merge(spark, at):
-    """A fresh step replaces the stored one unless it did nothing (a single call)."""
-    old, new = _merge_sides(spark, at)
-    return H.merged_by(old, new, ["run_date", "step"], keep_old=F.col("_b.calls") < 2)
-
 
 # --- aggregates ---------------------------------------------------------------------------------------------------
 
@@ -510,25 +373,12 @@ def r_a5_source_share(spark, at):
 _RECENT = RESULTS + ", m as (select edition, max(day) as z from outcomes group by 1), near as (select o.* from outcomes o join m on o.edition is not distinct from m.edition where m.z - o.day < 7)"
 
 
-@query(_RECENT + """, c as (select edition, subject, outcome, count(*) as n, min(day) as f from near where not ok group by 1, 2, 3),
-  b as (select *, row_number() over (partition by edition, subject order by n desc, f, outcome) as k, sum(n) over (partition by edition, subject) as failures from c), w as (select edition, count(distinct day) as window_days from near group by 1)
-  select b.edition, subject, failures::bigint as failures, outcome as dominant, window_days from b join w on b.edition is not distinct from w.edition where k = 1 and failures >= 3""")
-def r_a6_chronic(spark, at):
-    return H.chronic(outcomes(spark, at).where("edition is not null"))
-
-
 @query(RESULTS + """, c as (select edition, outcome, count(*) as n, min(day) as f from outcomes where not ok group by 1, 2), b as (select *, row_number() over (partition by edition order by n desc, f, outcome) as k from c)
   select edition, outcome, n from b where k = 1""")
 def r_a7_common_failure(spark, at):
     return H.most_common(outcomes(spark, at).where("not ok"), ["edition"], "outcome", "day")
 
 
-@query(_RECENT + " select edition, subject, count(*) filter (ok) as ok, count(*) as total, round(count(*) filter (ok) / count(*), 4) as rate from near group by 1, 2")
-def r_a8_health_rates(spark, at):
-    rows = outcomes(spark, at)
-    return H.success_rates(H.recent(rows.where("edition is not null"), ["edition"], "day", 7), ["edition", "subject"])
-
-
 @query(RESULTS + " select subject, count(*) filter (ok) as ok, count(*) as total, round(count(*) filter (ok) / count(*), 4) as rate from outcomes where subject <> 'deploy' or day >= date '2026-03-01' group by 1")
 def r_a9_tracked_rates(spark, at):
     """All history; one subject only counts from the day its tracking began."""
@@ -543,13 +393,6 @@ def _overall(spark, at):
     return outcomes(spark, at).groupBy("edition", "day").agg(F.when(F.bool_and("ok"), 5.0).when(ok * 2 >= n, 4.0).otherwise(2.0).alias("overall"))
 
 
-@query(_OVERALL + """, m as (select edition, max(day) as z from s group by 1), near as (select s.* from s join m using (edition) where m.z - day < 30)
-  select edition, count(*) as n, round(count(*) filter (overall >= 4) / count(*), 4) as share_high, min(overall) as low, max(overall) as top,
-    coalesce(nullif(count(*) filter (overall = 5), 0), 0) as fives from near group by 1 having count(*) >= 20 and round(count(*) filter (overall >= 4) / count(*), 4) >= 0.9""")
-def r_a10_saturation(spark, at):
-    return H.saturation(_overall(spark, at).where("edition is not null"), "edition", least_rows=20).select("edition", "n", "share_high", "low", "top", F.coalesce(F.try_element_at("histogram", F.lit("5.0")), F.lit(0)).alias("fives"))
-
-
 @query("""select run_date, array_to_string(list_slice(list(category order by article_id), 1, 10), '|') as themes from (select *, row_number() over (partition by run_date order by article_id) as k from articles where category <> '') where k <= 10 group by 1""")
 def r_a13_themes(spark, at):
     top = A.top_per_group(table(spark, at, "articles").where("category <> ''").select("run_date", "article_id", "category"), ["run_date"], [F.col("article_id")], 10)
@@ -633,13 +476,6 @@ def r_w9_batches(spark, at):
     return table(spark, at, "articles").where("source_key = 'reddit'").select("run_date", F.floor((F.row_number().over(w) - 1) / 25).alias("b")).groupBy("run_date", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_RECENT + """, f as (select subject, max(day) as day from near where not ok group by 1), st as (select subject, min(day) as last from near where not ok group by 1)
-  select f.subject, f.day from f left join st using (subject) where st.last is null or f.day - st.last >= 7""")
-def r_w10_cool_down(spark, at):
-    near = H.recent(outcomes(spark, at).where("edition is not null"), ["edition"], "day", 7).where("not ok")
-    return H.cooled(near.groupBy("subject").agg(F.max("day").alias("day")), near.groupBy("subject").agg(F.min("day").alias("last")), F.col("day"))
-
-
 @query("with r as (select *, row_number() over (partition by url order by article_id desc) as k from articles where url <> '') select url, article_id, run_date from r where k = 1")
 def r_w13_last_wins(spark, at):
     return A.pick(table(spark, at, "articles").where("url <> ''").select("url", "article_id", "run_date"), ["url"], F.col("article_id"), last=True)
@@ -694,12 +530,6 @@ def r_x1_strip_tags(spark, at):
     return table(spark, at, "articles").where("original_description is not null").select("article_id", F.substring(S.strip_tags(F.col("original_description")), 1, 500).alias("text"))
 
 
-@query("""select article_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(comment_summary, 60), '<[^>]+>', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), 'https?://\\S+', '', 'g'), '`+', '', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as text
-  from articles where comment_summary is not null""")
-def r_x2_clean_comment(spark, at):
-    return table(spark, at, "articles").where("comment_summary is not null").select("article_id", S.clean_comment(F.col("comment_summary")).alias("text"))
-
-
 @query()
 def r_x4_dead_links(spark, at):
     got = X.live_links(F.regexp_replace("text", r"https?://[a-m]", "file://"))
@@ -727,29 +557,11 @@ def r_x17_links(spark, at):
     return table(spark, at, "documents").where("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"https?://[^\s)]+"), F.lit(0))).cast("long").alias("links"))
 
 
-@query()
-def r_x19_unescaped(spark, at):
-    return table(spark, at, "articles").where("original_description is not null").select("article_id", X.unescaped("original_description").alias("text"))
-
-
-@query(f"""select doc_id, count(*) filter (regexp_matches(line, '^\\s*(?:[-*+]|\\d+\\.)\\s') and not regexp_matches(prev, '^\\s*(?:[-*+]|\\d+\\.)\\s') and trim(prev) <> '') as breaks from
-  (select *, lag(line) over (partition by doc_id order by pos) as prev from {_LINES}) group by 1""")
-def r_x20_list_breaks(spark, at):
-    lines = R.list_breaks(R.lines_of(table(spark, at, "documents"), "doc_id", "text"), "doc_id")
-    return lines.groupBy("doc_id").agg(F.count_if("break_before").alias("breaks"))
-
-
 @query(f"select edition, recorded_at, {DATE} as strict, case when regexp_full_match(run_date, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') then try_cast(run_date as date) end as loose from health_history")
 def r_x22_dates(spark, at):
     return table(spark, at, "health_history").select("edition", "recorded_at", S.strict_date(F.col("run_date")).alias("strict"), S.loose_date(F.col("run_date")).alias("loose"))
 
 
-@query("select article_id, strftime(fetched_at, '%Y-%m-%dT%H:%M:%S') as iso from articles where fetched_at is not null")
-def r_x23_mail_date(spark, at):
-    mail = F.concat(F.date_format("fetched_at", "E, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
-    return table(spark, at, "articles").where("fetched_at is not null").select("article_id", S.mail_date(mail).alias("iso"))
-
-
 @query("select distinct o_orderdate::date as day, (o_orderdate::date - date '0001-01-01')::bigint + 1 as ordinal from orders")
 def r_x24_ordinals(spark, at):
     return table(spark, at, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", S.day_number(F.col("day")).cast("long").alias("ordinal"))
@@ -797,24 +609,6 @@ def r_a11_overall(spark, at):
     return d.select("run_date", G.overall_mean().alias("overall"))
 
 
-@query()
-def r_c4_gate(spark, at):
-    """Reports with their links off, relinked by the titles of articles, and decided."""
-    docs = table(spark, at, "documents").withColumn("text", F.regexp_replace("text", r"\[([^\]]*)\]\(https?://[^)\s]*\)", "$1"))
-    index = G.title_index(table(spark, at, "articles"), table(spark, at, "digests"))
-    return G.checked(R.lines_of(docs.select("doc_id", "text"), "doc_id", "text"), index)
-
-
-@query()
-def r_x10_allowed_tags(spark, at):
-    return table(spark, at, "articles").where("original_description is not null").select("article_id", G.allowed_tags(F.col("original_description")).alias("text"))
-
-
-@query()
-def r_w12_sparkline(spark, at):
-    return G.sparkline(_overall(spark, at), "edition")
-
-
 @query("select run_date, digest_id from digests d where not exists (select 1 from dedup_items i where i.run_date = d.run_date and i.url = d.url)")
 def r_k10_undelivered(spark, at):
     messages = table(spark, at, "digests").select("run_date", F.col("url").alias("message_id"), "digest_id")
@@ -824,25 +618,6 @@ def r_k10_undelivered(spark, at):
 
 # --- composites, seams and streams --------------------------------------------------------------------------------
 
-@query(RESULTS + """, r as (select edition, day, count(*) as steps, count(*) filter (ok) as ok from outcomes group by 1, 2) select edition, count(*) as runs, sum(steps)::bigint as steps, max(day) as latest, round(sum(ok) / sum(steps), 4) as rate from r group by 1""")
-def r_c8_status(spark, at):
-    r = outcomes(spark, at).groupBy("edition", "day").agg(F.count(F.lit(1)).alias("steps"), F.count_if("ok").alias("ok"))
-    return r.groupBy("edition").agg(F.count(F.lit(1)).alias("runs"), F.sum("steps").alias("steps"), F.max("day").alias("latest"), F.round(F.sum("ok") / F.sum("steps"), 4).alias("rate"))
-
-
-@query("""with r as (select edition, run_date, step, arg_max(total_tokens, recorded_at) as last_tokens, count(*) as n from usage_events where step <> '' and total_tokens is not null group by 1, 2, 3) select edition, run_date, step, last_tokens, n from r where n = 1""")
-def r_c9_run_ledger(spark, at):
-    r = table(spark, at, "usage_events").where("step <> '' and total_tokens is not null").groupBy("edition", "run_date", "step").agg(F.max_by("total_tokens", "recorded_at").alias("last_tokens"), F.count(F.lit(1)).alias("n"))
-    return r.where("n = 1")
-
-
-@query(_RECENT + " select edition, 'chronic: ' || string_agg(subject || ' x' || n, ', ' order by subject) as message from (select edition, subject, count(*) as n from near where not ok group by 1, 2 having count(*) >= 3) group by 1")
-def r_c14_escalations(spark, at):
-    found = H.chronic(outcomes(spark, at).where("edition is not null"))
-    line = F.concat("subject", F.lit(" x"), F.col("failures").cast("string"))
-    return found.groupBy("edition").agg(F.concat(F.lit("chronic: "), F.array_join(F.array_sort(F.collect_list(line)), ", ")).alias("message"))
-
-
 @query("select doc_id, left(split_part(text, '.', 1), 200) as value from documents where text is not null")
 def r_d1_model_seam(spark, at):
     """The model seam with its deterministic stand-in."""
@@ -850,13 +625,26 @@ def r_d1_model_seam(spark, at):
     return rows.select("doc_id", F.col("r.value").alias("value"))
 
 
-@query()
-def r_r3_daily_stream(spark, at):
-    """Closed daily windows of the events stream, one pass over what is there."""
+def _closed_windows(spark, at, **windows):
     work = Workspace(spark, "stream")
     schema = table(spark, at, "events").schema
     folder = f"{work.path}/in"
     table(spark, at, "events").repartition(4).write.parquet(folder)
-    counts = daily.daily_counts(daily.stream(spark, folder, schema), ["event_type"], late="1 day")
+    counts = daily.daily_counts(daily.stream(spark, folder, schema), ["event_type"], late="1 day", **windows)
     counts.writeStream.format("parquet").option("path", f"{work.path}/out").option("checkpointLocation", f"{work.path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{work.path}/out")
+    return spark.read.schema(counts.schema).parquet(f"{work.path}/out").select(F.date_format("start", "yyyy-MM-dd").alias("first_day"), "event_type", "n")
+
+
+@query("select strftime(d, '%Y-%m-%d') as first_day, event_type, count(*) as n from (select date_trunc('day', ts) as d, event_type from events) where d + interval 1 day <= (select max(ts) - interval 1 day from events) group by 1, 2")
+def r_r3_daily_stream(spark, at):
+    """Closed daily windows of the events stream, one pass over what is there."""
+    return _closed_windows(spark, at)
+
+
+@query("""select strftime(w, '%Y-%m-%d') as first_day, event_type, count(*) as n from (select date_trunc('day', ts) - to_days(k::int) as w, event_type from events, range(7) t(k)) where w + interval 7 day <= (select max(ts) - interval 1 day from events) group by 1, 2""")
+def r_r3_sliding_stream(spark, at):
+    """Closed windows of seven days, one beginning every day."""
+    return _closed_windows(spark, at, days="7 days", slide="1 day")
+
+
+from feedloom import queries_reports, queries_state  # noqa: E402, F401  (they register themselves here)

@@ -1,22 +1,26 @@
-"""Feeds and pages as rows: RSS 2.0, RDF and Atom, comment trees, front pages. A feed that fails is one error row."""
+"""Feeds and pages as rows: RSS 2.0, RDF and Atom, comment trees, front pages. A feed that fails is one error row.
+
+Element names, header names and the page patterns here are fixed values of the formats read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import scalars as S
 from feedloom.functions.texts import unescaped
+from feedloom.operators.reports import LINE_END
 
 _RSS_ITEM = "struct<title:string,link:string,description:string,pubDate:string,bookmarkcount:string>"
 _RSS = f"channel struct<item:array<{_RSS_ITEM}>>, item array<{_RSS_ITEM}>"
 _ATOM = "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,summary:string,content:struct<_VALUE:string>,updated:string>>"
 
 
-def rss_items(feeds: DataFrame, body: str = "body", cap: int = 200, per_feed: int | None = None) -> DataFrame:
+def rss_items(feeds: DataFrame, body: str = "body", cap: int = 200, per_feed: int | None = None, tags: bool = True) -> DataFrame:
     """(source, ord, title, url, description, published, bookmarks, error): items of RSS 2.0 or RDF; Atom where there are none.
 
-    Bookmarks that are no number count 0; a feed without items that can't be read gives one row with its error.
+    Descriptions lose their tags unless tags is false. Bookmarks that are no number count 0; a feed without items that can't be read gives one row with its error.
     """
     options = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
     parsed = feeds.withColumns({"_r": F.from_xml(F.col(body), _RSS, options), "_a": F.from_xml(F.col(body), _ATOM, options)})
@@ -29,16 +33,77 @@ def rss_items(feeds: DataFrame, body: str = "body", cap: int = 200, per_feed: in
         items = items.withColumn("_items", F.slice("_items", 1, per_feed))
     good = items.select("source", F.posexplode("_items").alias("ord", "i"))
     rows = good.select("source", "ord", F.coalesce("i.title", F.lit("")).alias("title"), S.strip(F.coalesce("i.link", F.lit(""))).alias("url"),
-                       F.substring(S.strip_tags(F.coalesce("i.description", F.lit(""))), 1, cap).alias("description"), S.mail_date(F.col("i.pubDate")).alias("published"),
+                       F.substring(S.strip_tags(F.coalesce("i.description", F.lit(""))) if tags else F.coalesce("i.description", F.lit("")), 1, cap).alias("description"), S.mail_date(F.col("i.pubDate")).alias("published"),
                        S.coerce_int(F.col("i.bookmarkcount")).alias("bookmarks"), F.lit(None).cast("string").alias("error"))
     bad = items.where("_items is null").select("source", F.lit(0).alias("ord"), F.lit("").alias("title"), F.lit("").alias("url"), F.lit("").alias("description"), F.lit(None).cast("string").alias("published"), F.lit(0).cast("long").alias("bookmarks"), F.lit("no items").alias("error"))
     return rows.unionByName(bad)
 
 
 def linked_entries(entries: DataFrame) -> DataFrame:
-    """Entries of a link aggregator: the address behind the '[link]' anchor of the content, unescaped once more."""
-    plain = unescaped(F.col("content"))
-    return entries.withColumn("orig_url", F.regexp_extract(plain, r'<a href="([^"]+)">\[link\]', 1)).withColumns({"score": F.lit(0), "num_comments": F.lit(0)})
+    """Entries (url, content, ...) of a link aggregator: orig_url is the address behind '[link]' in the content, unescaped once
+    more; an entry without one is a discussion, whose own address it is. Such feeds have no counts: 0."""
+    behind = F.regexp_extract(unescaped(F.coalesce("content", F.lit(""))), r'href="([^"]+)">\[link\]', 1)
+    return entries.withColumns({"orig_url": S.first_truthy(behind, F.col("url"), default=""), "score": F.lit(0), "num_comments": F.lit(0)})
+
+
+def configured_items(feeds: DataFrame, config: DataFrame, body: str = "body", most: int = 20) -> DataFrame:
+    """(source, category, ord, title, url, description, published) of configured feeds: config has name, url, category and
+    max_items, each of which may be null; feeds has url and body.
+
+    Entries without an address of the feed are skipped, and so are feeds that can't be read or are missing. Descriptions have
+    their tags off, are cut at 500 characters and then stripped.
+    """
+    wanted = config.where(F.coalesce("url", F.lit("")) != "").select("url", F.coalesce("name", F.lit("Unknown")).alias("_name"), F.coalesce("category", F.lit("Tech")).alias("category"), F.coalesce("max_items", F.lit(most)).alias("_most"))
+    bodies = wanted.join(feeds.select("url", body), "url").select(F.concat_ws("\x1f", "url", "_name").alias("source"), F.col(body).alias("body"))
+    rows = rss_items(bodies, "body", cap=500).where("error is null")
+    at = F.split("source", "\x1f")
+    named = rows.select(at[0].alias("_feed"), at[1].alias("source"), "ord", S.strip(F.col("title")).alias("title"), F.col("url"), S.strip(F.col("description")).alias("description"), F.coalesce("published", F.lit("")).alias("published"))
+    limits = wanted.select(F.col("url").alias("_feed"), F.col("_name").alias("source"), "category", "_most")
+    return named.join(limits, ["_feed", "source"]).where("ord < _most").drop("_feed", "_most")
+
+
+def paced(responses: DataFrame, group: str, buffer: float = 2.0, most: float = 70.0, tries: int = 2) -> DataFrame:
+    """(group, ord, attempt, waited, status, used) of requests made one after another: responses has (group, ord, attempt,
+    raw). Each waits for the reset the last answer named plus a buffer, at most so long; an answer that isn't 200 (or has no
+    status line) is asked for again, tries times in all; used marks the answer that counts.
+
+    A request only waits for the one before it, so the chain is a window over the requests of one group.
+    """
+    parts = response_parts(responses)
+    good = F.col("status").isNull() | (F.col("status") == 200)
+    first = F.min(F.when(good, F.col("attempt"))).over(Window.partitionBy(group, "ord"))
+    asked = parts.withColumn("_first", first).where((F.col("attempt") < tries) & (F.col("_first").isNull() | (F.col("attempt") <= F.col("_first"))))
+    before = F.lag(F.coalesce(F.col("reset_seconds") + buffer, F.lit(0.0))).over(Window.partitionBy(group).orderBy("ord", "attempt"))
+    return asked.select(group, "ord", "attempt", F.least(F.coalesce(before, F.lit(0.0)), F.lit(most)).alias("waited"), "status", good.alias("used"))
+
+
+def language_sections(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, lang, body): the parts of a bilingual text by its markers, stripped; what stands before the first marker is no
+    part, and of a language marked twice the last part counts."""
+    marker = r"(?i)<!--\s*lang:(zh|en)\s*-->"
+    pieces = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), LINE_END)).alias("pos", "line"))
+    lang = F.when(F.col("line").rlike(marker), F.lower(F.regexp_extract("line", marker, 1)))
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = pieces.withColumns({"_n": F.count(lang).over(w), "_lang": F.last(lang, ignorenulls=True).over(w), "_mark": lang.isNotNull()}).where("_n > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_mark"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
+    whole = parts.groupBy(key, "_lang", "_n").agg(S.strip(body).alias("body"))
+    return whole.groupBy(key, F.col("_lang").alias("lang")).agg(F.max_by("body", "_n").alias("body"))
+
+
+def published_histories(files: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(name, body): history files (name, body) under the name they are published by; only those that are JSON lists."""
+    to = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    listed = F.coalesce(F.schema_of_variant(F.try_parse_json("body")).startswith("ARRAY"), F.lit(False))
+    return files.where(listed).select(F.try_element_at(to, F.col("name")).alias("name"), "body").where("name is not null")
+
+
+def alerts_of(files: DataFrame, key: str) -> DataFrame:
+    """(key, step, error) of alert files (key, body): an object of steps, each with an object that has an error, or of older
+    form with a bare text, whose error is unknown (null). Files that are no objects have no alerts."""
+    v = F.try_parse_json("body")
+    steps = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>"))
+    rows = files.select(key, F.explode(steps).alias("step", "_v"))
+    return rows.select(key, "step", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.coalesce(F.try_variant_get("_v", "$.error", "string"), F.lit(""))).alias("error"))
 
 
 def top_comments(trees: DataFrame, children: str = "children", top: int = 10, cap: int = 300, tags: bool = True) -> DataFrame:
@@ -67,8 +132,10 @@ def front_page(pages: DataFrame) -> DataFrame:
 
 
 def response_parts(raw: DataFrame) -> DataFrame:
-    """(status, reset_seconds, body) of a raw response with headers, header names in any case."""
-    head = F.regexp_extract("raw", r"(?s)^(.*?)\r?\n\r?\n", 1)
-    return raw.withColumns({
-        "status": F.regexp_extract(head, r"^HTTP/\S+ (\d+)", 1).try_cast("int"), "reset_seconds": F.regexp_extract(head, r"(?im)^x-ratelimit-reset:\s*([0-9.]+)", 1).try_cast("double"),
-        "body": F.regexp_replace("raw", r"(?s)^.*?\r?\n\r?\n", "")})
+    """(status, reset_seconds, body) of a raw response with headers, header names in any case; all of it is the body where it
+    has no status line."""
+    status = F.regexp_extract("raw", r"HTTP/\S+\s+(\d{3})", 1).try_cast("int")
+    head = F.regexp_extract("raw", r"(?s)^(.*?)(?:\r?\n\r?\n|$)", 1)
+    reset = F.regexp_extract(head, r"(?im)^x-ratelimit-reset:\s*([0-9.]+)", 1).try_cast("double")
+    rest = F.when(F.col("raw").rlike(r"\r?\n\r?\n"), F.regexp_replace("raw", r"(?s)\A.*?\r?\n\r?\n", "")).otherwise("")
+    return raw.withColumns({"status": status, "reset_seconds": F.when(status.isNotNull(), reset), "body": F.when(status.isNull(), F.col("raw")).otherwise(rest)})

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
-from feedloom.operators.tables import replace_days
+from feedloom.operators.tables import replace_days, upserted
+from feedloom.runtime import cut
 
 
 def stream(spark: SparkSession, path: str, schema, event_time: str = "ts") -> DataFrame:
@@ -25,9 +27,21 @@ def first_seen(events: DataFrame, keys: list[str], event_time: str = "ts", withi
     return events.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_days(events: DataFrame, path: str, checkpoint: str, day: str = "run_date") -> StreamingQuery:
-    """Every micro-batch replaces the days it holds, so a day that is run again overwrites its rows."""
-    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: replace_days(df, path, day)).start()
+def upsert_days(events: DataFrame, path: str, checkpoint: str, keys: list[str], day: str = "run_date") -> StreamingQuery:
+    """Every micro-batch puts its rows (the last of a key by order of arrival doesn't matter: keys are unique in a batch, else
+    one is kept) in place of stored rows of the same day and keys. Other rows of a day stay, so a day may come in parts, and a
+    batch or a day that is run again leaves the same table. Only the days of the batch are read and written."""
+    def merge(df: DataFrame, _: int) -> None:
+        spark = df.sparkSession
+        new = cut(df.dropDuplicates([day, *keys]))
+        touched = [r[0] for r in new.select(day).distinct().collect()]  # days of one batch
+        try:
+            old = spark.read.parquet(path).where(F.col(day).isin(touched))
+        except AnalysisException:
+            old = new.limit(0)
+        replace_days(cut(upserted(old.select(*new.columns), new, [day, *keys])), path, day)
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
 
 
 def cool_down(findings: DataFrame, days: int = 7) -> DataFrame:

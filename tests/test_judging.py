@@ -28,8 +28,8 @@ def test_predicates_and_texts(spark):
 
     assert one(G.needs_reconcile(F.lit(2.0), F.lit(3), F.lit(False))) and not one(G.needs_reconcile(F.lit(None).cast("double"), F.lit(3), F.lit(False)))
     assert one(G.quality_reason(F.lit(None).cast("boolean"), F.lit("r"))) == "" and one(G.quality_reason(F.lit(True), F.lit("r"))) == "r"
-    assert one(G.allowed_tags(F.lit("<b>x</b><br/><p class='a'>y</p><bold>"))) == "<b>x</b>y"
-    assert one(G.allowed_tags(F.lit("a<br/>b<br>"), strict=False)) == "a<br/>b"
+    assert one(G.allowed_tags(F.lit("<b>x</b><br/><p class='a'>y</p><bold>"), strict=True)) == "<b>x</b>y"
+    assert one(G.allowed_tags(F.lit("a<br/>b<br>"))) == "a<br/>b"
     assert one(G.unfenced(F.lit("```json\n{}\n```"))) == "{}" and one(G.archive_path(F.lit("2026-01-05"))) == "archive/2026-01/2026-01-05.html"
 
 
@@ -55,4 +55,22 @@ def test_state(spark):
     m = spark.createDataFrame([("d", "1", "x"), ("d", "2", "y")], "run_date string, message_id string, text string")
     assert [r.message_id for r in G.undelivered(m, m.where("message_id = '1'")).collect()] == ["2"]
     series = spark.createDataFrame([("e", dt.date(2026, 1, d), float(v)) for d, v in ((1, 5), (2, 9), (3, -1))], "edition string, day date, overall double")
-    assert G.sparkline(series, "edition").first().points == "0.0,0.0 50.0,0.0 100.0,5.0"
+    assert G.sparkline(series, "edition").first().points == "4.0,4.0 120.0,4.0 236.0,36.0"
+    assert G.sparkline(series.where("overall = 5"), "edition").first().points == "120.0,4.0"
+
+
+def test_judge_whitelist_and_reasons(spark):
+    rows = [
+        (1, '{"scores": {"relevance": {"score": 2, "reasoning": "r", "x": 1}, "completeness": {"score": 2.5}, "faithfulness": {"score": true}}, "missed_urls": ["u", 3, "v"], "quality_alert": false}', 2.2),
+        (2, '{"scores": {"relevance": "no", "faithfulness": {"score": 5}}, "missed_urls": "u"}', 5.0), (3, "[]", 0.0), (4, None, 0.0)]
+    got = {r.k: r for r in G.judged(spark.createDataFrame(rows, "k int, reply string, overall double")).withColumn("why", G.alert_reasons(F.col("overall"))).collect()}
+    assert got[1].relevance.score == "2" and got[1].missed_urls == ["u", "v"] and got[1].why == "relevance=2；completeness=2.5，遺漏：['u', 'v']；overall=2.2"
+    assert got[2].relevance is None and got[2].faithfulness.score == "5" and got[2].missed_urls == [] and got[2].why == ""
+    assert got[3].why == got[4].why == "" and got[4].missed_urls == []
+
+
+def test_table_rows_are_relinked(spark):
+    docs = spark.createDataFrame([(1, "| A long title here (5 pt) | x |\n• A long title here (1,200pt) more\n| other | (3 pt) |")], "doc_id int, text string")
+    index = spark.createDataFrame([("a long title here", "https://h/1")], "title string, url string")
+    got = [r.line for r in G.relinked(R.lines_of(docs, "doc_id", "text"), index).orderBy("pos").collect()]
+    assert got == ["| [A long title here](https://h/1) (5 pt) | x |", "• [A long title here](https://h/1) (1,200pt) more", "| other | (3 pt) |"]

@@ -32,7 +32,8 @@ def test_verdict_truth_table(spark, bits):
     assert one(spark, S.run_verdict(*[F.lit(a) for a in args]), z=1) == stages.verdict(*args)
 
 
-@pytest.mark.parametrize("text,want", [("Connection timed out", "network"), ("HTTP 503", "upstream_http"), ("empty reply", "empty_llm"), ("bad JSON", "parse"), ("boom", "other"), (None, "other")])
+@pytest.mark.parametrize("text,want", [("Connection refused", "network"), ("Errno 111", "network"), ("HTTP Error 503", "upstream_http"), ("urlopen error", "network"), ("parse_llm_json failed on ''", "empty_llm"), ("parse_llm_json failed on x", "parse"), ("bad JSON", "parse"), ("無法解析：空", "empty_llm"),
+    ("Connection timed out", "other"), ("context length 404 tokens", "other"), ("Telegram status False", "other"), ("empty reply", "other"), ("boom", "other"), (None, "other")])
 def test_error_class(spark, text, want):
     assert one(spark, S.classify_error(F.col("t").cast("string")), t=text) == want
 
@@ -40,13 +41,18 @@ def test_error_class(spark, text, want):
 def test_dates_and_formats(spark):
     assert one(spark, S.loose_date(F.lit("2026-1-5")), z=1) == dt.date(2026, 1, 5)
     assert one(spark, S.strict_date(F.lit("2026-1-5")), z=1) is None
-    assert one(spark, S.mail_date(F.lit("Tue, 03 Feb 2026 10:00:00 +0900")), z=1) == "2026-02-03T01:00:00"
-    assert one(spark, S.mail_date(F.lit("soon")), z=1) == "soon"
+    dates = {"Tue, 03 Feb 2026 10:00:00 +0900": "2026-02-03T10:00:00+09:00", "3 feb 2026 9:05 GMT": "2026-02-03T09:05:00+00:00", "Tue, 03 Feb 2026 10:00:00 -0000": "2026-02-03T10:00:00", "Tue, 03 Feb 2026 10:00:00 PDT": "2026-02-03T10:00:00-07:00", "soon": "soon", "31 Feb 2026 10:00 GMT": "31 Feb 2026 10:00 GMT"}
+    assert {d: one(spark, S.mail_date(F.lit(d)), z=1) for d in dates} == dates
     assert one(spark, S.day_number(F.lit("2026-10-17").cast("date")), z=1) == 739906
     assert [one(spark, S.duration_text(F.lit(float(s))), z=1) for s in (0, 59, 3660)] == ["—", "0m", "1:01"]
-    assert [one(spark, S.token_text(F.lit(n)), z=1) for n in (12, 1500, 2_000_000)] == ["12", "1.5K", "2.0M"]
+    assert [one(spark, S.token_text(F.lit(n)), z=1) for n in (12, 1500, 2_000_000)] == ["12", "2K", "2.00M"] and one(spark, S.token_text(F.lit(None).cast("long")), z=1) == "—" and one(spark, S.token_text(F.lit(2500)), z=1) == "2K"
+    assert [one(spark, S.fixed_text(F.lit(x)), z=1) for x in (5.45, 5.25, -0.1, 0.05, 4.0)] == [f"{x:.1f}" for x in (5.45, 5.25, -0.1, 0.05, 4.0)]
+    assert [one(spark, S.safe_path(F.lit(x)), z=1) for x in ("a/./b", "a/../b", "../b", "/b", "a/../../b")] == ["a/b", "b", None, None, None]
     assert one(spark, S.classify_url(F.lit("https://netflix.com/a")), z=1) == "twitter"
     assert one(spark, S.classify_url(F.lit("https://netflix.com/a"), exact_host=True), z=1) == "general"
+    urls = {"https://news.ycombinator.com/": "general", "https://news.ycombinator.com/item?id=3": "hn", "https://www.reddit.com/r/a/": "general", "https://www.reddit.com/r/a/comments/b": "reddit", "https://X.com/a": "general", "https://twitter.com/a": "twitter"}
+    for exact in (False, True):
+        assert {u: one(spark, S.classify_url(F.lit(u), exact), z=1) for u in urls} == urls
 
 
 def test_number_or_null(spark):
@@ -56,9 +62,14 @@ def test_number_or_null(spark):
 
 def test_texts():
     assert X.filled_links("- [a](@@1@@) [b](@@9@@)\n- c](@@2@@)", {1: "u", 2: "v"}) == "- [a](u) [b](@@9@@)\n- [c](v)"
+    assert X.filled_links("2. t](@@1@@) (5 pt)\n• t](@@1@@)\n| x | t](@@2@@) |\nprose](@@1@@)", {1: "u", 2: "v"}) == "2. [t](u) (5 pt)\n• [t](u)\n| x | [t](v) |\nprose](@@1@@)"
+    assert X.filled_links("[t [new]]( @@1@@ )", {1: "u"}) == "[t [new]](u)"
+    assert X.filled_anchors('<a href="@@1@@">x</a> <a href="@@2@@">', {1: "u"}) == '<a href="u">x</a> <a href="@@2@@">'
     assert X.without_dead_links("[a [x]](no) [b](https://h) @@3@@") == ("a [x] [b](https://h) ", 2)
+    assert X.without_dead_links("[a](two words) t](@@3@@) [c](#)") == ("a t c", 3)
     assert X.without_dead_anchors('<a href="x">t</a> <a href="https://h">k</a>') == ('t <a href="https://h">k</a>', 1)
     assert X.closed("<b>x<i>y") == "<b>x<i>y</i></b>" and X.closed("a<br/>") == "a<br/>"
+    assert X.closed("<b><i>x</b>") == "<b><i>x</b></i></b>" and X.closed("<p>x <B>y") == "<p>x <B>y</b>"
     assert X.truncated("<b>" + "x" * 20, 10) == "<b>xxxx</b>..."
     assert X.repaired_json('```json\n{"a": 1,}\n```')[0] == '{"a": 1}' and X.repaired_json("no")[1]
     assert X.first_text('{"n": 1, "b": "t", "a": "u"}') == "t" and X.first_text("plain") == "plain"
@@ -94,7 +105,74 @@ def test_search(spark):
 def test_ledger(spark):
     df = spark.createDataFrame([(1, "u", "2026-01-01"), (2, "u", "2026-01-01"), (3, "u", "2026-01-08"), (4, "u", "2026-01-16"), (5, "", "2026-01-01"), (6, None, "2026-01-01"), (7, "u", "bad")], "article_id int, url string, run_date string")
     got = {r.article_id: (r.decision, str(r.original_date)) for r in A.ledger(df).collect()}
-    assert got == {1: ("kept", "None"), 2: ("in_batch", "2026-01-01"), 3: ("url_seen", "2026-01-01"), 4: ("kept", "None")}
+    assert got == {1: ("kept", "None"), 2: ("url_seen", "2026-01-01"), 3: ("url_seen", "2026-01-01"), 4: ("kept", "None")}
+    chain = spark.createDataFrame([(1, "u", "2026-01-01"), (2, "u", "2026-01-07"), (3, "u", "2026-01-11")], "article_id int, url string, run_date string")
+    assert [r.decision for r in A.ledger(chain).orderBy("article_id").collect()] == ["kept", "url_seen", "kept"]
+
+
+def test_decided_day(spark):
+    today = F.lit("2026-01-08").cast("date")
+    d = lambda n: dt.date(2026, 1, n)
+    new = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (3, "b", [0.0, 1.0]), (4, "c", [0.6, 0.8]), (5, "d", [0.0, -1.0]), (6, "e", None), (7, "", [1.0, 0.0])], "ord int, url string, embedding array<double>")
+    history = spark.createDataFrame([("a", d(1), [1.0, 0.0]), ("b", d(8), [0.0, 1.0]), ("x", d(3), [0.0, 1.0]), ("y", dt.date(2025, 12, 31), [0.0, -1.0])], "url string, day date, embedding array<double>")
+    out = A.decided(new, history, today)
+    got = {r.ord: (r.decision, r.original_date) for r in out.collect()}
+    assert got == {1: ("url_seen", d(1)), 2: ("url_seen", d(8)), 3: ("semantic_dup", d(3)), 4: ("semantic_dup", d(3)), 5: ("kept", None), 6: ("kept", None)}
+    after = {r.url: r.day for r in A.remembered(history, new, out, today).collect()}
+    assert after == {"a": d(1), "b": d(8), "x": d(3), "y": dt.date(2025, 12, 31), "d": d(8), "e": d(8)}
+    assert {r.decision for r in A.decided(new, history.limit(0), today).collect()} == {"kept", "url_seen"}
+    assert A.decided(new.limit(0), history, today).count() == 0
+
+
+def test_observe_and_escalate(spark):
+    d = lambda n: dt.date(2026, 1, n)
+    history = spark.createDataFrame([(d(n), "hn", "network") for n in (1, 2, 5)] + [(d(6), "rss", "ok")], "day date, subject string, outcome string")
+    results = spark.createDataFrame([("hn", "parse"), ("rss", "ok")], "subject string, outcome string")
+    none = spark.createDataFrame([], "subject string, last date")
+    after, new, gaps, state = H.escalated(history, results, none, F.lit(d(7)))
+    assert after.count() == 6 and [(r.subject, r.failures, r.dominant) for r in new.collect()] == [("hn", 4, "network")]
+    assert sorted(r.day.day for r in gaps.collect()) == [3, 4] and {r.subject for r in state.collect()} == {"hn", "absent:2026-01-04"}
+    again = H.escalated(after, results, state, F.lit(d(7)))
+    assert again[0].count() == 6 and again[1].count() == again[2].count() == 0 and again[3].count() == 2
+    empty = H.escalated(history, results.limit(0), none, F.lit(d(7)))
+    assert empty[0].count() == 4 and empty[1].count() == empty[2].count() == empty[3].count() == 0
+
+
+def test_nameless_entities_stay(spark):
+    df = spark.createDataFrame([(None, "s", dt.date(2026, 1, n), "b") for n in (1, 2, 3)], "edition string, subject string, day date, outcome string").withColumn("ok", F.lit(False))
+    assert [(r.edition, r.failures, r.window_days) for r in H.chronic(df).collect()] == [(None, 3, 3)]
+
+
+def test_ledgers(spark):
+    from feedloom.operators import ledgers as L
+
+    e = spark.createDataFrame([("d", "a", "ran", 1.23456, 1), ("d", "a", "failed", 2.0, 2), ("d", "b", "ran", 1.0, 3)], "run_date string, step string, status string, duration_seconds double, at int")
+    assert sorted((r.step, r.status, r.duration_seconds) for r in L.run_ledger(e, ["run_date"], F.col("at")).collect()) == [("a", "failed", 2.0), ("b", "ran", 1.0)]
+    old = spark.createDataFrame([("d", "a", "ran"), ("d", "b", "ran")], "run_date string, step string, status string")
+    new = spark.createDataFrame([("d", "a", "skipped"), ("d", "b", "failed"), ("d", "c", "skipped")], "run_date string, step string, status string")
+    assert sorted((r.step, r.status) for r in L.merged_runs(old, new, ["run_date"]).collect()) == [("a", "ran"), ("b", "failed"), ("c", "skipped")]
+    sums = "calls long, prompt_tokens long, completion_tokens long, total_tokens long"
+    a = spark.createDataFrame([("d", "a", 1, 1, 1, 2)], f"run_date string, step string, {sums}")
+    b = spark.createDataFrame([("d", "a", 5, 5, 5, 10), ("d", "n", 1, 1, 1, 2)], f"run_date string, step string, {sums}")
+    steps = L.merged_usage_steps(a, b, ["run_date"])
+    assert L.usage_totals(steps, ["run_date"]).first().total_tokens == 12
+    ma, mb = a.withColumnRenamed("step", "model"), b.withColumnRenamed("step", "model")
+    assert {r.model: r.total_tokens for r in L.merged_usage_models(ma, mb, a, b, ["run_date"]).collect()} == {"a": 12, "n": 2}
+    assert {r.model: r.total_tokens for r in L.merged_usage_models(ma, mb, a, b.where("step = 'a'"), ["run_date"]).collect()} == {"a": 2}
+    al = spark.createDataFrame([("d", "x", "old")], "run_date string, step string, error string")
+    f = spark.createDataFrame([("d", "x", "new"), ("d", "y", "e" * 500)], "run_date string, step string, error string")
+    assert {r.step: len(r.error) for r in L.alerts_recorded(al, f, ["run_date"]).collect()} == {"x": 3, "y": 300}
+    assert {r.step: r.error[:3] for r in L.alerts_recorded(al, f, ["run_date"], forced=True).collect()} == {"x": "new", "y": "eee"}
+    assert L.alerts_cleared(al, f, ["run_date"]).count() == 0
+
+
+def test_model_replies(spark):
+    from feedloom.plans import models as M
+
+    rows = M.sent(spark.createDataFrame([("s", i, f"t{i}", "c") for i in range(4)], "g string, ord int, title string, comment_summary string"), ["g"], F.col("ord"))
+    reply = '{"articles": [{"id": 0, "x": " one "}, {"id": 0, "x": "two"}, {"id": 9, "x": "no"}, {"id": "2", "x": "no"}, {"id": true, "x": "yes"}, {"id": 2, "x": " "}, 5]}'
+    said = M.told(spark.createDataFrame([("s", reply), ("q", "broken"), ("r", None)], "g string, reply string"), ["g"], "reply", "articles", "x")
+    assert [r.x for r in M.rebuilt(rows, said, ["g"], "x", [F.col("title")]).orderBy("id").collect()] == ["one", "yes", "t2", "t3"] and "comment_summary" not in rows.columns
 
 
 def test_running_equals_window(spark):
@@ -138,13 +216,9 @@ def test_saturation(spark):
     assert H.saturation(df.where("day > date '2026-01-01'"), "edition").count() == 0
 
 
-def test_merge_and_status(spark):
-    old = spark.createDataFrame([("a", 1, "ran"), ("b", 2, "ran")], "step string, n int, status string")
-    new = spark.createDataFrame([("a", 9, "loaded"), ("b", 8, "ran"), ("c", 7, "skipped")], "step string, n int, status string")
-    got = {r.step: r.n for r in H.merged_by(old, new, ["step"], keep_old=F.col("_b.status").isin("loaded", "skipped")).collect()}
-    assert got == {"a": 1, "b": 8, "c": 7}
-    res = spark.createDataFrame([(1, "hn", True), (1, "rss", True), (2, "hn", True), (2, "rss", False), (3, "hn", True), (3, "rss", True), (3, "vault", False)], "d int, subject string, ok boolean")
-    assert {r.d: r.status for r in H.run_status(res, ["d"], ["hn", "rss"]).collect()} == {1: "success", 2: "failed", 3: "partial"}
+def test_status(spark):
+    res = spark.createDataFrame([(1, "hn", True), (1, "rss", True), (2, "hn", True), (2, "rss", False), (3, "hn", True), (3, "rss", True), (3, "vault", False), (4, None, None)], "d int, subject string, ok boolean")
+    assert {r.d: r.status for r in H.run_status(res, ["d"], ["hn", "rss"]).collect()} == {1: "success", 2: "failed", 3: "partial", 4: "unknown"}
 
 
 def test_title_match(spark):
@@ -161,16 +235,19 @@ def test_originals_last_wins(spark):
 
 
 def test_reports(spark):
-    text = "# T\n- [a](https://h/1) (5 pt)\n- b (7 users)\n| c | (1,200 ups) |\nprose (3 pt)\n@@4@@ left\nsee (https://h/1)"
+    text = "# T\n- [a](https://h/1) (5 pt)\n- b (7 users)\n| c | (1,200 ups) |\nprose (3 pt)\n@@4@@ left\nsee (https://h/1)\n• d (1234pt)\n 2. e ( 88 users )"
     lines = R.lines_of(spark.createDataFrame([(1, text), (2, None)], "k int, text string"), "k", "text")
     got = {r.code: (r["count"], r.sample) for r in R.check_report(lines, "k").collect()}
-    assert got["leftover_token"][0] == 1 and got["unlinked_row"] == (2, "- b (7 users) | | c | (1,200 ups) |")
-    views = R.with_views(lines, spark.createDataFrame([("https://h/1", "nice")], "url string, comment string"), "k")
-    out = R.joined(views, "k", ["pos", "part"]).first().text
-    assert out.count("💬 nice") == 1 and out.split("\n")[2] == "  💬 nice"
-    again = R.with_views(R.lines_of(spark.createDataFrame([(1, out)], "k int, text string"), "k", "text"), spark.createDataFrame([("https://h/1", "nice")], "url string, comment string"), "k")
+    assert got["leftover_token"][0] == 1 and got["unlinked_articles"] == (4, "- b (7 users)；| c | (1,200 ups) |；• d (1234pt)")
+    comments = spark.createDataFrame([("https://h/1", "nice")], "url string, comment string")
+    own = R.lines_of(spark.createDataFrame([(1, text + "\n  - **社群觀點**：made up\nkept 💬 社群觀點: gone\n| 社群觀點：stays |")], "k int, text string"), "k", "text")
+    out = R.joined(R.with_views(own, comments, "k"), "k", ["pos", "part"]).first().text
+    assert out.count("nice") == 1 and out.split("\n")[2] == "   💬 社群觀點：nice" and out.endswith("\nkept\n| 社群觀點：stays |") and "made up" not in out
+    again = R.with_views(R.lines_of(spark.createDataFrame([(1, out)], "k int, text string"), "k", "text"), comments, "k")
     assert R.joined(again, "k", ["pos", "part"]).first().text == out
     assert [r.section for r in R.sections(lines, "k").orderBy("pos").collect()][0] == "T"
+    breaks = R.list_breaks(R.lines_of(spark.createDataFrame([(1, "p\n1. a\n2. b\n   note\n- c\n\n- d\nq\n  - e\n**b** x\n* f")], "k int, text string"), "k", "text"), "k")
+    assert [r.pos for r in breaks.where("break_before").orderBy("pos").collect()] == [1, 10]
 
 
 def test_tables(spark, tmp_path):
@@ -195,9 +272,16 @@ def test_feeds(spark):
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>E</title><link href="https://h/4"/><content>c</content></entry></feed>'
     df = spark.createDataFrame([("rss", rss), ("rdf", rdf), ("atom", atom), ("bad", "<rss><cha")], "source string, body string")
     got = {(r.source, r.ord): r for r in feeds.rss_items(df).collect()}
-    assert got["rss", 0].title == "A & B" and got["rss", 0].url == "https://h/1" and got["rss", 0].description == "x" and got["rss", 0].published == "2026-02-03T10:00:00"
+    assert got["rss", 0].title == "A & B" and got["rss", 0].url == "https://h/1" and got["rss", 0].description == "x" and got["rss", 0].published == "2026-02-03T10:00:00+00:00"
     assert got["rdf", 0].bookmarks == 12 and got["atom", 0].url == "https://h/4" and got["bad", 0].error
     assert feeds.rss_items(df, per_feed=1).where("source = 'rss'").count() == 1
+    entries = spark.createDataFrame([("https://r/1", '&lt;a href="https://h/9"&gt;[link]&lt;/a&gt;'), ("https://r/2", "talk"), ("https://r/3", None)], "url string, content string")
+    assert [r.orig_url for r in feeds.linked_entries(entries).orderBy("url").collect()] == ["https://h/9", "https://r/2", "https://r/3"]
+    two = spark.createDataFrame([("u", rss), ("v", "<rss><cha")], "url string, body string")
+    config = spark.createDataFrame([("u", "N", None, 1), ("v", "M", "C", None), ("", "E", "C", 3), ("w", None, None, None)], "url string, name string, category string, max_items int")
+    assert [(r.source, r.category, r.title) for r in feeds.configured_items(two, config).collect()] == [("N", "Tech", "A & B")]
+    both = spark.createDataFrame([(1, "pre\n<!-- lang:zh -->\n z \n<!-- LANG:en -->\ne\nf\n"), (2, "none"), (3, None)], "k int, text string")
+    assert sorted((r.k, r.lang, r.body) for r in feeds.language_sections(both, "k").collect()) == [(1, "en", "e\nf"), (1, "zh", "z")]
 
 
 def test_comments_pages_and_responses(spark):
@@ -206,9 +290,10 @@ def test_comments_pages_and_responses(spark):
     page = '<tr class="athing submission" id="7"><td><span class="titleline"><a href="item?id=7">T &amp; U</a></span></td></tr><span id="score_7">12 points</span><a href="item?id=7">3&nbsp;comments</a><tr class="athing" id="8"><span class="titleline"><a href="https://h">V</a>'
     rows = feeds.front_page(spark.createDataFrame([("hn", page)], "source string, html string")).orderBy("ord").collect()
     assert [(r.title, r.score, r.comments) for r in rows] == [("T & U", 12, 3), ("V", 0, 0)] and rows[1].url == "https://h"
-    raw = spark.createDataFrame([("HTTP/1.1 429 Too Many\r\nX-RateLimit-Reset: 17.5\r\n\r\nbody",)], "raw string")
-    r = feeds.response_parts(raw).first()
-    assert (r.status, r.reset_seconds, r.body) == (429, 17.5, "body")
+    raw = spark.createDataFrame([("HTTP/1.1 429 Too Many\r\nX-RateLimit-Reset: 17.5\r\n\r\nbody\n\nmore",), ("<feed/>\n\nx",)], "raw string")
+    assert {(r.status, r.reset_seconds, r.body) for r in feeds.response_parts(raw).collect()} == {(429, 17.5, "body\n\nmore"), (None, None, "<feed/>\n\nx")}
+    asked = spark.createDataFrame([("g", 0, 0, "HTTP/1.1 429 X\r\nx-ratelimit-reset: 90\r\n\r\n"), ("g", 0, 1, "HTTP/1.1 200 OK\r\nx-ratelimit-reset: 3\r\n\r\nb"), ("g", 0, 2, "b"), ("g", 1, 0, "b")], "g string, ord int, attempt int, raw string")
+    assert [(r.ord, r.attempt, r.waited, r.used) for r in feeds.paced(asked, "g").orderBy("ord", "attempt").collect()] == [(0, 0, 0.0, False), (0, 1, 70.0, True), (1, 0, 5.0, True)]
 
 
 def test_nearest_is_exact(spark):

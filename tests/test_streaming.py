@@ -16,12 +16,23 @@ def test_closed_windows_equal_batch(spark, tmp_path):
     assert got and all(want[k] == n for k, n in got.items()) and len(got) >= len(want) - 4
 
 
-def test_day_upsert_is_idempotent(spark, tmp_path):
-    df = spark.createDataFrame([("2026-01-01", 1), ("2026-01-02", 2)], "run_date string, n int")
-    df.write.parquet(str(tmp_path / "in"))
-    for run in range(2):
-        daily.upsert_days(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / f"st{run}")).awaitTermination()
-    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+def test_day_upsert_keeps_days_that_come_in_parts(spark, tmp_path):
+    schema = "run_date string, k int, n int"
+    for i, rows in enumerate(([("2026-01-01", 1, 1), ("2026-01-02", 1, 2)], [("2026-01-01", 2, 3), ("2026-01-02", 1, 9)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        daily.upsert_days(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "st"), ["k"]).awaitTermination()
+    want = [("2026-01-01", 1, 1), ("2026-01-01", 2, 3), ("2026-01-02", 1, 9)]
+    read = lambda: sorted((str(r.run_date), r.k, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert read() == want
+    daily.upsert_days(spark.readStream.schema(schema).option("latestFirst", "false").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "again"), ["k"]).awaitTermination()
+    assert [r[:2] for r in read()] == [r[:2] for r in want]
+
+
+def test_first_seen(spark, tmp_path):
+    spark.createDataFrame([("u", dt.datetime(2026, 1, 1)), ("u", dt.datetime(2026, 1, 2)), ("v", dt.datetime(2026, 1, 2))], "url string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    out = daily.first_seen(spark.readStream.schema("url string, ts timestamp").parquet(str(tmp_path / "in")), ["url"])
+    out.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "st")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.url for r in spark.table("firsts").collect()) == ["u", "v"]
 
 
 def test_cool_down(spark, tmp_path):
