@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import bpe, capping, history, languages, mixing, quantiles, textform, truncation
 
-SHARES = [0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
+SHARES = [0.001, 0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
+CURVE = [0.001, *[k / 100 for k in range(1, 100)], 0.999]
 GROUP = ["step", "model"]
 
 
@@ -28,6 +29,19 @@ def p2_forms(spark, at):
     return textform.forms(_table(spark, at, "articles"))
 
 
+def p3_month_percentiles(spark, at):
+    """Every percentile and the outermost thousandths per month, step and model."""
+    calls = quantiles.usage_calls(_table(spark, at, "usage_events").withColumn("month", F.substring("run_date", 1, 7)), "month")
+    by = ["month", *GROUP]
+    return quantiles.percentiles(quantiles.sketches(calls, by, "total_tokens"), by, CURVE)
+
+
+def p3_month_rank_check(spark, at):
+    calls = quantiles.usage_calls(_table(spark, at, "usage_events").withColumn("month", F.substring("run_date", 1, 7)), "month")
+    by = ["month", *GROUP]
+    return quantiles.rank_check(calls, quantiles.percentiles(quantiles.sketches(calls, by, "total_tokens"), by, SHARES), by, "total_tokens")
+
+
 def p3_day_percentiles(spark, at):
     """Per day, step and model, from the day's own sketches."""
     calls = quantiles.usage_calls(_table(spark, at, "usage_events"), "run_date")
@@ -116,7 +130,7 @@ def p9_segments(spark, at):
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p2_found, p2_forms, p3_day_percentiles, p3_percentiles, p3_from_days, p3_rank_check, p4_found, p4_rates, p5_source_share, p5_host_share, p5_source_count,
+    p1_found, p2_found, p2_forms, p3_month_percentiles, p3_month_rank_check, p3_day_percentiles, p3_percentiles, p3_from_days, p3_rank_check, p4_found, p4_rates, p5_source_share, p5_host_share, p5_source_count,
     p5_digest_share, p7_ids, p8_selection, p8_shares, p9_found, p9_documents, p9_segments)}
 
 _CALLS = """select distinct event_id, case when trim(coalesce(step, '')) = '' then 'other' else lower(trim(step)) end as step,
@@ -132,7 +146,10 @@ def _capped(rows: str, key: str, share: float | None = None, count: int | None =
 
 
 _SOURCE = "select lower(trim(coalesce(source, ''))) as contributor, article_id, score from articles"
+_MONTHLY = _CALLS.replace("select distinct event_id,", "select distinct event_id, left(run_date, 7) as month,")
 SQL = {
+    "p3_month_rank_check": f"""with calls as ({_MONTHLY}) select month, step, model, share, count(*) as n, true as within
+      from calls, (select unnest({SHARES})::double as share) where total_tokens is not null group by all""",
     "p3_rank_check": f"""with calls as ({_CALLS}) select step, model, share, count(*) as n, true as within
       from calls, (select unnest({SHARES})::double as share) where total_tokens is not null group by all""",
     "p5_source_share": _capped(_SOURCE, "article_id", share=0.1),
