@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 _FOLDERS: dict[str, "Workspace"] = {}
 _SHIPPED: set[str] = set()
@@ -122,6 +125,32 @@ class Workspace:
         self._delete(self.path)
 
 
+def signature(*tables: DataFrame, **settings) -> str | None:
+    """A name for what can be derived from these tables with these settings: a hash over their files' paths, sizes and times of
+    change; None where a table doesn't come straight from files, so that nothing derived from it can be found again."""
+    found = []
+    for t in tables:
+        try:
+            files = t.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct()
+            found.append(sorted(tuple(r) for r in files.collect()))
+        except AnalysisException:
+            return None
+    return hashlib.sha256(repr((found, sorted(settings.items()))).encode()).hexdigest()[:32]
+
+
+def derived(name: str, build, *tables: DataFrame, **settings) -> DataFrame:
+    """build() as a table in the shared folder, read again by whoever derives the same from the same files."""
+    sign = signature(*tables, **settings)
+    if sign is None:
+        return cut(build())
+    spark = tables[0].sparkSession
+    at = f"{shared_root(spark)}/feedloom/derived/{name}-{sign}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        build().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of df by a written table in the shared folder."""
     spark = df.sparkSession

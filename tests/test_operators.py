@@ -329,3 +329,20 @@ def test_pipeline(spark, tmp_path):
     p.log.clear()
     p.run("2026-01-01", forced={"a"})
     assert [x["status"] for x in p.log] == ["ran", "ran"]
+
+
+def test_derived_tables_are_built_once_per_files(spark, tmp_path):
+    from feedloom.runtime import Workspace, derived, signature
+
+    built = []
+    spark.range(5).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    make = lambda: (built.append(1), t.select((F.col("id") * 2).alias("x")))[1]
+    assert sorted(r.x for r in derived("twice", make, t, a=1).collect()) == sorted(r.x for r in derived("twice", make, t, a=1).collect()) == [0, 2, 4, 6, 8]
+    assert len(built) == 1 and derived("twice", make, t, a=2).count() == 5 and len(built) == 2
+    assert signature(spark.createDataFrame([(1,)], "a int")) is None
+    w = Workspace(spark)
+    assert w.get("a.json") is None
+    w.put("a.json", "x")
+    w.put("a.json", "ä")
+    assert w.get("a.json") == "ä"
