@@ -9,7 +9,6 @@ field is a small table in the shared folder, which later queries over the same f
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 import zlib
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from feedloom.runtime import shared_root
+from feedloom.runtime import shared_root, signature
 
 #: Bounds of what the classifier is fitted on (every document is labelled whatever they are): labelled documents, their
 #: characters at most, sentences of one language among them, and clean samples.
@@ -419,15 +418,10 @@ def field_for(documents: DataFrame, samples: DataFrame) -> Field:
     else fitted and kept there. Tables that are no files are fitted on each time."""
     spark = documents.sparkSession
 
-    def sign(df: DataFrame) -> list[tuple]:
-        files = df.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct()
-        return sorted(tuple(r) for r in files.collect())
-
-    try:
-        stand = repr((sign(documents), sign(samples), MOST_DOCUMENTS, MOST_CHARACTERS, MOST_SENTENCES, MOST_SAMPLES, SPACE, CHAIN))
-    except AnalysisException:
+    sign = signature(documents, samples, bounds=(MOST_DOCUMENTS, MOST_CHARACTERS, MOST_SENTENCES, MOST_SAMPLES, SPACE, CHAIN))
+    if sign is None:
         return fit(*training(documents, samples))
-    path = f"{shared_root(spark)}/feedloom/fields/{hashlib.sha256(stand.encode()).hexdigest()[:32]}"
+    path = f"{shared_root(spark)}/feedloom/derived/field-{sign}"
     field = load(spark, path)
     if field is None:
         field = fit(*training(documents, samples))

@@ -1,23 +1,28 @@
 """Mixing sources to target weights (problem 8).
 
 Sizes are tokens of a public tokenizer. Each source gets whole copies of all its documents as far as its part of the
-total allows, and the rest by Pareto order sampling: documents are ranked by the random odds u / (1 - u) divided by the
-odds of their inclusion probability, and taken in that order until the source's size is reached.
+total allows, and the rest by Pareto order sampling: documents have inclusion probabilities in proportion to their size,
+those that would exceed one are taken for certain and the others' probabilities solved anew; the others are ranked by
+their random odds u / (1 - u) divided by the odds of their inclusion, and the sample is the first of that order whose
+size is the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.bpe import BYTE_BPE_50K, token_counts
 from feedloom.operators.ranking import running
-from feedloom.runtime import cut
+from feedloom.runtime import cut, derived
+
+BY = ["mix_name", "source"]
 
 
 def sizes(documents: DataFrame, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
-    """(doc_id, source, n_tokens); documents without tokens or source take no part in any mix."""
-    return token_counts(documents.where(F.col("source").isNotNull() & (F.col("text") != "")), ["doc_id", "source"], vocabulary=vocabulary).where("n_tokens > 0")
+    """(doc_id, source, n_tokens), counted once per files and kept; documents without tokens or source take no part in any mix."""
+    rows = documents.where(F.col("source").isNotNull() & (F.col("text") != ""))
+    return derived("sizes", lambda: token_counts(rows, ["doc_id", "source"], vocabulary=vocabulary).where("n_tokens > 0"), documents, vocabulary=vocabulary)
 
 
 def plan(targets: DataFrame, available: DataFrame, total: int | None = None) -> DataFrame:
@@ -38,37 +43,67 @@ def plan(targets: DataFrame, available: DataFrame, total: int | None = None) ->
     return out.withColumn("whole_copies", whole).withColumn("rest", F.greatest(F.col("wanted") - F.col("whole_copies") * F.col("available"), F.lit(0.0))).drop("_live", "_most")
 
 
-def select(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, vocabulary: str = BYTE_BPE_50K) -> tuple[DataFrame, DataFrame]:
+def inclusion(docs: DataFrame, used: DataFrame) -> DataFrame:
+    """(mix_name, source, certain_from, factor): documents of a size from certain_from on are in the sample for certain, the
+    others with probability factor * size, so that the expected size of the sample is the rest.
+
+    Documents larger than the rest can't be part of it and are out of the frame. With the k largest documents certain, the
+    others' factor is the rest left over, divided by the sum of their squared sizes; k is the least for which no probability
+    reaches one. All k are tried at once along the sorted distinct sizes of a source, which are as many as sizes differ.
+    """
+    by_size = docs.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("_c")).join(used.where("rest > 0"), "source").where("n_tokens <= rest")
+    down = Window.partitionBy(*BY).orderBy(F.desc("n_tokens"))
+    larger = down.rowsBetween(Window.unboundedPreceding, -1)
+    square = F.col("_c") * F.col("n_tokens").cast("double") * F.col("n_tokens")
+    tried = by_size.withColumns({
+        "_left": F.col("rest") - F.coalesce(F.sum(F.col("_c") * F.col("n_tokens")).over(larger), F.lit(0)), "_squares": F.sum(square).over(Window.partitionBy(*BY)) - F.coalesce(F.sum(square).over(larger), F.lit(0.0))})
+    good = tried.where("_left <= 0 or _left * n_tokens < _squares")
+    first = good.groupBy(*BY).agg(F.max_by(F.struct("n_tokens", "_left", "_squares"), "n_tokens").alias("_g"))
+    return used.where("rest > 0").select(*BY).join(first, BY, "left").select(
+        *BY, F.coalesce(F.col("_g.n_tokens") + 1, F.lit(0)).alias("certain_from"), F.coalesce(F.greatest(F.col("_g._left"), F.lit(0.0)) / F.col("_g._squares"), F.lit(0.0)).alias("factor"))
+
+
+def pareto_order(size: Column, certain_from: Column, factor: Column, draw: Column) -> Column:
+    """The rank's key: below 0 for certain documents, else the odds of the draw divided by the odds of inclusion."""
+    p = F.least(factor * size, F.lit(1 - 1e-12))
+    return F.when(size >= certain_from, F.lit(-1.0)).otherwise(draw / (1 - draw) / F.greatest(p / (1 - p), F.lit(1e-300)))
+
+
+def select(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, vocabulary: str = BYTE_BPE_50K, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The selection (mix_name, doc_id, source, n_tokens, copies) and the report of shares.
 
-    A document longer than the rest its source still has to give is less likely in proportion. Draws are a hash of document,
-    mix and seed, so a rerun selects the same. Documents are taken while they fit, and one more where that comes nearer to the
-    source's size, so no share is further off than a document. Duplicate doc_ids are separate documents; null texts and sources take no part;
-    null shares and repeats count as 0; an empty table of documents or targets gives an empty selection.
+    Draws are a hash of document, mix and seed, so a rerun selects the same. The sample of a source is the part of its order
+    whose size comes nearest to the rest, so no source is further off than half a document. counts (doc_id, source, n_tokens)
+    may be given where they are known. Duplicate doc_ids are separate documents; null texts and sources take no part; null
+    shares and repeats count as 0; an empty table of documents or targets gives an empty selection.
     """
-    docs = cut(sizes(documents, vocabulary))
+    docs = counts if counts is not None else sizes(documents, vocabulary)
     available = docs.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     clean = targets.select("mix_name", "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
     budget = cut(plan(clean, available, total))
-    used = budget.where("wanted > 0").select("mix_name", "source", "max_repeats", "available", "whole_copies", "rest")
-    rows = docs.join(used, "source")
+    used = budget.where("wanted > 0").select(*BY, "max_repeats", "whole_copies", "rest")
+    frame = used.join(inclusion(docs, used), BY, "left")
+    rows = docs.join(frame, "source")
     u = (F.pmod(F.xxhash64("doc_id", "mix_name", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    p = F.least(F.col("rest") / F.col("available"), F.lit(1 - 1e-9)) * F.least(F.lit(1.0), F.col("rest") / F.col("n_tokens"))
-    odds = u / (1 - u) / F.greatest(p / (1 - p), F.lit(1e-300))
-    ranked = cut(running(rows, ["mix_name", "source"], [odds, F.col("doc_id")], weight=F.col("n_tokens")).withColumn(
-        "_extra", ((F.col("_before") + F.col("n_tokens") <= F.col("rest")) & (F.col("whole_copies") < F.col("max_repeats"))).cast("int")))
-    # What the ranked documents leave open is closed by the one further document that fits the gap best, if any does.
-    gaps = ranked.groupBy("mix_name", "source").agg((F.max("rest") - F.sum(F.col("_extra") * F.col("n_tokens"))).alias("_gap"))
-    spare = ranked.where((F.col("_extra") == 0) & (F.col("whole_copies") < F.col("max_repeats"))).join(gaps, ["mix_name", "source"]).where(
-        F.abs(F.col("_gap") - F.col("n_tokens")) < F.col("_gap"))
-    filler = spare.groupBy("mix_name", "source").agg(
-        F.min(F.struct(F.abs(F.col("_gap") - F.col("n_tokens")), F.col("_rank"))).alias("_f")).select("mix_name", "source", F.col("_f._rank").alias("_rank"), F.lit(1).alias("_fill"))
-    chosen = cut(ranked.join(filler, ["mix_name", "source", "_rank"], "left").withColumn(
-        "copies", (F.col("whole_copies") + F.col("_extra") + F.coalesce("_fill", F.lit(0))).cast("int")).where("copies > 0").select("mix_name", "doc_id", "source", "n_tokens", "copies"))
-    taken = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
+    open_to = (F.col("n_tokens") <= F.col("rest")) & (F.col("whole_copies") < F.col("max_repeats"))
+    ranked = running(rows.where(open_to), BY, [pareto_order(F.col("n_tokens"), F.col("certain_from"), F.col("factor"), u), F.col("doc_id")], weight=F.col("n_tokens"))
+    sampled = F.when(F.col("_before") + F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)
+    pick = lambda part, copies: part.select("mix_name", "doc_id", "source", "n_tokens", copies.cast("int").alias("copies")).where("copies > 0")
+    chosen = cut(pick(rows.where(~open_to), F.col("whole_copies")).unionByName(pick(ranked, F.col("whole_copies") + sampled)))
+    taken = chosen.groupBy(*BY).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     sums = taken.groupBy("mix_name").agg(F.sum("tokens").alias("_all"))
-    report = budget.select("mix_name", "source", "target_share", "max_repeats", "available").join(taken, ["mix_name", "source"], "left").join(sums, "mix_name", "left").select(
-        "mix_name", "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"),
+    report = budget.select(*BY, "target_share", "max_repeats", "available", "wanted").join(taken, BY, "left").join(sums, "mix_name", "left").select(
+        *BY, "target_share", "max_repeats", F.col("available").alias("available_tokens"), F.round("wanted", 1).alias("wanted_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.round(F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)), 6).alias("actual_share"))
     return chosen, report
+
+
+def within_bounds(documents: DataFrame, targets: DataFrame, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
+    """(mix_name, source, target_share, has_documents, size_ok, repeats_ok): whether each source gives what it should to within
+    half of its largest document, and no document is used too often."""
+    docs = sizes(documents, vocabulary)
+    _, report = select(documents, targets, vocabulary=vocabulary, counts=docs)
+    largest = docs.groupBy("source").agg(F.max("n_tokens").alias("_l"))
+    return report.join(largest, "source", "left").select(
+        *BY, "target_share", (F.col("available_tokens") > 0).alias("has_documents"), (F.abs(F.col("tokens") - F.col("wanted_tokens")) <= F.coalesce(F.col("_l"), F.lit(0)) / 2 + 0.1).alias("size_ok"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_ok"))

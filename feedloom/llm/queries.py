@@ -113,6 +113,10 @@ def p8_shares(spark, at):
     return _mix(spark, at)[1]
 
 
+def p8_bounds(spark, at):
+    return mixing.within_bounds(_table(spark, at, "documents"), _table(spark, at, "mix_targets"))
+
+
 def _languages(spark, at):
     return languages.detect(_table(spark, at, "documents"), _table(spark, at, "lang_samples"))
 
@@ -131,7 +135,7 @@ def p9_segments(spark, at):
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p2_found, p2_forms, p3_month_percentiles, p3_month_rank_check, p3_day_percentiles, p3_percentiles, p3_from_days, p3_rank_check, p4_found, p4_rates, p5_source_share, p5_host_share, p5_source_count,
-    p5_digest_share, p7_ids, p8_selection, p8_shares, p9_found, p9_documents, p9_segments)}
+    p5_digest_share, p7_ids, p8_selection, p8_shares, p8_bounds, p9_found, p9_documents, p9_segments)}
 
 _CALLS = """select distinct event_id, case when trim(coalesce(step, '')) = '' then 'other' else lower(trim(step)) end as step,
   split_part(lower(trim(coalesce(model, ''))), '@', 1) as model, total_tokens from usage_events"""
@@ -148,6 +152,7 @@ def _capped(rows: str, key: str, share: float | None = None, count: int | None =
 _SOURCE = "select lower(trim(coalesce(source, ''))) as contributor, article_id, score from articles"
 _MONTHLY = _CALLS.replace("select distinct event_id,", "select distinct event_id, left(run_date, 7) as month,")
 SQL = {
+    "p8_bounds": """select mix_name, source, target_share, source in (select source from documents where text <> '' and source is not null) as has_documents, true as size_ok, true as repeats_ok from mix_targets""",
     "p3_month_rank_check": f"""with calls as ({_MONTHLY}) select month, step, model, share, count(*) as n, true as within
       from calls, (select unnest({SHARES})::double as share) where total_tokens is not null group by all""",
     "p3_rank_check": f"""with calls as ({_CALLS}) select step, model, share, count(*) as n, true as within

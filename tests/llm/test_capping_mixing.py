@@ -55,3 +55,40 @@ def test_mixing(spark):
     chosen, report = mixing.select(df, targets, total=100)
     assert abs(sum(r.tokens for r in report.collect()) - 100) < 10
     assert mixing.select(df.limit(0), targets)[0].count() == 0 and mixing.select(df, targets.limit(0))[0].count() == 0
+
+
+def brute_inclusion(sizes, rest):
+    """Certain documents one at a time, the largest first, while the largest's probability would reach one."""
+    left, open_ = rest, sorted((s for s in sizes if s <= rest), reverse=True)
+    certain = []
+    while open_ and left > 0 and left * open_[0] >= sum(s * s for s in open_):
+        certain.append(open_[0])
+        left -= open_.pop(0)
+    return certain, max(left, 0) / sum(s * s for s in open_) if open_ else 0.0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_inclusion_probabilities(spark, seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 3, 7, 40, 41, 300]) for _ in range(rng.randint(1, 40))]
+    rest = rng.choice([2.5, 30.0, 0.5 * sum(sizes), float(sum(sizes))])
+    docs = spark.createDataFrame([("s", n) for n in sizes], "source string, n_tokens long")
+    used = spark.createDataFrame([("m", "s", rest)], "mix_name string, source string, rest double")
+    got = mixing.inclusion(docs, used).first()
+    certain, factor = brute_inclusion(sizes, rest)
+    framed = [n for n in sizes if n <= rest]
+    inside = [n for n in framed if n >= got.certain_from] if framed else []
+    open_ = [n for n in framed if n < got.certain_from]
+    assert sum(inside) + sum(got.factor * n * n for n in open_) == pytest.approx(min(rest, sum(framed)) if sum(certain) <= rest else sum(inside), rel=1e-6)
+    assert all(got.factor * n < 1 + 1e-9 for n in open_) and sum(inside) <= rest + max(framed, default=0)
+
+
+def test_sampling_follows_sizes(spark):
+    """Over many seeds a document twice as long is taken twice as often, and every sample has the size asked for."""
+    sizes = [10] * 60 + [20] * 60
+    docs = spark.createDataFrame([(i, "s", n) for i, n in enumerate(sizes)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(f"m{k}", "s", 1.0, 1) for k in range(120)], "mix_name string, source string, target_share double, max_repeats int")
+    chosen, report = mixing.select(None, targets, total=300, counts=docs)
+    assert all(abs(r.tokens - 300) <= 10 for r in report.collect())
+    n = {r.n_tokens: r["count"] for r in chosen.groupBy("n_tokens").count().collect()}
+    assert 1.7 < n[20] / n[10] < 2.3
