@@ -52,14 +52,16 @@ def capped(df: DataFrame, who: Column, key: str, score: Column | None, max_count
     """The rows kept, with `contributor` and `place` (1 is the best of its contributor).
 
     A contributor keeps at most max_count rows, and at most max_share of all rows kept. Best score first, nulls last, ties
-    by key ascending; repeated rows count each. Contributors within the limit keep all rows and are not ranked at all
-    against others; only rows of the contributors above it are sorted, spread over many tasks however large one is.
+    by key ascending; repeated rows count each. Contributors within the limit keep all rows and are not ranked: their place
+    is null. Only rows of the contributors above it are sorted, spread over many tasks however large one is.
     """
-    rows = cut(df.withColumns({"contributor": who, "_score": score if score is not None else F.lit(None).cast("double")}))
+    rows = df.withColumns({"contributor": who, "_score": score if score is not None else F.lit(None).cast("double")})
     counts = cut(rows.groupBy("contributor").agg(F.count(F.lit(1)).alias("n")))
     limits = [x for x in (max_count, share_limit(counts, max_share) if max_share is not None else None) if x is not None]
-    limit = min(limits) if limits else None
-    if limit is None:
-        limit = 1 << 62
-    ranked = running(rows, ["contributor"], [Down(F.col("_score")), F.col(key)], rank="place")
-    return ranked.where(F.col("place") <= limit).drop("_before", "_score")
+    if not limits:
+        return rows.withColumn("place", F.lit(None).cast("long")).drop("_score")
+    above = counts.where(F.col("n") > min(limits)).select("contributor")
+    whole = rows.join(above, "contributor", "left_anti").withColumn("place", F.lit(None).cast("long"))
+    ranked = running(rows.join(above, "contributor", "left_semi"), ["contributor"], [Down(F.col("_score")), F.col(key)], rank="place")
+    kept = ranked.where(F.col("place") <= min(limits)).withColumn("place", F.col("place").cast("long"))
+    return whole.unionByName(kept.select(*whole.columns)).drop("_score")

@@ -146,7 +146,7 @@ def _capped(rows: str, key: str, share: float | None = None, count: int | None =
       select r.c, sum(least(n, r.c)) as t from counts, (select unnest(range(1, (select max(n) from counts) + 1)) as c) r group by r.c) where c <= {share} * t + 1e-9"""
     return f"""with rows as ({rows}), counts as (select contributor, count(*) as n from rows group by 1), cap as ({limit}),
     placed as (select *, row_number() over (partition by contributor order by score desc nulls last, {key}) as place from rows)
-    select contributor, {key}, score, place from placed, cap where place <= c"""
+    select contributor, {key}, score, case when n > c then place end as place from placed join counts using (contributor), cap where place <= c"""
 
 
 _SOURCE = "select lower(trim(coalesce(source, ''))) as contributor, article_id, score from articles"
