@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.runtime import cut
+
 #: Days per shard; a power of two, and at least the longest period, so that a period touches two shards at most.
 SHARD = 64
 _LONGS = T.ArrayType(T.LongType())
@@ -58,6 +60,10 @@ def _sums(leaves: np.ndarray) -> np.ndarray:
     return tree
 
 
+def _shard_of(day: str) -> Column:
+    return F.floor(F.unix_date(day) / SHARD).cast("int")
+
+
 @F.pandas_udf(_TREE)
 def _grow(days: pd.Series) -> pd.DataFrame:
     """Trees from each row's list of day * 2 + ok (day within the shard)."""
@@ -74,29 +80,57 @@ def _grow(days: pd.Series) -> pd.DataFrame:
 def trees(outcomes: DataFrame, keys: list[str] = ("edition", "subject")) -> DataFrame:
     """(keys..., shard, ok, bad): one tree per entity and shard with an outcome. Repeated days add up."""
     day = F.unix_date("day")
-    coded = outcomes.select(*keys, F.floor(day / SHARD).cast("int").alias("shard"), (F.pmod(day, F.lit(SHARD)) * 2 + F.col("ok").cast("int")).cast("int").alias("_c"))
+    coded = outcomes.select(*keys, _shard_of("day").alias("shard"), (F.pmod(day, F.lit(SHARD)) * 2 + F.col("ok").cast("int")).cast("int").alias("_c"))
     return coded.groupBy(*keys, "shard").agg(F.collect_list("_c").alias("_d")).select(*keys, "shard", _grow("_d").alias("_t")).select(*keys, "shard", "_t.ok", "_t.bad")
 
 
-def corrected(stored: DataFrame, corrections: DataFrame, keys: list[str] = ("edition", "subject")) -> DataFrame:
-    """Trees after late corrections (keys..., day, ok_change, bad_change): only the changed leaves' ancestors differ.
+def changes(before: DataFrame, after: DataFrame, keys: list[str] = ("edition", "subject")) -> DataFrame:
+    """(keys..., day, ok_change, bad_change): what turns the outcomes before into those after (both keys..., day, ok), as late
+    records do; days on which nothing changes are left out."""
+    one = lambda df, sign: df.select(*keys, "day", (F.col("ok").cast("long") * sign).alias("o"), ((~F.col("ok")).cast("long") * sign).alias("b"))
+    both = one(before, -1).unionByName(one(after, 1)).groupBy(*keys, "day").agg(F.sum("o").alias("ok_change"), F.sum("b").alias("bad_change"))
+    return both.where("ok_change <> 0 or bad_change <> 0")
 
-    A correction is expanded to its leaf and ancestors, log2(SHARD) + 1 nodes, summed per node, and added; trees without
-    a correction pass through, and entities or shards seen for the first time get a tree.
+
+def correct_trees(stored: DataFrame, corrections: DataFrame, keys: list[str] = ("edition", "subject")) -> DataFrame:
+    """The trees that corrections (keys..., day, ok_change, bad_change) change, and only those, in their new form.
+
+    A correction is expanded to its leaf and ancestors, log2(SHARD) + 1 nodes, summed per node, and added. Entities or shards
+    seen for the first time get a tree. The shuffle is as large as the corrections and the trees they meet.
     """
     leaf = F.pmod(F.unix_date("day"), F.lit(SHARD)) + SHARD
-    path = corrections.select(*keys, F.floor(F.unix_date("day") / SHARD).cast("int").alias("shard"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(SHARD.bit_length() - 1)), lambda h: F.floor(leaf / F.pow(F.lit(2), h)).cast("int"))).alias("_k"), "ok_change", "bad_change")
+    path = corrections.select(*keys, _shard_of("day").alias("shard"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(SHARD.bit_length() - 1)), lambda h: F.floor(leaf / F.pow(F.lit(2), h)).cast("int"))).alias("_k"), "ok_change", "bad_change")
     nodes = path.groupBy(*keys, "shard", "_k").agg(F.sum("ok_change").alias("o"), F.sum("bad_change").alias("b"))
     deltas = nodes.groupBy(*keys, "shard").agg(F.map_from_entries(F.collect_list(F.struct("_k", "o"))).alias("_o"), F.map_from_entries(F.collect_list(F.struct("_k", "b"))).alias("_b"))
     empty = F.array_repeat(F.lit(0).cast("long"), 2 * SHARD)
 
     def plus(column: str, change: str) -> Column:
-        base = F.coalesce(F.col(column), empty)
-        return F.when(F.col(change).isNull(), base).otherwise(F.transform(base, lambda v, i: v + F.coalesce(F.element_at(F.col(change), i), F.lit(0))))
+        return F.transform(F.coalesce(F.col(column), empty), lambda v, i: v + F.coalesce(F.try_element_at(F.col(change), i), F.lit(0)))
+
+    a, b = deltas.alias("a"), stored.alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "shard"]]
+    return a.join(b, same, "left").select(*[F.col(f"a.{k}").alias(k) for k in [*keys, "shard"]], plus("b.ok", "_o").alias("ok"), plus("b.bad", "_b").alias("bad"))
+
 
-    a, b = stored.alias("a"), deltas.alias("b")
+def corrected(stored: DataFrame, corrections: DataFrame, keys: list[str] = ("edition", "subject")) -> DataFrame:
+    """All trees after late corrections: the changed ones anew, the others as they are."""
+    changed = cut(correct_trees(stored, corrections, keys))
+    a, b = stored.alias("a"), changed.alias("b")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "shard"]]
-    return a.join(b, same, "full").select(*[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in [*keys, "shard"]], plus("ok", "_o").alias("ok"), plus("bad", "_b").alias("bad"))
+    return a.join(b.select(*keys, "shard"), same, "left_anti").unionByName(changed.select(*stored.columns))
+
+
+def write_trees(built: DataFrame, path: str) -> None:
+    """Trees as a table in a folder, a part per time shard."""
+    built.write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def apply_corrections(spark: SparkSession, path: str, corrections: DataFrame, keys: list[str] = ("edition", "subject")) -> None:
+    """Correct stored trees: only the parts of time shards with a correction are read and written anew."""
+    touched = [r[0] for r in corrections.select(_shard_of("day").alias("shard")).distinct().collect()]  # shards of time
+    stored = spark.read.parquet(path).where(F.col("shard").isin(touched))
+    after = cut(corrected(stored, corrections, keys))
+    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
 
 
 def _range_sum(tree: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -126,9 +160,9 @@ def _query(periods: tuple[int, ...]):
     def ask(ok: pd.Series, bad: pd.Series, ok0: pd.Series, bad0: pd.Series, begin: pd.Series, end: pd.Series) -> pd.DataFrame:
         def matrix(values: pd.Series) -> np.ndarray:
             out = np.zeros((len(values), 2 * SHARD), np.int64)
-            for i, v in enumerate(values):
-                if v is not None:
-                    out[i] = v
+            there = values.notna().to_numpy()
+            if there.any():
+                out[there] = np.concatenate(values[there].to_list()).reshape(-1, 2 * SHARD)
             return out
 
         now, before = (matrix(ok), matrix(bad)), (matrix(ok0), matrix(bad0))
@@ -147,6 +181,19 @@ def _query(periods: tuple[int, ...]):
     return ask, names
 
 
+def _every_shard(stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The trees with those of shards without any outcome (null) between two with outcomes, and the days of each shard from
+    the entity's first to its last outcome (_begin, _end). Trees that corrections left without outcomes don't count."""
+    of = Window.partitionBy(*keys).orderBy("shard")
+    known = stored.where(F.get("ok", F.lit(1)) + F.get("bad", F.lit(1)) > 0).withColumns({"_next": F.lead("shard").over(of), "_last_shard": F.lag("shard").over(of)})
+    full = known.withColumn("_s", F.explode(F.sequence("shard", F.coalesce(F.col("_next") - 1, F.col("shard")))))
+    real = F.col("_s") == F.col("shard")
+    spread = full.select(*keys, F.col("_s").alias("shard"), F.when(real, F.col("ok")).alias("ok"), F.when(real, F.col("bad")).alias("bad"),
+                         (real & F.col("_last_shard").isNull()).alias("_first"), (real & F.col("_next").isNull()).alias("_final"))
+    filled = lambda pick: pick(F.filter(F.sequence(F.lit(0), F.lit(SHARD - 1)), lambda i: F.get("ok", i + SHARD) + F.get("bad", i + SHARD) > 0))
+    return spread.withColumns({"_begin": F.when(F.col("_first"), filled(F.array_min)).otherwise(0), "_end": F.when(F.col("_final"), filled(F.array_max)).otherwise(SHARD - 1)})
+
+
 def trailing(stored: DataFrame, keys: list[str] = ("edition", "subject"), periods: tuple[int, ...] = (7, 30)) -> DataFrame:
     """(keys..., day, day_count, ok_P, bad_P for each period P): every day from an entity's first to its last outcome.
 
@@ -156,15 +203,9 @@ def trailing(stored: DataFrame, keys: list[str] = ("edition", "subject"), period
     if max(periods) > SHARD:
         raise ValueError(f"a period is longer than a shard of {SHARD} days")
     of = Window.partitionBy(*keys).orderBy("shard")
-    known = stored.withColumns({"_next": F.lead("shard").over(of), "_last_shard": F.lag("shard").over(of)})
-    full = known.withColumn("_s", F.explode(F.sequence("shard", F.coalesce(F.col("_next") - 1, F.col("shard")))))
-    real = F.col("_s") == F.col("shard")
-    spread = full.select(*keys, F.col("_s").alias("shard"), F.when(real, F.col("ok")).alias("ok"), F.when(real, F.col("bad")).alias("bad"),
-                         (real & F.col("_last_shard").isNull()).alias("_first"), (real & F.col("_next").isNull()).alias("_final"))
-    paired = spread.withColumns({
+    spread = _every_shard(stored, keys)
+    ranged = spread.withColumns({
         "_ok0": F.when(F.lag("shard").over(of) == F.col("shard") - 1, F.lag("ok").over(of)), "_bad0": F.when(F.lag("shard").over(of) == F.col("shard") - 1, F.lag("bad").over(of))})
-    filled = lambda pick: pick(F.filter(F.sequence(F.lit(0), F.lit(SHARD - 1)), lambda i: F.get("ok", i + SHARD) + F.get("bad", i + SHARD) > 0))
-    ranged = paired.withColumns({"_begin": F.when(F.col("_first"), filled(F.array_min)).otherwise(0), "_end": F.when(F.col("_final"), filled(F.array_max)).otherwise(SHARD - 1)})
     ask, names = _query(tuple(periods))
     answers = ranged.select(*keys, "shard", ask("ok", "bad", "_ok0", "_bad0", "_begin", "_end").alias("_a"))
     zipped = answers.select(*keys, "shard", F.explode(F.arrays_zip(*[F.col(f"_a.{n}").alias(n) for n in names])).alias("_r"))
@@ -176,6 +217,9 @@ def with_averages(rows: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFr
     return rows.withColumns({f"{x}_avg_{p}": F.round(F.col(f"{x}_{p}") / p, 6) for p in periods for x in ("ok", "bad")})
 
 
-def silent_days(rows: DataFrame) -> DataFrame:
-    """(edition, subject, on_day): days without an outcome between an entity's first and last one, as YYYY-MM-DD."""
-    return rows.where("day_count = 0").select("edition", "subject", F.date_format("day", "yyyy-MM-dd").alias("on_day"))
+def silent_days(stored: DataFrame, keys: list[str] = ("edition", "subject")) -> DataFrame:
+    """(keys..., on_day): days without an outcome between an entity's first and last one, as YYYY-MM-DD: the empty leaves of
+    its trees, and all days of shards between without a tree."""
+    empty = F.filter(F.sequence("_begin", "_end"), lambda i: F.coalesce(F.get("ok", i + SHARD) + F.get("bad", i + SHARD), F.lit(0)) == 0)
+    rows = _every_shard(stored, keys).where("_begin <= _end").select(*keys, "shard", F.explode(empty).alias("_i"))
+    return rows.select(*keys, F.date_format(F.date_from_unix_date((F.col("shard") * SHARD + F.col("_i")).cast("int")), "yyyy-MM-dd").alias("on_day"))

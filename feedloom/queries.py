@@ -22,7 +22,7 @@ from feedloom.operators import rolling
 from feedloom.operators import tables as K
 from feedloom.operators import vectors as V
 from feedloom.plans import stages
-from feedloom.runtime import Workspace
+from feedloom.runtime import Workspace, cut
 from feedloom.sources import feeds
 from feedloom.streaming import daily
 
@@ -69,19 +69,32 @@ def _trailing(spark, at):
 
 @query(DAYS + " select edition, subject, strftime(d, '%Y-%m-%d') as on_day from filled where ok is null")
 def p6_found(spark, at):
-    return rolling.silent_days(_trailing(spark, at))
+    return rolling.silent_days(rolling.trees(rolling.daily_outcomes(table(spark, at, "health_history"))))
 
 
-@query(DAYS + """ select *, round(ok_7 / 7, 6) as ok_avg_7, round(bad_7 / 7, 6) as bad_avg_7, round(ok_30 / 30, 6) as ok_avg_30, round(bad_30 / 30, 6) as bad_avg_30 from (
+_TOTALS = DAYS + """ select *, round(ok_7 / 7, 6) as ok_avg_7, round(bad_7 / 7, 6) as bad_avg_7, round(ok_30 / 30, 6) as ok_avg_30, round(bad_30 / 30, 6) as bad_avg_30 from (
   select edition, subject, d as day, (ok is not null)::bigint as day_count,
     coalesce(sum(ok::int) over w7, 0)::bigint as ok_7, coalesce(sum((not ok)::int) over w7, 0)::bigint as bad_7,
     coalesce(sum(ok::int) over w30, 0)::bigint as ok_30, coalesce(sum((not ok)::int) over w30, 0)::bigint as bad_30 from filled
   window w7 as (partition by edition, subject order by d range between interval 6 day preceding and current row),
-    w30 as (partition by edition, subject order by d range between interval 29 day preceding and current row))""")
+    w30 as (partition by edition, subject order by d range between interval 29 day preceding and current row))"""
+
+
+@query(_TOTALS)
 def p6_trailing(spark, at):
     return rolling.with_averages(_trailing(spark, at))
 
 
+@query(_TOTALS)
+def p6_corrected(spark, at):
+    """Trees of the records written in time, corrected by those that came more than a day late; the totals are those of all."""
+    history = table(spark, at, "health_history")
+    late = F.coalesce(F.datediff("recorded_at", rolling.calendar_day(F.col("run_date"))) > 1, F.lit(False))
+    before = rolling.daily_outcomes(history.where(~late))
+    stored = cut(rolling.trees(before))
+    return rolling.with_averages(rolling.trailing(rolling.corrected(stored, rolling.changes(before, rolling.daily_outcomes(history)))))
+
+
 # --- scans and sinks ---------------------------------------------------------------------------------------------
 
 @query("""select source_key as source, count(*) as n, count(distinct url) as urls, sum(length(left(regexp_replace(coalesce(original_description, ''), '[^A-Za-z0-9 ]', '', 'g'), 200))) as chars

@@ -64,10 +64,29 @@ def test_correction_equals_rebuild(spark):
 def test_silent_days_and_averages(spark):
     rows = spark.createDataFrame([("e", "a", dt.date(2026, 1, 1), True), ("e", "a", dt.date(2026, 1, 4), False)], "edition string, subject string, day date, ok boolean")
     t = R.trailing(R.trees(rows))
-    assert sorted(r.on_day for r in R.silent_days(t).collect()) == ["2026-01-02", "2026-01-03"]
+    assert sorted(r.on_day for r in R.silent_days(R.trees(rows)).collect()) == ["2026-01-02", "2026-01-03"]
+    far = rows.unionByName(spark.createDataFrame([("e", "a", dt.date(2026, 9, 1), True)], rows.schema))
+    assert R.silent_days(R.trees(far)).count() == (dt.date(2026, 9, 1) - dt.date(2026, 1, 1)).days + 1 - 3
     last = R.with_averages(t).where("day = date '2026-01-04'").first()
     assert (last.ok_avg_7, last.bad_avg_30) == (round(1 / 7, 6), round(1 / 30, 6))
 
 
 def test_empty(spark):
     assert R.trailing(R.trees(R.daily_outcomes(history(spark, [])))).count() == 0
+
+
+def test_stored_trees_are_corrected_where_they_change(spark, tmp_path):
+    import os
+
+    path = f"{tmp_path}/trees"
+    schema = "edition string, subject string, day date, ok boolean"
+    before = spark.createDataFrame([("e", "a", dt.date(2026, 1, 1), True), ("e", "a", dt.date(2026, 6, 1), True), (None, "b", dt.date(2026, 6, 2), True)], schema)
+    after = spark.createDataFrame([("e", "a", dt.date(2026, 1, 1), True), ("e", "a", dt.date(2026, 6, 1), False), ("e", "a", dt.date(2026, 6, 3), True)], schema)
+    R.write_trees(R.trees(before), path)
+    names = {d: set(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("shard=")}
+    R.apply_corrections(spark, path, R.changes(before, after))
+    now = {d: set(os.listdir(f"{path}/{d}")) for d in names}
+    assert sum(names[d] == now[d] for d in names) == 1 and len(names) == 2
+    kept = R.trailing(spark.read.parquet(path).select("edition", "subject", "shard", "ok", "bad"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, R.trailing(R.trees(after)).collect()))
+    assert R.changes(before, before).count() == 0
