@@ -8,8 +8,10 @@ Trees are stored as rows, so they can be written, merged by key range and correc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,6 @@ from feedloom.runtime import cut
 #: Days per shard; a power of two, and at least the longest period, so that a period touches two shards at most.
 SHARD = 64
 _LONGS = T.ArrayType(T.LongType())
-_TREE = T.StructType([T.StructField("ok", _LONGS), T.StructField("bad", _LONGS)])
 
 
 def calendar_day(text: Column) -> Column:
@@ -64,24 +65,35 @@ def _shard_of(day: str) -> Column:
     return F.floor(F.unix_date(day) / SHARD).cast("int")
 
 
-@F.pandas_udf(_TREE)
-def _grow(days: pd.Series) -> pd.DataFrame:
-    """Trees from each row's list of day * 2 + ok (day within the shard)."""
-    sizes = days.map(len).to_numpy()
-    row = np.repeat(np.arange(len(days)), sizes)
-    codes = np.concatenate(days.to_list()).astype(np.int64) if len(days) and sizes.sum() else np.empty(0, np.int64)
-    ok, bad = np.zeros((len(days), SHARD), np.int64), np.zeros((len(days), SHARD), np.int64)
-    good = codes & 1 == 1
-    np.add.at(ok, (row[good], codes[good] >> 1), 1)
-    np.add.at(bad, (row[~good], codes[~good] >> 1), 1)
-    return pd.DataFrame({"ok": list(_sums(ok)), "bad": list(_sums(bad))})
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Trees of a column of lists, a row each; null is a tree of noughts."""
+    out = np.zeros((len(column), 2 * SHARD), np.int64)
+    there = ~np.asarray(column.is_null())
+    out[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * SHARD)
+    return out
+
+
+def _lists(trees: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(trees) + 1, dtype=np.int32) * 2 * SHARD), pa.array(trees.ravel()))
 
 
 def trees(outcomes: DataFrame, keys: list[str] = ("edition", "subject")) -> DataFrame:
     """(keys..., shard, ok, bad): one tree per entity and shard with an outcome. Repeated days add up."""
     day = F.unix_date("day")
     coded = outcomes.select(*keys, _shard_of("day").alias("shard"), (F.pmod(day, F.lit(SHARD)) * 2 + F.col("ok").cast("int")).cast("int").alias("_c"))
-    return coded.groupBy(*keys, "shard").agg(F.collect_list("_c").alias("_d")).select(*keys, "shard", _grow("_d").alias("_t")).select(*keys, "shard", "_t.ok", "_t.bad")
+    held = coded.groupBy(*keys, "shard").agg(F.collect_list("_c").alias("_d"))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            days = batch.column(batch.num_columns - 1)
+            rows, codes = len(days), days.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.repeat(np.arange(rows), np.asarray(days.value_lengths())) * SHARD + (codes >> 1)
+            good = codes & 1 == 1
+            both = [_lists(_sums(np.bincount(place[which], minlength=rows * SHARD).reshape(rows, SHARD))) for which in (good, ~good)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *both], names=schema.names)
+
+    schema = T.StructType([*held.select(*keys, "shard").schema.fields, T.StructField("ok", _LONGS), T.StructField("bad", _LONGS)])
+    return held.mapInArrow(grow, schema)
 
 
 def changes(before: DataFrame, after: DataFrame, keys: list[str] = ("edition", "subject")) -> DataFrame:
@@ -152,33 +164,26 @@ def _range_sum(tree: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
         left, right = np.where(left < right, left >> 1, left), np.where(left < right, right >> 1, left)
 
 
-def _query(periods: tuple[int, ...]):
-    names = ["on", "day_count", *[f"{x}_{p}" for p in periods for x in ("ok", "bad")]]
-    kind = T.StructType([T.StructField("on", T.ArrayType(T.IntegerType())), T.StructField("day_count", _LONGS), *[T.StructField(n, _LONGS) for n in names[2:]]])
-
-    @F.pandas_udf(kind)
-    def ask(ok: pd.Series, bad: pd.Series, ok0: pd.Series, bad0: pd.Series, begin: pd.Series, end: pd.Series) -> pd.DataFrame:
-        def matrix(values: pd.Series) -> np.ndarray:
-            out = np.zeros((len(values), 2 * SHARD), np.int64)
-            there = values.notna().to_numpy()
-            if there.any():
-                out[there] = np.concatenate(values[there].to_list()).reshape(-1, 2 * SHARD)
-            return out
-
-        now, before = (matrix(ok), matrix(bad)), (matrix(ok0), matrix(bad0))
-        day = np.broadcast_to(np.arange(SHARD), (len(ok), SHARD))
-        asked = (day >= begin.to_numpy()[:, None]) & (day <= end.to_numpy()[:, None])
+def _answers(keys: list[str], periods: tuple[int, ...]):
+    """A map from (keys..., shard, ok, bad, _ok0, _bad0, _begin, _end), trees with those of the shard before, to a row per day."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {n: batch.column(n) for n in batch.schema.names}
+            now, before = (_matrix(column["ok"]), _matrix(column["bad"])), (_matrix(column["_ok0"]), _matrix(column["_bad0"]))
+            day = np.broadcast_to(np.arange(SHARD), (batch.num_rows, SHARD))
+            begin, end = (np.asarray(column[c].fill_null(v)) for c, v in (("_begin", SHARD), ("_end", -1)))
+            row, at = np.nonzero((day >= begin[:, None]) & (day <= end[:, None]))
 
-        def over(which: int, days: int) -> np.ndarray:
-            here = _range_sum(now[which], np.maximum(day - days + 1, 0), day)
-            return here + _range_sum(before[which], np.where(day - days + 1 < 0, day - days + 1 + SHARD, SHARD), np.full(day.shape, SHARD - 1))
+            def over(which: int, days: int) -> np.ndarray:
+                here = _range_sum(now[which], np.maximum(day - days + 1, 0), day)
+                return here + _range_sum(before[which], np.where(day - days + 1 < 0, day - days + 1 + SHARD, SHARD), np.full(day.shape, SHARD - 1))
 
-        found = {"on": day.astype(np.int32), "day_count": over(0, 1) + over(1, 1)}
-        for p in periods:
-            found[f"ok_{p}"], found[f"bad_{p}"] = over(0, p), over(1, p)
-        return pd.DataFrame({n: [v[m] for v, m in zip(found[n], asked)] for n in names})
+            found = [over(0, 1) + over(1, 1), *[over(which, p) for p in periods for which in (0, 1)]]
+            on = (np.asarray(column["shard"])[row].astype(np.int32) * SHARD + at).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[column[k].take(pa.array(row)) for k in keys], pa.array(on).cast(pa.date32()), *[pa.array(f[row, at]) for f in found]],
+                                             names=[*keys, "day", "day_count", *[f"{x}_{p}" for p in periods for x in ("ok", "bad")]])
 
-    return ask, names
+    return ask
 
 
 def _every_shard(stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -206,10 +211,9 @@ def trailing(stored: DataFrame, keys: list[str] = ("edition", "subject"), period
     spread = _every_shard(stored, keys)
     ranged = spread.withColumns({
         "_ok0": F.when(F.lag("shard").over(of) == F.col("shard") - 1, F.lag("ok").over(of)), "_bad0": F.when(F.lag("shard").over(of) == F.col("shard") - 1, F.lag("bad").over(of))})
-    ask, names = _query(tuple(periods))
-    answers = ranged.select(*keys, "shard", ask("ok", "bad", "_ok0", "_bad0", "_begin", "_end").alias("_a"))
-    zipped = answers.select(*keys, "shard", F.explode(F.arrays_zip(*[F.col(f"_a.{n}").alias(n) for n in names])).alias("_r"))
-    return zipped.select(*keys, F.date_from_unix_date((F.col("shard") * SHARD + F.col("_r.on")).cast("int")).alias("day"), *[F.col(f"_r.{n}").alias(n) for n in names[1:]])
+    names = ["day_count", *[f"{x}_{p}" for p in periods for x in ("ok", "bad")]]
+    schema = T.StructType([*ranged.select(*keys).schema.fields, T.StructField("day", T.DateType()), *[T.StructField(n, T.LongType()) for n in names]])
+    return ranged.select(*keys, "shard", "ok", "bad", "_ok0", "_bad0", "_begin", "_end").mapInArrow(_answers(list(keys), tuple(periods)), schema)
 
 
 def with_averages(rows: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
