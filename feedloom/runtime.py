@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import io
 import os
 import tempfile
 import uuid
@@ -28,21 +29,24 @@ def session(app: str = "feedloom", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that Python workers find it wherever they run."""
+    """Send this package to the executors, once per application, so that Python workers find it wherever they run. The archive
+    lies in the shared folder."""
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
-    here = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="feedloom-package-")  # read by the driver only, which serves it to the executors
-    at = os.path.join(folder, "feedloom.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for base, _, names in os.walk(here):
-            for name in names:
+    here, packed = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for base, _, names in sorted(os.walk(here)):
+            for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(base, name)
-                    z.write(full, os.path.join("feedloom", os.path.relpath(full, here)))
-    context.addPyFile(at)
+                    with open(full, "rb") as f:
+                        z.writestr(zipfile.ZipInfo(os.path.join("feedloom", os.path.relpath(full, here))), f.read())
+    at = f"package-{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}/feedloom.zip"
+    work = Workspace(spark, at=f"{shared_root(spark)}/feedloom")
+    work.put(at, packed.getvalue())
+    context.addPyFile(f"{work.path}/{at}")
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -82,13 +86,13 @@ class Workspace:
     def cut(self, df: DataFrame) -> DataFrame:
         return self.write(df, f"cut-{uuid.uuid4().hex}")
 
-    def put(self, name: str, text: str) -> None:
+    def put(self, name: str, text: str | bytes) -> None:
         """Write a small text, whole or not at all: under another name first, then renamed."""
         fs, at = self._file(name)
-        draft = at.suffix(".draft")
+        draft = at.suffix(f".{uuid.uuid4().hex}")
         out = fs.create(draft, True)
         try:
-            out.write(bytearray(text.encode("utf-8")))
+            out.write(bytearray(text.encode("utf-8") if isinstance(text, str) else text))
         finally:
             out.close()
         fs.delete(at, False)
