@@ -11,20 +11,23 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Default place of the vocabulary; pass another path as a parameter.
+#: Default place of the vocabulary on the driver; pass another path as a parameter.
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to the vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Bytes of words kept in a Python worker between batches, and bytes of text handled at once.
 KEEP_BYTES, CHUNK_BYTES = 48 << 20, 8 << 20
 _NEVER = 1 << 60
+_SENT: set[tuple[str, str]] = set()
 
 
 class Trie:
@@ -142,7 +145,16 @@ class Trie:
 
 @functools.lru_cache(maxsize=2)
 def trie(path: str) -> Trie:
-    return Trie(path)
+    """The trie of a vocabulary file; on workers that don't have the path, of the copy that came with the job."""
+    return Trie(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def _sent(spark: SparkSession, path: str) -> None:
+    """Send a vocabulary file of the driver to the workers, once per application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SENT and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        _SENT.add(key)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -170,6 +182,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
                 ids = pa.array(list(t.encode_texts(texts[a:b])), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=[key, "ids"])
 
+    _sent(documents.sparkSession, vocabulary)
     schema = T.StructType([documents.select(key).schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return documents.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
@@ -184,5 +197,6 @@ def token_counts(documents: DataFrame, keep: list[str], text: str = "text", voca
                 n = pa.array([len(ids) for ids in t.encode_texts(texts[a:b])], pa.int64())
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], n], names=[*keep, "n_tokens"])
 
+    _sent(documents.sparkSession, vocabulary)
     schema = T.StructType([*documents.select(*keep).schema.fields, T.StructField("n_tokens", T.LongType())])
     return documents.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)

@@ -113,7 +113,7 @@ def seen_form(text: str) -> str:
     """What a reader sees: as one_form without folding, but visibly different compatibility characters stay apart."""
     if text.isascii():
         return " ".join(text.split())
-    out = "".join(f"{c}" if unicodedata.decomposition(c).startswith(_VISIBLE_TAGS) else c for c in _DROP.sub("", text))
+    out = "".join(f"\ue000{c}" if unicodedata.decomposition(c).startswith(_VISIBLE_TAGS) else c for c in _DROP.sub("", text))
     return one_form(out, fold=False)
 
 
