@@ -103,6 +103,40 @@ def stale(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.join(newest, "step").where(F.col("mtime") < F.col("_m")).select("step")
 
 
+def day_violations(runs: DataFrame, usage: DataFrame, lines: DataFrame, steps: list[str], day: str = "run_date") -> DataFrame:
+    """(day, code, count, sample) of all checks of a day: steps that called a model without a token counted, and the report's
+    own. lines has the day, pos and line of each report."""
+    empty = R.ledger_check(runs, usage, steps).select(F.col("run_date").alias(day), F.lit("zero_tokens").alias("code"))
+    ran = runs.where(F.col("step").isin(steps) & (F.col("status") == "ran")).groupBy(F.col("run_date").alias(day)).agg(F.array_sort(F.collect_set("step")).alias("_s"))
+    ledger = empty.join(ran, day).select(day, "code", F.lit(1).cast("long").alias("count"), F.array_join("_s", ", ").alias("sample"))
+    return ledger.unionByName(R.check_report(lines, day))
+
+
+def message(text: Column, most: int = 4096) -> Column:
+    """A text as it may be sent: only tags the messenger knows, and no longer than it takes."""
+    from feedloom.functions.texts import truncated_to
+
+    return truncated_to(most)(allowed_tags(text))
+
+
+def delivered(messages: DataFrame, send) -> DataFrame:
+    """(run_date, message_id, ok, error) of messages sent by send(text) -> bool; an exception is an error, not the end of the
+    others. Write the result: what is in it with ok is left out next time by undelivered()."""
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for day, name, text in f.itertuples(index=False):
+                try:
+                    rows.append((day, name, bool(send(text)), None))
+                except Exception as problem:
+                    rows.append((day, name, False, str(problem)[:300]))
+            yield pd.DataFrame(rows, columns=["run_date", "message_id", "ok", "error"])
+
+    return messages.select("run_date", "message_id", "text").mapInPandas(run, "run_date string, message_id string, ok boolean, error string")
+
+
 def undelivered(messages: DataFrame, delivered: DataFrame) -> DataFrame:
     """Messages (run_date, message_id, text) not yet recorded as delivered, so a rerun sends the rest only."""
     return messages.join(delivered.select("run_date", "message_id").distinct(), ["run_date", "message_id"], "left_anti")

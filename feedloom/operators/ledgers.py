@@ -76,6 +76,14 @@ def alerts_cleared(alerts: DataFrame, done: DataFrame, keys: list[str]) -> DataF
     return alerts.join(done.select(*keys, "step"), [*keys, "step"], "left_anti")
 
 
+def append_usage(events: DataFrame, path: str) -> None:
+    """Add a run's calls to the ledger table: one row per call, none of zero usage, blank steps are 'other'. Accumulators are
+    no ledger, since tasks that run again would count twice; readers drop repeated event_ids."""
+    from feedloom.operators.health import usage_events
+
+    usage_events(events).write.mode("append").partitionBy("run_date").parquet(path)
+
+
 def usage_table(days: DataFrame, steps: DataFrame, last: int = 7) -> DataFrame:
     """(pos, line): the last days' sums, their average per day, and the latest day's steps by tokens, as lines of text.
 

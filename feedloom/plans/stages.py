@@ -19,13 +19,17 @@ def verdict(in_steps: bool, exists: bool, forced: bool, upstream_ran: bool) -> s
 
 @dataclass
 class Stage:
-    """A named DataFrame -> DataFrame step in a tier; retries wait longer each time."""
+    """A named DataFrame -> DataFrame step in a tier; retries wait longer each time.
+
+    With reflect, a try after a failure gets reflect(error) as a hint: build(done, hint) then takes two arguments.
+    """
 
     name: str
     tier: int
     build: Callable[[dict[str, DataFrame]], DataFrame]
     tries: int = 1
     wait: float = 1.0
+    reflect: Callable[[str], str] | None = None
 
 
 @dataclass
@@ -61,10 +65,11 @@ class Pipeline:
             elif what == "RUN":
                 for attempt in range(stage.tries):
                     try:
-                        stage.build(out).write.mode("overwrite").parquet(self.path(stage.name, day))
+                        built = stage.build(out, stage.reflect(error) if error else "") if stage.reflect else stage.build(out)
+                        built.write.mode("overwrite").parquet(self.path(stage.name, day))
                         out[stage.name] = self.spark.read.parquet(self.path(stage.name, day))
                         ran.append(stage.tier)
-                        error = None
+                        error = None  # an earlier try's
                         break
                     except Exception as problem:  # a stage's failure is data for the health history
                         error = str(problem)[:300]

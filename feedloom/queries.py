@@ -97,20 +97,6 @@ def p6_corrected(spark, at):
 
 # --- scans and sinks ---------------------------------------------------------------------------------------------
 
-@query("""select source_key as source, count(*) as n, count(distinct url) as urls, sum(length(left(regexp_replace(coalesce(original_description, ''), '[^A-Za-z0-9 ]', '', 'g'), 200))) as chars
-  from articles where source_key is not null group by 1""")
-def r_s1_rss_items(spark, at):
-    """Articles written as one RSS document per article and read back through the feed reader."""
-    rows = table(spark, at, "articles").where("source_key is not null")
-    esc = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    text = F.regexp_replace(F.coalesce("original_description", F.lit("")), "[^A-Za-z0-9 ]", "")
-    body = F.concat(F.lit('<rss version="2.0"><channel><item><title>t</title><link>'), esc("url"), F.lit("</link><description>x"), text, F.lit("x</description></item></channel></rss>"))
-    items = feeds.rss_items(rows.select(F.col("source_key").alias("source"), body.alias("body")), cap=100_000)
-    inner = F.expr("substring(description, 2, length(description) - 2)")
-    return items.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.nullif(F.col("url"), F.lit(""))).alias("_u"), F.sum(F.length(F.substring(inner, 1, 200))).alias("chars")).join(
-        rows.groupBy(F.col("source_key").alias("source")).agg(F.count_distinct("url").alias("urls")), "source").select("source", "n", "urls", "chars")
-
-
 @query("""select article_id, array_to_string(list_transform(list_filter(list_slice(string_split(comment_summary, '. '), 1, 10), lambda x: trim(x) <> '' and x not in ('[deleted]', '[removed]')),
   lambda x: left(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), 300)), '|') as comments from articles where comment_summary is not null""")
 def r_s9_comments(spark, at):
@@ -141,14 +127,6 @@ def r_s18_latest_day(spark, at):
     return rows.join(F.broadcast(rows.agg(F.max("run_date").alias("run_date"))), "run_date", "left_semi").select("run_date", "digest_id", "title")  # one row
 
 
-@query(f"""with d as (select *, {DATE} as d from digests), r as (select * from d where d >= (select max(d) - 7 from d))
-  select run_date, count(*) as digest_count, array_to_string(list_slice(list(title order by ord, digest_id) filter (title is not null), 1, 10), '|') as themes from r group by 1""")
-def r_s21_recent_briefs(spark, at):
-    rows = H.recent(table(spark, at, "digests").withColumn("d", S.strict_date(F.col("run_date"))), [], "d", 8)
-    named = F.collect_list(F.when(F.col("title").isNotNull(), F.struct("ord", "digest_id", "title")))
-    return rows.groupBy("run_date").agg(F.count(F.lit(1)).alias("digest_count"), F.array_join(F.transform(F.slice(F.array_sort(named), 1, 10), lambda x: x["title"]), "|").alias("themes"))
-
-
 @query("""with r as (select *, row_number() over (partition by url order by article_id desc) as k from articles where url <> '')
   select url, article_id, batch_no from r where k = 1""")
 def r_k2_keyed_upsert(spark, at):
@@ -226,12 +204,6 @@ def r_p12_number_or_null(spark, at):
     return table(spark, at, "events").select("event_id", S.number_or_null(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")).alias("k"))
 
 
-@query("""select digest_id, run_date from digests where contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(source_label, ''))), 'the')
-  and contains(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(source_label, ''))), 'model')""")
-def r_p15_search(spark, at):
-    return A.keyword_search(table(spark, at, "digests"), ["title", "summary", "source_label"], " The  MODEL ").select("digest_id", "run_date")
-
-
 @query("select article_id, coalesce(starts_with(url, 'http://') or starts_with(url, 'https://'), false) as valid from articles")
 def r_p16_valid_url(spark, at):
     return table(spark, at, "articles").select("article_id", S.is_valid_url(F.col("url")).alias("valid"))
@@ -316,17 +288,6 @@ def r_t4_nearest(spark, at):
     return V.nearest(*_asked(spark, at), 3)
 
 
-@query(f"""with u as (select {DATE} as day, count(*) as n from usage_events group by 1), g as (select {DATE} as day, count(*) as n from digests group by 1), e as (select {DATE} as day, count(*) as n from dedup_items group by 1),
-  s as (select day from u union select day from g union select day from e), c as (select unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day))::date as day from s)
-  select c.day, c.day not in (select day from s where day is not null) as absent, u.n as calls, g.n as digests, e.n as filtered from c left join u on c.day = u.day left join g on c.day = g.day left join e on c.day = e.day""")
-def r_j9_runs(spark, at):
-    def per_day(name: str) -> DataFrame:
-        return table(spark, at, name).groupBy("run_date").agg(F.count(F.lit(1)).alias("n")).withColumn("_ord", F.lit(0))
-
-    out = H.runs({"u": per_day("usage_events"), "g": per_day("digests"), "e": per_day("dedup_items")})
-    return out.select("day", "absent", F.col("u.n").alias("calls"), F.col("g.n").alias("digests"), F.col("e.n").alias("filtered"))
-
-
 @query()
 def r_j12_titles(spark, at):
     """Ledger titles to the one article address of that title, by equality or containment."""
@@ -660,4 +621,4 @@ def r_r3_sliding_stream(spark, at):
     return _closed_windows(spark, at, days="7 days", slide="1 day")
 
 
-from feedloom import queries_reports, queries_state  # noqa: E402, F401  (they register themselves here)
+from feedloom import queries_feeds, queries_reports, queries_state  # noqa: E402, F401  (they register themselves here)

@@ -114,21 +114,60 @@ def top_comments(trees: DataFrame, children: str = "children", top: int = 10, ca
 
 
 def front_page(pages: DataFrame) -> DataFrame:
-    """(source, ord, item, title, url, score, comments) of a front page: titles left-joined to scores and comments by item."""
-    html = F.col("html")
-    title = r'<tr class="athing[^"]*" id="(\d+)">.*?<span class="titleline"><a href="([^"]+)"[^>]*>(.*?)</a>'
-    found = pages.select("source", F.posexplode(F.regexp_extract_all(html, F.lit("(?s)" + title), F.lit(0))).alias("ord", "m"))
-    items = found.select("source", "ord", F.regexp_extract("m", "(?s)" + title, 1).alias("item"), F.regexp_extract("m", "(?s)" + title, 2).alias("url"), F.regexp_extract("m", "(?s)" + title, 3).alias("title"))
-
-    def numbers(pattern: str, name: str) -> DataFrame:
-        hits = pages.select("source", F.explode(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).alias("m"))
-        return hits.select("source", F.regexp_extract("m", pattern, 1).alias("item"), F.regexp_extract("m", pattern, 2).cast("long").alias(name)).groupBy("source", "item").agg(F.last(name).alias(name))
-
-    scores = numbers(r'id="score_(\d+)">(\d+) point', "score")
-    comments = numbers(r'item\?id=(\d+)">(\d+)&nbsp;comment', "comments")
-    out = items.join(scores, ["source", "item"], "left").join(comments, ["source", "item"], "left")
+    """(source, ord, item, title, url, item_url, score, comments) of front pages (source, html).
+
+    A page is cut at the rows of its items; each piece holds the item with its title, and its points and comments in the row
+    below. Missing counts are 0. An item that links to nowhere else links to itself. A row without a title is no item.
+    """
+    pieces = pages.select("source", F.posexplode(F.split("html", r"(?=<tr class=\"athing submission\" id=\")")).alias("_at", "_p"))
+    part = lambda pattern, i=1: F.regexp_extract("_p", pattern, i)
+    link = r"<span class=\"titleline\"><a href=\"([^\"]+)\">([^<]+)</a>"
+    named = pieces.select("source", "_at", part(r"^<tr class=\"athing submission\" id=\"(\d+)\">").alias("item"), part(link).alias("_to"), S.strip(part(link, 2)).alias("title"), "_p").where("item <> '' and _to <> ''")
     own = F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("item"))
-    return out.select("source", "ord", "item", unescaped("title").alias("title"), F.when(S.is_valid_url(F.col("url")), F.col("url")).otherwise(own).alias("url"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("comments", F.lit(0)).alias("comments"))
+    count = lambda pattern: F.coalesce(F.when(part(pattern) == F.col("item"), part(pattern, 2).try_cast("long")), F.lit(0).cast("long"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("_at")) - 1
+    return named.select("source", place.alias("ord"), "item", "title", F.when(F.col("_to").startswith("http"), F.col("_to")).otherwise(own).alias("url"), own.alias("item_url"),
+                        count(r"id=\"score_(\d+)\">(\d+) points").alias("score"), count(r"item\?id=(\d+)\">(\d+)&nbsp;comment").alias("comments"))
+
+
+def rendered(urls: DataFrame, render, most: int = 8000) -> DataFrame:
+    """(url, html, title, error) of addresses by render(url) -> (html, title), each in its batch; html is cut at `most`
+    characters, and an address that fails has its error instead. render must be one a worker can run."""
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for url in f["url"]:
+                try:
+                    html, title = render(url)
+                    rows.append((url, html[:most], title, None))
+                except Exception as problem:
+                    rows.append((url, None, None, str(problem)[:300]))
+            yield pd.DataFrame(rows, columns=["url", "html", "title", "error"])
+
+    return urls.select("url").mapInPandas(run, "url string, html string, title string, error string")
+
+
+def link_contents(fetched: DataFrame) -> DataFrame:
+    """(url, kind, title, content, comments) of fetched addresses (url, body), by the class of the address.
+
+    Items and threads come as JSON: their own text, and the texts of the first five children, or of the first eight comments
+    cut at 500 characters each, without the empty ones. Other pages are their body. Addresses of the closed service have a
+    note instead. Contents are cut at 6000 and 4000 characters, comments at 1000.
+    """
+    kind = S.classify_url(F.col("url"))
+    v = F.try_parse_json("body")
+    get = lambda path, to="string": F.try_variant_get(v, path, to)
+    texts = lambda path, field, n: F.filter(F.transform(F.slice(F.coalesce(get(path, "array<variant>"), F.array().cast("array<variant>")), 1, n), lambda c: F.try_variant_get(c, field, "string")), lambda t: t.isNotNull() & (t != ""))
+    post = "$[0].data.children[0].data"
+    item = F.struct(F.coalesce(get("$.title"), F.col("url")).alias("title"), F.coalesce(get("$.text"), F.lit("")).alias("content"), F.array_join(texts("$.children", "$.text", 5), "\n").alias("comments"))
+    thread = F.struct(F.coalesce(get(f"{post}.title"), F.col("url")).alias("title"), F.coalesce(get(f"{post}.selftext"), F.lit("")).alias("content"),
+                      F.array_join(F.transform(texts("$[1].data.children", "$.data.body", 8), lambda t: F.substring(t, 1, 500)), "\n").alias("comments"))
+    closed = F.struct(F.lit("[Twitter/X]").alias("title"), F.lit("").alias("content"), F.lit("").alias("comments"))
+    page = F.struct(F.col("url").alias("title"), F.substring(F.coalesce("body", F.lit("")), 1, 6000).alias("content"), F.lit("").alias("comments"))
+    picked = F.when(kind == "hn", item).when(kind == "reddit", thread).when(kind == "twitter", closed).otherwise(page)
+    return fetched.select("url", kind.alias("kind"), picked.alias("_c")).select("url", "kind", "_c.title", F.substring("_c.content", 1, 4000).alias("content"), F.substring("_c.comments", 1, 1000).alias("comments"))
 
 
 def response_parts(raw: DataFrame) -> DataFrame:

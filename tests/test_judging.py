@@ -74,3 +74,19 @@ def test_table_rows_are_relinked(spark):
     index = spark.createDataFrame([("a long title here", "https://h/1")], "title string, url string")
     got = [r.line for r in G.relinked(R.lines_of(docs, "doc_id", "text"), index).orderBy("pos").collect()]
     assert got == ["| [A long title here](https://h/1) (5 pt) | x |", "• [A long title here](https://h/1) (1,200pt) more", "| other | (3 pt) |"]
+
+
+def test_messages_and_delivery(spark):
+    long = "<p>" + "x" * 5000
+    assert spark.range(1).select(G.message(F.lit("<b>a<p>b</p>")).alias("m")).first().m == "<b>ab"
+    assert len(spark.range(1).select(G.message(F.lit(long)).alias("m")).first().m) == 4096
+    m = spark.createDataFrame([("d", "1", "x"), ("d", "2", None)], "run_date string, message_id string, text string")
+    got = {r.message_id: (r.ok, bool(r.error)) for r in G.delivered(m, lambda t: len(t) > 0).collect()}
+    assert got == {"1": (True, False), "2": (False, True)}
+
+
+def test_day_violations(spark):
+    runs = spark.createDataFrame([("d1", "judge", "ran"), ("d1", "digest", "ran"), ("d2", "judge", "loaded")], "run_date string, step string, status string")
+    usage = spark.createDataFrame([("d1", 0)], "run_date string, total_tokens long")
+    lines = R.lines_of(spark.createDataFrame([("d2", "a @@1@@")], "run_date string, text string"), "run_date", "text")
+    assert sorted((r.run_date, r.code, r.sample) for r in G.day_violations(runs, usage, lines, ["judge", "digest"]).collect()) == [("d1", "zero_tokens", "digest, judge"), ("d2", "leftover_token", "a @@1@@")]

@@ -287,9 +287,10 @@ def test_feeds(spark):
 def test_comments_pages_and_responses(spark):
     trees = spark.createDataFrame([(1, ["<p>a</p>", "[deleted]", "", None, "b"]), (2, None)], "item_id int, children array<string>")
     assert [r.comments for r in feeds.top_comments(trees).orderBy("item_id").collect()] == [["a", "b"], []]
-    page = '<tr class="athing submission" id="7"><td><span class="titleline"><a href="item?id=7">T &amp; U</a></span></td></tr><span id="score_7">12 points</span><a href="item?id=7">3&nbsp;comments</a><tr class="athing" id="8"><span class="titleline"><a href="https://h">V</a>'
-    rows = feeds.front_page(spark.createDataFrame([("hn", page)], "source string, html string")).orderBy("ord").collect()
-    assert [(r.title, r.score, r.comments) for r in rows] == [("T & U", 12, 3), ("V", 0, 0)] and rows[1].url == "https://h"
+    row = lambda i, to, name, more="": f'<tr class="athing submission" id="{i}"><td><span class="titleline"><a href="{to}">{name}</a></span></td></tr>{more}'
+    page = "<b>top</b>" + row(7, "item?id=7", " T ", '<span id="score_7">12 points</span><a href="item?id=7">3&nbsp;comments</a>') + row(8, "https://h", "V", '<span id="score_9">5 points</span>') + row(9, "", "none")
+    rows = feeds.front_page(spark.createDataFrame([("hn", page), ("empty", ""), ("null", None)], "source string, html string")).orderBy("ord").collect()
+    assert [(r.item, r.title, r.score, r.comments) for r in rows] == [("7", "T", 12, 3), ("8", "V", 0, 0)] and [r.url for r in rows] == ["https://news.ycombinator.com/item?id=7", "https://h"]
     raw = spark.createDataFrame([("HTTP/1.1 429 Too Many\r\nX-RateLimit-Reset: 17.5\r\n\r\nbody\n\nmore",), ("<feed/>\n\nx",)], "raw string")
     assert {(r.status, r.reset_seconds, r.body) for r in feeds.response_parts(raw).collect()} == {(429, 17.5, "body\n\nmore"), (None, None, "<feed/>\n\nx")}
     asked = spark.createDataFrame([("g", 0, 0, "HTTP/1.1 429 X\r\nx-ratelimit-reset: 90\r\n\r\n"), ("g", 0, 1, "HTTP/1.1 200 OK\r\nx-ratelimit-reset: 3\r\n\r\nb"), ("g", 0, 2, "b"), ("g", 1, 0, "b")], "g string, ord int, attempt int, raw string")
@@ -346,3 +347,46 @@ def test_derived_tables_are_built_once_per_files(spark, tmp_path):
     w.put("a.json", "x")
     w.put("a.json", "ä")
     assert w.get("a.json") == "ä"
+
+
+def test_feed_files_and_source(spark, tmp_path):
+    from feedloom.sources import files
+
+    (tmp_path / "a.xml").write_text("<rss><channel><item><title>A</title></item></channel></rss>")
+    (tmp_path / "b.xml").write_bytes(b"<rss>\xff")
+    assert {r.source: r.body[:5] for r in files.feed_files(spark, f"{tmp_path}/*.xml").collect()} == {"a": "<rss>", "b": "<rss>"}
+    files.register(spark)
+    rows = {r.source: r for r in spark.read.format("feeds").option("path", f"{tmp_path}/*.xml").load().collect()}
+    assert rows["a"].error is None and rows["b"].body is None and rows["b"].error
+    assert spark.read.format("feeds").option("path", f"{tmp_path}/none/*").load().count() == 0
+
+
+def test_endpoints(spark):
+    from feedloom import endpoints
+
+    rows = [("2026-01-08", 1, 1, "The Model", "s", None, "u"), ("2026-01-08", 0, 2, None, "model the", "x", "u"), ("2026-01-01", 0, 3, "old the model", None, None, "u"), ("2025-12-31", 0, 4, "older the model", None, None, "u"), ("bad", 0, 5, "the model", None, None, "u")]
+    d = spark.createDataFrame(rows, "run_date string, ord int, digest_id int, title string, summary string, source_label string, url string")
+    today = F.lit("2026-01-08").cast("date")
+    assert [(r.run_date, r.digest_count, r.themes) for r in endpoints.recent_briefs(d, today).collect()] == [("2026-01-08", 2, ["The Model"]), ("2026-01-01", 1, ["old the model"])]
+    assert [r.digest_id for r in endpoints.search(d, "the MODEL", today).collect()] == [2, 1, 3] and endpoints.search(d, " ", today).count() == 0
+
+
+def test_usage_table_grows_by_calls(spark, tmp_path):
+    from feedloom.operators import ledgers as L
+
+    e = spark.createDataFrame([(1, "e", "d1", "", "m", 1, 1, 0), (2, "e", "d1", "s", "m", None, None, None), (1, "e", "d1", "", "m", 1, 1, 0)], "event_id int, edition string, run_date string, step string, model string, prompt_tokens long, completion_tokens long, total_tokens long")
+    L.append_usage(e, f"{tmp_path}/u")
+    assert [(r.step, r.total_tokens) for r in spark.read.parquet(f"{tmp_path}/u").collect()] == [("other", 2)]
+
+
+def test_a_retry_gets_a_hint(spark, tmp_path):
+    hints = []
+
+    def build(done, hint):
+        hints.append(hint)
+        if not hint:
+            raise ValueError("bad form")
+        return spark.createDataFrame([(hint,)], "v string")
+
+    p = stages.Pipeline(spark, f"file://{tmp_path}", [stages.Stage("a", 1, build, tries=2, reflect=lambda error: f"mind: {error}")], sleep=lambda s: None)
+    assert p.run("2026-01-01")["a"].first().v == "mind: bad form" and hints == ["", "mind: bad form"] and p.log[0]["status"] == "ran"
