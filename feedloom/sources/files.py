@@ -15,7 +15,7 @@ def feed_files(spark: SparkSession, path: str) -> DataFrame:
     """(source, body) of raw feed files under a path: the file's name without its ending, and its text, whose broken
     characters are replaced."""
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return spark.read.format("binaryFile").load(path).select(name.alias("source"), F.decode("content", "UTF-8").alias("body"))
+    return spark.read.format("binaryFile").load(path).select(name.alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
 
 
 class Fetched(InputPartition):
@@ -33,6 +33,8 @@ class FeedReader(DataSourceReader):
         return [Fetched(os.path.splitext(os.path.basename(p))[0], p) for p in sorted(glob.glob(self.pattern))]
 
     def read(self, partition: Fetched) -> Iterator[tuple]:
+        if partition is None:  # no file matches
+            return
         try:
             with open(partition.at, encoding="utf-8") as f:
                 yield partition.name, f.read(), None
