@@ -344,3 +344,63 @@ def r_c7_completed(spark, at):
     quality = digests.groupBy("run_date").agg(F.when(n % 3 == 0, 2.0).when(n % 3 == 1, 3.0).cast("double").alias("completeness"), F.array_repeat(F.lit("u"), (n % 2).cast("int")).alias("missed_urls"))
     again = lambda weak: digests.join(weak, "run_date").select("run_date", "digest_id", F.concat(F.lit("again "), F.size("missed_urls").cast("string")).alias("summary"))
     return models.completed(digests, quality, again, ["run_date"]).select("digest_id", "summary")
+
+
+# --- small forms --------------------------------------------------------------------------------------------------
+
+@query("select event_id, coalesce(case event_id % 4 when 0 then null when 1 then 2.9 when 2 then 3.0 else 1 end < 3, false) and event_id % 5 <> 0 and event_id % 3 > 0 as again from events")
+def r_p23_needs_reconcile(spark, at):
+    e = table(spark, at, "events")
+    return e.select("event_id", G.needs_reconcile(F.expr("cast(case event_id % 4 when 0 then null when 1 then 2.9 when 2 then 3.0 else 1 end as double)"), F.col("event_id") % 3, F.col("event_id") % 5 == 0).alias("again"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then '<b>' || event_type || '</b>' else '<b><a href=\"https://h/' || event_id || '\">' || event_type || '</a></b>' end as text, case when event_id % 3 = 0 then 1 else 0 end as removed from events")
+def r_x5_live_anchors(spark, at):
+    text = F.expr("'<b><a href=\"' || case when event_id % 3 = 0 then '@@' || event_id || '@@' else 'https://h/' || event_id end || '\">' || event_type || '</a></b>'")
+    return table(spark, at, "events").select("event_id", X.live_anchors(text).alias("r")).select("event_id", "r.text", "r.removed")
+
+
+@query("select digest_id, '@@' || digest_id || '@@' as token, 'archive/' || left(run_date, 7) || '/' || run_date || '.html' as path from digests")
+def r_x6_x30_tokens_and_paths(spark, at):
+    return table(spark, at, "digests").select("digest_id", S.link_token(F.col("digest_id")).alias("token"), G.archive_path(F.col("run_date")).alias("path"))
+
+
+@query("select digest_id, '1. [' || source_key || '](' || case when digest_id % 2 = 0 then url else '@@' || digest_id || '@@' end || ') (5 pt)' as text from digests where source_key not in ('', '?') and url <> ''")
+def r_j11_filled_links(spark, at):
+    """Rows whose link lost its bracket; even ids have an address."""
+    d = table(spark, at, "digests").where("source_key not in ('', '?') and url <> ''")
+    text = F.expr("'1. ' || source_key || '](@@' || digest_id || '@@) (5 pt)'")
+    ids = F.when(F.col("digest_id") % 2 == 0, F.array(F.col("digest_id").cast("int"))).otherwise(F.array().cast("array<int>"))
+    return d.select("digest_id", X.filled(text, ids, F.when(F.col("digest_id") % 2 == 0, F.array("url")).otherwise(F.array().cast("array<string>"))).alias("text"))
+
+
+@query("select event_id, case event_id % 4 when 0 then event_type when 1 then '{\"n\": 1}' when 2 then event_type else '[1]' end as text from events")
+def r_x15_unwrapped(spark, at):
+    made = F.expr("""case event_id % 4 when 0 then '{"n": 1, "z": "' || event_type || '", "a": "no"}' when 1 then '{"n": 1}' when 2 then event_type else '[1]' end""")
+    return table(spark, at, "events").select("event_id", X.first_text_of(made).alias("text"))
+
+
+@query("select event_id, event_type || '`x' as text from events")
+def r_x16_unfenced(spark, at):
+    made = F.expr("case event_id % 3 when 0 then '```markdown\n' || event_type || '`x\n```' when 1 then event_type || '`x' else '```\n' || event_type || '`x ``' end")
+    return table(spark, at, "events").select("event_id", G.unfenced(made).alias("text"))
+
+
+@query("select event_id, case event_id % 3 when 0 then 429 when 1 then 200 end as status, case when event_id % 3 = 0 then (event_id % 70)::double end as reset_seconds, case event_id % 3 when 2 then event_type || chr(10) || chr(10) || 'x' else event_type end as body from events")
+def r_x18_response_parts(spark, at):
+    raw = F.expr("case event_id % 3 when 0 then 'HTTP/2 429 \r\nX-Ratelimit-RESET: ' || event_id % 70 || '\r\n\r\n' || event_type when 1 then 'HTTP/1.1 200 OK\n\n' || event_type else event_type || '\n\nx' end")
+    return feeds.response_parts(table(spark, at, "events").select("event_id", raw.alias("raw"))).select("event_id", "status", "reset_seconds", "body")
+
+
+@query("select event_id, case when event_id % 3 = 0 then 'why' else '' end as reason, case when event_id % 4 = 0 and event_id % 5 = 0 then 'thought' when event_id % 4 = 0 then case when event_id % 2 = 0 then ' ' else '' end when event_id % 4 = 1 then '' else event_type end as text from events")
+def r_c12_c17_read_back(spark, at):
+    """The reason of an alert, and the text of a response whose content may be blank or missing."""
+    e = table(spark, at, "events")
+    content = F.expr("case event_id % 4 when 0 then ' ' when 1 then null else event_type end")
+    return e.select("event_id", G.quality_reason(F.expr("case event_id % 3 when 0 then true when 1 then false end"), F.lit("why")).alias("reason"), S.response_text(content, F.when(F.col("event_id") % 4 == 0, "thought"), F.col("event_id") % 5 == 0).alias("text"))
+
+
+@query("""select title, url from articles where (starts_with(url, 'http://') or starts_with(url, 'https://')) and title <> '' union all select original_title, url from articles where (starts_with(url, 'http://') or starts_with(url, 'https://')) and original_title <> ''
+  union all select title, url from digests where (starts_with(url, 'http://') or starts_with(url, 'https://')) and title <> ''""")
+def r_j13_title_index(spark, at):
+    return G.title_index(table(spark, at, "articles"), table(spark, at, "digests"))

@@ -421,3 +421,32 @@ def r_t7_rates_by_name(spark, at):
 
     rates = H.source_rates(outcomes(spark, at), SINCE)
     return rates.select(F.row_number().over(Window.orderBy("subject")).alias("place"), "subject", "rate")  # one row per subject
+
+
+@query("""with f as (select run_date as step, max(fetched_at) as m from articles where run_date is not null group by 1), e as (select step as source, lead(step) over (order by step desc) as step from f),
+  n as (select e.step, max(f.m) as m from e join f on e.source = f.step group by 1) select f.step from f join n using (step) where f.m < n.m""")
+def r_p29_stale(spark, at):
+    """Days as steps, each made from the day after it."""
+    from pyspark.sql import Window
+
+    files = table(spark, at, "articles").where("run_date is not null").groupBy(F.col("run_date").alias("step")).agg(F.max("fetched_at").alias("mtime"))
+    edges = files.select(F.col("step").alias("source"), F.lead("step").over(Window.orderBy(F.desc("step"))).alias("step"))  # one row per day
+    return G.stale(files, edges)
+
+
+@query(RESULTS + """, d as (select distinct edition, day from outcomes), b as (select edition, min(day) as a, max(day) as z from d group by 1), s as (select edition, unnest(generate_series(a::timestamp, z::timestamp, interval 1 day))::date as day from b),
+  g as (select s.edition, max(s.day) as day from s anti join d on s.edition is not distinct from d.edition and s.day = d.day group by 1) select edition, day from g where edition not like '%1'""")
+def r_w11_new_absences(spark, at):
+    """Editions that end in 1 were told of their last missing day."""
+    gaps = H.missing_days(outcomes(spark, at), ["edition"])
+    told = gaps.where("edition like '%1'").groupBy("edition").agg(F.max("day").alias("day"))
+    return G.new_absences(gaps, told)
+
+
+@query("with u as (select distinct event_id, run_date, total_tokens from usage_events where run_date is not null), r as (select *, row_number() over (partition by run_date order by event_id desc) as k from u) select run_date, event_id, total_tokens from r where k = 1")
+def r_r5_rerun_replaces(spark, at):
+    """Days whose last call came in a second run: it replaces what the first one stored."""
+    u = table(spark, at, "usage_events").where("run_date is not null").select("run_date", "event_id", "total_tokens").distinct()
+    last = u.groupBy("run_date").agg(F.max("event_id").alias("event_id"))
+    second = u.join(last, ["run_date", "event_id"]).select("run_date", "event_id", "total_tokens")
+    return K.upserted(u.where("event_id % 2 = 0").join(last.withColumnRenamed("event_id", "_l"), "run_date").where("event_id = _l").select("run_date", "event_id", "total_tokens"), second, ["run_date"], F.col("event_id"))
