@@ -26,18 +26,20 @@ def matched_titles(lines: DataFrame, index: DataFrame, least: int = 8) -> DataFr
     """(line_id, url): the one address whose title equals the line's title in matching form; failing any equal title, the one
     address whose title holds it or is held by it, both of `least` characters or more; null where several addresses match.
 
-    Containment candidates meet on shared fragments of `least` characters of the title form, so no title is compared with all.
+    Containment candidates meet on fragments of `least` characters of the title form: all those of the longer text, and of the
+    shorter one that which is rarest on the other side, so that a beginning that many titles share is no hot key.
     """
     a = lines.select("line_id", title_key_of("title").alias("t")).where("t <> ''").distinct()
     b = index.where("url <> ''").select(title_key_of("title").alias("t"), "url").where("t <> ''").distinct()
     exact = a.join(b, "t").groupBy("line_id").agg(F.count_distinct("url").alias("n"), F.min("url").alias("url"))
     rest = a.join(exact, "line_id", "left_anti").where(F.length("t") >= least)
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - least + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(least)))))
-    # One fragment of the shorter text suffices: its first, looked up among all fragments of the longer one.
     long_b = b.where(F.length("t") >= least).select("t", "url", grams(F.col("t")).alias("g"))
-    long_a = rest.select("line_id", "t", grams(F.col("t")).alias("g"))
-    inside = rest.select("line_id", F.col("t").alias("ta"), F.substring("t", 1, least).alias("g")).join(long_b, "g").where(F.contains("t", "ta")).select("line_id", "url")
-    around = long_a.select("line_id", F.col("t").alias("ta"), "g").join(b.where(F.length("t") >= least).select("t", "url", F.substring("t", 1, least).alias("g")), "g").where(F.contains("ta", "t")).select("line_id", "url")
+    long_a = rest.select("line_id", F.col("t").alias("ta"), grams(F.col("t")).alias("g"))
+    often = lambda side: side.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = lambda side, other, keys: side.join(often(other), "g", "left").groupBy(*keys).agg(F.min_by("g", F.struct(F.coalesce("_n", F.lit(0)), "g")).alias("g"))
+    inside = rarest(long_a, long_b, ["line_id", "ta"]).join(long_b, "g").where(F.contains("t", "ta")).select("line_id", "url")
+    around = rarest(long_b, long_a, ["t", "url"]).join(long_a, "g").where(F.contains("ta", "t")).select("line_id", "url")
     loose = inside.unionByName(around).groupBy("line_id").agg(F.count_distinct("url").alias("n"), F.min("url").alias("url"))
     hits = exact.unionByName(loose)
     return lines.select("line_id").distinct().join(hits, "line_id", "left").select("line_id", F.when(F.col("n") == 1, F.col("url")).alias("url"))

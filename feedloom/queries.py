@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import scalars as S
-from feedloom.functions import texts as X
 from feedloom.operators import articles as A
 from feedloom.operators import health as H
 from feedloom.operators import joins as J
@@ -288,12 +287,6 @@ def r_t4_nearest(spark, at):
     return V.nearest(*_asked(spark, at), 3)
 
 
-@query()
-def r_j12_titles(spark, at):
-    """Ledger titles to the one article address of that title, by equality or containment."""
-    return J.matched_titles(table(spark, at, "dedup_items").select(F.col("item_id").alias("line_id"), "title").where("title <> ''"), table(spark, at, "articles").select("title", "url").where("title <> ''"))
-
-
 @query("select count(*) filter (url not in (select url from articles where url is not null)) as missing, count(*) as n from (select distinct url from digests where url <> '')")
 def r_j15_containment(spark, at):
     d = table(spark, at, "digests").where("url <> ''").select("url").distinct()
@@ -504,28 +497,6 @@ def r_x1_strip_tags(spark, at):
     return table(spark, at, "articles").where("original_description is not null").select("article_id", F.substring(S.strip_tags(F.col("original_description")), 1, 500).alias("text"))
 
 
-@query()
-def r_x4_dead_links(spark, at):
-    got = X.live_links(F.regexp_replace("text", r"https?://[a-m]", "file://"))
-    return table(spark, at, "documents").where("text is not null").select("doc_id", got.alias("g")).select("doc_id", "g.text", "g.removed")
-
-
-@query()
-def r_x8_title_key(spark, at):
-    return table(spark, at, "articles").where("title is not null").select("article_id", X.title_key_of("title").alias("form"))
-
-
-@query()
-def r_x12_truncated(spark, at):
-    return table(spark, at, "documents").where("text is not null").select("doc_id", X.truncated_to(4096)("text").alias("text"))
-
-
-@query()
-def r_x13_json_reply(spark, at):
-    reply = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    return table(spark, at, "events").select("event_id", X.parsed_reply(reply).alias("r")).select("event_id", F.col("r.value").alias("value"), F.col("r.error").alias("error"))
-
-
 @query("select doc_id, len(regexp_extract_all(text, 'https?://[^\\s)]+')) as links from documents where text is not null")
 def r_x17_links(spark, at):
     return table(spark, at, "documents").where("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"https?://[^\s)]+"), F.lit(0))).cast("long").alias("links"))

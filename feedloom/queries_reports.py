@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from feedloom.functions import scalars as S
 from feedloom.functions import texts as X
 from feedloom.operators import articles as A
+from feedloom.operators import joins as J
 from feedloom.operators import judging as G
 from feedloom.operators import reports as R
 from feedloom.plans import models
-from feedloom.queries import STEPS, query, table
+from feedloom.queries import query, table
 from feedloom.sources import feeds
 
 _SPACE = "[\\s\\p{Z}]"
@@ -404,3 +405,42 @@ def r_c12_c17_read_back(spark, at):
   union all select title, url from digests where (starts_with(url, 'http://') or starts_with(url, 'https://')) and title <> ''""")
 def r_j13_title_index(spark, at):
     return G.title_index(table(spark, at, "articles"), table(spark, at, "digests"))
+
+
+@query("""select event_id, case event_id % 4 when 0 then event_type || ' [a](https://h/1) b c' when 1 then 'x' when 2 then '[keep](http://h) t [v]' else event_type end as text, case event_id % 4 when 0 then 3 when 1 then 1 when 2 then 2 else 0 end as removed from events""")
+def r_x4_dead_links(spark, at):
+    """Targets with blanks, place holders with and without their link, a title with brackets of its own, and links that live."""
+    made = F.expr("case event_id % 4 when 0 then event_type || ' [a](https://h/1) [b](two words) [c](@@' || event_id || '@@)@@7@@' when 1 then 'x](@@2@@)' when 2 then '[keep](http://h) [t [v]](#)@@3@@' else event_type end")
+    return table(spark, at, "events").select("event_id", X.live_links(made).alias("g")).select("event_id", "g.text", "g.removed")
+
+
+@query("select event_id, 'a' || replace(event_type, '_', '') || 'bé' as form from events")
+def r_x8_title_key(spark, at):
+    """Full-width and composed letters, blanks of other scripts, and markdown signs."""
+    made = F.concat(F.lit("Ａ　*"), F.upper("event_type"), F.lit("*\t[Ｂ]`_e\u0301"))
+    return table(spark, at, "events").select("event_id", X.title_key_of(made).alias("form"))
+
+
+@query("""select event_id, case event_id % 6 when 0 then '<b>' || event_type || '<i>x</i></b>' when 1 then '<p>' || event_type || '<b>y</b>' when 2 then '<b><i>x</b></i></b>' when 3 then '<b>xxxxxx</b>...' when 4 then 'xxxxxxx...' else event_type end as text from events""")
+def r_x11_x12_closed(spark, at):
+    """Tags left open, tags that don't count, closers that don't match; texts cut in the open and inside a tag."""
+    text = F.expr("case event_id % 6 when 0 then '<b>' || event_type || '<i>x' when 1 then '<p>' || event_type || '<b>y</b>' when 2 then '<b><i>x</b>' when 3 then '<b>' || repeat('x', 20) when 4 then 'xxxxxxx<b>yyyyyyy' else event_type end")
+    e = table(spark, at, "events")
+    return e.select("event_id", F.when(F.col("event_id") % 6 < 3, X.closed_tags(text)).otherwise(X.truncated_to(12)(text)).alias("text"))
+
+
+@query("""select event_id, case event_id % 7 when 0 then '{"k": ' || event_id || '}' when 1 then '{"k": "' || event_type || '"}' when 4 then '{"k": 1}' when 5 then '{"a": [1, 2], "b": null}' end as value, case when event_id % 7 in (2, 3, 6) then 'no JSON object' end as error from events""")
+def r_x13_json_reply(spark, at):
+    """Fenced and bare objects, a comma too many, full-width colons, lists, prose, and nothing."""
+    reply = F.expr("""case event_id % 7 when 0 then 'Here:\n```json\n{"k": ' || event_id || '}\n```\n```\n{"k": 0}\n```' when 1 then 'Sure. {"k": "' || event_type || '",} Done.' when 2 then '[1, 2]' when 3 then 'nothing of the kind' when 4 then '{"k"：1}' when 5 then '{"a":[1,2],"b":null}' else '' end""")
+    return table(spark, at, "events").select("event_id", X.parsed_reply(reply).alias("r")).select("event_id", F.col("r.value").alias("value"), F.col("r.error").alias("error"))
+
+
+@query("select article_id as line_id, case when article_id % 5 = 0 or article_id % 4 = 3 then null else 'https://h.test/' || article_id end as url from articles")
+def r_j12_titles(spark, at):
+    """Equal, contained, containing and too short titles; every fifth stands for two addresses."""
+    a = table(spark, at, "articles").select("article_id", F.md5(F.col("article_id").cast("string")).alias("m"))
+    lines = a.select(F.col("article_id").alias("line_id"), F.expr("case article_id % 4 when 0 then upper(m) || ' *of the day*' when 1 then substring(m, 3) || ' of the' when 2 then 'x ' || m || ' of the day y' else substring(m, 1, 7) end").alias("title"))
+    url = F.concat(F.lit("https://h.test/"), F.col("article_id").cast("string"))
+    urls = F.when(F.col("article_id") % 5 == 0, F.array(url, F.concat(url, F.lit("/2")))).otherwise(F.array(url))
+    return J.matched_titles(lines, a.select(F.concat("m", F.lit(" of the day")).alias("title"), F.explode(urls).alias("url")))
