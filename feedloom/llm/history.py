@@ -20,7 +20,7 @@ from urllib.parse import parse_qsl, unquote, urlsplit
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedloom.llm.textform import IGNORABLE, LOOKALIKE
@@ -303,7 +303,7 @@ def _same(one: tuple, other: tuple) -> bool:
 # --- tables -----------------------------------------------------------------------------------------------------
 
 #: Rows of one file of a run, and rows of a block that one task compares; larger blocks are cut into pieces.
-RUN_ROWS, SPLIT = 100_000, 20_000
+RUN_ROWS, SPLIT = 100_000, 50_000
 RUN = "pass string, block long, key string, id long, text string, n long"
 
 
@@ -345,7 +345,7 @@ class History:
 
     def __init__(self, work: Workspace, labels: frozenset[str]):
         self.work, self.spark, self.labels = work, work.spark, labels
-        self.state = json.loads(work.get("state.json") or "null") or {"batches": 0, "version": 0, "titles": 0, "fitted": 0, "runs": [], "links": [], "stories": None}
+        self.state = json.loads(work.get("state.json") or "null") or {"batches": 0, "version": 0, "titles": 0, "fitted": 0, "accepted": [], "runs": [], "links": [], "stories": None}
         self.lexicon = None
         if self.state["version"]:
             words = json.loads(work.get(f"lexicon-{self.state['version']}.json"))
@@ -378,15 +378,21 @@ class History:
 
         return batch.select(F.col("article_id").cast("long").alias("id"), "url", "title", "source").mapInPandas(run, "pass string, block string, key string, id long, text string").withColumn("block", F.xxhash64(F.col("pass") == "u", "block"))
 
-    def _write_run(self, rows: DataFrame, name: str) -> DataFrame:
-        """Write a run as files of RUN_ROWS rows at most, sorted by block and key, and note each file's range of blocks."""
-        placed = rows.repartitionByRange("block", "key").sortWithinPartitions("block", "key")
-        placed.write.mode("overwrite").option("maxRecordsPerFile", RUN_ROWS).parquet(f"{self.work.path}/{name}")
-        written = self._table(name, RUN)
-        files = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-            F.min("block").alias("first"), F.max("block").alias("last"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.when(F.col("pass") == "a", F.col("n"))), F.lit(0)).alias("titles")).collect()
-        self.state["runs"].append({"name": name, "rows": sum(f.rows for f in files), "files": sorted([f.first, f.last, f.file] for f in files)})
-        self.state["titles"] += sum(f.titles for f in files)
+    def _write_run(self, rows: DataFrame, name: str, most: int) -> DataFrame:
+        """Write a run as files of RUN_ROWS rows at most, sorted by block and key, and note each file's range of blocks. most is
+        a bound of its rows: what fits into one file is sorted as one, without sampling ranges or asking files for theirs."""
+        alone = most <= RUN_ROWS
+        seen = Observation()
+        placed = (rows.repartition(1) if alone else rows.repartitionByRange("block", "key")).sortWithinPartitions("block", "key")
+        told = [F.min("block").alias("first"), F.max("block").alias("last"), F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("pass") == "a", F.col("n"))).alias("titles")]
+        placed.observe(seen, *told).write.mode("overwrite").option("maxRecordsPerFile", RUN_ROWS).parquet(f"{self.work.path}/{name}")
+        written, whole = self._table(name, RUN), seen.get
+        if alone:
+            files = [[whole["first"], whole["last"], at] for at in written.inputFiles()] if whole["rows"] else []
+        else:
+            files = sorted([f.first, f.last, f.file] for f in written.groupBy(F.col("_metadata.file_path").alias("file")).agg(*told[:2]).collect())
+        self.state["runs"].append({"name": name, "rows": whole["rows"], "files": files})
+        self.state["titles"] += whole["titles"] or 0
         return written
 
     def _touched(self, blocks: DataFrame) -> list[str]:
@@ -408,19 +414,23 @@ class History:
         hit = blocks.select(F.explode(held("block")).alias("f")).distinct().collect() if files else []
         return sorted(files[r.f][2] for r in hit)
 
-    def ingest(self, batch: DataFrame) -> DataFrame:
+    def ingest(self, batch: DataFrame, kept_at: str | None = None) -> DataFrame:
         """Compare a batch (article_id, url, title, source) with all runs and with itself, keep its run, and return its links
-        (a, b: equal stories). Only files of runs that hold a block of the batch are opened."""
+        (a, b: equal stories). Only files of runs that hold a block of the batch are opened. kept_at names a folder in which the
+        batch already lies, so that its titles need not be kept once more."""
         state = self.state
         number = state["batches"] = state["batches"] + 1
         if self.lexicon is None:
             self._fit(batch)
             state["fitted"] = -1  # until the first run is counted
         accepted = batch.select("article_id", "url", "title", "source")
-        self.work.write(accepted, f"accepted/batch={number}")
-        keyed = self.work.write(self._keyed(batch), f"keyed-{number}")
+        if kept_at is None:
+            self.work.write(accepted, f"accepted-{number}")
+        state["accepted"].append(kept_at or f"accepted-{number}")
+        counted = Observation()
+        keyed = self.work.write(self._keyed(batch).observe(counted, F.count(F.lit(1)).alias("rows")), f"keyed-{number}")
         older = [f for run in state["runs"] for f in run["files"]]
-        run = self._write_run(keyed.groupBy("pass", "block", "key").agg(F.min(F.struct("id", "text")).alias("m"), F.count(F.lit(1)).alias("n")).select("pass", "block", "key", "m.id", "m.text", "n"), f"run-{number}")
+        run = self._write_run(keyed.groupBy("pass", "block", "key").agg(F.min(F.struct("id", "text")).alias("m"), F.count(F.lit(1)).alias("n")).select("pass", "block", "key", "m.id", "m.text", "n"), f"run-{number}", counted.get["rows"])
         mine = state["runs"].pop()
         if state["fitted"] < 0:
             state["fitted"] = state["titles"]
@@ -435,7 +445,7 @@ class History:
                 old = self.spark.read.schema(RUN).parquet(*touched).drop("n")
                 old = old.join(F.broadcast(blocks) if mine["rows"] <= MOST_BROADCAST else blocks, "block", "left_semi")
                 rows = rows.unionByName(old.withColumn("new", F.lit(False)))
-        found = _placed(rows).mapInPandas(_compare, "a long, b long")
+        found = _placed(rows, mine["rows"] + sum(r["rows"] for r in state["runs"])).mapInPandas(_compare, "a long, b long")
         links = self.work.write(found.unionByName(copies), f"links-{number}")
         state["links"].append(f"links-{number}")
         state["runs"].append(mine)
@@ -454,7 +464,7 @@ class History:
         """One run in place of all. The old ones are removed once the state no longer names them."""
         before, titles = self.state["runs"], self.state["titles"]
         self.state["runs"] = []
-        self._write_run(rows, name)
+        self._write_run(rows, name, sum(run["rows"] for run in before))
         self.state["titles"] = titles
         self._keep()
         for run in before:
@@ -469,7 +479,8 @@ class History:
     def refit(self) -> None:
         """A new version of the lexicon from all accepted titles, and one run of keys made with it. Done when the titles have
         doubled, so a title is keyed a few times in its life at most."""
-        accepted = self._table("accepted", "article_id long, url string, title string, source string")
+        parts = [self._table(name, "article_id long, url string, title string, source string") for name in self.state["accepted"]]
+        accepted = functools.reduce(DataFrame.unionByName, parts)
         self._fit(accepted)
         keyed = self._keyed(accepted)
         self.state["fitted"] = self.state["titles"]
@@ -496,12 +507,12 @@ class History:
         return self._table(self.state["stories"], "node long, label long")
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Rows of a comparison by block, older ones first. A block of more than SPLIT rows is cut into pieces by key: a piece
+def _placed(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of a comparison (most at most) by block, older ones first. A block of more than SPLIT rows is cut into pieces by key: a piece
     indexes its own part of the block, and every new row of the block is looked up in all pieces, so no pair is lost."""
     large = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SPLIT)
     columns = ["block", "pass", "key", "id", "text", "new"]
-    if large.isEmpty():
+    if most <= SPLIT or large.isEmpty():
         placed = rows.select(*columns, F.lit(0).alias("piece"), F.lit(True).alias("own"))
     else:
         pieces = F.ceil(F.coalesce("_n", F.lit(1)) / SPLIT).cast("int")
@@ -639,6 +650,6 @@ def repeats(articles: DataFrame, labels: list[str], at: str | None = None) -> Da
     numbers = sorted(r[0] for r in arrived.select("batch_no").distinct().collect())
     history = History(work, label_forms(labels))
     for n in numbers:
-        history.ingest(arrived.where(F.col("batch_no") == n))
+        history.ingest(arrived.where(F.col("batch_no") == n), f"arrived/batch_no={n}")
     late = arrived.where("batch_no >= 1").select(F.col("article_id").alias("node")).distinct()
     return history.stories().join(late, "node").where("label < node").select(F.col("label").alias("kept_id"), F.col("node").alias("dup_id"))
