@@ -2,9 +2,9 @@
 
 Distinct words go into a trie; a depth-first walk carries the state of every prefix, its last token. For a prefix p there
 is exactly one token t that ends p such that the encoding of p is that of p without t, followed by t: the one that stands
-next to the last token of the shorter prefix. So a few lookups per byte give every prefix's last token, shared prefixes
-are computed once, and a word's ids are read off backwards. The work is linear in the bytes of the trie, also for very
-long words.
+next to the last token of the shorter prefix. An automaton names the tokens that end at a byte, so a few lookups per byte
+give every prefix's last token, shared prefixes are computed once, and a word's ids are read off backwards. The work is
+linear in the bytes of the trie, also for very long words.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ class Trie:
     """Last-token states of word prefixes, for one vocabulary file (base64 token, rank per line)."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import regex
 
         with open(path, "rb") as f:
@@ -43,7 +44,12 @@ class Trie:
         parts = {i: p for t, i in self.rank.items() if len(t) > 1 and (p := self._last_merge(t, i))}
         self.pair = {p: i for i, p in parts.items()}
         self.whole = {t: i for t, i in self.rank.items() if len(t) == 1 or i in parts}
-        self.tails = {t[-k:] for t in self.whole for k in range(1, len(t) + 1)}
+        # Tokens that end at a place, the longest first; bytes are the characters of the same number.
+        self.endings = ahocorasick.Automaton()
+        for t, i in self.whole.items():
+            self.endings.add_word(t.decode("latin-1"), i)
+        self.endings.make_automaton()
+        self.longest = max(map(len, self.whole))
         # Border tokens of a token at each time of its making, with the merge that ends each: right side and left side.
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
@@ -85,7 +91,7 @@ class Trie:
 
     def encode_words(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Ids of each word: the sorted words are the trie in depth-first order, states is the path to the current node."""
-        whole, tails, size, stands = self.whole, self.tails, self.size, self.stands
+        size, known, stands, endings = self.size, self.known, self.stands, self.endings.iter
         out: dict[bytes, tuple[int, ...]] = {}
         states: list[int] = [-1]
         before = b""
@@ -101,19 +107,15 @@ class Trie:
                 while before[shared] == word[shared]:
                     shared += 1
             del states[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                found = []
-                k = 1
-                while k <= end and (tail := word[end - k:end]) in tails:
-                    t = whole.get(tail)
-                    if t is not None:
-                        found.append(t)
-                    k += 1
-                for t in reversed(found):
+            # Tokens that end behind the shared prefix may begin inside it.
+            first, done = max(0, shared - self.longest + 1), shared
+            for last, t in endings(word[first:].decode("latin-1")):
+                end = first + last + 1
+                if end > done:
                     begin = states[end - size[t]]
-                    if begin < 0 or stands(begin, t):
+                    if begin < 0 or (known[begin, t] if (begin, t) in known else stands(begin, t)):
                         states.append(t)
-                        break
+                        done = end
             before = word
             ids, end = [], len(word)
             while end:
