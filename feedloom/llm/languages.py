@@ -60,11 +60,14 @@ def label_of(lang: Column) -> Column:
 
 def is_code(line: str) -> bool:
     """Lines with signs of code that aren't prose which mentions them. A closing semicolon alone ends items of lists, too."""
+    closed, signs = line.rstrip().endswith(";"), _CODE.search(line)
+    if not closed and not signs:
+        return False
     words, cjk = len(_WORD.findall(line)), len(_IS_CJK.findall(line))
-    if re.search(r";\s*$", line) and (_SIGNS.search(line) or words < 4 and cjk < 8):
+    if closed and (_SIGNS.search(line) or words < 4 and cjk < 8):
         return True
     prose = re.search(r"[.!?。！？][\W_]*$", line) and (words >= 6 or cjk >= 12 and 2 * cjk > len(re.findall(r"\w", line)))
-    return bool(_CODE.search(line)) and not prose
+    return bool(signs) and not prose
 
 
 def lines_of(text: str) -> Iterator[str]:
@@ -84,7 +87,11 @@ def items_of(text: str) -> Iterator[tuple[str, bool]]:
         bare = re.sub(r"^(?:\s{0,3}>)+\s?", "", line)
         if not bare.strip() or re.match(r"\s{0,3}#{1,6}\s", bare):
             continue
-        bare = _QUOTED.sub(" ", _ADDRESS.sub(" ", _LINK.sub(r"\1", _MARKUP.sub(" ", bare))))
+        if "<" in bare or "[" in bare or "&" in bare:
+            bare = _LINK.sub(r"\1", _MARKUP.sub(" ", bare))
+        if "://" in bare or "@" in bare or "www." in bare.lower():
+            bare = _ADDRESS.sub(" ", bare)
+        bare = _QUOTED.sub(" ", bare)
         if is_code(bare):
             continue
         bare, listed = re.subn(r"^\s*(?:[-*+•]|\d+[.)])\s+", "", bare)
