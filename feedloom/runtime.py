@@ -162,3 +162,10 @@ def cut(df: DataFrame) -> DataFrame:
     if key not in _FOLDERS:
         _FOLDERS[key] = Workspace(spark, "cuts")
     return _FOLDERS[key].cut(df)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that cut() wrote so far, once the results made from them are stored."""
+    work = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if work is not None:
+        work.close()

@@ -390,3 +390,14 @@ def test_a_retry_gets_a_hint(spark, tmp_path):
 
     p = stages.Pipeline(spark, f"file://{tmp_path}", [stages.Stage("a", 1, build, tries=2, reflect=lambda error: f"mind: {error}")], sleep=lambda s: None)
     assert p.run("2026-01-01")["a"].first().v == "mind: bad form" and hints == ["", "mind: bad form"] and p.log[0]["status"] == "ran"
+
+
+def test_clear_removes_cut_tables(spark):
+    import os
+
+    from feedloom.runtime import clear, cut
+
+    at = cut(spark.range(3)).inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(at)
+    clear(spark)
+    assert not os.path.exists(at) and cut(spark.range(3)).count() == 3
