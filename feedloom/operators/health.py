@@ -199,18 +199,22 @@ def system_status(scores: DataFrame, outcomes: DataFrame, entity: str, since: di
     return out.select(entity, F.coalesce("streak_days", F.lit(0)).alias("streak_days"), F.coalesce("series", F.array().cast("array<double>")).alias("series"), "rates")
 
 
-# What may help against a class of failures is text of the caller; words of the messages.
-def escalation_text(findings: DataFrame, today: Column, advice: dict[str, str]) -> DataFrame:
-    """(message): the chronic findings of a day, by subject."""
+# Words of the messages (%s: name of the feed, day, subject, days of the window, failures, class, advice).
+CHRONIC_HEAD, CHRONIC_LINE = "⚠️ %s 慢性故障偵測（%s）\n\n", "• <b>%s</b>：近 %s 天失敗 %s 次（主要：%s）\n  ↳ %s"
+ABSENT_HEAD, ABSENT_LINE = "🕳️ %s 缺席日偵測（%s）\n\n共 <b>%s</b> 天完全沒有產出，健康表不會顯示這些日子：\n", "• %s"
+
+
+def escalation_text(findings: DataFrame, today: Column, advice: dict[str, str], feed: str = "feed") -> DataFrame:
+    """(message): the chronic findings of a day, by subject, with the caller's advice against a class of failures."""
     says = F.create_map(*[F.lit(x) for pair in advice.items() for x in pair]) if advice else F.create_map(F.lit(""), F.lit(""))
-    line = F.concat(F.lit("• <b>"), F.col("subject"), F.lit("</b>：近 "), F.col("window_days").cast("string"), F.lit(" 天失敗 "), F.col("failures").cast("string"), F.lit(" 次（主要："), F.col("dominant"), F.lit("）\n  ↳ "), F.coalesce(F.try_element_at(says, F.col("dominant")), F.lit("")))
+    line = F.format_string(CHRONIC_LINE, F.col("subject"), F.col("window_days").cast("string"), F.col("failures").cast("string"), F.col("dominant"), F.coalesce(F.try_element_at(says, F.col("dominant")), F.lit("")))
     rows = findings.groupBy().agg(F.array_sort(F.collect_list(F.struct("subject", line.alias("t")))).alias("_l")).where(F.size("_l") > 0)
-    return rows.select(F.concat(F.lit("⚠️ Daily Brief 慢性故障偵測（"), F.date_format(today, "yyyy-MM-dd"), F.lit("）\n\n"), F.array_join(F.transform("_l", lambda x: x["t"]), "\n")).alias("message"))
+    return rows.select(F.concat(F.format_string(CHRONIC_HEAD, F.lit(feed), F.date_format(today, "yyyy-MM-dd")), F.array_join(F.transform("_l", lambda x: x["t"]), "\n")).alias("message"))
 
 
-def absence_text(gaps: DataFrame, today: Column) -> DataFrame:
+def absence_text(gaps: DataFrame, today: Column, feed: str = "feed") -> DataFrame:
     """(message): a stretch of absent days by its ends; no row of none."""
     d = lambda c: F.date_format(c, "yyyy-MM-dd")
     ends = gaps.agg(F.min("day").alias("a"), F.max("day").alias("z"), F.count(F.lit(1)).alias("n")).where("n > 0")
-    span = F.when(F.col("n") > 1, F.concat(F.lit("• "), d("a"), F.lit(" ~ "), d("z"))).otherwise(F.concat(F.lit("• "), d("a")))
-    return ends.select(F.concat(F.lit("🕳️ Daily Brief 缺席日偵測（"), d(today), F.lit("）\n\n共 <b>"), F.col("n").cast("string"), F.lit("</b> 天完全沒有產出，健康表不會顯示這些日子：\n"), span).alias("message"))
+    span = F.when(F.col("n") > 1, F.concat_ws(" ~ ", d("a"), d("z"))).otherwise(d("a"))
+    return ends.select(F.format_string(ABSENT_HEAD + ABSENT_LINE, F.lit(feed), d(today), F.col("n").cast("string"), span).alias("message"))

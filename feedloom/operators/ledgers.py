@@ -10,6 +10,8 @@ from feedloom.operators.articles import pick
 # Statuses of steps that did nothing, sums of a usage row.
 IDLE = ["skipped", "loaded"]
 SUMS = ["calls", "prompt_tokens", "completion_tokens", "total_tokens"]
+# Words of the table (%s: days, average; step, calls, tokens).
+TABLE_HEAD, TABLE_COLUMNS, TABLE_MEAN, TABLE_STEP = "📊 Token 用量（近 %s 天）", "日期              呼叫          輸入          輸出          合計", "平均/天：%s tokens", "  %s%s 次  %s tokens"
 
 
 def run_ledger(entries: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -96,9 +98,9 @@ def usage_table(days: DataFrame, steps: DataFrame, last: int = 7) -> DataFrame:
     place = F.row_number().over(Window.orderBy("run_date"))
     body = recent.select((place + 2).alias("pos"), row.alias("line"))
     head = recent.agg(n.alias("n"), total.alias("t")).where("n > 0").select(F.explode(F.array(
-        F.struct(F.lit(0).alias("pos"), F.concat(F.lit("📊 Token 用量（近 "), F.col("n").cast("string"), F.lit(" 天）")).alias("line")), F.struct(F.lit(1).alias("pos"), F.lit("").alias("line")),
-        F.struct(F.lit(2).alias("pos"), F.lit("日期              呼叫          輸入          輸出          合計").alias("line")),
-        F.struct(F.lit(1000).alias("pos"), F.concat(F.lit("平均/天："), text(F.floor(F.col("t") / F.col("n"))), F.lit(" tokens")).alias("line")))).alias("x")).select("x.*")
+        F.struct(F.lit(0).alias("pos"), F.format_string(TABLE_HEAD, F.col("n").cast("string")).alias("line")), F.struct(F.lit(1).alias("pos"), F.lit("").alias("line")),
+        F.struct(F.lit(2).alias("pos"), F.lit(TABLE_COLUMNS).alias("line")),
+        F.struct(F.lit(1000).alias("pos"), F.format_string(TABLE_MEAN, text(F.floor(F.col("t") / F.col("n")))).alias("line")))).alias("x")).select("x.*")
     order = F.row_number().over(Window.orderBy(F.desc("total_tokens"), "step"))
-    foot = steps.select((order + 1000).alias("pos"), F.concat(F.lit("  "), F.rpad("step", 12, " "), F.lpad(F.col("calls").cast("string"), 4, " "), F.lit(" 次  "), F.lpad(text(F.col("total_tokens")), 12, " "), F.lit(" tokens")).alias("line"))
+    foot = steps.select((order + 1000).alias("pos"), F.format_string(TABLE_STEP, F.rpad("step", 12, " "), F.lpad(F.col("calls").cast("string"), 4, " "), F.lpad(text(F.col("total_tokens")), 12, " ")).alias("line"))
     return head.unionByName(body).unionByName(foot)

@@ -14,6 +14,9 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 # of a list row.
 VIEW = r"[ \t]*(?:[-*•][ \t]+)?\**(?:💬[ \t]*)?\**社群觀點\**[ \t]*[：:].*$"
 VIEW_HEAD, VIEW_INDENT = "💬 社群觀點：", "   "
+# What violations say, by their code (%s: count, sample), and what a line of them begins with.
+VIOLATION = {"leftover_token": "report.md 殘留 %s 行 @@id@@ token：%s", "unlinked_articles": "report.md 有 %s 篇文章列沒有 http(s) 連結：%s"}
+BLOCKED, NOT_BLOCKED = "deploy 已擋下：", "（未擋 deploy）"
 LISTED_LINK = r"^\s*(?:\d+\.|[-*•])\s+.*?\]\((https?://[^)\s]+)\)"
 
 
@@ -37,13 +40,12 @@ def check_report(lines: DataFrame, key: str) -> DataFrame:
 
 def violation_text(code: Column, count: Column, sample: Column) -> Column:
     """What a violation says to a reader."""
-    return F.when(code == "leftover_token", F.format_string("report.md 殘留 %s 行 @@id@@ token：%s", count.cast("string"), sample)).when(
-        code == "unlinked_articles", F.format_string("report.md 有 %s 篇文章列沒有 http(s) 連結：%s", count.cast("string"), sample)).otherwise(sample)
+    return F.coalesce(*[F.when(code == name, F.format_string(says, count.cast("string"), sample)) for name, says in VIOLATION.items()], sample)
 
 
 def violations_line(violations: DataFrame, key: str, blocked: bool = True) -> DataFrame:
     """(key, message): all violations of a report in one line, place holders before rows."""
-    prefix = "deploy 已擋下：" if blocked else "（未擋 deploy）"
+    prefix = BLOCKED if blocked else NOT_BLOCKED
     part = F.concat(F.lit("["), F.col("code"), F.lit("] "), violation_text(F.col("code"), F.col("count"), F.col("sample")))
     return violations.groupBy(key).agg(F.concat(F.lit(prefix), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", part.alias("t")))), lambda x: x["t"]), " | ")).alias("message"))
 

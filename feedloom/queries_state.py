@@ -150,14 +150,14 @@ def r_c3_state(spark, at):
 
 
 @query(_ONE + _FOUND + """, l as (select string_agg('• <b>' || subject || '</b>：近 ' || window_days || ' 天失敗 ' || failures || ' 次（主要：' || dominant || '）' || chr(10) || '  ↳ ' || case dominant when 'network' then 'look at the network' else '' end, chr(10) order by subject) as m from found where subject <> 'hn')
-  select '⚠️ Daily Brief 慢性故障偵測（' || strftime(today, '%Y-%m-%d') || '）' || chr(10) || chr(10) || m as message from l, t where m is not null""")
+  select '⚠️ feed 慢性故障偵測（' || strftime(today, '%Y-%m-%d') || '）' || chr(10) || chr(10) || m as message from l, t where m is not null""")
 def r_c14_escalation_text(spark, at):
     found, today = _escalated(spark, at, 1)
     return H.escalation_text(found, today, {"network": "look at the network"})
 
 
 @query(_ONE + """, g as (select unnest(generate_series((select min(day) from one)::timestamp, (select max(day) from one)::timestamp, interval 1 day))::date as day), a as (select min(day) as a, max(day) as z, count(*) as n from g where day not in (select day from one))
-  select '🕳️ Daily Brief 缺席日偵測（' || strftime(today, '%Y-%m-%d') || '）' || chr(10) || chr(10) || '共 <b>' || n || '</b> 天完全沒有產出，健康表不會顯示這些日子：' || chr(10) || '• ' || strftime(a, '%Y-%m-%d') || case when n > 1 then ' ~ ' || strftime(z, '%Y-%m-%d') else '' end as message from a, t where n > 0""")
+  select '🕳️ feed 缺席日偵測（' || strftime(today, '%Y-%m-%d') || '）' || chr(10) || chr(10) || '共 <b>' || n || '</b> 天完全沒有產出，健康表不會顯示這些日子：' || chr(10) || '• ' || strftime(a, '%Y-%m-%d') || case when n > 1 then ' ~ ' || strftime(z, '%Y-%m-%d') else '' end as message from a, t where n > 0""")
 def r_c14_absence_text(spark, at):
     gaps, today = _escalated(spark, at, 2)
     return H.absence_text(gaps, today)
