@@ -58,6 +58,31 @@ def merged_usage_models(old: DataFrame, new: DataFrame, old_steps: DataFrame, ne
     return old.select(*keys, "model", *SUMS).unionByName(added).groupBy(*keys, "model").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
+def summed_buckets(days: DataFrame, buckets: str) -> DataFrame:
+    """days with the sums of the buckets of a JSON object, column by column: members that are no objects are skipped, and
+    missing, null and empty numbers count 0. What is no object has sums of 0."""
+    v = F.try_parse_json(buckets)
+    members = F.map_values(F.coalesce(F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>")), F.create_map().cast("map<string,variant>")))
+    objects = F.filter(members, lambda b: F.schema_of_variant(b).startswith("OBJECT"))
+    one = lambda c: F.aggregate(objects, F.lit(0).cast("long"), lambda s, b: s + F.coalesce(F.try_variant_get(b, f"$.{c}", "long"), F.lit(0).cast("long")))
+    return days.withColumns({c: one(c) for c in SUMS})
+
+
+def persisted_runs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored steps after a day's run: merged into what is stored where any of its steps was loaded, in its place else; days
+    without a new run stay."""
+    partial = builds_on_prior(new, keys)
+    flagged = lambda df: _on(df, partial, keys)
+    a, b = flagged(old), flagged(new)
+    untouched, merged = a.where("partial is null").drop("partial"), merged_runs(a.where("partial").drop("partial"), b.where("partial").drop("partial"), keys)
+    return untouched.select(*old.columns).unionByName(merged.select(*old.columns)).unionByName(b.where("not partial").select(*old.columns))
+
+
+def _on(df: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
+    named = flags.select(*[F.col(k).alias(f"_f_{k}") for k in keys], "partial")
+    return df.join(named, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys], "left").drop(*[f"_f_{k}" for k in keys])
+
+
 def builds_on_prior(steps: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., partial): whether any step of a run was loaded, so that the run is merged rather than stored whole."""
     return steps.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("status") == "loaded"), F.lit(False)).alias("partial"))

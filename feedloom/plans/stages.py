@@ -84,6 +84,19 @@ class Pipeline:
         return stage.wait * 3 ** attempt
 
 
+def parsed_arguments(text: str, known: set[str]) -> tuple[set[str], set[str]]:
+    """(forced, only) steps of arguments like '--force hn digest --only rss': names up to the next flag; unknown ones are
+    left out."""
+    found: dict[str, set[str]] = {"--force": set(), "--only": set()}
+    flag = None
+    for word in text.replace(",", " ").split():
+        if word.startswith("--"):
+            flag = word
+        elif flag in found and word in known:
+            found[flag].add(word)
+    return found["--force"], found["--only"]
+
+
 def stub_model(prompt: str) -> str:
     """A deterministic stand-in for a model: the first sentence of the prompt."""
     return prompt.split(".")[0][:200]

@@ -167,11 +167,6 @@ def r_p1_clean(spark, at):
     return A.clean(rows, [F.col("score"), F.length("one_liner").cast("long")]).select("article_id", "rank", "popularity")
 
 
-@query("select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) as k from events")
-def r_p3_coerce_int(spark, at):
-    return table(spark, at, "events").select("event_id", S.coerce_int(F.get_json_object("props", "$.k")).alias("k"))
-
-
 @query("select run_date, source_key, count(*) as n from articles where interest = '***' group by 1, 2")
 def r_p4_top_interest(spark, at):
     return table(spark, at, "articles").where("interest = '***'").groupBy("run_date", "source_key").agg(F.count(F.lit(1)).alias("n"))
@@ -382,12 +377,6 @@ def r_a16_any(spark, at):
     return table(spark, at, "digests").groupBy("run_date").agg(F.bool_or(F.coalesce("source_key", F.lit("?")) == "?").alias("any_unknown"))
 
 
-@query("select strftime(o_orderdate, '%Y-%m') as month, count(distinct o_orderdate::date) as days, max(o_orderdate::date) as newest from orders group by 1")
-def r_a17_months(spark, at):
-    d = F.to_date("o_orderdate")
-    return table(spark, at, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count_distinct(d).alias("days"), F.max(d).alias("newest"))
-
-
 @query("select run_date, count(distinct source_key) as sources, count(distinct source_key) >= 2 as quorum from articles where source_key <> '' group by 1")
 def r_a18_quorum(spark, at):
     n = F.count_distinct("source_key")
@@ -492,16 +481,6 @@ def r_u4_intersect(spark, at):
 
 # --- scalars and texts --------------------------------------------------------------------------------------------
 
-@query("select article_id, left(regexp_replace(original_description, '<[^>]+>', '', 'g'), 500) as text from articles where original_description is not null")
-def r_x1_strip_tags(spark, at):
-    return table(spark, at, "articles").where("original_description is not null").select("article_id", F.substring(S.strip_tags(F.col("original_description")), 1, 500).alias("text"))
-
-
-@query("select doc_id, len(regexp_extract_all(text, 'https?://[^\\s)]+')) as links from documents where text is not null")
-def r_x17_links(spark, at):
-    return table(spark, at, "documents").where("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"https?://[^\s)]+"), F.lit(0))).cast("long").alias("links"))
-
-
 @query(f"select edition, recorded_at, {DATE} as strict, case when regexp_full_match(run_date, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') then try_cast(run_date as date) end as loose from health_history")
 def r_x22_dates(spark, at):
     return table(spark, at, "health_history").select("edition", "recorded_at", S.strict_date(F.col("run_date")).alias("strict"), S.loose_date(F.col("run_date")).alias("loose"))

@@ -444,3 +444,28 @@ def r_j12_titles(spark, at):
     url = F.concat(F.lit("https://h.test/"), F.col("article_id").cast("string"))
     urls = F.when(F.col("article_id") % 5 == 0, F.array(url, F.concat(url, F.lit("/2")))).otherwise(F.array(url))
     return J.matched_titles(lines, a.select(F.concat("m", F.lit(" of the day")).alias("title"), F.explode(urls).alias("url")))
+
+
+@query("select event_id, case event_id % 9 when 0 then 12 when 1 then -7 when 2 then 3 when 3 then -3 when 7 then event_id when 8 then 1000 else 0 end::bigint as k from events")
+def r_p3_coerce_int(spark, at):
+    """Numbers, digits in text with blanks around, fractions, booleans, two signs, words, nulls, exponents."""
+    made = F.expr("""case event_id % 9 when 0 then '" 12 "' when 1 then '"-7"' when 2 then '3.9' when 3 then '-3.9' when 4 then 'true' when 5 then '"--5"' when 6 then '"abc"' when 7 then cast(event_id as string) else '1e3' end""")
+    return table(spark, at, "events").select("event_id", S.coerce_int(made).alias("k"))
+
+
+_TAGGED = "case article_id % 3 when 0 then '<p> ' || original_description || ' </p>' when 1 then original_description || repeat(' <b>x</b>', 200) else original_description end"
+
+
+@query(f"""select article_id, regexp_replace(left(regexp_replace(t, '<[^>]+>', '', 'g'), 500), {_STRIP}) as summary, left(regexp_replace(regexp_replace(t, '<[^>]+>', '', 'g'), {_STRIP}), 300) as comment, regexp_replace(left(t, 60), '<[^>]+>', '', 'g') as short
+  from (select article_id, {_TAGGED} as t from articles) where t is not null""")
+def r_x1_strip_tags(spark, at):
+    """Tags off, cut, stripped; tags off, stripped, cut; cut first."""
+    t = F.col("t")
+    rows = table(spark, at, "articles").select("article_id", F.expr(_TAGGED).alias("t")).where("t is not null")
+    return rows.select("article_id", S.strip(F.substring(S.strip_tags(t), 1, 500)).alias("summary"), F.substring(S.strip(S.strip_tags(t)), 1, 300).alias("comment"), S.strip_tags(F.substring(t, 1, 60)).alias("short"))
+
+
+@query("""select doc_id, len(regexp_extract_all(text, 'https?://[^\\s)]+')) as links, nullif(regexp_extract('https://news.ycombinator.com/item?id=' || doc_id || '&p=2', 'item\\?id=(\\d+)', 1), '') as item from documents where text is not null""")
+def r_x17_links(spark, at):
+    item = F.regexp_extract(F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("doc_id").cast("string"), F.lit("&p=2")), r"item\?id=(\d+)", 1)
+    return table(spark, at, "documents").where("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"https?://[^\s)]+"), F.lit(0))).cast("long").alias("links"), F.nullif(item, F.lit("")).alias("item"))

@@ -450,3 +450,29 @@ def r_r5_rerun_replaces(spark, at):
     last = u.groupBy("run_date").agg(F.max("event_id").alias("event_id"))
     second = u.join(last, ["run_date", "event_id"]).select("run_date", "event_id", "total_tokens")
     return K.upserted(u.where("event_id % 2 = 0").join(last.withColumnRenamed("event_id", "_l"), "run_date").where("event_id = _l").select("run_date", "event_id", "total_tokens"), second, ["run_date"], F.col("event_id"))
+
+
+_BUCKET = "'{\"calls\": ' || (event_id % 7) || ', \"total_tokens\": ' || case event_id % 3 when 0 then 'null' else cast(event_id as string) end || '}'"
+
+
+@query("select event_id, case when event_id % 5 < 3 then (event_id % 7) * 2 else 0 end::bigint as calls, 0::bigint as prompt_tokens, 0::bigint as completion_tokens, case when event_id % 5 < 3 and event_id % 3 > 0 then event_id * 2 else 0 end::bigint as total_tokens from events")
+def r_a4_summed_buckets(spark, at):
+    """Two models, a member that is no object, and days that are a list or broken."""
+    text = F.expr(f"case event_id % 5 when 3 then '[1]' when 4 then 'broken' else '{{\"a\": ' || {_BUCKET} || ', \"x\": 5, \"b\": ' || {_BUCKET} || '}}' end")
+    return L.summed_buckets(table(spark, at, "events").select("event_id", text.alias("by_model")), "by_model").drop("by_model")
+
+
+@query(_RUNS + """, p as (select run_date, coalesce(bool_or(status = 'loaded'), false) as partial from b group by 1),
+  m as (select coalesce(b.run_date, a.run_date) as run_date, coalesce(b.step, a.step) as step, case when b.step is null or (a.step is not null and b.status in ('skipped', 'loaded')) then a.status else b.status end as status,
+    case when b.step is null or (a.step is not null and b.status in ('skipped', 'loaded')) then a.event_id else b.event_id end as event_id from a full join b on a.run_date is not distinct from b.run_date and a.step = b.step)
+  select m.* from m join p on m.run_date is not distinct from p.run_date where p.partial union all select b.* from b join p on b.run_date is not distinct from p.run_date where not p.partial
+  union all select a.* from a where not exists (select 1 from p where p.run_date is not distinct from a.run_date)""")
+def r_c11_persisted(spark, at):
+    return L.persisted_runs(*_run_sides(spark, at), ["run_date"])
+
+
+@query("select strftime(d, '%Y-%m') as month, string_agg(strftime(d, '%Y-%m-%d'), ',' order by d desc) as days from (select distinct o_orderdate::date as d from orders) group by 1")
+def r_a17_months(spark, at):
+    """Days by month, the newest first; a month has at most 31."""
+    days = table(spark, at, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    return days.groupBy(F.date_format("d", "yyyy-MM").alias("month")).agg(F.array_join(F.sort_array(F.collect_list(F.date_format("d", "yyyy-MM-dd")), asc=False), ",").alias("days"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from feedloom.functions.scalars import strict_date
+
 
 def feed_files(spark: SparkSession, path: str) -> DataFrame:
     """(source, body) of raw feed files under a path: the file's name without its ending, and its text, whose broken
@@ -18,6 +20,13 @@ def feed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(name.alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
 
 
+def day_reports(spark: SparkSession, root: str, name: str = "report.md") -> DataFrame:
+    """(run_date, text) of the reports in folders named by a day, newest first; other folders, and days without a report,
+    are left out."""
+    found = spark.read.text(f"{root}/*/{name}", wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("run_date"), F.col("value").alias("text"))
+    return found.where(strict_date(F.col("run_date")).isNotNull()).orderBy(F.desc("run_date"))
+
+
 class Fetched(InputPartition):
     def __init__(self, name: str, at: str):
         self.name, self.at = name, at

@@ -44,6 +44,33 @@ def upsert_days(events: DataFrame, path: str, checkpoint: str, keys: list[str],
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
 
 
+def chronic_episodes(outcomes: DataFrame, window: int = 7, threshold: int = 3) -> DataFrame:
+    """(subject, day, failures) of outcomes (subject, day, ok): a subject failing on threshold days of the last `window`, unless
+    that was reported within the last `window` days. State per subject: its failing days in the window and the last report.
+
+    Days of one subject that arrive out of order within a batch are put in order; a day already passed is counted with its window.
+    """
+    def emit(key, frames, state):
+        import pandas as pd
+
+        rows = pd.concat(list(frames)).sort_values("day")
+        failing, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        out = []
+        for day, ok in zip(rows["day"], rows["ok"]):
+            number = day.toordinal()
+            if not ok and number not in failing:
+                failing.append(number)
+            failing = [n for n in failing if number - n < window]
+            count = sum(n <= number for n in failing)
+            if not ok and count >= threshold and (last is None or number - last >= window):
+                out.append((key[0], day, count))
+                last = number
+        state.update((failing, last))
+        yield pd.DataFrame(out, columns=["subject", "day", "failures"])
+
+    return outcomes.groupBy("subject").applyInPandasWithState(emit, "subject string, day date, failures int", "failing array<int>, last int", "append", "NoTimeout")
+
+
 def cool_down(findings: DataFrame, days: int = 7) -> DataFrame:
     """Findings (subject, day) not reported within `days` of the last report, with state per subject."""
     def emit(key, frames, state):

@@ -401,3 +401,21 @@ def test_clear_removes_cut_tables(spark):
     assert os.path.exists(at)
     clear(spark)
     assert not os.path.exists(at) and cut(spark.range(3)).count() == 3
+
+
+def test_arguments_and_command_line(capsys):
+    from feedloom.__main__ import run
+
+    assert stages.parsed_arguments("--force hn, nope --only rss judge x", {"hn", "rss", "judge"}) == ({"hn"}, {"rss", "judge"})
+    assert stages.parsed_arguments("hn", {"hn"}) == (set(), set())
+    assert run(["list"]) == 0 and "p6_found" in capsys.readouterr().out and run(["run"]) == 2
+
+
+def test_day_reports(spark, tmp_path):
+    from feedloom.sources import files
+
+    for day in ("2026-01-02", "2026-01-10", "_state", "2026-1-3"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "report.md").write_text(f"# {day}\nx")
+    (tmp_path / "2026-01-04").mkdir()
+    assert [(r.run_date, r.text) for r in files.day_reports(spark, str(tmp_path)).collect()] == [("2026-01-10", "# 2026-01-10\nx"), ("2026-01-02", "# 2026-01-02\nx")]

@@ -41,3 +41,11 @@ def test_cool_down(spark, tmp_path):
     out = daily.cool_down(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     out.writeStream.format("memory").queryName("cooled").option("checkpointLocation", str(tmp_path / "st")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.day.day for r in spark.table("cooled").collect()) == [1, 8, 20]
+
+
+def test_chronic_episodes(spark, tmp_path):
+    days = [(1, False), (2, True), (3, False), (4, False), (5, False), (6, False), (11, False), (12, False), (30, False)]
+    spark.createDataFrame([("s", dt.date(2026, 1, d), ok) for d, ok in days] + [("t", dt.date(2026, 1, 1), False)], "subject string, day date, ok boolean").write.parquet(str(tmp_path / "in"))
+    out = daily.chronic_episodes(spark.readStream.schema("subject string, day date, ok boolean").parquet(str(tmp_path / "in")))
+    out.writeStream.format("memory").queryName("episodes").option("checkpointLocation", str(tmp_path / "st")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.subject, r.day.day, r.failures) for r in spark.table("episodes").collect()) == [("s", 4, 3), ("s", 11, 3)]
