@@ -135,8 +135,9 @@ def signature(*tables: DataFrame, **settings) -> str | None:
     found = []
     for t in tables:
         try:
-            files = t.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct()
-            found.append(sorted(tuple(r) for r in files.collect()))
+            files = t.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string").alias("at")).distinct()
+            mark = F.xxhash64("file_path", "file_size", "at").cast("decimal(38,0)")
+            found.append(tuple(map(str, files.agg(F.count(F.lit(1)), F.sum(mark), F.max("at")).first())))
         except AnalysisException:
             return None
     return hashlib.sha256(repr((found, sorted(settings.items()))).encode()).hexdigest()[:32]
