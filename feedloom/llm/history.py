@@ -397,22 +397,21 @@ class History:
 
     def _touched(self, blocks: DataFrame) -> list[str]:
         """Files of all runs whose range holds a block of the batch. The ranges are one row per RUN_ROWS rows of history."""
-        files = [tuple(f) for run in self.state["runs"] for f in run["files"]]
-        first, last = np.array([f[0] for f in files], np.int64), np.array([f[1] for f in files], np.int64)
-        by_first, by_last = np.sort(first), np.sort(last)
+        runs = [run["files"] for run in self.state["runs"] if run["files"]]
+        sides = [(np.array([f[0] for f in files], np.int64), np.sort(np.array([f[1] for f in files], np.int64))) for files in runs]
 
-        @F.pandas_udf("array<int>")
+        @F.pandas_udf("array<struct<r:int,f:int>>")
         def held(values: pd.Series) -> pd.Series:
-            # A file is touched if fewer files end before the block than begin up to it; which ones, once per stretch.
-            found = set()
-            for v in np.unique(values.to_numpy(np.int64)):
-                if np.searchsorted(by_first, v, "right") > np.searchsorted(by_last, v, "left"):
-                    found.update(np.flatnonzero((first <= v) & (v <= last)).tolist())
-            out = [sorted(found)] + [[]] * (len(values) - 1)
-            return pd.Series(out[:len(values)])
-
-        hit = blocks.select(F.explode(held("block")).alias("f")).distinct().collect() if files else []
-        return sorted(files[r.f][2] for r in hit)
+            # Files of a run are in order, so those that hold a block are a stretch; all blocks of a batch at once.
+            found, blocks = [], values.to_numpy(np.int64)
+            for r, (first, last) in enumerate(sides):
+                begin, end = np.searchsorted(last, blocks, "left"), np.searchsorted(first, blocks, "right")
+                edges = np.bincount(begin[begin < end], minlength=len(first) + 1) - np.bincount(end[begin < end], minlength=len(first) + 1)
+                found += [{"r": r, "f": int(f)} for f in np.flatnonzero(np.cumsum(edges)[:-1])]
+            return pd.Series([found] + [[]] * (len(values) - 1)) if len(values) else pd.Series([], dtype="object")
+
+        hit = blocks.select(F.explode(held("block")).alias("x")).select("x.r", "x.f").distinct().collect() if runs else []
+        return sorted(runs[h.r][h.f][2] for h in hit)
 
     def ingest(self, batch: DataFrame, kept_at: str | None = None) -> DataFrame:
         """Compare a batch (article_id, url, title, source) with all runs and with itself, keep its run, and return its links
