@@ -156,19 +156,26 @@ def r_x20_list_breaks(spark, at):
     return lines.groupBy("doc_id").agg(F.count_if("break_before").alias("breaks"))
 
 
-@query()
+def _gated(spark, at):
+    """A report of two lines per article, of five kinds, and the index of titles."""
+    a = table(spark, at, "articles").select("article_id", F.md5(F.col("article_id").cast("string")).alias("m"))
+    text = F.expr("""case article_id % 5 when 0 then '• ' || upper(m) || ' title (1,234pt) and more' when 1 then '| ' || m || ' title (5 users) | x |' when 2 then '3. [' || m || ' title](https://h.test/0) ( 7 ups )'
+      when 3 then '- unknown ' || article_id || ' story (5 pt)' else m || ' title @@4@@ (5 pt)' end""")
+    docs = a.select(F.col("article_id").alias("doc_id"), F.concat(text, F.lit("\nprose (9 pt)")).alias("text"))
+    enriched = a.select(F.concat("m", F.lit(" title")).alias("title"), F.lit(None).cast("string").alias("original_title"), F.concat(F.lit("https://h.test/"), F.col("article_id").cast("string")).alias("url"))
+    return R.lines_of(docs, "doc_id", "text"), G.title_index(enriched, table(spark, at, "digests"))
+
+
+@query("select article_id as doc_id, case when article_id % 5 in (3, 4) then 'block' else 'allow' end as decision from articles")
 def r_c4_gate(spark, at):
-    """Reports with their links off, relinked by the titles of articles, and decided."""
-    docs = table(spark, at, "documents").withColumn("text", F.regexp_replace("text", r"\[([^\]]*)\]\(https?://[^)\s]*\)", "$1"))
-    index = G.title_index(table(spark, at, "articles"), table(spark, at, "digests"))
-    return G.checked(R.lines_of(docs.select("doc_id", "text"), "doc_id", "text"), index)
+    """Rows of lists and tables whose title is known are mended; unknown ones and place holders block."""
+    return G.checked(*_gated(spark, at))
 
 
-@query()
+@query("""select article_id as doc_id, 0 as pos, case article_id % 5 when 0 then '• [' || upper(md5(article_id::varchar)) || ' title](https://h.test/' || article_id || ') (1,234pt) and more' when 1 then '| [' || md5(article_id::varchar) || ' title](https://h.test/' || article_id || ') (5 users) | x |'
+  when 2 then '3. [' || md5(article_id::varchar) || ' title](https://h.test/0) ( 7 ups )' when 3 then '- unknown ' || article_id || ' story (5 pt)' else md5(article_id::varchar) || ' title @@4@@ (5 pt)' end as line from articles union all select article_id, 1, 'prose (9 pt)' from articles""")
 def r_c5_relinked(spark, at):
-    docs = table(spark, at, "documents").withColumn("text", F.regexp_replace("text", r"\[([^\]]*)\]\(https?://[^)\s]*\)", "$1"))
-    index = G.title_index(table(spark, at, "articles"), table(spark, at, "digests"))
-    return G.relinked(R.lines_of(docs.select("doc_id", "text"), "doc_id", "text"), index)
+    return G.relinked(*_gated(spark, at))
 
 
 _VIEWED = "replace(text, ' pt)', ' pt) 社群觀點：x')"
