@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.texts import title_key_of
 from feedloom.operators.articles import pick
+from feedloom.runtime import cut
 
 
 def last_wins(probe: DataFrame, build: DataFrame, key: str, order: Column, columns: list[str], how: str = "left") -> DataFrame:
@@ -27,19 +28,28 @@ def matched_titles(lines: DataFrame, index: DataFrame, least: int = 8) -> DataFr
     address whose title holds it or is held by it, both of `least` characters or more; null where several addresses match.
 
     Containment candidates meet on fragments of `least` characters of the title form: all those of the longer text, and of the
-    shorter one that which is rarest on the other side, so that a beginning that many titles share is no hot key.
+    shorter one that which is rarest on the other side, so that a beginning that many titles share is no hot key. A title one of
+    whose fragments is nowhere on the other side is held by none. Titles are compared once however many lines and addresses
+    have them, and by number, so that the text isn't repeated for every fragment. No side of a join is broadcast: fragments are
+    many times the rows that Spark takes them for.
     """
-    a = lines.select("line_id", title_key_of("title").alias("t")).where("t <> ''").distinct()
-    b = index.where("url <> ''").select(title_key_of("title").alias("t"), "url").where("t <> ''").distinct()
-    exact = a.join(b, "t").groupBy("line_id").agg(F.count_distinct("url").alias("n"), F.min("url").alias("url"))
-    rest = a.join(exact, "line_id", "left_anti").where(F.length("t") >= least)
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - least + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(least)))))
-    long_b = b.where(F.length("t") >= least).select("t", "url", grams(F.col("t")).alias("g"))
-    long_a = rest.select("line_id", F.col("t").alias("ta"), grams(F.col("t")).alias("g"))
-    often = lambda side: side.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = lambda side, other, keys: side.join(often(other), "g", "left").groupBy(*keys).agg(F.min_by("g", F.struct(F.coalesce("_n", F.lit(0)), "g")).alias("g"))
-    inside = rarest(long_a, long_b, ["line_id", "ta"]).join(long_b, "g").where(F.contains("t", "ta")).select("line_id", "url")
-    around = rarest(long_b, long_a, ["t", "url"]).join(long_a, "g").where(F.contains("ta", "t")).select("line_id", "url")
-    loose = inside.unionByName(around).groupBy("line_id").agg(F.count_distinct("url").alias("n"), F.min("url").alias("url"))
-    hits = exact.unionByName(loose)
-    return lines.select("line_id").distinct().join(hits, "line_id", "left").select("line_id", F.when(F.col("n") == 1, F.col("url")).alias("url"))
+    sorted_ = lambda side: side.hint("merge")
+    keyed = lines.select("line_id", title_key_of("title").alias("t"))
+    known = index.where("url <> ''").select(title_key_of("title").alias("t"), "url")
+    every = keyed.select("t", F.lit(None).cast("string").alias("url")).unionByName(known).where("t <> ''")
+    # Titles without an address are those of lines that equal no title.
+    titles = cut(every.groupBy("t").agg(F.min("url").alias("low"), F.max("url").alias("high")).select(F.monotonically_increasing_id().alias("id"), F.col("low").isNotNull().alias("known"), "t", "low", "high"))
+    fragments = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - least + 1), lambda i: F.xxhash64(F.substring("t", i, least))))
+    parts = titles.where(F.length("t") >= least).select("id", "known", fragments.alias("_g")).select("id", "known", F.size("_g").alias("size"), F.explode("_g").alias("g"))
+    often = parts.groupBy("g").agg(F.count_if("known").alias("_known"), F.count_if(~F.col("known")).alias("_asked")).where("_known > 0 and _asked > 0")
+    others = F.when(F.col("known"), F.col("_asked")).otherwise(F.col("_known"))
+    rarest = parts.join(sorted_(often), "g").groupBy("id", "known", "size").agg(F.count(F.lit(1)).alias("_n"), F.min_by("g", others).alias("g")).where("_n = size")
+    meet = rarest.select(F.col("id").alias("short"), F.col("known").alias("_k"), "g").join(sorted_(parts), "g").where("_k <> known").select("short", F.col("id").alias("long"))
+    end = lambda name: sorted_(titles.select(F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("known", "t", "low", "high"))))
+    held = meet.join(end("short"), "short").join(end("long"), "long").where(F.contains("long_t", "short_t"))
+    of = lambda c, known: F.when(F.col("short_known") == known, F.col(f"short_{c}")).otherwise(F.col(f"long_{c}"))
+    near = held.select(of("t", False).alias("t"), of("low", True).alias("low"), of("high", True).alias("high")).groupBy("t").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = titles.where("known").select("t", "low", "high", F.lit(True).alias("equal")).unionByName(near.withColumn("equal", F.lit(False)))
+    some = lambda equal: (F.when(F.col("equal") == equal, F.col(c)) for c in ("low", "high"))
+    one = lambda low, high: F.when(F.min(low) == F.max(high), F.min(low))
+    return keyed.join(sorted_(found), "t", "left").groupBy("line_id").agg(F.when(F.max("equal"), one(*some(True))).otherwise(one(*some(False))).alias("url"))

@@ -227,6 +227,22 @@ def test_title_match(spark):
     assert dict(map(tuple, J.matched_titles(lines, index).collect())) == {1: "u1", 2: "u2", 3: None, 4: None}
 
 
+def test_title_match_broadcasts_no_fragments(spark):
+    """A small file of titles has many times its rows in fragments, which the driver must not hold."""
+    rows = spark.range(300).select("id", F.md5(F.col("id").cast("string")).alias("m"))
+    lines = rows.select(F.col("id").alias("line_id"), F.expr("case id % 3 when 0 then m when 1 then substring(m, 5, 20) else 'held ' || m || ' by' end").alias("title"))
+    got = J.matched_titles(lines, rows.select(F.col("m").alias("title"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url")))
+    assert {r.line_id: r.url for r in got.collect()} == {i: f"u{i}" for i in range(300)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_title_match_over_several_titles_and_sides(spark):
+    """A line's titles count together, equal before held; blanks, repeated letters, missing titles and addresses."""
+    lines = spark.createDataFrame([(1, "same title"), (1, "other long title here"), (2, "first title"), (2, "second title"), (3, "aaaaaaaaaaaa"), (4, None), (5, " *_"), (6, "no such title"), (7, "holds a known tale and more"), (8, "known tale of old")], "line_id int, title string")
+    index = spark.createDataFrame([("Same title", "u1"), ("long title here", "u2"), ("first title", "u3"), ("second title", "u4"), ("aaaaaaaaaaaaaaaa", "u5"), ("no such title", None), ("a known tale", "u6"), ("a known tale", "u6"), ("", "u7"), (None, "u8")], "title string, url string")
+    assert dict(map(tuple, J.matched_titles(lines, index).collect())) == {1: "u1", 2: None, 3: "u5", 4: None, 5: None, 6: None, 7: "u6", 8: None}
+
+
 def test_originals_last_wins(spark):
     scored = spark.createDataFrame([("u",), ("v",)], "url string")
     raw = spark.createDataFrame([("u", "", 1, "t1", "d"), ("x", "u", 2, "t2", ""), ("", None, 3, "t3", "")], "url string, alt_url string, ord int, title string, description string")
