@@ -78,12 +78,13 @@ def relinked(lines: DataFrame, index: DataFrame, key: str = "doc_id") -> DataFra
     is_list = line.rlike(listed)
     lead = F.when(is_list, F.regexp_extract("line", listed, 1)).otherwise(F.regexp_extract("line", cell, 1))
     title = F.when(is_list, S.strip(F.regexp_extract("line", listed, 2))).otherwise(S.strip(F.regexp_replace(F.regexp_extract("line", cell, 2), R.POPULAR, "")))
-    rows = lines.where(R.is_unlinked_row(line) & (is_list | line.rlike(cell))).select(key, "pos", F.struct(F.col(key), F.col("pos")).cast("string").alias("line_id"), title.alias("_title"), F.length(lead).alias("_lead")).where("_title <> ''")
-    urls = matched_titles(rows.select("line_id", F.col("_title").alias("title")), index)
-    fixes = rows.join(urls, "line_id").where("url is not null").select(key, "pos", "url", "_title", "_lead")
+    # An address comes back with the place of its line: lead and title are read from the line again, not joined.
+    rows = lines.where(R.is_unlinked_row(line) & (is_list | line.rlike(cell))).select(F.struct(F.col(key), F.col("pos")).alias("line_id"), title.alias("title")).where("title <> ''")
+    fixes = matched_titles(rows, index).where("url is not null").select(f"line_id.{key}", "line_id.pos", "url")
+    found = lines.join(fixes.hint("merge"), [key, "pos"], "left").withColumns({"_title": F.when(F.col("url").isNotNull(), title), "_lead": F.when(F.col("url").isNotNull(), F.length(lead))})
     at = F.expr("locate(_title, line, _lead + 1)")
     linked = F.concat(F.expr("substring(line, 1, locate(_title, line, _lead + 1) - 1)"), F.lit("["), F.col("_title"), F.lit("]("), F.col("url"), F.lit(")"), F.expr("substring(line, locate(_title, line, _lead + 1) + length(_title))"))
-    return lines.join(fixes, [key, "pos"], "left").select(key, "pos", F.when(F.col("url").isNotNull() & (at > 0), linked).otherwise(line).alias("line"))
+    return found.select(key, "pos", F.when(at > 0, linked).otherwise(line).alias("line"))
 
 
 def gate(violations: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -76,6 +76,18 @@ def test_table_rows_are_relinked(spark):
     assert got == ["| [A long title here](https://h/1) (5 pt) | x |", "• [A long title here](https://h/1) (1,200pt) more", "| other | (3 pt) |"]
 
 
+def test_relinking_broadcasts_no_lines(spark):
+    """Lines of a small file may be large, and as many as their titles; addresses go back to their place, also a null one."""
+    docs = spark.range(60).select(F.when(F.col("id") < 59, F.col("id")).alias("doc_id"), F.concat(F.lit("- story number "), F.col("id"), F.lit(" today (5 pt) story number\nprose (9 pt)")).alias("text"))
+    index = spark.range(58).select(F.concat(F.lit("Story number "), F.col("id"), F.lit(" today")).alias("title"), F.concat(F.lit("https://h/"), F.col("id")).alias("url"))
+    lines = R.lines_of(docs, "doc_id", "text")
+    out = G.relinked(lines, index)
+    got = {(r.doc_id, r.pos): r.line for r in out.collect()}
+    assert len(got) == 120 and got[7, 0] == "- [story number 7 today](https://h/7) (5 pt) story number" and got[7, 1] == "prose (9 pt)"
+    assert got[58, 0] == "- story number 58 today (5 pt) story number" and got[None, 0].startswith("- story number 59")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_messages_and_delivery(spark):
     long = "<p>" + "x" * 5000
     assert spark.range(1).select(G.message(F.lit("<b>a<p>b</p>")).alias("m")).first().m == "<b>ab"
