@@ -37,19 +37,24 @@ def matched_titles(lines: DataFrame, index: DataFrame, least: int = 8) -> DataFr
     keyed = lines.select("line_id", title_key_of("title").alias("t"))
     known = index.where("url <> ''").select(title_key_of("title").alias("t"), "url")
     every = keyed.select("t", F.lit(None).cast("string").alias("url")).unionByName(known).where("t <> ''")
-    # Titles without an address are those of lines that equal no title.
-    titles = cut(every.groupBy("t").agg(F.min("url").alias("low"), F.max("url").alias("high")).select(F.monotonically_increasing_id().alias("id"), F.col("low").isNotNull().alias("known"), "t", "low", "high"))
-    fragments = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - least + 1), lambda i: F.xxhash64(F.substring("t", i, least))))
-    parts = titles.where(F.length("t") >= least).select("id", "known", fragments.alias("_g")).select("id", "known", F.size("_g").alias("size"), F.explode("_g").alias("g"))
-    often = parts.groupBy("g").agg(F.count_if("known").alias("_known"), F.count_if(~F.col("known")).alias("_asked")).where("_known > 0 and _asked > 0")
-    others = F.when(F.col("known"), F.col("_asked")).otherwise(F.col("_known"))
-    rarest = parts.join(sorted_(often), "g").groupBy("id", "known", "size").agg(F.count(F.lit(1)).alias("_n"), F.min_by("g", others).alias("g")).where("_n = size")
-    meet = rarest.select(F.col("id").alias("short"), F.col("known").alias("_k"), "g").join(sorted_(parts), "g").where("_k <> known").select("short", F.col("id").alias("long"))
-    end = lambda name: sorted_(titles.select(F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("known", "t", "low", "high"))))
+    # Titles without an address are those of lines that equal no title; their numbers are negative.
+    told = every.groupBy("t").agg(F.min("url").alias("low"), F.max("url").alias("high")).withColumn("_id", F.monotonically_increasing_id())
+    titles = cut(told.select(F.when(F.col("low").isNotNull(), F.col("_id")).otherwise(-1 - F.col("_id")).alias("id"), "t", "low", "high"))
+    fragments = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - least + 1), lambda i: F.hash(F.substring(t, i, least))))
+    # One shuffle, of two columns, which the counts and both joins read; Spark adds the test for null to the joins only.
+    parts = titles.where((F.length("t") >= least) & F.col("id").isNotNull()).select("id", F.explode(fragments("t")).alias("g")).repartition("g")
+    often = parts.groupBy("g").agg(F.count_if(F.col("id") >= 0).alias("_known"), F.count_if(F.col("id") < 0).alias("_asked")).where("_known > 0 and _asked > 0")
+    others = F.when(F.col("id") >= 0, F.col("_asked")).otherwise(F.col("_known"))
+    # A title whose fragments are all on the other side: as many matches as its size takes off.
+    matches = parts.join(sorted_(often), "g").select("id", "g", others.alias("n"), F.lit(1).alias("c"))
+    sizes = titles.where(F.length("t") >= least).select("id", F.lit(None).cast("int").alias("g"), F.lit(None).cast("long").alias("n"), (-F.size(fragments("t"))).alias("c"))
+    rarest = matches.unionByName(sizes).groupBy(F.col("id").alias("short")).agg(F.sum("c").alias("_c"), F.min_by("g", "n").alias("g")).where("_c = 0").select("short", "g")
+    meet = rarest.join(sorted_(parts.select(F.col("id").alias("long"), "g")), "g").where("(short < 0) <> (long < 0)").select("short", "long")
+    end = lambda name: sorted_(titles.select(F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("t", "low", "high"))))
     held = meet.join(end("short"), "short").join(end("long"), "long").where(F.contains("long_t", "short_t"))
-    of = lambda c, known: F.when(F.col("short_known") == known, F.col(f"short_{c}")).otherwise(F.col(f"long_{c}"))
-    near = held.select(of("t", False).alias("t"), of("low", True).alias("low"), of("high", True).alias("high")).groupBy("t").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    found = titles.where("known").select("t", "low", "high", F.lit(True).alias("equal")).unionByName(near.withColumn("equal", F.lit(False)))
+    asked, known_ = (lambda c, n=n: F.when(F.col("short") < 0, F.col(f"{n[0]}_{c}")).otherwise(F.col(f"{n[1]}_{c}")) for n in (("short", "long"), ("long", "short")))
+    near = held.select(asked("t").alias("t"), known_("low").alias("low"), known_("high").alias("high")).groupBy("t").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = titles.where("id >= 0").select("t", "low", "high", F.lit(True).alias("equal")).unionByName(near.withColumn("equal", F.lit(False)))
     some = lambda equal: (F.when(F.col("equal") == equal, F.col(c)) for c in ("low", "high"))
     one = lambda low, high: F.when(F.min(low) == F.max(high), F.min(low))
     return keyed.join(sorted_(found), "t", "left").groupBy("line_id").agg(F.when(F.max("equal"), one(*some(True))).otherwise(one(*some(False))).alias("url"))
